@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe
+from . import ann, bpe, langid
 from .common import table
 
 
@@ -21,7 +21,20 @@ def op10_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(rows.filter(F.col("vec_id") % 50 == 0), rows, k=5)
 
 
+def held_out(doc_id: str = "doc_id"):
+    """Documents that language identification never learns from."""
+    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs.filter(~held_out()), public_tokenizers.path("piece_bpe_32k.model"))
+    out = langid.predict(docs.select("doc_id", "text"), model, keep_text=False)
+    return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_language_id": op5_language_id,
     "op9_bpe_codec": op9_bpe_codec,
     "op10_nearest_vectors": op10_nearest_vectors,
 }
