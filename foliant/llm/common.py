@@ -44,3 +44,10 @@ def written(df: DataFrame, what: str, codec: str = "zstd") -> DataFrame:
 def whole_text(col: str = "text"):
     """A null text counts as the empty one."""
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
+
+
+def slices(batches, rows: int = 256):
+    """Arrow batches cut to a few rows, so that Python objects of only these are alive at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, langid
-from .common import table
+from . import ann, bpe, html_main, langid, media
+from .common import table, written
 
 
 def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +21,19 @@ def op10_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(rows.filter(F.col("vec_id") % 50 == 0), rows, k=5)
 
 
+def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    manifest = written(media.store(docs), "media-manifest")
+    read = media.metadata(manifest).select("digest", "shard", "offset", "width", "height", "bit_depth").join(media.features(manifest), "digest")
+    return media.references(docs).join(read, "digest").select(
+        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "bit_depth", F.col("digest").alias("address")
+    )
+
+
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def held_out(doc_id: str = "doc_id"):
     """Documents that language identification never learns from."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2
@@ -34,7 +47,9 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_media_columns": op4_media_columns,
     "op5_language_id": op5_language_id,
+    "op6_main_text": op6_main_text,
     "op9_bpe_codec": op9_bpe_codec,
     "op10_nearest_vectors": op10_nearest_vectors,
 }
