@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, html_main, langid, media
+from . import ann, bpe, html_main, langid, media, packing
 from .common import table, written
 
 
@@ -46,7 +46,12 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op2_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_mixture_packing": op2_mixture_packing,
     "op4_media_columns": op4_media_columns,
     "op5_language_id": op5_language_id,
     "op6_main_text": op6_main_text,
