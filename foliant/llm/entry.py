@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, html_main, langid, media, packing
+from . import ann, bpe, html_main, langid, media, order_minhash, packing
 from .common import table, written
 
 
@@ -50,11 +50,16 @@ def op2_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixture_packing": op2_mixture_packing,
     "op4_media_columns": op4_media_columns,
     "op5_language_id": op5_language_id,
     "op6_main_text": op6_main_text,
+    "op8_order_minhash": op8_order_minhash,
     "op9_bpe_codec": op9_bpe_codec,
     "op10_nearest_vectors": op10_nearest_vectors,
 }
