@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, html_main, langid, media, order_minhash, packing, repeats
+from . import ann, bpe, html_main, langid, media, order_minhash, packing, repeats, toxicity
 from .common import table, written
 
 
@@ -50,6 +50,23 @@ def op2_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+#: Words whose presence in a document labelled toxic marks the two finer categories, which the labels lack.
+INSULTS = "idiot moron loser clown scum fool imbecile trash".split()
+DEMEANING = "stupid pathetic worthless disgusting useless dumb ugly".split()
+CATEGORIES = ["insult", "demeaning", "toxic"]
+
+
+def op3_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
+    # the fit reads no more labels than this, so they can be sent to every task
+    some = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(toxicity.FIT_DOCS)
+    has = lambda words: F.lower("text").rlike(r"\b(" + "|".join(words) + r")\b").cast("int")
+    labelled = docs.join(F.broadcast(some), "doc_id").withColumns({"insult": F.col("toxic") * has(INSULTS), "demeaning": F.col("toxic") * has(DEMEANING)})
+    chain = toxicity.fit(labelled, CATEGORIES)
+    return toxicity.predict(docs, chain, keep_text=False).select("doc_id", *(f"p_{c}" for c in CATEGORIES), *(f"is_{c}" for c in CATEGORIES))
+
+
 def op7_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeats.remove(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_bytes=False)
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -61,6 +78,7 @@ def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixture_packing": op2_mixture_packing,
+    "op3_toxicity_chain": op3_toxicity_chain,
     "op4_media_columns": op4_media_columns,
     "op5_language_id": op5_language_id,
     "op6_main_text": op6_main_text,
