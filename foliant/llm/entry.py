@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, html_main, langid, media, order_minhash, packing, repeats, toxicity
+from . import ann, bpe, html_main, langid, media, order_minhash, packing, repeats, secrets, toxicity
 from .common import table, written
 
 
@@ -46,6 +46,13 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocab = public_tokenizers.path("piece_bpe_32k.model")
+    model = secrets.fit(spark, secrets.labelled_findings(), vocab)
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), model, vocab, path_col="source")
+    return found.filter("is_secret").select("doc_id", "start", "end", "rule", "value_sha256", "score")
+
+
 def op2_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -77,6 +84,7 @@ def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secret_scan": op1_secret_scan,
     "op2_mixture_packing": op2_mixture_packing,
     "op3_toxicity_chain": op3_toxicity_chain,
     "op4_media_columns": op4_media_columns,
