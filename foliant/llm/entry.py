@@ -75,7 +75,7 @@ def op3_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = repeats.remove(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_bytes=False)
+    found = repeats.remove(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=None)
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 

@@ -368,15 +368,18 @@ def spans_of(starts: np.ndarray, sizes: np.ndarray, length: int) -> list[tuple[i
     return [(a, b) for a, b in out]
 
 
-def remove(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, group_blocks: int = GROUP_BLOCKS, id_col: str = "doc_id", text_col: str = "text", keep_bytes: bool = True) -> DataFrame:
-    """docs without the text, plus n_bytes long, n_removed long, n_spans long, kept_sha256 string, and kept binary if asked."""
+def remove(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, group_blocks: int = GROUP_BLOCKS, id_col: str = "doc_id", text_col: str = "text", keep: str | None = "bytes") -> DataFrame:
+    """docs without the text, plus n_bytes long, n_removed long, n_spans long, kept_sha256 string and kept.
+
+    keep: kept is binary (bytes), a string without characters that a cut has left incomplete (text), or absent (None).
+    """
     runs = written(repeated_runs(docs, length, anchor, group_blocks, id_col, text_col), "repeated-runs")
     spans = runs.groupBy("doc", "print").agg(F.collect_set(F.struct("start", "starts")).alias("runs"))  # a text's own runs
-    added = ["n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * keep_bytes
+    added = ["n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * bool(keep)
     carried = [c for c in docs.columns if c not in (text_col, "kept", *added)]
     doc, print_, text = _rows(docs, id_col, text_col)
     rows = docs.select(F.struct(*(F.col(c) for c in carried)).alias("row"), doc, print_, text)
-    schema = T.StructType([*(docs.schema[c] for c in carried), *(T.StructField(c, T.LongType()) for c in added[:3]), T.StructField("kept_sha256", T.StringType())] + [T.StructField("kept", T.BinaryType())] * keep_bytes)
+    schema = T.StructType([*(docs.schema[c] for c in carried), *(T.StructField(c, T.LongType()) for c in added[:3]), T.StructField("kept_sha256", T.StringType())] + [T.StructField("kept", T.StringType() if keep == "text" else T.BinaryType())] * bool(keep))
     joined = rows.join(spans, ["doc", "print"], "left").select(*(F.col("row")[c].alias(f"c{i}") for i, c in enumerate(carried)), "text", "runs")
 
     def run(batches):
@@ -394,8 +397,8 @@ def remove(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, group_bl
                         at = b
                     kept.append(raw[at:])
                     rest = b"".join(kept)
-                    out.append((len(raw), len(raw) - len(rest), len(cuts), hashlib.sha256(rest).hexdigest(), rest))
-                cols = [pa.array(c, kind) for c, kind in zip(list(zip(*out, strict=True))[: len(added)], (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=False)]
+                    out.append((len(raw), len(raw) - len(rest), len(cuts), hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "ignore") if keep == "text" else rest))
+                cols = [pa.array(c, kind) for c, kind in zip(list(zip(*out, strict=True))[: len(added)], (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string() if keep == "text" else pa.binary()), strict=False)]
                 yield pa.RecordBatch.from_arrays([*(some.column(f"c{i}") for i in range(len(carried))), *cols], names=[*carried, *added])
 
     return joined.mapInArrow(run, schema)
