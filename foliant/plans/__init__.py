@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import graph, reading, streams, text
+from . import folds, graph, reading, streams, text
 
-MODULES = (reading, graph, text, streams)
+MODULES = (reading, graph, text, streams, folds)
 
 
 def queries() -> dict:
