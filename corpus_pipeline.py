@@ -27,9 +27,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Rejected are texts that are null or have no letter, and those torn between languages.
     """
     model = langid.fit(docs, _pieces())
-    found = langid.predict(docs, model)
+    found = langid.predict(_bundled(docs), model)
     kept = found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
-    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    return _unbundled(kept, docs, {"text": F.col("text"), "lang": F.coalesce("row.lang", "lang_pred")})
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,8 +42,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes of strings of 100 bytes that are also earlier; every document stays."""
-    cut = repeats.remove(docs, keep="text").withColumnRenamed("kept", "text")
-    return _counted(cut).select(*docs.columns)
+    cut = repeats.remove(_bundled(docs), keep="text")
+    return _counted(_unbundled(cut, docs, {"text": F.col("kept")}))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,6 +58,16 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def _bundled(docs: DataFrame) -> DataFrame:
+    """doc_id, text and all other columns in one, so that no name can meet a stage's own."""
+    return docs.select("doc_id", "text", F.struct(*(c for c in docs.columns if c != "text")).alias("row"))
+
+
+def _unbundled(rows: DataFrame, docs: DataFrame, new: dict) -> DataFrame:
+    """The columns of docs again, some of them new."""
+    return rows.select(*(new[c].alias(c) if c in new else F.col("row")[c].alias(c) for c in docs.columns))
+
+
 def _counted(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
 
