@@ -52,7 +52,7 @@ _RUN = re.compile(r"(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{16,}={0,2}")
 _FORMAT = re.compile("|".join(f"(?P<{k}>{v})" for k, v in FORMATS.items()))
 _FORMAT_START = re.compile(r"-----BEGIN|AKIA|ASIA|gh[pousr]_|xox[abprs]-|[sr]k_(?:live|test)_|AIza|eyJ")
 _WORD = re.compile(r"[\w-]+")
-STRETCH = 4 << 20
+STRETCH = 2 << 20
 
 FEATURES = [
     "length", "entropy", "digits", "upper", "lower", "marks", "transitions", "class_changes", "coverage", "distinct", "longest_repeat",
@@ -295,13 +295,13 @@ def _stretches(batch: pa.RecordBatch, col: str, most: int = STRETCH):
 
 def redact(docs: DataFrame, findings: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "<SECRET>") -> DataFrame:
     """docs with the findings' secrets in the text replaced by the mark; a text without any stays as it is, also null."""
-    secrets = written(findings.filter("is_secret").select(F.col("doc_id").alias("_id"), F.col("print").alias("_print"), "start", "end"), "secrets")
-    by_text = secrets.groupBy("_id", "_print").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("_spans"))  # one text's own
-    joined = docs.join(by_text, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(whole_text(text_col)) == F.col("_print")), "left")
+    secrets = written(findings.filter("is_secret").select(F.col("doc_id").alias("__secret_id"), F.col("print").alias("__secret_print"), "start", "end"), "secrets")
+    by_text = secrets.groupBy("__secret_id", "__secret_print").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("__secret_spans"))  # one text's own
+    joined = docs.join(by_text, F.col(id_col).cast("long").eqNullSafe(F.col("__secret_id")) & (F.xxhash64(whole_text(text_col)) == F.col("__secret_print")), "left")
     pieces = F.aggregate(
-        "_spans",
+        "__secret_spans",
         F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")),
         lambda s, x: F.struct(F.concat(s["out"], F.substring(F.col(text_col), (s["at"] + 1).cast("int"), (x["start"] - s["at"]).cast("int")), F.lit(mark)).alias("out"), x["end"].alias("at")),
         lambda s: F.concat(s["out"], F.substring(F.col(text_col), (s["at"] + 1).cast("int"), F.length(text_col))),
     )
-    return joined.withColumn(text_col, F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(pieces)).select(*docs.columns)
+    return joined.withColumn(text_col, F.when(F.col("__secret_spans").isNull(), F.col(text_col)).otherwise(pieces)).select(*docs.columns)
