@@ -11,7 +11,19 @@ from pyspark.sql import functions as F
 _OWN_DIR: str | None = None
 
 
+#: Rows of an Arrow batch; documents are long, so Spark's default of 10,000 would hold tens of MB in each worker.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """BATCH_ROWS from now on, where the session still has Spark's default."""
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -41,6 +53,7 @@ def written(df: DataFrame, what: str, codec: str = "zstd") -> DataFrame:
     """df as a Parquet table in the shared folder, read again: lineage ends here, and a lost
     executor costs only what it had not yet written."""
     spark, path = df.sparkSession, fresh_path(df.sparkSession, what)
+    small_batches(spark)
     before = spark.conf.get(_CLEANUP)
     spark.conf.set(_CLEANUP, "true")
     try:
@@ -50,6 +63,16 @@ def written(df: DataFrame, what: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes a table that `written` has made, once nothing reads it any more."""
+    from pyarrow import fs
+
+    files = df.inputFiles()
+    if files:
+        store, path = fs.FileSystem.from_uri(files[0].rsplit("/", 1)[0])
+        store.delete_dir(path)
+
+
 def whole_text(col: str = "text"):
     """A null text counts as the empty one."""
     return F.coalesce(F.col(col).cast("string"), F.lit(""))

@@ -33,7 +33,7 @@ FOLDS = 5
 LEAST_DOCS = 5
 RIDGE = 0.1
 THRESHOLD = 0.5
-STRETCH = 4 << 20
+STRETCH = 2 << 20
 
 
 def _bare(word: str) -> str:
