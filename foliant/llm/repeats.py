@@ -7,15 +7,17 @@ from all others. Starts that follow each other with the same anchor make a block
 1. Blocks whose anchor occurs once hold nothing repeated. Of equal blocks, all but the first
    are repeated whole; one is kept to stand for them.
 2. What is left are anchors with several different blocks, where passages begin, end or differ
-   (or whose block repeats itself).
-   A group's blocks are dealt into shards; each shard has its rotations sorted once and becomes a
-   Burrows-Wheeler transform. The shards are merged by refining their interleave: a pass
-   sorts the interleave stably by the symbols (two bytes) before each suffix, so that after t passes it is
-   right for 2 t bytes. Where neighbours part at a pass is their common prefix; intervals
-   whose common prefix reaches `length` are the repeated strings, and all but the first of an
-   interval are repeated. No suffix is compared or sorted again in a merge.
-   An anchor with very many different blocks is dealt anew by its strings' own hashes, so no
-   group grows with the input.
+   (or whose block repeats itself). Their blocks are cut into pieces of a few neighbouring starts at
+   fixed distances from the anchor, and pieces are grouped by the bytes that all strings of a piece
+   have, as equal strings have these too; a piece alone in its group is done with.
+3. A group's pieces are dealt into shards; each shard has its rotations sorted once and becomes a
+   Burrows-Wheeler transform. The shards are merged by refining their interleave: a pass sorts the
+   interleave stably by the symbols (two bytes) before each suffix, so that after t passes it is
+   right for 2 t bytes. Where neighbours part at a pass is their common prefix; intervals whose
+   common prefix reaches `length` are the repeated strings, and all but the first of an interval
+   are repeated. No suffix is compared or sorted again in a merge.
+   The strings of an anchor with very many different blocks are dealt one by one, by their own
+   hashes, each but once from a task, so no group grows with the input.
 
 Defined results: a null text counts as empty; texts under `length` bytes lose nothing; a null
 doc_id is later than all others; rows that share a doc_id are one document when asking what is
@@ -28,23 +30,26 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import whole_text, written
+from .common import discard, whole_text, written
 
 LENGTH = 100
 #: Bytes of the short strings whose hashes are anchors. Longer: fewer chance repeats, but more blocks.
 ANCHOR = 24
 #: Starts of a block at most; runs of one anchor over this (text that repeats itself) are cut.
 MOST_STARTS = 128
-#: Different blocks of an anchor up to which they go to one task together.
-GROUP_BLOCKS = 1024
+#: Different blocks of an anchor up to which their strings may go to one task together.
+GROUP_BLOCKS = 16_384
+#: Neighbouring starts whose strings go to a task in one piece, dealt by the bytes that all of them have.
+PIECE_STARTS = 16
 #: Bytes of blocks that are merged at once, in so many shards.
-MERGE_BYTES, SHARDS = 1 << 17, 4
+MERGE_BYTES, SHARDS = 1 << 15, 2
 #: Bytes of text in arrays at a time.
-STRETCH = 4 << 20
+STRETCH = 1 << 20
 LAST = (1 << 63) - 1
 
 _BASE = 0x9E3779B97F4A7C15
@@ -86,14 +91,14 @@ def _least_of(h: np.ndarray, w: int) -> np.ndarray:
 
 
 def _stretch_blocks(data: np.ndarray, lens: np.ndarray, length: int, anchor: int) -> tuple[np.ndarray, ...]:
-    """(text, start in it, starts, anchor hash, block hash, inner) of the blocks of texts that lie end to end in data.
+    """(text, start in it, starts, anchor hash, block hash, anchor_at, inner) of the blocks of texts that lie end to end in data.
 
-    inner: the anchor's hash occurs in the block more than once, so the block may repeat strings of its own.
+    anchor_at: the anchor's place from the block's start. inner: the anchor's hash occurs in the block more than once, so the block may repeat strings of its own.
     """
     begins = np.cumsum(lens) - lens
     counts = np.maximum(lens - length + 1, 0)
     if not counts.sum():
-        return (*(np.zeros(0, np.int64) for _ in range(3)), *(np.zeros(0, np.uint64) for _ in range(2)), np.zeros(0, bool))
+        return (*(np.zeros(0, np.int64) for _ in range(3)), *(np.zeros(0, np.uint64) for _ in range(2)), np.zeros(0, np.int64), np.zeros(0, bool))
     n = len(data)
     back = _powers(pow(_BASE, -1, 2**64), n + 1)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * _powers(_BASE, n))])
@@ -116,11 +121,14 @@ def _stretch_blocks(data: np.ndarray, lens: np.ndarray, length: int, anchor: int
     inner = np.zeros(len(first), bool)
     for place in (least_of_some[:-1][equal], least_of_some[1:][equal] - width + 1):
         inner[np.maximum(np.searchsorted(first, place, "right") - 1, 0)] = True
-    return owner[at], first - begins[owner[at]], size, of[at], block, inner
+    found = np.searchsorted(least_of_some, first + np.minimum(size, width) - 1)
+    while (other := np.flatnonzero(short[least_of_some[found]] != of[at])).size:
+        found[other] += 1
+    return owner[at], first - begins[owner[at]], size, of[at], block, least_of_some[found] - first, inner
 
 
 def blocks(texts: list[bytes], length: int = LENGTH, anchor: int = ANCHOR) -> tuple[np.ndarray, ...]:
-    """(text, start, starts, anchor, block, inner, again) of all blocks; again: the text has had this block before."""
+    """(text, start, starts, anchor, block, anchor_at, inner, again) of all blocks; again: the text has had this block before."""
     found, some, size = [], [], 0
 
     def flush():
@@ -145,13 +153,13 @@ def blocks(texts: list[bytes], length: int = LENGTH, anchor: int = ANCHOR) -> tu
     flush()
     if not found:
         found = [_stretch_blocks(np.zeros(0, np.uint8), np.zeros(0, np.int64), length, anchor)]
-    text, start, size, of, block, inner = (np.concatenate(c) for c in zip(*found, strict=True))
+    text, start, size, of, block, anchor_at, inner = (np.concatenate(c) for c in zip(*found, strict=True))
     key = _mixed(of + _mixed(block + text.astype(np.uint64) * np.uint64(_BASE)))
     order = np.argsort(key, kind="stable")  # blocks of one text come in the order of their starts
     a, b = order[1:], order[:-1]
     again = np.zeros(len(text), bool)
     again[a] = (key[a] == key[b]) & (of[a] == of[b]) & (block[a] == block[b]) & (text[a] == text[b])
-    return text, start, size, of, block, inner, again
+    return text, start, size, of, block, anchor_at, inner, again
 
 
 def sorted_rotations(data: np.ndarray, begin: np.ndarray, lens: np.ndarray) -> np.ndarray:
@@ -258,21 +266,24 @@ def _some(batch: pa.RecordBatch, col: str, most: int = STRETCH):
 
 
 def block_table(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """anchor, block, doc, print, start, starts, inner, again of all blocks."""
+    """anchor, block, doc, print, start, starts, anchor_at, inner, again of all blocks."""
 
     def run(batches):
         for batch in batches:
             for some in _some(batch, "text"):
-                text, start, starts, of, block, inner, again = blocks([x.encode() for x in some.column("text").to_pylist()], length, anchor)
+                text, start, starts, of, block, anchor_at, inner, again = blocks([x.encode() for x in some.column("text").to_pylist()], length, anchor)
                 doc, print_ = (some.column(c).to_numpy()[text] for c in ("doc", "print"))
-                cols = (of.view(np.int64), block.view(np.int64), doc, print_, start.astype(np.int32), starts.astype(np.int16), inner, again)
-                yield from pa.Table.from_arrays([pa.array(c) for c in cols], names=["anchor", "block", "doc", "print", "start", "starts", "inner", "again"]).to_batches(max_chunksize=50_000)
+                cols = (of.view(np.int64), block.view(np.int64), doc, print_, start.astype(np.int32), starts.astype(np.int16), anchor_at.astype(np.int16), inner, again)
+                yield from pa.Table.from_arrays([pa.array(c) for c in cols], names=["anchor", "block", "doc", "print", "start", "starts", "anchor_at", "inner", "again"]).to_batches(max_chunksize=50_000)
 
-    return docs.select(*_rows(docs, id_col, text_col)).mapInArrow(run, "anchor long, block long, doc long, print long, start int, starts short, inner boolean, again boolean")
+    return docs.select(*_rows(docs, id_col, text_col)).mapInArrow(run, "anchor long, block long, doc long, print long, start int, starts short, anchor_at short, inner boolean, again boolean")
 
 
 def _merge(rows: DataFrame, length: int) -> DataFrame:
-    """doc, print, start, starts of repeated runs of starts, from rows(key, doc, print, start, bytes) in which equal strings share a key."""
+    """doc, print, start, starts of repeated runs of starts, from rows(key, doc, print, start, bytes, inner) in which equal strings share a key.
+
+    inner: the bytes may repeat strings of their own, so they matter also when alone.
+    """
 
     def judged(rows: list[tuple]):
         strings = [r[4] for r in rows]
@@ -285,75 +296,125 @@ def _merge(rows: DataFrame, length: int) -> DataFrame:
         s = string[new]
         return pa.RecordBatch.from_arrays([pa.array(doc[s]), pa.array(print_[s]), pa.array((start[s] + offset[new]).astype(np.int32)), pa.array(runs.astype(np.int16))], names=["doc", "print", "start", "starts"])
 
-    def more_than_one(group: list[tuple]) -> bool:
-        return len(group) > 1 or bool(group) and len(group[0][4]) > length
+    def different(group: list[tuple], repeated: list[tuple]) -> list[tuple]:
+        """The group's different pieces, the first of each, if they have to be merged; of equal ones the later go to repeated."""
+        first: dict[bytes, tuple] = {}
+        for row in group:
+            held = first.setdefault(row[4], row)
+            if held is not row and held[1:4:2] != row[1:4:2]:
+                row, later = (row, held) if row[1:4:2] < held[1:4:2] else (held, row)
+                first[row[4]] = row
+                repeated.append((later[1], later[2], later[3], len(later[4]) - length + 1))
+        return list(first.values()) if len(first) > 1 or group[0][5] else []
+
+    def table_of(runs: list[tuple]):
+        cols = list(zip(*runs, strict=True)) if runs else [[]] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int16()), strict=True)], names=["doc", "print", "start", "starts"])
 
     def run(batches):
-        ready: list[tuple] = []  # whole groups
+        ready: list[tuple] = []  # pieces of whole groups
         group: list[tuple] = []
+        repeated: list[tuple] = []
         size = 0
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if group and row[0] != group[0][0]:
-                    if more_than_one(group):
-                        ready += group
-                        size += sum(len(r[4]) for r in group)
+                    if len(group) > 1 or group[0][5]:
+                        some = different(group, repeated)
+                        ready += some
+                        size += sum(len(r[4]) for r in some)
                     group = []
                     if size >= MERGE_BYTES:
                         yield judged(ready)
                         ready, size = [], 0
                 group.append(row)
-        ready += group if more_than_one(group) else []
+            yield table_of(repeated)
+            repeated.clear()
+        if group and (len(group) > 1 or group[0][5]):
+            ready += different(group, repeated)
+            yield table_of(repeated)
         if ready:
             yield judged(ready)
 
-    return rows.select("key", "doc", "print", "start", "bytes").mapInArrow(run, "doc long, print long, start int, starts short")
+    return rows.select("key", "doc", "print", "start", "bytes", "inner").mapInArrow(run, "doc long, print long, start int, starts short")
+
+
+def pieces_of(raw: bytes, place: dict, group_blocks: int, length: int):
+    """(key, start, bytes) of a block's pieces; equal strings of blocks of one anchor get equal keys."""
+    start, end, anchor = place["start"], place["start"] + place["starts"], place["anchor"]
+    if place["blocks"] > group_blocks:
+        for at in range(start, end):
+            yield _key(anchor, 0, raw[at : at + length]), at, raw[at : at + length]
+    elif place["inner"]:  # the anchor isn't one place, so pieces can't be laid out from it
+        yield anchor, start, raw[start : end + length - 1]
+    else:
+        q, core = start + place["anchor_at"], length - PIECE_STARTS + 1
+        for j in range((q - end + 1) // PIECE_STARTS, (q - start) // PIECE_STARTS + 1):
+            last = q - PIECE_STARTS * j  # strings that start at last and up to PIECE_STARTS - 1 before
+            first = max(start, last - PIECE_STARTS + 1)
+            yield _key(anchor, j + 1, raw[last : last + core]), first, raw[first : min(last, end - 1) + length]
+
+
+def _key(anchor: int, kind: int, shared: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(shared, seed=(anchor + kind) % 2**64) - (1 << 63)
 
 
 def repeated_runs(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, group_blocks: int = GROUP_BLOCKS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc, print, start, starts: runs of starts whose strings are also earlier. print is the text's hash."""
+    """doc, print, start, starts: runs of starts whose strings are also earlier, a written table. print is the text's hash."""
     every = written(block_table(docs, length, anchor, id_col, text_col), "blocks")
     several = every.groupBy("anchor").agg(F.count("*").alias("n"), F.max("inner").alias("inner")).filter((F.col("n") > 1) | F.col("inner")).select("anchor")
     shared = written(every.join(several, "anchor"), "shared-blocks")
+    discard(every)
     own = shared.filter("again").select("doc", "print", "start", "starts")
-    once = shared.filter("not again").drop("again")
-    different = written(once.groupBy("anchor", "block").agg(F.min("doc").alias("least"), F.max("inner").alias("inner")), "different-blocks")
-    once = once.drop("inner")
+    once = shared.filter("not again").drop("again", "inner")
+    different = written(shared.filter("not again").groupBy("anchor", "block").agg(F.min("doc").alias("least"), F.max("inner").alias("inner")), "different-blocks")
     copies = once.join(different.drop("inner"), ["anchor", "block"]).filter(F.col("doc") > F.col("least")).select("doc", "print", "start", "starts")
     # anchors with several different blocks, or one that may repeat itself: each block's first occurrence
-    unlike = different.groupBy("anchor").agg(F.count("*").alias("blocks"), F.max("inner").alias("inner")).filter((F.col("blocks") > 1) | F.col("inner")).drop("inner")
+    unlike = different.groupBy("anchor").agg(F.count("*").alias("blocks"), F.max("inner").alias("inner")).filter((F.col("blocks") > 1) | F.col("inner"))
     first = once.join(different.drop("inner").join(unlike, "anchor"), ["anchor", "block"]).filter(F.col("doc") == F.col("least"))
-    wanted = first.groupBy("doc", "print").agg(F.collect_set(F.struct("anchor", "blocks", "start", "starts")).alias("places"))  # a text's own blocks
+    wanted = first.groupBy("doc", "print").agg(F.collect_set(F.struct("anchor", "blocks", "inner", "start", "starts", "anchor_at")).alias("places"))  # a text's own blocks
     texts = docs.select(*_rows(docs, id_col, text_col)).join(wanted, ["doc", "print"])
 
+    def table_of(rows: list[tuple]):
+        cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.bool_(), pa.bool_())
+        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["key", "doc", "print", "start", "bytes", "inner", "later"]).to_batches(max_chunksize=20_000)
+
     def cut(batches):
-        names = ["key", "doc", "print", "start", "bytes"]
+        # of the strings dealt one by one, the earliest that the task has seen; the others are known to be repeated
+        earliest: dict[int, tuple] = {}
         for batch in batches:
             for some in _some(batch, "text"):
                 out = []
                 for doc, print_, text, places in zip(*(some.column(c).to_pylist() for c in ("doc", "print", "text", "places")), strict=True):
                     raw = text.encode()
                     for p in places:
-                        if p["blocks"] <= group_blocks:
-                            out.append((p["anchor"], doc, print_, p["start"], raw[p["start"] : p["start"] + p["starts"] + length - 1]))
-                            continue
-                        # its strings one by one, dealt by their own hash
-                        parts = -(-p["blocks"] * 16 // group_blocks)
-                        for at in range(p["start"], p["start"] + p["starts"]):
-                            one = raw[at : at + length]
-                            out.append((_string_key(p["anchor"], one, parts), doc, print_, at, one))
-                cols = list(zip(*out, strict=True)) if out else [[]] * 5
-                yield from pa.Table.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.binary())], names=names).to_batches(max_chunksize=20_000)
-
-    rows = texts.select("doc", "print", "text", "places").mapInArrow(cut, "key long, doc long, print long, start int, bytes binary")
-    seams = _merge(rows.repartition("key").sortWithinPartitions("key"), length)
-    return own.union(copies).union(seams)
-
-
-def _string_key(anchor: int, one: bytes, parts: int) -> int:
-    import xxhash
-
-    return xxhash.xxh3_64_intdigest(anchor.to_bytes(8, "little", signed=True) + (xxhash.xxh3_64_intdigest(one) % parts).to_bytes(8, "little")) - (1 << 63)
+                        for key, at, piece in pieces_of(raw, p, group_blocks, length):
+                            row = (key, doc, print_, at, piece, p["inner"] and p["blocks"] <= group_blocks, False)
+                            if p["blocks"] > group_blocks:
+                                held = earliest.get(key)
+                                if held is not None and held[4] == piece:
+                                    if held[1:4:2] == row[1:4:2]:
+                                        continue
+                                    row, later = (row, held) if row[1:4:2] < held[1:4:2] else (held, row)
+                                    earliest[key] = row
+                                    out.append((*later[:4], b"", False, True))
+                                    continue
+                                if held is None:
+                                    earliest[key] = row
+                                    continue
+                            out.append(row)
+                yield from table_of(out)
+        yield from table_of(list(earliest.values()))
+
+    pieces = texts.select("doc", "print", "text", "places").mapInArrow(cut, "key long, doc long, print long, start int, bytes binary, inner boolean, later boolean")
+    pieces = written(pieces, "pieces")
+    known = pieces.filter("later").select("doc", "print", "start", F.lit(1).cast("short").alias("starts"))
+    seams = _merge(pieces.filter("not later").drop("later").repartition("key").sortWithinPartitions("key"), length)
+    runs = written(own.union(copies).union(known).union(seams), "repeated-runs")
+    for table in (shared, different, pieces):
+        discard(table)
+    return runs
 
 
 def spans_of(starts: np.ndarray, sizes: np.ndarray, length: int) -> list[tuple[int, int]]:
@@ -373,7 +434,7 @@ def remove(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, group_bl
 
     keep: kept is binary (bytes), a string without characters that a cut has left incomplete (text), or absent (None).
     """
-    runs = written(repeated_runs(docs, length, anchor, group_blocks, id_col, text_col), "repeated-runs")
+    runs = repeated_runs(docs, length, anchor, group_blocks, id_col, text_col)
     spans = runs.groupBy("doc", "print").agg(F.collect_set(F.struct("start", "starts")).alias("runs"))  # a text's own runs
     added = ["n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * bool(keep)
     carried = [c for c in docs.columns if c not in (text_col, "kept", *added)]
