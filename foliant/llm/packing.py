@@ -17,6 +17,7 @@ table as Spark reads it.
 from __future__ import annotations
 
 import bisect
+import itertools
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -38,7 +39,7 @@ WINDOW_SEQUENCES = 64
 MAX_QUEUES = 256
 OTHERS = "\0others"
 #: Stretches of text whose ids a Python worker keeps; over this it starts anew.
-KEPT_STRETCHES = 300_000
+KEPT_STRETCHES = 400_000
 END_ID = 0
 
 
@@ -54,62 +55,103 @@ def tokenizer(path: str):
     return t
 
 
+# The pattern by which byte-level tokenizers split text, and the letters that stand for bytes.
+SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: Letters up to here are the same in every version of Unicode that a splitter may follow.
+SETTLED = "\u024f"
+
+
 class StretchEncoder:
     """Ids of whole texts by a byte-level tokenizer, with the ids of stretches that come again kept.
 
     A byte-level splitter never has a match across a space that follows a non-space, so a text is the
-    sum of its stretches from one such space to the next. Texts in which a space follows a space or
+    sum of its stretches from one such space to the next, and a stretch of the splitter's matches,
+    each of which goes to the tokenizer's model by itself. Texts in which a space follows a space or
     an end of line are encoded whole.
     """
 
     def __init__(self, path: str):
+        import regex
+
         self.tokenizer = tokenizer(path)
+        self.model, self.split = self.tokenizer.model, regex.compile(SPLIT).findall
+        others = [b for b in range(256) if b not in PRINTED]
+        self.letters = {b: b for b in PRINTED} | {b: 256 + i for i, b in enumerate(others)}
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.parts: list[np.ndarray] = []
-        self.used = 0
+        self.known: dict[str, int] = {}  # stretches without the space before them; those that begin a text have a mark
+        self.matches: dict[str, list[int]] = {}
+        self.odd = np.zeros(0, bool)
         self.lens = self.starts = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint32)
 
-    def _codes(self, keys: list[str]) -> np.ndarray:
-        known, fresh = self.known, []
-        for k in keys:
-            if k not in known:
-                known[k] = len(known)
-                fresh.append(k)
+    def _ids(self, stretch: str) -> list[int]:
+        if stretch and max(stretch) > SETTLED:
+            return self.tokenizer.encode(stretch, add_special_tokens=False).ids
+        word = stretch[1:] if stretch[:1] == " " else ""
+        if word.isalpha():  # most are a space and a word, or these and a mark
+            matches = [stretch]
+        elif word[:-1].isalpha() and word[-1] in ".,;:!?":
+            matches = [stretch[:-1], word[-1]]
+        else:
+            matches = self.split(stretch)
+        out: list[int] = []
+        for match in matches:
+            ids = self.matches.get(match)
+            if ids is None:
+                ids = self.matches[match] = [t.id for t in self.model.tokenize(match.encode().decode("latin1").translate(self.letters))]
+            out += ids
+        return out
+
+    def _codes(self, words: list[str], begins: bool) -> np.ndarray:
+        known, mark = self.known, "\0begins " if begins else ""
+        keys = [mark + w for w in words] if begins else words
+        codes = [known.get(k, -1) for k in keys]
+        fresh: list[list[int]] = []
+        odd: list[bool] = []
+        for i, code in enumerate(codes):
+            if code < 0:
+                k, w = keys[i], words[i]
+                code = known.get(k, -1)
+                if code < 0:
+                    code = known[k] = len(known)
+                    odd.append(not w or w[-1].isspace())
+                    fresh.append(self._ids(w) if begins else self._ids(" " + w))
+                codes[i] = code
         if fresh:
-            found = [x.ids for x in self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)]
-            lens = np.fromiter(map(len, found), np.int64, len(found))
+            lens = np.fromiter(map(len, fresh), np.int64, len(fresh))
             self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lens) - lens])
             self.lens = np.concatenate([self.lens, lens])
-            self.flat = np.concatenate([self.flat, np.fromiter((i for x in found for i in x), np.uint32, int(lens.sum()))])
-        return np.fromiter(map(known.__getitem__, keys), np.int64, len(keys))
+            self.flat = np.concatenate([self.flat, np.fromiter(itertools.chain.from_iterable(fresh), np.uint32, int(lens.sum()))])
+            self.odd = np.concatenate([self.odd, odd])
+        return np.array(codes, np.int64)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """uint32 ids of each text, the end id last."""
         if len(self.known) > KEPT_STRETCHES:
             self._forget()
+        if not texts:
+            return []
         split = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
         offsets = split.offsets.to_numpy()
         rest = pc.dictionary_encode(split.values)
         words, code = rest.dictionary.to_pylist(), rest.indices.to_numpy()
-        odd = np.fromiter((not w or w[-1].isspace() for w in words), bool, len(words))
-        whole = np.add.reduceat(odd[code].astype(np.int64), offsets[:-1]) > 0 if len(texts) else np.zeros(0, bool)
-        codes = self._codes([" " + w for w in words])[code]
-        codes[offsets[:-1]] = self._codes([words[c] for c in code[offsets[:-1]]])
+        codes = self._codes(words, False)[code]
+        codes[offsets[:-1]] = self._codes([words[c] for c in code[offsets[:-1]].tolist()], True)
+        whole = np.add.reduceat(self.odd[codes].astype(np.int64), offsets[:-1]) > 0
         lens = self.lens[codes]
         ends = np.cumsum(lens)
         flat = self.flat[np.repeat(self.starts[codes] - (ends - lens), lens) + np.arange(ends[-1] if len(ends) else 0)]
         bounds = np.concatenate([[0], ends])[offsets]
-        out = [np.append(flat[a:b], np.uint32(END_ID)) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        for i in np.flatnonzero(whole):
+        out = [np.append(flat[a:b], np.uint32(END_ID)) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        for i in np.flatnonzero(whole).tolist():
             out[i] = np.append(np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, np.uint32), np.uint32(END_ID))
         return out
 
 
-def some_rows(batch: pa.RecordBatch, col: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def some_rows(batch: pa.RecordBatch, col: str, most_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about most_bytes of text."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(col)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
