@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashes import fnv1a, fnv_step, murmur_final
 from ..functions.text import plain_words
-from .links import components
+from .links import components, written
 
 RUN, SIZE, LEAST_WORDS = 5, 16, 200
 SAME_TEXT, OTHER_TEXT = 0.375, 0.12
@@ -32,6 +32,7 @@ def likeness(a: Column, b: Column, size: int = SIZE) -> Column:
 
 def print_pairs(prints: DataFrame, id_col: str, most_in_block: int = MOST_IN_BLOCK) -> DataFrame:
     """a, b, likeness (a < b) of texts that share a hash which no more than most_in_block texts have; the cap is part of the operator."""
+    prints = written(prints)  # read three times, and dear to make
     blocks = prints.select(id_col, F.explode("print").alias("h"))
     usual = blocks.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n").between(2, most_in_block)).select("h")
     kept = blocks.join(usual, "h")
