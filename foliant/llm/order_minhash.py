@@ -26,6 +26,7 @@ gives no rows.
 from __future__ import annotations
 
 import bisect
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -149,11 +150,12 @@ def alignment_similarity(a: np.ndarray, b: np.ndarray, threshold: float = THRESH
         return 0.0
     _, i, j = np.intersect1d(a, b, return_indices=True)
     both = len(a) + len(b)
-    if len(i) < threshold * (both - len(i)):
+    if len(i) / (both - len(i)) < threshold:
         return len(i) / (both - len(i))
     j = j[np.argsort(i)]
     i = np.sort(i)
-    j = j[np.abs(i - j) <= both * (1 - threshold) / (1 + threshold)]
+    least = math.ceil(threshold * both / (1 + threshold) - 1e-9)  # of a chain; a match further off the diagonal than all that it leaves is in none
+    j = j[np.abs(i - j) <= both - 2 * least]
     if len(j) > 1 and not (j[1:] > j[:-1]).all():
         chain: list[int] = []
         for x in j.tolist():
