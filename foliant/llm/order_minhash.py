@@ -4,11 +4,13 @@ A document's k-mers are its runs of `k` words, each labelled with how often it h
 before, so that all labelled k-mers of a document differ. A sketch entry takes the `ell` labelled
 k-mers that one hash function makes smallest, in the order of the text. Documents that share an
 entry meet in a bucket; every member is aligned with two leaders: the member that meets most
-others in all its buckets, as an original among its copies does, and one by a hash. Buckets of up
-to SMALL_BUCKET members that are still in several classes then have those of different classes
-aligned with each other; larger ones get rounds with LEADERS new leaders each, until a round finds
-no further link. Leaders are the same in all buckets that they share, so a document in a group of any
-size costs a few alignments a round.
+others in all its buckets, as an original among its copies does, and one by a hash. A bucket that
+is still in several classes has its stragglers, the members outside its largest class. While they
+are many, rounds take up to LEADERS new leaders from them, of different classes, for as long as that finds
+links. In the end all stragglers meet all members of other classes, dealt in blocks, and only pairs
+that two exact bounds can't rule out are aligned: the counts of their k-mers, and bitmaps of
+their k-mers, which differ in no more bits than the k-mers do. So every pair that shares an entry is
+of one class, aligned, or ruled out.
 
 The alignment pairs equal labelled k-mers inside a band around the diagonal whose width is all
 that the threshold allows, and takes the longest chain that rises in both texts. Similarity is
@@ -43,10 +45,14 @@ ELL = 2
 #: At similarity 0.8 two texts share no entry once in about 200,000 pairs.
 ENTRIES = 12
 THRESHOLD = 0.8
-#: Members of a bucket up to which all of different classes are aligned with each other, once.
-SMALL_BUCKET = 16
-#: New leaders a round for larger buckets.
+#: Stragglers of a bucket up to which no further leaders are taken.
+FEW = 16
+#: New leaders a round for other buckets.
 LEADERS = 16
+#: Members of a bucket that meet in a task, of either side.
+BLOCK = 1000
+#: 64-bit words of a text's bitmap.
+BITMAP = 16
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -168,6 +174,20 @@ def alignment_similarity(a: np.ndarray, b: np.ndarray, threshold: float = THRESH
     return len(j) / (both - len(j))
 
 
+def bitmap(kmers: np.ndarray) -> np.ndarray:
+    """int64 words; each k-mer turns one bit over, so two bitmaps differ in no more bits than the k-mers do."""
+    bits = np.bincount((kmers & np.uint64(64 * BITMAP - 1)).astype(np.int64), minlength=64 * BITMAP) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
+def _may_be_near(size: str, bits: str, other_size: str, other_bits: str, threshold: float):
+    """Whether the bounds leave it open that two texts reach the threshold."""
+    both = F.col(size) + F.col(other_size)
+    least = both * F.lit(threshold / (1 + threshold)) - 1e-6  # matches that a pair at the threshold has
+    apart = sum((F.bit_count(F.col(bits)[i].bitwiseXOR(F.col(other_bits)[i])) for i in range(BITMAP)), F.lit(0))
+    return (F.least(size, other_size) >= least) & ((both - apart) / 2 >= least)
+
+
 def _by_size(batch: pa.RecordBatch, col: str, most: int = 2 << 20):
     """The batch in slices of about `most` bytes of one column."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(col)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -197,16 +217,17 @@ def sketch_table(docs: DataFrame, text_col: str = "text", k: int = K, entries: i
 
 
 def kmer_table(docs: DataFrame, nodes: DataFrame, text_col: str = "text", k: int = K) -> DataFrame:
-    """node, kmers (uint32 hashes as bytes) of the texts named in nodes, a row each."""
+    """node, kmers (uint32 hashes as bytes), size (their number), bits (their bitmap) of the texts named in nodes, a row each."""
 
     def run(batches):
         for batch in batches:
             for some in _by_size(batch, "text"):
-                found = [(x >> np.uint64(32)).astype("<u4").tobytes() for x in labelled(some.column("text").to_pylist(), k)]
-                yield pa.RecordBatch.from_arrays([some.column("node"), pa.array(found, pa.binary())], names=["node", "kmers"])
+                found = [x >> np.uint64(32) for x in labelled(some.column("text").to_pylist(), k)]
+                cols = [pa.array([x.astype("<u4").tobytes() for x in found], pa.binary()), pa.array(map(len, found), pa.int32()), pa.array(map(bitmap, found), pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([some.column("node"), *cols], names=["node", "kmers", "size", "bits"])
 
     one_each = docs.select(text_node(text_col).alias("node"), whole_text(text_col).alias("text")).groupBy("node").agg(F.first("text").alias("text"))
-    return one_each.join(nodes, "node", "left_semi").mapInArrow(run, "node binary, kmers binary")
+    return one_each.join(nodes, "node", "left_semi").mapInArrow(run, "node binary, kmers binary, size int, bits array<long>")
 
 
 def aligned(pairs: DataFrame, kmers: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -224,49 +245,71 @@ def aligned(pairs: DataFrame, kmers: DataFrame, threshold: float = THRESHOLD) ->
     return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary, linked boolean")
 
 
+def _led(open_: DataFrame, orders: list) -> DataFrame:
+    """node, other: members of buckets with their leaders, the least by each order, of other classes."""
+    chosen = open_.filter("straggler").groupBy("key").agg(*(F.min_by(F.struct("node", "label"), o).alias(f"m{i}") for i, o in enumerate(orders)))
+    leaders = chosen.select("key", F.explode(F.array_distinct(F.array(*(f"m{i}" for i in range(len(orders)))))).alias("m"))
+    return open_.join(leaders, "key").filter(F.col("label") != F.col("m.label")).select("node", F.col("m.node").alias("other"))
+
+
+def _all_met(open_: DataFrame, kmers: DataFrame, threshold: float) -> DataFrame:
+    """node, other: stragglers with all members of other classes that may be near them. Blocks of a bucket meet, so that no task has a whole large one."""
+    signed = open_.join(kmers.select("node", "size", "bits"), "node")
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("node"), blocks(n)).cast("int")
+    left = signed.filter("straggler").select("key", own("stragglers").alias("p"), spread("n").alias("q"), "node", "label", "size", "bits")
+    right = signed.select("key", spread("stragglers").alias("p"), own("n").alias("q"), F.col("node").alias("other"), F.col("label").alias("theirs"), F.col("straggler").alias("too"), F.col("size").alias("other_size"), F.col("bits").alias("other_bits"))
+    once = ~F.col("too") | (F.col("node") < F.col("other"))
+    return left.join(right, ["key", "p", "q"]).filter((F.col("label") != F.col("theirs")) & once & _may_be_near("size", "bits", "other_size", "other_bits", threshold)).select("node", "other")
+
+
+def _several(open_: DataFrame) -> DataFrame:
+    """The members of buckets with several classes, with n, straggler (outside the largest class) and stragglers (their number)."""
+    of_class = open_.groupBy("key", "label").agg(F.count("*").alias("m"))
+    largest = of_class.groupBy("key").agg(F.sum("m").alias("n"), F.max(F.struct("m", "label")).alias("most")).filter(F.col("n") > F.col("most.m"))
+    largest = largest.select("key", "n", (F.col("n") - F.col("most.m")).alias("stragglers"), F.col("most.label").alias("main"))
+    return open_.join(largest, "key").select("key", "node", "label", "n", "stragglers", (F.col("label") != F.col("main")).alias("straggler"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, entries: int = ENTRIES, ell: int = ELL, threshold: float = THRESHOLD) -> DataFrame:
     """A row a document: doc_id, class_id (the smallest doc_id of its class)."""
     entry = sketch_table(docs, text_col, k, entries, ell).select("node", F.explode("keys").alias("key"))
     entry = written(entry, "omh-entries")
-    shared = entry.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > 1).select("key")
-    buckets = written(entry.join(shared, "key"), "omh-buckets")
-    kmers = written(kmer_table(docs, buckets.select("node").distinct(), text_col, k), "omh-kmers")
-    sizes = buckets.groupBy("key").agg(F.count("*").alias("n"))
-    sized = written(buckets.join(sizes, "key"), "omh-sized")
+    shared = entry.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > 1)
+    sized = written(entry.join(shared, "key"), "omh-sized")
+    kmers = written(kmer_table(docs, sized.select("node").distinct(), text_col, k), "omh-kmers")
     central = sized.groupBy("node").agg(F.sum("n").alias("company"))
-    open_ = written(sized.join(central, "node").withColumn("label", F.col("node")), "omh-open")
-    labels = open_.select("node", "label").limit(0)
+    first = sized.join(central, "node").withColumn("label", F.col("node")).withColumn("straggler", F.lit(True))
+    by_hash = [F.xxhash64("node", F.lit(i)) for i in range(2)]
+    meet = _led(first, [F.struct(-F.col("company"), by_hash[0]), by_hash[1]])
+    members = sized.select("key", "node")
+    labels = sized.select("node", F.col("node").alias("label")).limit(0)
     links = tested = None
-    turn = 0
+    turn, last = 0, False
     while True:
-        by_hash = [F.xxhash64("node", F.lit(LEADERS * turn + i)) for i in range(LEADERS)]
-        orders = by_hash if turn else [F.struct(-F.col("company"), by_hash[0]), by_hash[1]]
-        led = open_.filter(F.col("n") > SMALL_BUCKET) if turn else open_
-        chosen = led.groupBy("key").agg(*(F.min_by(F.struct("node", "label"), o).alias(f"m{i}") for i, o in enumerate(orders)))
-        leaders = chosen.select("key", F.explode(F.array_distinct(F.array(*(f"m{i}" for i in range(len(orders)))))).alias("m"))
-        meet = led.join(leaders, "key").filter(F.col("label") != F.col("m.label")).select("node", F.col("m.node").alias("other"))
-        if turn == 1:
-            small = open_.filter(F.col("n") <= SMALL_BUCKET).select("key", "node", "label")
-            others = small.select("key", F.col("node").alias("other"), F.col("label").alias("theirs"))
-            meet = meet.union(small.join(others, "key").filter((F.col("node") < F.col("other")) & (F.col("label") != F.col("theirs"))).select("node", "other"))
         pairs = meet.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         done = written(aligned(pairs, kmers, threshold), "omh-aligned")
         fresh = done.filter("linked").select("a", "b")
-        if not fresh.limit(1).count():
-            if turn:
-                break
-        else:
+        found = fresh.limit(1).count()
+        if found:
             links = fresh if links is None else links.union(fresh)
             labels = components(links)
+        if last:
+            break
         tested = done.select("a", "b") if tested is None else tested.union(done.select("a", "b"))
-        again = open_.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        if turn:
-            again = again.filter(F.col("n") > SMALL_BUCKET)
-        several = again.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter(F.col("x") != F.col("y")).select("key")
-        open_ = written(again.join(several, "key"), "omh-open")
+        open_ = written(_several(members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))), "omh-open")
         turn += 1
+        many = open_.filter(F.col("stragglers") > FEW)
+        last = turn > 1 and not found or not many.limit(1).count()
+        if last:
+            meet = _all_met(open_, kmers, threshold)
+        else:
+            # a class by a hash, then its member by another
+            meet = _led(many, [F.struct(F.xxhash64("label", F.lit(LEADERS * turn + i)), F.xxhash64("node", F.lit(turn))) for i in range(LEADERS)])
+            members = open_.select("key", "node")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_node(text_col).alias("node"))
     own = rows.groupBy("node").agg(F.min("doc_id").alias("least")).join(labels, "node", "left").select("node", "least", F.coalesce("label", "node").alias("label"))
     own = written(own, "omh-own")

@@ -1,4 +1,4 @@
-"""Near-duplicates at the threshold itself."""
+"""Near-duplicates at the threshold itself, and buckets in several classes against all pairs."""
 
 import random
 
@@ -30,3 +30,82 @@ def test_a_text_after_twenty_more_words():
     a, b = order_minhash.labelled([" ".join(text), " ".join(words_of(r, 20) + text)])
     assert (len(a), len(b)) == (80, 100)
     assert order_minhash.alignment_similarity(a, b) == 0.8
+
+
+def classes_of_all_pairs(texts, entries, threshold=0.8):
+    """Least place of each text's class, from the alignment of all pairs that share an entry."""
+    kmers = order_minhash.labelled(texts)
+    keys = [set(x.tolist()) for x in order_minhash.sketches(kmers, entries)]
+    label = list(range(len(texts)))
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if not keys[i].isdisjoint(keys[j]) and order_minhash.alignment_similarity(kmers[i], kmers[j], threshold) >= threshold:
+                a, b = sorted((root(i), root(j)))
+                label[b] = a
+    return [root(i) for i in range(len(texts))]
+
+
+def edited(r, words, n):
+    out = list(words)
+    for at in r.sample(range(len(out)), n):
+        out[at] = f"x{r.randrange(10**9)}"
+    return out
+
+
+def got_and_wanted(spark, groups, entries=order_minhash.ENTRIES):
+    rows, want = [], {}
+    for texts in groups:
+        first = len(rows)
+        rows += [(first + i, text) for i, text in enumerate(texts)]
+        want |= {first + i: first + c for i, c in enumerate(classes_of_all_pairs(texts, entries))}
+    out = order_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), entries=entries).collect()
+    return {r["doc_id"]: r["class_id"] for r in out}, want
+
+
+def test_stragglers_near_each_other_beside_a_large_class(spark):
+    """Close copies, and a few that are far from these but two and two near each other; so few entries that many pairs meet in large buckets only."""
+    r = random.Random(12)
+    groups = []
+    for _ in range(4):
+        base = words_of(r, 120)
+        texts = [edited(r, base, 1) for _ in range(200)]
+        for _ in range(12):
+            far = edited(r, base, r.randint(5, 8))
+            texts += [edited(r, far, 1), edited(r, far, 1)]
+        groups.append([" ".join(t) for t in texts])
+    got, want = got_and_wanted(spark, groups, 2)
+    assert got == want
+
+
+def test_copies_about_the_threshold_without_their_original(spark):
+    """Pairs at 0.78 to 0.85, in groups of 17 to 150."""
+    r = random.Random(13)
+    groups = []
+    for size in (17, 30, 60, 100, 150):
+        base = words_of(r, 250)
+        groups.append([" ".join(edited(r, base, r.choice([2, 3, 3, 4]) + r.choice([0, 0, 4]))) for _ in range(size)])
+    got, want = got_and_wanted(spark, groups)
+    assert got == want and len(set(want.values())) > 5
+
+
+def test_bounds_never_rule_out_a_near_pair(spark):
+    r = random.Random(14)
+    rows, near = [], 0
+    for n in (6, 40, 300, 3000):
+        for _ in range(60):
+            a = words_of(r, n)
+            b = edited(r, a, r.randint(0, max(1, n // 40)))[: n - r.randint(0, n // 8)]
+            x, y = order_minhash.labelled([" ".join(a), " ".join(b)])
+            like = order_minhash.alignment_similarity(x, y)
+            rows.append((len(rows), like, len(x), order_minhash.bitmap(x).tolist(), len(y), order_minhash.bitmap(y).tolist()))
+            near += like >= 0.8
+    table = spark.createDataFrame(rows, "i int, like double, s int, b array<long>, t int, c array<long>")
+    kept = table.filter(order_minhash._may_be_near("s", "b", "t", "c", 0.8))
+    assert kept.filter("like >= 0.8").count() == near > 50
+    assert kept.count() < len(rows)
