@@ -47,7 +47,7 @@ LOOKALIKE = "sha sha1 sha256 md5 hash checksum digest commit revision rev uuid g
 STAND_IN = "example changeme placeholder your dummy sample xxxx redacted todo none null insert foobar test".split()
 TEST_PATH = "test tests spec example examples mock fixture fixtures sample docs lock".split()
 
-_ASSIGNED = re.compile(r"(?i)(?:password|passwd|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|auth)\w{0,20}[\"']?\s{0,3}(?::=|=>|[:=])\s{0,3}(?:[\"'](?P<q>[^\"'\n]{6,256})[\"']|(?P<v>[^\s\"'<>,;]{6,256}))")
+_ASSIGNED = re.compile(r"(?i)(?:password|passwd|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|auth)\w{0,20}[\"']?\s{0,3}(?::=|=>|[:=])\s{0,3}(?:[\"'](?P<q>[^\"'\n]{6,}+)[\"']|(?P<v>[^\s\"'<>,;]{6,}+))")
 _RUN = re.compile(r"(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{16,}={0,2}")
 _FORMAT = re.compile("|".join(f"(?P<{k}>{v})" for k, v in FORMATS.items()))
 _FORMAT_START = re.compile(r"-----BEGIN|AKIA|ASIA|gh[pousr]_|xox[abprs]-|[sr]k_(?:live|test)_|AIza|eyJ")

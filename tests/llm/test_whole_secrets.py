@@ -1,0 +1,17 @@
+"""Long assigned values are candidates to their real end."""
+
+import random
+import string
+
+import pytest
+
+from foliant.llm import secrets
+
+
+@pytest.mark.parametrize("size", [6, 256, 257, 400, 5000])
+@pytest.mark.parametrize("quote", ["", '"', "'"])
+def test_an_assigned_value_is_taken_to_its_end(size, quote):
+    r = random.Random(size)
+    value = "".join(r.choices(string.ascii_letters + string.digits + "+/", k=size))
+    text = f"set secret={quote}{value}{quote} and go on"
+    assert [(text[a:b], rule) for a, b, rule in secrets.candidates(text)] == [(value, "assigned")]
