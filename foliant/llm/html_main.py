@@ -77,6 +77,7 @@ class Page:
 
     def __init__(self, html: str, drop_noise: bool = True):
         self.names, self.parents, self.ends = ["#root"], [-1], [0]
+        self.noise = [False]  # whether an element is noise or inside it
         self.blocks: list[tuple[int, str, int]] = []  # owner, text, characters inside links
         self.stack = [0]
         self._parts: list[str] = []
@@ -95,17 +96,18 @@ class Page:
             self._parts, self._link_parts = [], []
 
     def _text(self, s: str) -> None:
-        if s:
+        if s and not self.noise[self.stack[-1]]:
             s = unescape(s) if "&" in s else s
             self._parts.append(s)
             if self._links:
                 self._link_parts.append(s)
 
-    def _open(self, name: str) -> None:
+    def _open(self, name: str, noise: bool = False) -> None:
         if name not in INLINE:
-            self._flush()
+            if not self.noise[self.stack[-1]]:
+                self._flush()
             if name in ENDS_P:
-                self._end("p", {"table", "td", "th", "button", "object"})
+                self._end("p", {"table", "td", "th", "button", "object", "template", "svg", "math", "select"})
             if name in ENDS_ALIKE:
                 alike, until = ENDS_ALIKE[name]
                 for i in reversed(self.stack):
@@ -115,13 +117,14 @@ class Page:
                         self._pop_to(i)
         self.names.append(name)
         self.parents.append(self.stack[-1])
+        self.noise.append(noise or self.noise[self.stack[-1]])
         self.ends.append(0)
         self.stack.append(len(self.names) - 1)
         self._links += name == "a"
 
     def _close(self) -> None:
         name = self.names[self.stack[-1]]
-        if name not in INLINE:
+        if name not in INLINE and not self.noise[self.stack[-1]]:
             self._flush()
         self._links -= name == "a"
         self.ends[self.stack.pop()] = len(self.names)
@@ -140,42 +143,37 @@ class Page:
 
     def _read(self, html: str, drop_noise: bool) -> None:
         at, size = 0, len(html)
-        skipped, depth = "", 0  # the name of the noise we are in, and how many of that name are open
         while at < size:
             m = _MARKUP.search(html, at)
             if m is None:
-                if not skipped:
-                    self._text(html[at:])
+                self._text(html[at:])
                 break
-            if not skipped and m.start() > at:
+            if m.start() > at:
                 self._text(html[at : m.start()])
             at = m.end()
             if not m["name"]:
                 continue
             name, ends = m["name"].lower(), bool(m["end"])
-            if skipped:
-                if name == skipped and not m["attrs"].endswith("/"):
-                    depth += -1 if ends else 1
-                    skipped = skipped if depth else ""
-                elif name in RAW and not ends:
-                    at = self._after(html, name, at)
-                continue
+            noisy = self.noise[self.stack[-1]]
             if ends:
                 if name == "br":
-                    self._parts.append(" ")
+                    self._parts.append("" if noisy else " ")
                 elif name == "p" and not any(self.names[i] == "p" for i in self.stack):
-                    self._flush()
+                    if not noisy:
+                        self._flush()
                 else:
                     self._end(name)
             elif name in RAW:
                 at = self._after(html, name, at)
+            elif name in VOID and noisy or noisy and m["attrs"].endswith("/"):
+                continue
             elif name in VOID:
                 self._parts.append(" ") if name in ("br", "img") else None if name == "wbr" else self._flush()
             elif drop_noise and _is_noise(name, m["attrs"]):
-                if name not in INLINE:
-                    self._flush()
                 if not m["attrs"].endswith("/"):
-                    skipped, depth = name, 1
+                    self._open(name, noise=True)
+                elif name not in INLINE and not noisy:
+                    self._flush()
             elif not m["attrs"].endswith("/") or name not in ("svg", "path"):
                 self._open(name)
 
