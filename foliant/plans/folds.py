@@ -14,7 +14,7 @@ def a15_batches(spark, d):
 
 
 def t22_list_alignment(spark, d):
-    names = table(spark, d, "conversations").select("conv_id", "turn", F.substring("text", 1, 60).alias("name"))
+    names = table(spark, d, "conversations").select("conv_id", "turn", F.col("text").alias("name"))
     return sequences.list_alignment(names, names.filter("turn <> 1"), "conv_id", "turn", "name")
 
 
