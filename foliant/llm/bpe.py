@@ -76,7 +76,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
 
     def run(batches):
         enc = encoding(ranks_path, pattern)
-        for batch in slices(batches):
+        for batch in slices(batches, text_col):
             ids = [encode_text(enc, x) for x in batch.column(text_col).to_pylist()]
             cols = [batch.column(c) for c in carried] + [id_lists(ids), pa.array([len(x) for x in ids], pa.int64())]
             yield pa.RecordBatch.from_arrays(cols, names=[*carried, "ids", "n_tokens"])
@@ -92,7 +92,7 @@ def decode(df: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids") -
 
     def run(batches):
         enc = encoding(ranks_path, pattern)
-        for batch in slices(batches):
+        for batch in slices(batches, ids_col):
             texts = [enc.decode_bytes(x.values.to_pylist() if x.is_valid else []) for x in batch.column(ids_col)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], names=[*names, "decoded"])
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,12 +33,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: spark.checkpoint.dir.
 
-    Only where that is unset (tests, a single machine) a temporary folder takes its place.
+    Only a local master, whose executor is the driver, may leave it unset; a temporary folder takes its place there.
     """
     global _OWN_DIR
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.conf.get("spark.master", "local")
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if _OWN_DIR is None:
         _OWN_DIR = "file://" + tempfile.mkdtemp(prefix="spark-")
     return _OWN_DIR
@@ -49,10 +55,10 @@ def fresh_path(spark: SparkSession, what: str) -> str:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def written(df: DataFrame, what: str, codec: str = "zstd") -> DataFrame:
+def written(df: DataFrame, what: str, codec: str = "zstd", path: str | None = None) -> DataFrame:
     """df as a Parquet table in the shared folder, read again: lineage ends here, and a lost
     executor costs only what it had not yet written."""
-    spark, path = df.sparkSession, fresh_path(df.sparkSession, what)
+    spark, path = df.sparkSession, path or fresh_path(df.sparkSession, what)
     small_batches(spark)
     before = spark.conf.get(_CLEANUP)
     spark.conf.set(_CLEANUP, "true")
@@ -63,14 +69,28 @@ def written(df: DataFrame, what: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Deletes a table that `written` has made, once nothing reads it any more."""
-    from pyarrow import fs
+class Scratch:
+    """Written tables of one call, which go together, or one by one, when nothing reads them any more."""
 
-    files = df.inputFiles()
-    if files:
-        store, path = fs.FileSystem.from_uri(files[0].rsplit("/", 1)[0])
-        store.delete_dir(path)
+    def __init__(self, spark: SparkSession, what: str):
+        self.spark, self.folder, self.paths = spark, fresh_path(spark, what), []
+
+    def written(self, df: DataFrame, what: str, codec: str = "zstd") -> DataFrame:
+        path = f"{self.folder}/{len(self.paths)}-{what}"
+        self.paths.append(path)
+        return written(df, what, codec, path)
+
+    def _delete(self, path: str) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+    def drop(self, what: str) -> None:
+        """Deletes the tables of that name."""
+        for path in [p for p in self.paths if p.endswith(f"-{what}")]:
+            self._delete(path)
+
+    def clear(self) -> None:
+        self._delete(self.folder)
 
 
 def whole_text(col: str = "text"):
@@ -78,8 +98,27 @@ def whole_text(col: str = "text"):
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
-def slices(batches, rows: int = 256):
-    """Arrow batches cut to a few rows, so that Python objects of only these are alive at once."""
+def _weights(col: pa.Array) -> np.ndarray:
+    if pa.types.is_integer(col.type):
+        sizes = col  # it says how large what the row stands for is
+    elif pa.types.is_list(col.type):
+        sizes = pc.multiply(pc.list_value_length(col), 4)
+    else:
+        sizes = pc.binary_length(col)
+    return pc.fill_null(sizes, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def by_size(batch: pa.RecordBatch, col: str, most: int = 2 << 20):
+    """The batch in slices of about `most` bytes of one column, a row at least, so that Python objects of only these are alive at once."""
+    ends = np.cumsum(_weights(batch.column(col)))
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most)))
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def slices(batches, col: str, most: int = 2 << 20):
+    """All batches by size."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        yield from by_size(batch, col, most)

@@ -235,7 +235,7 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     schema = T.StructType([source.schema[c] for c in kept] + [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(batches):
-        for batch in slices(batches):
+        for batch in slices(batches, html_col):
             texts = [main_text(h) for h in batch.column(html_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*kept, "text", "n_chars"])
 

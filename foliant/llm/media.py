@@ -133,7 +133,7 @@ def store(docs: DataFrame, folder: str | None = None, text_col: str = "text", sh
             cols = list(zip(*places, strict=True)) if places else [[], [], [], []]
             return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())], names=["digest", "shard", "offset", "length"])
 
-        for batch in slices(batches):
+        for batch in slices(batches, "payload"):
             for payload in batch.column(0).to_pylist():
                 digest = hashlib.sha256(payload).hexdigest()
                 if digest not in seen:
@@ -151,7 +151,7 @@ def store(docs: DataFrame, folder: str | None = None, text_col: str = "text", sh
 def _ranges(batches, size):
     """(batch, bytes of each row): of each row's media the first `size` bytes, or all; a shard is opened once a run of rows."""
     opened: tuple = (None, None)
-    for batch in slices(batches):
+    for batch in slices(batches, "length"):
         out = []
         for shard, offset, length in zip(*(batch.column(c).to_pylist() for c in ("shard", "offset", "length")), strict=True):
             if opened[0] != shard:

@@ -3,14 +3,15 @@
 A document's k-mers are its runs of `k` words, each labelled with how often it has occurred
 before, so that all labelled k-mers of a document differ. A sketch entry takes the `ell` labelled
 k-mers that one hash function makes smallest, in the order of the text. Documents that share an
-entry meet in a bucket; every member is aligned with two leaders: the member that meets most
-others in all its buckets, as an original among its copies does, and one by a hash. A bucket that
-is still in several classes has its stragglers, the members outside its largest class. While they
-are many, rounds take up to LEADERS new leaders from them, of different classes, for as long as that finds
-links. In the end all stragglers meet all members of other classes, dealt in blocks, and only pairs
-that two exact bounds can't rule out are aligned: the counts of their k-mers, and bitmaps of
-their k-mers, which differ in no more bits than the k-mers do. So every pair that shares an entry is
-of one class, aligned, or ruled out.
+entry meet in a bucket. First every member is aligned with its bucket's leader, the member that
+meets most others in all its buckets, as an original does among its copies; what is linked is one
+class. A bucket that then is still in several classes has stragglers, the members outside its
+largest class. Stragglers meet all members of other classes inside one task, in blocks of a few
+hundred, so that no task has a whole large bucket and no pairs are ever rows: two exact bounds
+(the counts of their k-mers, and bitmaps that differ in no more bits than the k-mers do) rule out
+most, and the others are aligned at once, but for those that have become one class meanwhile or
+meet in another bucket first. Only links leave the task. So every pair that shares an entry is of
+one class, aligned, or ruled out.
 
 The alignment pairs equal labelled k-mers inside a band around the diagonal whose width is all
 that the threshold allows, and takes the longest chain that rises in both texts. Similarity is
@@ -21,7 +22,7 @@ Words are what white space separates, lower-cased, without marks at their ends;
 marks is no word. Defined results: a null text counts as empty; equal texts are always of one
 class, also without words; texts of fewer than `k` words have one k-mer, all their words; texts
 without words have no near copies; a class has the smallest doc_id of its members as id, null if
-none has one; repeated rows keep their own rows; further columns don't matter; an empty table
+none has one; a very long text is read whole, as any other; repeated rows keep their own rows; further columns don't matter; an empty table
 gives no rows.
 """
 
@@ -37,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole_text, written
+from .common import Scratch, by_size, whole_text, written
 from .graph import components
 
 K = 5
@@ -45,12 +46,8 @@ ELL = 2
 #: At similarity 0.8 two texts share no entry once in about 200,000 pairs.
 ENTRIES = 12
 THRESHOLD = 0.8
-#: Stragglers of a bucket up to which no further leaders are taken.
-FEW = 16
-#: New leaders a round for other buckets.
-LEADERS = 16
 #: Members of a bucket that meet in a task, of either side.
-BLOCK = 1000
+BLOCK = 768
 #: 64-bit words of a text's bitmap.
 BITMAP = 16
 
@@ -180,24 +177,6 @@ def bitmap(kmers: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
-def _may_be_near(size: str, bits: str, other_size: str, other_bits: str, threshold: float):
-    """Whether the bounds leave it open that two texts reach the threshold."""
-    both = F.col(size) + F.col(other_size)
-    least = both * F.lit(threshold / (1 + threshold)) - 1e-6  # matches that a pair at the threshold has
-    apart = sum((F.bit_count(F.col(bits)[i].bitwiseXOR(F.col(other_bits)[i])) for i in range(BITMAP)), F.lit(0))
-    return (F.least(size, other_size) >= least) & ((both - apart) / 2 >= least)
-
-
-def _by_size(batch: pa.RecordBatch, col: str, most: int = 2 << 20):
-    """The batch in slices of about `most` bytes of one column."""
-    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(col)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    at = 0
-    while at < batch.num_rows:
-        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most)))
-        yield batch.slice(at, end - at)
-        at = end
-
-
 def text_node(text_col: str = "text"):
     """Key of a text: 16 bytes, equal for equal texts."""
     return F.unhex(F.md5(whole_text(text_col).cast("binary")))
@@ -208,7 +187,7 @@ def sketch_table(docs: DataFrame, text_col: str = "text", k: int = K, entries: i
 
     def run(batches):
         for batch in batches:
-            for some in _by_size(batch, "text"):
+            for some in by_size(batch, "text"):
                 found = sketches(labelled(some.column("text").to_pylist(), k), entries, ell)
                 yield pa.RecordBatch.from_arrays([some.column("node"), pa.array(found, pa.list_(pa.int64()))], names=["node", "keys"])
 
@@ -217,17 +196,17 @@ def sketch_table(docs: DataFrame, text_col: str = "text", k: int = K, entries: i
 
 
 def kmer_table(docs: DataFrame, nodes: DataFrame, text_col: str = "text", k: int = K) -> DataFrame:
-    """node, kmers (uint32 hashes as bytes), size (their number), bits (their bitmap) of the texts named in nodes, a row each."""
+    """A row for each node of nodes(node, keys): node, keys, kmers (uint32 hashes as bytes), size (their number), bits (their bitmap)."""
 
     def run(batches):
         for batch in batches:
-            for some in _by_size(batch, "text"):
+            for some in by_size(batch, "text"):
                 found = [x >> np.uint64(32) for x in labelled(some.column("text").to_pylist(), k)]
-                cols = [pa.array([x.astype("<u4").tobytes() for x in found], pa.binary()), pa.array(map(len, found), pa.int32()), pa.array(map(bitmap, found), pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([some.column("node"), *cols], names=["node", "kmers", "size", "bits"])
+                cols = [pa.array([x.astype("<u4").tobytes() for x in found], pa.binary()), pa.array(map(len, found), pa.int32()), pa.array([bitmap(x).tobytes() for x in found], pa.binary())]
+                yield pa.RecordBatch.from_arrays([some.column("node"), some.column("keys"), *cols], names=["node", "keys", "kmers", "size", "bits"])
 
     one_each = docs.select(text_node(text_col).alias("node"), whole_text(text_col).alias("text")).groupBy("node").agg(F.first("text").alias("text"))
-    return one_each.join(nodes, "node", "left_semi").mapInArrow(run, "node binary, kmers binary, size int, bits array<long>")
+    return one_each.join(nodes.select("node", "keys"), "node").select("node", "keys", "text").mapInArrow(run, "node binary, keys array<long>, kmers binary, size int, bits binary")
 
 
 def aligned(pairs: DataFrame, kmers: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -235,7 +214,7 @@ def aligned(pairs: DataFrame, kmers: DataFrame, threshold: float = THRESHOLD) ->
 
     def run(batches):
         for batch in batches:
-            for some in _by_size(batch, "x"):
+            for some in by_size(batch, "x"):
                 x, y = (some.column(c).to_pylist() for c in ("x", "y"))
                 like = [alignment_similarity(np.frombuffer(p, "<u4"), np.frombuffer(q, "<u4"), threshold) >= threshold for p, q in zip(x, y, strict=True)]
                 yield pa.RecordBatch.from_arrays([some.column("a"), some.column("b"), pa.array(like, pa.bool_())], names=["a", "b", "linked"])
@@ -245,73 +224,127 @@ def aligned(pairs: DataFrame, kmers: DataFrame, threshold: float = THRESHOLD) ->
     return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary, linked boolean")
 
 
-def _led(open_: DataFrame, orders: list) -> DataFrame:
-    """node, other: members of buckets with their leaders, the least by each order, of other classes."""
-    chosen = open_.filter("straggler").groupBy("key").agg(*(F.min_by(F.struct("node", "label"), o).alias(f"m{i}") for i, o in enumerate(orders)))
-    leaders = chosen.select("key", F.explode(F.array_distinct(F.array(*(f"m{i}" for i in range(len(orders)))))).alias("m"))
-    return open_.join(leaders, "key").filter(F.col("label") != F.col("m.label")).select("node", F.col("m.node").alias("other"))
+def _several(members: DataFrame) -> DataFrame:
+    """The members(key, node, label) of buckets with several classes, with n, straggler (outside the largest class) and stragglers (their number)."""
+    of_class = members.groupBy("key", "label").agg(F.count("*").alias("m"))
+    largest = of_class.groupBy("key").agg(F.sum("m").alias("n"), F.max(F.struct("m", "label")).alias("most")).filter(F.col("n") > F.col("most.m"))
+    largest = largest.select("key", "n", (F.col("n") - F.col("most.m")).alias("stragglers"), F.col("most.label").alias("main"))
+    return members.join(largest, "key").select("key", "node", "label", "n", "stragglers", (F.col("label") != F.col("main")).alias("straggler"))
 
 
-def _all_met(open_: DataFrame, kmers: DataFrame, threshold: float) -> DataFrame:
-    """node, other: stragglers with all members of other classes that may be near them. Blocks of a bucket meet, so that no task has a whole large one."""
-    signed = open_.join(kmers.select("node", "size", "bits"), "node")
-    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
-    spread = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
-    own = lambda n: F.pmod(F.xxhash64("node"), blocks(n)).cast("int")
-    left = signed.filter("straggler").select("key", own("stragglers").alias("p"), spread("n").alias("q"), "node", "label", "size", "bits")
-    right = signed.select("key", spread("stragglers").alias("p"), own("n").alias("q"), F.col("node").alias("other"), F.col("label").alias("theirs"), F.col("straggler").alias("too"), F.col("size").alias("other_size"), F.col("bits").alias("other_bits"))
-    once = ~F.col("too") | (F.col("node") < F.col("other"))
-    return left.join(right, ["key", "p", "q"]).filter((F.col("label") != F.col("theirs")) & once & _may_be_near("size", "bits", "other_size", "other_bits", threshold)).select("node", "other")
+#: What a row of a block does there: it is one of the stragglers, one of the members that these meet, or both.
+STRAGGLER, MEMBER = 1, 2
 
 
-def _several(open_: DataFrame) -> DataFrame:
-    """The members of buckets with several classes, with n, straggler (outside the largest class) and stragglers (their number)."""
-    of_class = open_.groupBy("key", "label").agg(F.count("*").alias("m"))
-    largest = of_class.groupBy("key").agg(F.sum("m").alias("n"), F.max(F.struct("m", "label")).alias("most")).filter(F.col("n") > F.col("most.m"))
-    largest = largest.select("key", "n", (F.col("n") - F.col("most.m")).alias("stragglers"), F.col("most.label").alias("main"))
-    return open_.join(largest, "key").select("key", "node", "label", "n", "stragglers", (F.col("label") != F.col("main")).alias("straggler"))
+def _dealt(open_: DataFrame, block: int) -> DataFrame:
+    """open_ with p, q (a block of a bucket's stragglers and one of its members) and role, a row for each block that a member belongs to."""
+    blocks = lambda n: F.ceil(F.col(n) / F.lit(block)).cast("int")
+    own = lambda n: F.pmod(F.xxhash64("node"), blocks(n)).cast("int")
+    every = lambda n: F.sequence(F.lit(0), blocks(n) - 1)
+    p, q = own("stragglers"), own("n")
+    as_straggler = F.transform(every("n"), lambda x: F.struct(p.alias("p"), x.alias("q"), F.when(x == q, STRAGGLER | MEMBER).otherwise(STRAGGLER).alias("role")))
+    as_member = lambda xs: F.transform(xs, lambda x: F.struct(x.alias("p"), q.alias("q"), F.lit(MEMBER).alias("role")))
+    places = F.when(F.col("straggler"), F.concat(as_straggler, as_member(F.filter(every("stragglers"), lambda x: x != p)))).otherwise(as_member(every("stragglers")))
+    return open_.select("key", "node", "label", "straggler", F.explode(places).alias("at")).select("key", "at.p", "at.q", "at.role", "node", "label", "straggler")
+
+
+def links_within(rows: list[tuple], threshold: float = THRESHOLD) -> list[tuple[bytes, bytes]]:
+    """Links that a block's stragglers have with its members, but for those between nodes that other links make one class.
+
+    rows: (key, role, node, label, straggler, keys, kmers, size, bits), all of one key.
+    """
+    rows = sorted(rows, key=lambda r: (r[7], r[2]))
+    roles, sizes = np.array([r[1] for r in rows]), np.array([r[7] for r in rows], np.int64)
+    bits = np.frombuffer(b"".join(r[8] for r in rows), np.uint64).reshape(len(rows), BITMAP)
+    number: dict[bytes, int] = {}
+    label = np.array([number.setdefault(r[3], len(number)) for r in rows])
+    above = list(range(len(number)))
+
+    def root(i: int) -> int:
+        while above[i] != i:
+            above[i] = i = above[above[i]]
+        return i
+
+    links = []
+    members = np.flatnonzero(roles & MEMBER)
+    ours = np.flatnonzero(roles & STRAGGLER)
+    share = threshold / (1 + threshold)
+    for some in np.array_split(ours, max(1, -(-len(ours) // 32))):
+        if not len(some):
+            continue
+        near = members[np.searchsorted(sizes[members], sizes[some[0]] * threshold - 1e-6) : np.searchsorted(sizes[members], sizes[some[-1]] / threshold + 1e-6, "right")]
+        apart = np.bitwise_count(bits[some, None] ^ bits[None, near]).sum(axis=2, dtype=np.int64)
+        both = sizes[some, None] + sizes[None, near]
+        least = both * share - 1e-6  # matches that a pair at the threshold has
+        may = (np.minimum(sizes[some, None], sizes[None, near]) >= least) & ((both - apart) / 2 >= least) & (label[some, None] != label[None, near])
+        i, j = np.nonzero(may)
+        nearest_first = np.argsort(apart[i, j] / both[i, j], kind="stable")
+        for a, b in zip(some[i[nearest_first]].tolist(), near[j[nearest_first]].tolist(), strict=True):
+            x, y = rows[a], rows[b]
+            if y[4] and not x[2] < y[2] or root(label[a]) == root(label[b]) or min(set(x[5]).intersection(y[5])) != x[0]:
+                continue  # two stragglers meet twice, classes may be one by now, and nodes may share several buckets
+            if alignment_similarity(np.frombuffer(x[6], "<u4"), np.frombuffer(y[6], "<u4"), threshold) >= threshold:
+                above[root(label[a])] = root(label[b])
+                links.append((x[2], y[2]))
+    return links
+
+
+def straggler_links(open_: DataFrame, kmers: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+    """a, b: links of stragglers with members of other classes; open_ as _several returns it."""
+    kinds = "a binary, b binary"
+    cols = ["key", "role", "node", "label", "straggler", "keys", "kmers", "size", "bits"]
 
+    def run(batches):
+        group: list[tuple] = []
+        at = None
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, entries: int = ENTRIES, ell: int = ELL, threshold: float = THRESHOLD) -> DataFrame:
-    """A row a document: doc_id, class_id (the smallest doc_id of its class)."""
-    entry = sketch_table(docs, text_col, k, entries, ell).select("node", F.explode("keys").alias("key"))
-    entry = written(entry, "omh-entries")
+        def done():
+            links = links_within(group, threshold) if len(group) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.binary()) for i in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            places = zip(*(batch.column(c).to_pylist() for c in ("key", "p", "q")), strict=True)
+            for place, row in zip(places, zip(*(batch.column(c).to_pylist() for c in cols), strict=True), strict=True):
+                if place != at:
+                    yield done()
+                    group, at = [], place
+                group.append(row)
+        yield done()
+
+    rows = _dealt(open_, block).join(kmers, "node").select("p", "q", *cols)
+    return rows.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(run, kinds)
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, entries: int = ENTRIES, ell: int = ELL, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+    """A row a different text, as a written table: node (text_node), label (equal for texts of one class), class_id (the smallest doc_id of the class)."""
+    scratch = Scratch(docs.sparkSession, "order-minhash")
+    entry = scratch.written(sketch_table(docs, text_col, k, entries, ell).select("node", F.explode("keys").alias("key")), "entries")
     shared = entry.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > 1)
-    sized = written(entry.join(shared, "key"), "omh-sized")
-    kmers = written(kmer_table(docs, sized.select("node").distinct(), text_col, k), "omh-kmers")
-    central = sized.groupBy("node").agg(F.sum("n").alias("company"))
-    first = sized.join(central, "node").withColumn("label", F.col("node")).withColumn("straggler", F.lit(True))
-    by_hash = [F.xxhash64("node", F.lit(i)) for i in range(2)]
-    meet = _led(first, [F.struct(-F.col("company"), by_hash[0]), by_hash[1]])
-    members = sized.select("key", "node")
-    labels = sized.select("node", F.col("node").alias("label")).limit(0)
-    links = tested = None
-    turn, last = 0, False
-    while True:
-        pairs = meet.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        done = written(aligned(pairs, kmers, threshold), "omh-aligned")
-        fresh = done.filter("linked").select("a", "b")
-        found = fresh.limit(1).count()
-        if found:
-            links = fresh if links is None else links.union(fresh)
-            labels = components(links)
-        if last:
-            break
-        tested = done.select("a", "b") if tested is None else tested.union(done.select("a", "b"))
-        open_ = written(_several(members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))), "omh-open")
-        turn += 1
-        many = open_.filter(F.col("stragglers") > FEW)
-        last = turn > 1 and not found or not many.limit(1).count()
-        if last:
-            meet = _all_met(open_, kmers, threshold)
-        else:
-            # a class by a hash, then its member by another
-            meet = _led(many, [F.struct(F.xxhash64("label", F.lit(LEADERS * turn + i)), F.xxhash64("node", F.lit(turn))) for i in range(LEADERS)])
-            members = open_.select("key", "node")
+    sized = scratch.written(entry.join(shared, "key"), "sized")
+    nodes = scratch.written(sized.groupBy("node").agg(F.collect_set("key").alias("keys"), F.sum("n").alias("company")), "nodes")  # at most `entries` keys
+    kmers = scratch.written(kmer_table(docs, nodes, text_col, k), "kmers")
+    ranked = sized.join(nodes.select("node", "company"), "node")
+    leaders = ranked.groupBy("key").agg(F.max_by("node", F.struct("company", F.xxhash64("node"))).alias("leader"))
+    met = sized.join(leaders, "key").filter(F.col("node") != F.col("leader"))
+    pairs = met.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
+    led = scratch.written(aligned(pairs, kmers, threshold), "led").filter("linked").select("a", "b")
+    labels = components(led)
+    # both members of a bucket of two have met
+    members = sized.filter(F.col("n") > 2).join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    open_ = scratch.written(_several(members), "open")
+    more = scratch.written(straggler_links(open_, kmers, threshold, block), "links")
+    labels = components(led.union(more))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_node(text_col).alias("node"))
     own = rows.groupBy("node").agg(F.min("doc_id").alias("least")).join(labels, "node", "left").select("node", "least", F.coalesce("label", "node").alias("label"))
-    own = written(own, "omh-own")
-    classes = own.groupBy("label").agg(F.min("least").alias("class_id"))
-    return rows.join(own.join(classes, "label").select("node", "class_id"), "node").select("doc_id", "class_id")
+    own = scratch.written(own, "own")
+    least = own.groupBy("label").agg(F.min("least").alias("class_id"))
+    out = written(own.join(least, "label").select("node", "label", "class_id"), "order-minhash-classes")
+    scratch.clear()
+    return out
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """A row a document: doc_id, class_id (the smallest doc_id of its class). options as for `classes`."""
+    found = classes(docs, id_col, text_col, **options)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_node(text_col).alias("node"))
+    return rows.join(found.select("node", "class_id"), "node").select("doc_id", "class_id")

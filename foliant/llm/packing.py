@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import whole_text, written
+from .common import by_size, whole_text, written
 
 SEQUENCE = 1024
 #: Sequences of a window. A queue is cut once a window at most, so few documents are cut for the mixture's sake.
@@ -151,16 +151,6 @@ class StretchEncoder:
         return out
 
 
-def some_rows(batch: pa.RecordBatch, col: str, most_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
-    """The batch in slices of about most_bytes of text."""
-    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(col)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    at = 0
-    while at < batch.num_rows:
-        end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most_bytes)))
-        yield batch.slice(at, end - at)
-        at = end
-
-
 def tokenised(docs: DataFrame, path: str, text_col: str = "text", source_col: str = "source", max_queues: int = MAX_QUEUES) -> DataFrame:
     """A written table: part, doc_id, queue, tokens, at (tokens of that queue before it in its part), ids (little-endian bytes)."""
     source = F.coalesce(F.col(source_col).cast("string"), F.lit(""))
@@ -172,7 +162,7 @@ def tokenised(docs: DataFrame, path: str, text_col: str = "text", source_col: st
         encoder, before = StretchEncoder(path), {}
         wide = "<u2" if encoder.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         for batch in batches:
-            for some in some_rows(batch, "text"):
+            for some in by_size(batch, "text"):
                 ids, at = encoder.encode(some.column("text").to_pylist()), []
                 for q, x in zip(some.column("queue").to_pylist(), ids, strict=True):
                     at.append(before.get(q, 0))

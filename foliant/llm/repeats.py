@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, whole_text, written
+from .common import Scratch, by_size, whole_text, written
 
 LENGTH = 100
 #: Bytes of the short strings whose hashes are anchors. Longer: fewer chance repeats, but more blocks.
@@ -256,21 +256,12 @@ def _rows(docs: DataFrame, id_col: str, text_col: str):
     return F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(text).alias("print"), text.alias("text")
 
 
-def _some(batch: pa.RecordBatch, col: str, most: int = STRETCH):
-    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(col)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    at = 0
-    while at < batch.num_rows:
-        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most)))
-        yield batch.slice(at, end - at)
-        at = end
-
-
 def block_table(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """anchor, block, doc, print, start, starts, anchor_at, inner, again of all blocks."""
 
     def run(batches):
         for batch in batches:
-            for some in _some(batch, "text"):
+            for some in by_size(batch, "text", STRETCH):
                 text, start, starts, of, block, anchor_at, inner, again = blocks([x.encode() for x in some.column("text").to_pylist()], length, anchor)
                 doc, print_ = (some.column(c).to_numpy()[text] for c in ("doc", "print"))
                 cols = (of.view(np.int64), block.view(np.int64), doc, print_, start.astype(np.int32), starts.astype(np.int16), anchor_at.astype(np.int16), inner, again)
@@ -361,13 +352,14 @@ def _key(anchor: int, kind: int, shared: bytes) -> int:
 
 def repeated_runs(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, group_blocks: int = GROUP_BLOCKS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc, print, start, starts: runs of starts whose strings are also earlier, a written table. print is the text's hash."""
-    every = written(block_table(docs, length, anchor, id_col, text_col), "blocks")
+    scratch = Scratch(docs.sparkSession, "repeats")
+    every = scratch.written(block_table(docs, length, anchor, id_col, text_col), "blocks")
     several = every.groupBy("anchor").agg(F.count("*").alias("n"), F.max("inner").alias("inner")).filter((F.col("n") > 1) | F.col("inner")).select("anchor")
-    shared = written(every.join(several, "anchor"), "shared-blocks")
-    discard(every)
+    shared = scratch.written(every.join(several, "anchor"), "shared")
+    scratch.drop("blocks")
     own = shared.filter("again").select("doc", "print", "start", "starts")
     once = shared.filter("not again").drop("again", "inner")
-    different = written(shared.filter("not again").groupBy("anchor", "block").agg(F.min("doc").alias("least"), F.max("inner").alias("inner")), "different-blocks")
+    different = scratch.written(shared.filter("not again").groupBy("anchor", "block").agg(F.min("doc").alias("least"), F.max("inner").alias("inner")), "different-blocks")
     copies = once.join(different.drop("inner"), ["anchor", "block"]).filter(F.col("doc") > F.col("least")).select("doc", "print", "start", "starts")
     # anchors with several different blocks, or one that may repeat itself: each block's first occurrence
     unlike = different.groupBy("anchor").agg(F.count("*").alias("blocks"), F.max("inner").alias("inner")).filter((F.col("blocks") > 1) | F.col("inner"))
@@ -384,7 +376,7 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, g
         # of the strings dealt one by one, the earliest that the task has seen; the others are known to be repeated
         earliest: dict[int, tuple] = {}
         for batch in batches:
-            for some in _some(batch, "text"):
+            for some in by_size(batch, "text", STRETCH):
                 out = []
                 for doc, print_, text, places in zip(*(some.column(c).to_pylist() for c in ("doc", "print", "text", "places")), strict=True):
                     raw = text.encode()
@@ -408,12 +400,11 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, g
         yield from table_of(list(earliest.values()))
 
     pieces = texts.select("doc", "print", "text", "places").mapInArrow(cut, "key long, doc long, print long, start int, bytes binary, inner boolean, later boolean")
-    pieces = written(pieces, "pieces")
+    pieces = scratch.written(pieces, "pieces")
     known = pieces.filter("later").select("doc", "print", "start", F.lit(1).cast("short").alias("starts"))
     seams = _merge(pieces.filter("not later").drop("later").repartition("key").sortWithinPartitions("key"), length)
     runs = written(own.union(copies).union(known).union(seams), "repeated-runs")
-    for table in (shared, different, pieces):
-        discard(table)
+    scratch.clear()
     return runs
 
 
@@ -447,7 +438,7 @@ def remove(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, group_bl
         import hashlib
 
         for batch in batches:
-            for some in _some(batch, "text"):
+            for some in by_size(batch, "text", STRETCH):
                 out = []
                 for text, found in zip(some.column("text").to_pylist(), some.column("runs").to_pylist(), strict=True):
                     raw = text.encode()

@@ -29,7 +29,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import whole_text, written
+from .common import by_size, whole_text, written
 
 # Published formats of credentials, most specific first.
 FORMATS = {
@@ -52,7 +52,6 @@ _RUN = re.compile(r"(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{16,}={0,2}")
 _FORMAT = re.compile("|".join(f"(?P<{k}>{v})" for k, v in FORMATS.items()))
 _FORMAT_START = re.compile(r"-----BEGIN|AKIA|ASIA|gh[pousr]_|xox[abprs]-|[sr]k_(?:live|test)_|AIza|eyJ")
 _WORD = re.compile(r"[\w-]+")
-STRETCH = 2 << 20
 
 FEATURES = [
     "length", "entropy", "digits", "upper", "lower", "marks", "transitions", "class_changes", "coverage", "distinct", "longest_repeat",
@@ -266,7 +265,7 @@ def scan(docs: DataFrame, model: RandomForestClassificationModel, vocab_path: st
     def run(batches):
         lang = language(vocab_path)
         for batch in batches:
-            for some in _stretches(batch, "text"):
+            for some in by_size(batch, "text"):
                 out = []
                 for doc, print_, text, path in zip(*(some.column(c).to_pylist() for c in ("doc_id", "print", "text", "path")), strict=True):
                     for a, b, rule in candidates(text):
@@ -284,15 +283,6 @@ def scan(docs: DataFrame, model: RandomForestClassificationModel, vocab_path: st
     return judged.select("doc_id", "print", "start", "end", "rule", "value_sha256", score.alias("score"), (score >= threshold).alias("is_secret"))
 
 
-def _stretches(batch: pa.RecordBatch, col: str, most: int = STRETCH):
-    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(col)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    at = 0
-    while at < batch.num_rows:
-        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most)))
-        yield batch.slice(at, end - at)
-        at = end
-
-
 def redact(docs: DataFrame, findings: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "<SECRET>") -> DataFrame:
     """docs with the findings' secrets in the text replaced by the mark; a text without any stays as it is, also null."""
     secrets = written(findings.filter("is_secret").select(F.col("doc_id").alias("__secret_id"), F.col("print").alias("__secret_print"), "start", "end"), "secrets")

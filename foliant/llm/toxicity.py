@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import whole_text, written
+from .common import by_size, whole_text, written
 
 FIT_DOCS = 10_000
 WORDS = 128
@@ -33,7 +33,6 @@ FOLDS = 5
 LEAST_DOCS = 5
 RIDGE = 0.1
 THRESHOLD = 0.5
-STRETCH = 2 << 20
 
 
 def _bare(word: str) -> str:
@@ -144,7 +143,7 @@ def fit(labelled: DataFrame, categories: list[str], id_col: str = "doc_id", text
 
     def bag(batches):
         for batch in batches:
-            for text in _stretches(batch, "text"):
+            for text in by_size(batch, "text"):
                 bags = [sorted({b for w in x.split() if (b := _bare(w))}) for x in text.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(text.column(c) for c in ("fold", "text", *categories)), pa.array(bags, pa.list_(pa.string()))], names=["fold", "text", *categories, "words"])
 
@@ -156,7 +155,7 @@ def fit(labelled: DataFrame, categories: list[str], id_col: str = "doc_id", text
 
     def counted(batches):
         for batch in batches:
-            for some in _stretches(batch, "text"):
+            for some in by_size(batch, "text"):
                 got = word_counts(some.column("text").to_pylist(), number)
                 yield pa.RecordBatch.from_arrays([*(some.column(c) for c in ("fold", *categories)), pa.array([x.tobytes() for x in got.astype("<u4")], pa.binary())], names=["fold", *categories, "counts"])
 
@@ -168,15 +167,6 @@ def fit(labelled: DataFrame, categories: list[str], id_col: str = "doc_id", text
     return fit_chain(counts, np.array([[got[i][c] or 0 for c in categories] for i in order]), np.array([got[i]["fold"] for i in order]), categories, chosen)
 
 
-def _stretches(batch: pa.RecordBatch, col: str, most: int = STRETCH):
-    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(col)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    at = 0
-    while at < batch.num_rows:
-        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most)))
-        yield batch.slice(at, end - at)
-        at = end
-
-
 def predict(docs: DataFrame, chain: Chain, text_col: str = "text", threshold: float = THRESHOLD, keep_text: bool = True) -> DataFrame:
     """docs plus p_<category> double and is_<category> boolean for each category."""
     added = [f"p_{c}" for c in chain.categories] + [f"is_{c}" for c in chain.categories]
@@ -189,7 +179,7 @@ def predict(docs: DataFrame, chain: Chain, text_col: str = "text", threshold: fl
         for batch in batches:
             filled = batch.set_column(batch.schema.get_field_index(text_col), text_col, pc.fill_null(batch.column(text_col), ""))
             at = 0
-            for some in _stretches(filled, text_col):
+            for some in by_size(filled, text_col):
                 p = chain.predict(word_counts(some.column(text_col).to_pylist(), number))
                 own = batch.slice(at, some.num_rows)
                 at += some.num_rows
