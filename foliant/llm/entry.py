@@ -35,8 +35,8 @@ def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def held_out(doc_id: str = "doc_id"):
-    """Documents that language identification never learns from."""
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2
+    """Documents that language identification never learns from; not those without an id."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
