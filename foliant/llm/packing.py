@@ -1,27 +1,26 @@
 """Mixture-controlled packing of documents into training sequences.
 
-Every source is a queue of tokens. Deficit round-robin serves the queues window by window: a
-window credits each queue with its target share of the window's tokens, the queue spends whole
-tokens, and what is left of the credit, its deficit, is carried to the next window. With tokens
-that may be cut anywhere, the sum spent after w windows is the whole part of w times the share,
-so any window's deficits follow from its number alone: partitions continue each other's without
-a message between them. A queue that runs out leaves its share to the others. The windows, end to
-end, are cut into sequences of `length` tokens; only the last one is not full.
+Every source is a queue of tokens with a target share. Deficit round-robin serves them: with every
+token that passes, each queue's credit grows by its share, and the queue whose deficit (credit less
+what it was served) comes first to half a token is served, ties in the order of the queues' names.
+So a queue's token i falls due at (i + 1/2) / share, and a window takes the next tokens by their due
+times until it is exactly full; deficits, never above a token, are carried from window to window. As
+due times follow from a token's number alone, partitions continue each other's deficits without a
+message between them. A queue that has run out leaves its share to the others; queues without a
+target come when all others have ended. Within a window each queue's tokens lie together. The
+windows, end to end, are cut into sequences of `length` tokens; only the last one is not full.
 
 Defined results: a null text counts as empty, a document without text is the end id alone; null
-sources are a queue of their own; repeated rows are packed each on their own; further columns
-don't matter; an empty table gives no pieces. A document lies in its queue at its place in the
-table as Spark reads it.
+sources are a queue of their own; repeated rows are packed each on their own; a very long text is
+encoded whole and may take many windows; further columns don't matter, whatever their names; an
+empty table gives no pieces. A document lies in its queue at its place in the table as Spark reads it.
 """
 
 from __future__ import annotations
 
-import bisect
 import itertools
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
-from fractions import Fraction
 from functools import lru_cache
 
 import numpy as np
@@ -30,17 +29,18 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_size, whole_text, written
+from .common import by_size, slices, whole_text, written
 
 SEQUENCE = 1024
 #: Sequences of a window. A queue is cut once a window at most, so few documents are cut for the mixture's sake.
 WINDOW_SEQUENCES = 64
-#: Sources with queues of their own, by rows; all others share one. The driver holds a number for each queue.
-MAX_QUEUES = 256
-OTHERS = "\0others"
+#: Targets by default: a source's tokens to this power, so that small sources come more often than their size says.
+TEMPER = 0.7
 #: Stretches of text whose ids a Python worker keeps; over this it starts anew.
 KEPT_STRETCHES = 400_000
 END_ID = 0
+#: Queue of rows without a source.
+NO_SOURCE = "\0none"
 
 
 @lru_cache(maxsize=2)
@@ -50,16 +50,7 @@ def tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True  # the special tokens' strings are ordinary text
-    return t
-
-
-# The pattern by which byte-level tokenizers split text, and the letters that stand for bytes.
-SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
-#: Letters up to here are the same in every version of Unicode that a splitter may follow.
-SETTLED = "\u024f"
+    return Tokenizer.from_file(path)
 
 
 class StretchEncoder:
@@ -68,16 +59,14 @@ class StretchEncoder:
     A byte-level splitter never has a match across a space that follows a non-space, so a text is the
     sum of its stretches from one such space to the next, and a stretch of the splitter's matches,
     each of which goes to the tokenizer's model by itself. Texts in which a space follows a space or
-    an end of line are encoded whole.
+    an end of line, or that hold the name of an added token, are encoded whole.
     """
 
     def __init__(self, path: str):
-        import regex
-
         self.tokenizer = tokenizer(path)
-        self.model, self.split = self.tokenizer.model, regex.compile(SPLIT).findall
-        others = [b for b in range(256) if b not in PRINTED]
-        self.letters = {b: b for b in PRINTED} | {b: 256 + i for i, b in enumerate(others)}
+        self.model, self.split = self.tokenizer.model, self.tokenizer.pre_tokenizer.pre_tokenize_str
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.space = self.split(" ")[0][0]  # the letter that stands for a space
         self._forget()
 
     def _forget(self) -> None:
@@ -88,20 +77,18 @@ class StretchEncoder:
         self.flat = np.zeros(0, np.uint32)
 
     def _ids(self, stretch: str) -> list[int]:
-        if stretch and max(stretch) > SETTLED:
-            return self.tokenizer.encode(stretch, add_special_tokens=False).ids
         word = stretch[1:] if stretch[:1] == " " else ""
-        if word.isalpha():  # most are a space and a word, or these and a mark
-            matches = [stretch]
-        elif word[:-1].isalpha() and word[-1] in ".,;:!?":
-            matches = [stretch[:-1], word[-1]]
+        if word.isalpha() and word.isascii():  # most are a space and a word, or these and a mark
+            matches = [self.space + word]
+        elif word[:-1].isalpha() and word.isascii() and word[-1] in ".,;:!?":
+            matches = [self.space + word[:-1], word[-1]]
         else:
-            matches = self.split(stretch)
+            matches = [letters for letters, _ in self.split(stretch)]
         out: list[int] = []
         for match in matches:
             ids = self.matches.get(match)
             if ids is None:
-                ids = self.matches[match] = [t.id for t in self.model.tokenize(match.encode().decode("latin1").translate(self.letters))]
+                ids = self.matches[match] = [t.id for t in self.model.tokenize(match)]
             out += ids
         return out
 
@@ -141,6 +128,8 @@ class StretchEncoder:
         codes = self._codes(words, False)[code]
         codes[offsets[:-1]] = self._codes([words[c] for c in code[offsets[:-1]].tolist()], True)
         whole = np.add.reduceat(self.odd[codes].astype(np.int64), offsets[:-1]) > 0
+        for name in self.added:
+            whole |= pc.match_substring(pa.array(texts, pa.large_string()), name).to_numpy(zero_copy_only=False)
         lens = self.lens[codes]
         ends = np.cumsum(lens)
         flat = self.flat[np.repeat(self.starts[codes] - (ends - lens), lens) + np.arange(ends[-1] if len(ends) else 0)]
@@ -151,19 +140,23 @@ class StretchEncoder:
         return out
 
 
-def tokenised(docs: DataFrame, path: str, text_col: str = "text", source_col: str = "source", max_queues: int = MAX_QUEUES) -> DataFrame:
+@lru_cache(maxsize=1)
+def encoder(path: str) -> StretchEncoder:
+    """A worker's own, kept from task to task."""
+    return StretchEncoder(path)
+
+
+def tokenised(docs: DataFrame, path: str, text_col: str = "text", source_col: str = "source") -> DataFrame:
     """A written table: part, doc_id, queue, tokens, at (tokens of that queue before it in its part), ids (little-endian bytes)."""
-    source = F.coalesce(F.col(source_col).cast("string"), F.lit(""))
-    largest = docs.groupBy(source.alias("s")).count().orderBy(F.desc("count"), "s").limit(max_queues).collect()  # at most max_queues rows
-    queue = F.when(source.isin([r["s"] for r in largest]), source).otherwise(F.lit(OTHERS))
+    queue = F.coalesce(F.col(source_col).cast("string"), F.lit(NO_SOURCE))
     rows = docs.select(F.spark_partition_id().alias("part"), F.col("doc_id").cast("long").alias("doc_id"), queue.alias("queue"), whole_text(text_col).alias("text"))
 
     def run(batches):
-        encoder, before = StretchEncoder(path), {}
-        wide = "<u2" if encoder.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        mine, before = encoder(path), {}
+        wide = "<u2" if mine.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         for batch in batches:
             for some in by_size(batch, "text"):
-                ids, at = encoder.encode(some.column("text").to_pylist()), []
+                ids, at = mine.encode(some.column("text").to_pylist()), []
                 for q, x in zip(some.column("queue").to_pylist(), ids, strict=True):
                     at.append(before.get(q, 0))
                     before[q] = at[-1] + len(x)
@@ -175,108 +168,128 @@ def tokenised(docs: DataFrame, path: str, text_col: str = "text", source_col: st
     return written(rows.mapInArrow(run, "part int, doc_id long, queue string, tokens long, at long, ids binary"), "token-ids")
 
 
-@dataclass
-class Phase:
-    """Windows first to last (excluded) in which the same queues are served."""
-
-    first: int
-    last: int
-    #: By queue: tokens spent before the phase, credit carried into it, share of a window.
-    served: dict[str, tuple[int, Fraction, Fraction]]
-
-
-class Schedule:
-    """What deficit round-robin takes from each queue, by window; plain numbers for each queue and phase."""
-
-    def __init__(self, totals: dict[str, int], window: int, targets: dict[str, float] | None = None):
-        self.totals, self.order = totals, sorted(q for q, n in totals.items() if n)
-        all_tokens = sum(totals.values())
-        weight = {q: Fraction(totals[q], all_tokens) for q in self.order}
-        if targets is not None:
-            weight = {q: Fraction(targets.get(q, 0)).limit_denominator(10**6) for q in self.order}
-        self.phases: list[Phase] = []
-        spent, credit, at = dict.fromkeys(self.order, 0), dict.fromkeys(self.order, Fraction(0)), 0
-        while left := [q for q in self.order if spent[q] < totals[q]]:
-            named = [q for q in left if weight[q] > 0] or left  # queues without a target come when the others have ended
-            whole = sum(weight[q] for q in named)
-            share = {q: window * (weight[q] / whole if whole else Fraction(1, len(named))) for q in named}
-            windows = max(1, min(-int((credit[q] - (totals[q] - spent[q])) // share[q]) for q in named))
-            self.phases.append(Phase(at, at + windows, {q: (spent[q], credit[q], share[q]) for q in named}))
-            at += windows
-            for q in named:
-                sum_ = credit[q] + windows * share[q]
-                take = min(int(sum_), totals[q] - spent[q])
-                spent[q], credit[q] = spent[q] + take, sum_ - take
-        self.firsts = [p.first for p in self.phases]
-        self._kept: dict[int, tuple[dict[str, int], int]] = {}
-
-    def _phase(self, window: int) -> Phase:
-        return self.phases[min(bisect.bisect_right(self.firsts, window) - 1, len(self.phases) - 1)]
-
-    def taken(self, queue: str, window: int) -> int:
-        """Tokens of the queue before a window."""
-        done = 0
-        phase = self._phase(window)
-        if queue in phase.served:
-            spent, credit, share = phase.served[queue]
-            done = spent + int(credit + (window - phase.first) * share)
-        else:  # it has ended, or its turn is still to come
-            done = self.totals[queue] if any(queue in p.served for p in self.phases if p.first < phase.first) else 0
-        return min(done, self.totals[queue])
-
-    def window_of(self, queue: str, token: int) -> int:
-        """The window that takes this token of the queue."""
-        serving = [p for p in self.phases if queue in p.served and p.served[queue][0] <= token]
-        spent, credit, share = serving[-1].served[queue]
-        # the first w with whole part of credit + (w + 1) share above the tokens still to pass
-        ahead = (token - spent + 1 - credit) / share
-        return min(serving[-1].first + max(0, -int(-ahead // 1) - 1), serving[-1].last - 1)
-
-    def places(self, window: int) -> tuple[dict[str, int], dict[str, int]]:
-        """By queue: the tokens before the window, and the place of its first token there in the whole stream."""
+class Tier:
+    """Queues that are served together: which tokens each of their windows takes. A number for each queue; nothing else grows."""
+
+    def __init__(self, names: list[str], totals: np.ndarray, weights: np.ndarray, window: int):
+        self.names, self.totals, self.weights, self.window = names, totals, weights / weights.sum(), window
+        self.number = {q: i for i, q in enumerate(names)}
+        self.tokens = int(totals.sum())
+        # served evenly, without whole tokens, all queues' tokens before time v are a sum of straight lines that end when queues do
+        order = np.argsort(totals / self.weights, kind="stable")
+        self.ends = (totals / self.weights)[order]
+        self.ended = np.concatenate([[0], np.cumsum(totals[order])]).astype(float)
+        self.rates = np.maximum(1 - np.concatenate([[0.0], np.cumsum(self.weights[order])]), 0.0)
+        self.rates[-1] = 0.0
+        self.at_ends = self.ended[:-1] + self.rates[:-1] * self.ends
+        self._kept: dict[int, np.ndarray] = {}
+
+    def due(self, queue, token):
+        return (token + 0.5) / self.weights[queue]
+
+    def _about(self, tokens: float) -> float:
+        """The time by which about so many tokens have passed."""
+        k = int(np.searchsorted(self.at_ends, tokens))
+        if k == len(self.ends) or self.rates[k] <= 0:
+            return float(self.ends[-1])
+        return (tokens - self.ended[k]) / self.rates[k]
+
+    def _before(self, v: float) -> np.ndarray:
+        """Tokens of each queue that are due before time v."""
+        every = np.arange(len(self.names))
+        n = np.clip(np.floor(v * self.weights + 0.5), 0, self.totals).astype(np.int64)
+        n += (n < self.totals) & (self.due(every, n) < v)
+        return n - ((n > 0) & (self.due(every, n - 1) >= v))
+
+    def taken(self, window: int) -> np.ndarray:
+        """Tokens of each queue before a window."""
         if window not in self._kept:
-            if len(self._kept) > 4096:
+            if len(self._kept) > 512:
                 self._kept.clear()
-            now = {q: self.taken(q, window) for q in self.order}
-            at, starts = sum(now.values()), {}
-            for q in self.order:
-                starts[q] = at
-                at += self.taken(q, window + 1) - now[q]
-            self._kept[window] = now, starts
+            self._kept[window] = self._taken(min(window * self.window, self.tokens))
         return self._kept[window]
 
-    def runs(self, queue: str, start: int, tokens: int) -> Iterator[tuple[int, int, int]]:
-        """(first, length, place in the whole stream) of the document's runs of tokens, a run a window."""
-        done = 0
+    def _taken(self, tokens: int) -> np.ndarray:
+        if tokens in (0, self.tokens):
+            return self.totals * (tokens > 0)
+        slack = len(self.names) / 2 + 1
+        while True:  # between times that have fewer tokens before them, and enough
+            least = self._before(self._about(max(0.0, tokens - slack)))
+            most = self._before(self._about(tokens + slack)) if tokens + slack < self.tokens else self.totals
+            if least.sum() <= tokens <= most.sum():
+                break
+            slack *= 2
+        n = most - least
+        queue = np.repeat(np.arange(len(self.names)), n)
+        token = least[queue] + np.arange(len(queue)) - np.repeat(np.cumsum(n) - n, n)
+        next_ = np.lexsort((queue, self.due(queue, token)))[: tokens - int(least.sum())]
+        return least + np.bincount(queue[next_], minlength=len(self.names))
+
+    def window_of(self, queue: int, token: int) -> int:
+        """The window that takes this token of the queue."""
+        v = self.due(queue, token)
+        k = int(np.searchsorted(self.ends, v))
+        w = int(min(self.ended[k] + self.rates[k] * v, self.tokens - 1)) // self.window
+        while w > 0 and self.taken(w)[queue] > token:
+            w -= 1
+        while self.taken(w + 1)[queue] <= token:
+            w += 1
+        return w
+
+    def runs(self, name: str, start: int, tokens: int) -> Iterator[tuple[int, int, int, int]]:
+        """(first, length, place in the tier's stream, window) of a document's runs of tokens, a run a window."""
+        queue, done = self.number[name], 0
         while done < tokens:
             w = self.window_of(queue, start + done)
-            now, starts = self.places(w)
-            size = min(tokens - done, self.taken(queue, w + 1) - (start + done))
-            yield done, size, starts[queue] + start + done - now[queue]
+            now, then = self.taken(w), self.taken(w + 1)
+            size = min(tokens - done, int(then[queue]) - (start + done))
+            yield done, size, int(now.sum() + (then - now)[:queue].sum()) + start + done - int(now[queue]), w
             done += size
 
 
-def pack(docs: DataFrame, path: str, length: int = SEQUENCE, window_sequences: int = WINDOW_SEQUENCES, targets: dict[str, float] | None = None, text_col: str = "text", source_col: str = "source", max_queues: int = MAX_QUEUES) -> DataFrame:
+class Schedule:
+    """The tiers one after the other: the queues with a target, then those without, these by their sizes."""
+
+    def __init__(self, totals: dict[str, int], window: int, targets: dict[str, float] | None = None, temper: float = TEMPER):
+        live = sorted(q for q, n in totals.items() if n)
+        aim = {q: (totals[q] / max(totals.values())) ** temper if targets is None else float(targets.get(q, 0)) for q in live}
+        self.of, self.tiers = {}, []
+        at = windows = 0
+        for names, weight in (([q for q in live if aim[q] > 0], aim), ([q for q in live if not aim[q] > 0], totals)):
+            if names:
+                tier = Tier(names, np.array([totals[q] for q in names]), np.array([float(weight[q]) for q in names]), window)
+                self.of |= dict.fromkeys(names, (tier, at, windows))
+                self.tiers.append(tier)
+                at, windows = at + tier.tokens, windows - (-tier.tokens // window)
+
+    def runs(self, queue: str, start: int, tokens: int) -> Iterator[tuple[int, int, int, int]]:
+        """(first, length, place in the whole stream, window) of a document's runs of tokens, a run a window."""
+        tier, at, windows = self.of[queue]
+        for first, size, place, w in tier.runs(queue, start, tokens):
+            yield first, size, at + place, windows + w
+
+
+def pack(docs: DataFrame, path: str, length: int = SEQUENCE, window_sequences: int = WINDOW_SEQUENCES, targets: dict[str, float] | None = None, temper: float = TEMPER, text_col: str = "text", source_col: str = "source") -> DataFrame:
     """A row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, queue, window_id.
 
-    targets: token share of each source; None takes the sources' own shares, so that all queues end together.
+    targets: token share of each source; None takes the sources' sizes in tokens to the power `temper`.
     """
-    ids = tokenised(docs, path, text_col, source_col, max_queues)
+    ids = tokenised(docs, path, text_col, source_col)
     # a row a part and queue; the running sum goes over these alone, not over documents
     by_part = ids.groupBy("part", "queue").agg(F.sum("tokens").alias("sum"))
     before = by_part.withColumn("base", F.sum("sum").over(Window.partitionBy("queue").orderBy("part")) - F.col("sum"))
     bases = written(before.select("part", "queue", "base", "sum"), "queue-bases")
-    totals = {r["queue"]: r["n"] for r in bases.groupBy("queue").agg(F.sum("sum").alias("n")).collect()}  # at most max_queues + 1 rows
-    schedule = Schedule(totals, length * window_sequences, targets)
+    totals = {r["queue"]: r["n"] for r in bases.groupBy("queue").agg(F.sum("sum").alias("n")).collect()}  # a number a source
+    sent = docs.sparkSession.sparkContext.broadcast(Schedule(totals, length * window_sequences, targets, temper))
     placed = ids.join(bases.select("part", "queue", "base"), ["part", "queue"]).select("doc_id", "queue", "tokens", (F.col("base") + F.col("at")).alias("begin"), "ids")
 
     def run(batches):
-        for batch in batches:
+        schedule = sent.value
+        for some in slices(batches, "ids"):
             out = []
-            for doc, queue, tokens, begin, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc, queue, tokens, begin, raw in zip(*(c.to_pylist() for c in some.columns), strict=True):
                 x = np.frombuffer(raw, f"<u{len(raw) // tokens}").astype("<u4")
-                for first, size, place in schedule.runs(queue, begin, tokens):
-                    window = schedule.window_of(queue, begin + first)
+                for first, size, place, window in schedule.runs(queue, begin, tokens):
                     while size:
                         take = min(size, length - place % length)
                         out.append((doc, first, take, zlib.crc32(x[first : first + take].tobytes()), tokens, place // length, place % length, queue, window))

@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+import tokenizers
 from pyspark.sql import functions as F
 
 from foliant.llm import bpe, order_minhash, packing, repeats, secrets, toxicity
@@ -55,11 +56,11 @@ def empty(spark):
 
 
 def ids_of(text):
-    t = packing.tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    t = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     return [*t.encode(text or "", add_special_tokens=False).ids, 0]
 
 
-@pytest.mark.parametrize("options", [{}, {"length": 64, "window_sequences": 2}, {"length": 64, "window_sequences": 1, "targets": {"a": 0.75, "c": 0.25}}, {"length": 128, "max_queues": 1}])
+@pytest.mark.parametrize("options", [{}, {"length": 64, "window_sequences": 2}, {"length": 64, "window_sequences": 1, "targets": {"a": 0.75, "c": 0.25}}, {"length": 128, "temper": 1.0}])
 def test_packing_places_each_id_once(docs, rows, options):
     out = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), **options).toPandas()
     length = options.get("length", 1024)
@@ -75,15 +76,64 @@ def test_packing_places_each_id_once(docs, rows, options):
         assert all(zlib.crc32(ids[s : s + n].tobytes()) == c for s, n, c in zip(pieces.start, pieces.length, pieces.ids_crc32, strict=True))
 
 
+def round_robin(totals, weights, window):
+    """Tokens of each queue by window, served one by one: the queue whose deficit is first at half a token comes next."""
+    share = np.array(weights) / sum(weights)
+    taken, out = [0] * len(totals), []
+    for n in range(sum(totals)):
+        if n % window == 0:
+            out.append([0] * len(totals))
+        q = min((q for q in range(len(totals)) if taken[q] < totals[q]), key=lambda q: ((taken[q] + 0.5) / share[q], q))
+        taken[q] += 1
+        out[-1][q] += 1
+    return out
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_schedule_equals_a_served_round_robin(seed):
+    r = random.Random(seed)
+    n = r.choice([1, 2, 3, 20, 60])
+    totals = [r.choice([1, 2, r.randint(1, 50), r.randint(1, 300)]) for _ in range(n)]
+    weights = [r.choice([1.0, r.random() + 0.01, 100.0, 0.001]) for _ in range(n)]
+    window = r.choice([1, 7, 64, 1000])
+    tier = packing.Tier([str(i) for i in range(n)], np.array(totals), np.array(weights), window)
+    want = round_robin(totals, weights, window)
+    got = [(tier.taken(w + 1) - tier.taken(w)).tolist() for w in range(len(want))]
+    assert got == want and all(sum(x) == window for x in got[:-1])
+    for q in range(n):
+        begin = 0
+        for w, x in enumerate(want):
+            for token in {begin, begin + x[q] - 1} if x[q] else ():
+                assert tier.window_of(q, token) == w
+            begin += x[q]
+
+
 def test_packing_keeps_the_mixture(spark):
     r = random.Random(1)
     made = [(i, prose(r, r.randint(5, 400)), "en", r.choice("aabc"), 0) for i in range(120)]
     docs = spark.createDataFrame(made, KIND).repartition(4)
-    out = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), length=128, window_sequences=8).toPandas()
+    targets = {"a": 0.5, "b": 0.3, "c": 0.2}
+    out = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), length=128, window_sequences=8, targets=targets).toPandas()
     by = out.groupby(["window_id", "queue"]).length.sum().unstack(fill_value=0)
-    share = by.sum() / by.sum().sum()
-    for w in by.index[:-1]:
-        assert (abs(by.loc[w] - 128 * 8 * share) <= 1.0 + 1e-6).all()
+    assert (by.sum(axis=1)[:-1] == 128 * 8).all()
+    ends = int(out[out.queue == min("abc", key=lambda q: by[q].sum() / targets[q])].window_id.max())
+    assert ends > 5  # until a queue runs out
+    for w in by.index[by.index < ends]:
+        assert all(abs(by.loc[w][q] - 128 * 8 * t) <= 1.0 + 1e-6 for q, t in targets.items())
+
+
+def test_packing_of_many_sources_long_texts_and_clashing_columns(spark):
+    r = random.Random(2)
+    made = [(i, prose(r, 3 + i % 7), f"s{i % 400}", "x") for i in range(800)] + [(900, "word, " * 60_000, "s1", "x"), (901, "x <|endoftext|> y", None, None)]
+    docs = spark.createDataFrame(made, "doc_id long, text string, source string, queue string").repartition(3)
+    out = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), window_sequences=4).toPandas()
+    assert out.queue.nunique() == 401
+    assert (out.groupby("window_id").length.sum()[:-1] == 4096).all()
+    assert int(out[out.doc_id == 900].length.sum()) == len(ids_of(made[800][1]))
+    x = np.array(ids_of("x <|endoftext|> y"), "<u4")
+    pieces = out[out.doc_id == 901]
+    assert 50256 in x and pieces.length.sum() == len(x)
+    assert all(zlib.crc32(x[s : s + n].tobytes()) == c for s, n, c in zip(pieces.start, pieces.length, pieces.ids_crc32, strict=True))
 
 
 def test_packing_of_nothing(empty):
@@ -91,7 +141,7 @@ def test_packing_of_nothing(empty):
 
 
 def test_stretch_encoder_equals_the_tokenizer():
-    texts = ["", " ", "a", "  two  spaces ", "x \n y", "tab\t tab", "it's we'll  don't", "\n", "½ ² x²", "emoji 😀 ok", "a\x00b \x1c c", "日本語 テスト。 ok", "word, word. word!? 12,5 a_b"]
+    texts = ["", " ", "a", "  two  spaces ", "x \n y", "tab\t tab", "it's we'll  don't", "\n", "½ ² x²", "emoji 😀 ok", "a\x00b \x1c c", "日本語 テスト。 ok", "word, word. word!? 12,5 a_b", "x <|endoftext|> y", " a<|endoftext|>", "naïve café. ºª"]
     got = packing.StretchEncoder(public_tokenizers.path("byte_bpe_50k.json")).encode(texts)
     assert [x.tolist() for x in got] == [ids_of(t) for t in texts]
 
