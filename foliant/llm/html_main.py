@@ -2,15 +2,18 @@
 
 A page is read into a tree that forgives unclosed and truncated markup. Every paragraph passes
 points for its length and commas to its ancestors, less with each level; an element's points
-are discounted by the share of its text that is inside links. The best container is kept, and
-those of its siblings that look like text. What never belongs to an article (menus, headers,
-footers, sidebars, notices, adverts, forms, scripts, styles, comments) is left out, by element
-name, role, and words of class and id.
+are discounted by the share of its text that is inside links. From the best container the way goes
+up to the article or main element around it, or else to the ancestor that gathers the paragraphs;
+all of its blocks are kept, and those of its siblings that look like text. What never belongs to an
+article (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments) is
+left out, by element name, role, and names in class and id: of paragraphs and the like only by a
+whole name, of containers also by a part of one. Lists of related pages go if they are links.
 
 Defined results: null or empty html, and a page without text, give the empty text and 0
-characters; a page whose article elements hold nothing falls back to its whole body; equal pages
-give equal texts; ties go to the container that comes first; further columns are carried along
-unless they have the name of an output column; an empty table gives an empty table.
+characters; a page of which nothing else is left falls back to its whole body; equal pages give
+equal texts; ties go to the container that comes first; a very long page is read whole; further
+columns are carried along unless they have the name of an output column; an empty table gives an
+empty table.
 """
 
 from __future__ import annotations
@@ -30,8 +33,8 @@ _MARKUP = re.compile(
     r"""<(?:!--(?:-?>|.*?(?:--!?>|\Z))|[!?][^>]*+(?:>|\Z)|(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|/?[a-zA-Z][^>]*+(?:>|\Z))""",
     re.S,
 )
-_ATTR = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
-_WORDS = re.compile(r"[a-z]+")
+_ATTR = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -41,12 +44,26 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul li dd dt".split())
 #: Starting the key ends open ones of the value, up to the nearest list or table.
 ENDS_ALIKE = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-#: Words of a class or id that mark what surrounds an article.
-NOISE = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs masthead header footer comment comments disqus reply replies respond cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login share sharing social related recommended widget widgets toolbar pagination pager copyright".split()
-)
+# Names in class and id, by what the contract leaves out.
+MENUS = frozenset("nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager".split())
+SIDEBARS = frozenset("sidebar rail widget widgets".split())
+NOTICES = frozenset("cookie cookies consent gdpr notice notices alert popup modal toast overlay paywall".split())
+ADVERTS = frozenset("advert adverts advertisement advertising sponsor sponsored promo promotion".split())
+FORMS = frozenset("form login signup subscribe newsletter".split())
+COMMENTS = frozenset("comment comments reply replies respond disqus".split())
+HEADS_AND_FEET = frozenset("header masthead banner footer colophon copyright".split())
+#: With these before it, a header or footer is the page's.
+OF_PAGE = frozenset("site page global main top web".split())
+AD = frozenset("ad ads".split())
+#: What else is in the name of a place for adverts.
+AD_PLACE = frozenset("slot unit box container wrapper block top bottom left right side inline google text label banner zone space area".split())
+SHARING = frozenset("share sharing social".split())
+ANYWHERE = MENUS | SIDEBARS | NOTICES | ADVERTS | FORMS | COMMENTS | SHARING
+LINKS = frozenset("related recommended tags".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar form".split())
 KEPT_WHOLE = frozenset("html body article main".split())
+#: Elements that hold text; names on them count only as a whole.
+TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd td th tr figure figcaption".split()) | INLINE
 
 #: Points that an element has by its name.
 BY_NAME = {"article": 25.0, "main": 15.0, "section": 3.0, "div": 5.0, "pre": 3.0, "blockquote": 3.0, "td": 3.0, "ul": -3.0, "ol": -3.0, "dl": -3.0, "form": -3.0, "h1": -5.0, "h2": -5.0, "h3": -5.0, "h4": -5.0, "h5": -5.0, "h6": -5.0, "th": -5.0}
@@ -54,22 +71,50 @@ LEAST_PARAGRAPH = 25
 LEVELS = (1.0, 0.5, 0.25, 0.125)
 
 
-def _is_noise(name: str, attrs: str) -> bool:
-    if name in LEFT_OUT:
+def _named_noise(token: str, textual: bool) -> bool:
+    """Whether a name in a class or id says that the element doesn't belong to an article."""
+    low = token.lower()
+    if low in ANYWHERE or low in AD or low in HEADS_AND_FEET:
         return True
-    if not attrs or name in KEPT_WHOLE:
+    if textual:
         return False
+    parts = [x.lower() for x in _PARTS.findall(token)]
+    if not ANYWHERE.isdisjoint(parts):
+        return True
+    if not AD.isdisjoint(parts) and all(x in AD or x in AD_PLACE or x.isdigit() for x in parts):
+        return True
+    return len(parts) > 1 and parts[0] in OF_PAGE and not HEADS_AND_FEET.isdisjoint(parts)
+
+
+PLAIN, NOISY, LINKED, HOLDS = range(4)
+
+
+def _kind(name: str, attrs: str) -> int:
+    """What the element is by its name and attributes: plain, noise, a list of links if it is mostly links, or a holder of the article."""
+    if name in LEFT_OUT:
+        return NOISY
+    kind = HOLDS if name in ("article", "main") else PLAIN
+    if not attrs or name in ("html", "body"):
+        return kind
     for m in _ATTR.finditer(attrs):
-        key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+        key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key in ("class", "id"):
-            if not NOISE.isdisjoint(_WORDS.findall(value)):
-                return True
+            tokens = value.split()
+            if any(_named_noise(t, name in TEXTUAL or name in KEPT_WHOLE) for t in tokens):
+                # an article element is noise only as a comment
+                if name not in KEPT_WHOLE or any(not COMMENTS.isdisjoint(x.lower() for x in _PARTS.findall(t)) for t in tokens):
+                    return NOISY
+            elif any(not LINKS.isdisjoint(x.lower() for x in _PARTS.findall(t)) for t in tokens) and kind == PLAIN:
+                kind = LINKED
         elif key == "role":
-            if value.strip() in NOISE_ROLES:
-                return True
-        elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-    return False
+            if value.strip().lower() in NOISE_ROLES:
+                return NOISY
+            kind = HOLDS if value.strip().lower() in ("main", "article") else kind
+        elif key == "itemprop":
+            kind = HOLDS if value.strip() == "articleBody" else kind
+        elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value.lower()):
+            return NOISY
+    return kind
 
 
 class Page:
@@ -78,6 +123,7 @@ class Page:
     def __init__(self, html: str, drop_noise: bool = True):
         self.names, self.parents, self.ends = ["#root"], [-1], [0]
         self.noise = [False]  # whether an element is noise or inside it
+        self.kinds = [PLAIN]
         self.blocks: list[tuple[int, str, int]] = []  # owner, text, characters inside links
         self.stack = [0]
         self._parts: list[str] = []
@@ -102,7 +148,7 @@ class Page:
             if self._links:
                 self._link_parts.append(s)
 
-    def _open(self, name: str, noise: bool = False) -> None:
+    def _open(self, name: str, kind: int = PLAIN) -> None:
         if name not in INLINE:
             if not self.noise[self.stack[-1]]:
                 self._flush()
@@ -117,7 +163,8 @@ class Page:
                         self._pop_to(i)
         self.names.append(name)
         self.parents.append(self.stack[-1])
-        self.noise.append(noise or self.noise[self.stack[-1]])
+        self.noise.append(kind == NOISY or self.noise[self.stack[-1]])
+        self.kinds.append(kind)
         self.ends.append(0)
         self.stack.append(len(self.names) - 1)
         self._links += name == "a"
@@ -169,13 +216,15 @@ class Page:
                 continue
             elif name in VOID:
                 self._parts.append(" ") if name in ("br", "img") else None if name == "wbr" else self._flush()
-            elif drop_noise and _is_noise(name, m["attrs"]):
+            else:
+                kind = _kind(name, m["attrs"])
+                kind = PLAIN if kind == NOISY and not drop_noise else kind
                 if not m["attrs"].endswith("/"):
-                    self._open(name, noise=True)
-                elif name not in INLINE and not noisy:
+                    self._open(name, kind)
+                elif kind == NOISY and name not in INLINE and not noisy:
                     self._flush()
-            elif not m["attrs"].endswith("/") or name not in ("svg", "path"):
-                self._open(name)
+                elif kind != NOISY and name not in ("svg", "path"):
+                    self._open(name, kind)
 
     @staticmethod
     def _after(html: str, name: str, at: int) -> int:
@@ -183,16 +232,17 @@ class Page:
         return m.end() if m else len(html)
 
     def kept_blocks(self) -> list[str]:
-        """The texts of the best container and of its siblings that look like text."""
+        """The texts of the best container, or what gathers its article, and of its siblings that look like text."""
         n = len(self.names)
-        points, chars, links = [0.0] * n, [0] * n, [0] * n
-        scored = [name in ("article", "main") for name in self.names]
+        points, whole, chars, links = [0.0] * n, [0.0] * n, [0] * n, [0] * n
+        scored = [kind == HOLDS for kind in self.kinds]
         for owner, text, linked in self.blocks:
             chars[owner] += len(text)
             links[owner] += linked
             if len(text) < LEAST_PARAGRAPH:
                 continue
             worth = (1 + text.count(",") + text.count("，") + text.count("、") + min(len(text) / 100, 3)) * (1 - linked / len(text))
+            whole[owner] += worth
             node = self.parents[owner] if self.names[owner] in ("p", "pre", "li", "td", "dd", "blockquote") and owner else owner
             for share in LEVELS:
                 points[node] += worth * share
@@ -201,25 +251,52 @@ class Page:
                     break
                 node = self.parents[node]
         for i in range(n - 1, 0, -1):
-            chars[self.parents[i]] += chars[i]
-            links[self.parents[i]] += links[i]
+            for sums in (chars, links, whole):
+                sums[self.parents[i]] += sums[i]
         density = [links[i] / chars[i] if chars[i] else 0.0 for i in range(n)]
         final = [(points[i] + BY_NAME.get(self.names[i], 0.0)) * (1 - density[i]) if scored[i] and chars[i] else float("-inf") for i in range(n)]
         best = max(range(n), key=lambda i: (final[i], -i))
         if final[best] == float("-inf"):
             best = 0
-        kept = {best}
-        if best:
-            least = max(10.0, 0.2 * final[best])
-            for i in (i for i in range(1, n) if self.parents[i] == self.parents[best] and i != best):
-                plain = self.names[i] in ("p", "pre", "blockquote") and (chars[i] > 80 and density[i] < 0.25 or chars[i] and not links[i] and self.names[best] == "p")
-                if final[i] >= least or plain:
-                    kept.add(i)
+        best = self._gathering(best, whole)
         inside = [False] * n
-        for i in kept:
+        for i in [best, *self._like_text(best, final, chars, density)]:
             inside[i : self.ends[i]] = [True] * (self.ends[i] - i)
+        for i in range(1, n):
+            if self.kinds[i] == LINKED and density[i] > 0.5:
+                inside[i : self.ends[i]] = [False] * (self.ends[i] - i)
         return [text for owner, text, _ in self.blocks if inside[owner]]
 
+    def _gathering(self, best: int, whole: list[float]) -> int:
+        """The article or main element around the best container, articles first, the outermost of its kind; or the ancestor that gathers more paragraphs."""
+        above = []
+        node = best
+        while node > 0:
+            above.append(node)
+            node = self.parents[node]
+        holders = [i for i in above if self.kinds[i] == HOLDS]
+        articles = [i for i in holders if self.names[i] != "main"]
+        if holders:
+            return (articles or holders)[-1]
+        for i in [*above, 0]:
+            if whole[i] > 1.2 * whole[best]:
+                best = i
+        return best
+
+    def _like_text(self, best: int, final: list[float], chars: list[int], density: list[float]) -> list[int]:
+        """The best container's siblings that are worth a fifth of it, or hold text that isn't in links."""
+        if not best:
+            return []
+        least = max(10.0, 0.2 * final[best])
+        held = self.kinds[best] == HOLDS
+        kept = []
+        for i in range(1, len(self.names)):
+            if self.parents[i] == self.parents[best] and i != best and chars[i]:
+                plain = density[i] < 0.25 and (self.names[i] in TEXTUAL or self.names[i] in ("ul", "ol", "dl", "table", "hgroup") or chars[i] > 80)
+                if final[i] >= least or plain and not held:
+                    kept.append(i)
+        return kept
+
 
 def main_text(html: str | None) -> str:
     if not html:

@@ -1,5 +1,7 @@
 """Noise ends where its element ends, also without an end tag."""
 
+import random
+
 import pytest
 
 from foliant.llm.html_main import main_text
@@ -20,3 +22,61 @@ MORE = "A letter came in the morning, with copper ink, and nobody knew whose han
 )
 def test_only_the_noise_is_left_out(html):
     assert main_text(html) == f"{REAL}\n{MORE}"
+
+
+SHORT = "Closing note."
+
+
+@pytest.mark.parametrize(
+    "html, blocks",
+    [
+        # both parts of an article, also a short one
+        (f"<article><div><p>{REAL}</p><p>{MORE}</p></div><div>{SHORT}</div></article>", [REAL, MORE, SHORT]),
+        (f"<main><div><p>{REAL}</p><p>{MORE}</p></div><p>{SHORT}</p><pre>a  b</pre><table><tr><td>One<td>Two</table></main>", [REAL, MORE, SHORT, "a b", "One", "Two"]),
+        (f'<article><p>{REAL}</p><p class="ad-hoc related">{MORE}</p></article>', [REAL, MORE]),
+        # names with and without a header or an advert in them
+        (f'<article><div class="section-header"><h2>Part</h2></div><p>{REAL}</p><div class="ad-slot">{MORE}</div><div class="adSlot">{MORE}</div></article>', ["Part", REAL]),
+        (f'<div id="site-header"><p>{MORE}</p></div><div class="post"><p>{REAL}</p><p>{REAL}</p></div><div class="commentList"><p>{MORE}</p></div>', [REAL, REAL]),
+        # nothing is marked as an article: the ancestor that gathers the paragraphs
+        (f"<body><div><section><p>{REAL}</p><p>{MORE}</p></section><section><p>{MORE}</p><p>{REAL}</p></section><section><p>{REAL}</p></section></div></body>", [REAL, MORE, MORE, REAL, REAL]),
+        (f'<div role="main"><h1>Head</h1><section><p>{REAL}</p></section><p>{SHORT}</p></div><div role="complementary"><p>{MORE}</p></div>', ["Head", REAL, SHORT]),
+        # lists of links
+        (f'<article><p>{REAL}</p><div class="related"><a href=1>One page</a> <a href=2>Another page</a></div><ul class="related"><li>{MORE}</li></ul></article>', [REAL, MORE]),
+        (f'<article><p>{REAL}</p><article class="comment"><p>{MORE}</p></article></article>', [REAL]),
+        (f"<body><p>{REAL}<p>{SHORT}<form><p>{MORE}</form><!-- <p>{MORE} --><footer><p>{MORE}</footer>", [REAL, SHORT]),
+        ("<p>a &lt;b&gt; &amp;&nbsp;c&#x41; &eacute;", ["a <b> & cA é"]),
+        ("<nav>Only a menu</nav>", ["Only a menu"]),
+        ("  \n ", []),
+    ],
+)
+def test_the_whole_article(html, blocks):
+    assert main_text(html) == "\n".join(blocks)
+
+
+def test_generated_pages_against_their_parts():
+    """Random articles inside random templates, their blocks known: whatever the wrapping, the blocks and nothing else."""
+    r = random.Random(4)
+    words = "river stone letter morning quiet garden number open value house under water follow line copper ladder winter paper silver".split()
+    sentence = lambda: " ".join(r.choices(words, k=r.randint(6, 14))).capitalize() + ", " + " ".join(r.choices(words, k=r.randint(4, 9))) + "."
+    noise = [lambda: f"<nav><ul><li><a href=/>{sentence()}</a></ul></nav>", lambda: f'<div class="cookie-consent"><p>{sentence()} {sentence()}</p></div>', lambda: f"<aside><p>{sentence()}</p><p>{sentence()}</p></aside>", lambda: f"<form><label>{sentence()}</label><input></form>", lambda: f"<script>var x = '<p>{sentence()}</p>'</script>", lambda: f'<section id="comments"><p>{sentence()}<p>{sentence()}</section>', lambda: f'<div class="ad">{sentence()}</div>', lambda: f"<!-- {sentence()} -->", lambda: f"<style>p{{}}</style><footer>{sentence()}</footer>"]
+    for _ in range(400):
+        blocks, body = [], []
+        for _ in range(r.randint(3, 12)):
+            text = " ".join(sentence() for _ in range(r.randint(1, 4)))
+            kind = r.choice(["p", "p", "p", "h2", "blockquote", "ul", "pre"])
+            if kind == "ul":
+                items = [sentence() for _ in range(r.randint(1, 4))]
+                blocks += items
+                body.append("<ul>" + "".join(f"<li>{x}" + r.choice(["", "</li>"]) for x in items) + "</ul>")
+            else:
+                blocks.append(text)
+                marked = text.replace(" ", r.choice([" ", "  ", "\n", "&#32;"]), 3).replace("river", "<b>river</b>", 1)
+                body.append(f"<{kind}>{marked}" + ("" if kind == "p" and r.random() < 0.4 else f"</{kind}>"))
+            if r.random() < 0.25:
+                body.append(r.choice(noise)())
+        inner = "".join(body)
+        if r.random() < 0.4:
+            inner = "".join(f"<div>{x}</div>" for x in (inner,)) if r.random() < 0.5 else f"<section>{inner}</section>"
+        holder = r.choice(["article", "main", 'div role="main"', 'div class="post-body"', "article"])
+        page = f"<html><head><title>{sentence()}</title></head><body>{r.choice(noise)()}<{holder}>{inner}</{holder.split()[0]}>{r.choice(noise)()}{r.choice(noise)()}</body></html>"
+        assert main_text(page) == "\n".join(blocks), page
