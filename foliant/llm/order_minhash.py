@@ -210,18 +210,18 @@ def kmer_table(docs: DataFrame, nodes: DataFrame, text_col: str = "text", k: int
 
 
 def aligned(pairs: DataFrame, kmers: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """a, b, linked boolean of pairs(a, b)."""
+    """node, leader, company, linked boolean of pairs(node, leader, company)."""
 
     def run(batches):
         for batch in batches:
             for some in by_size(batch, "x"):
                 x, y = (some.column(c).to_pylist() for c in ("x", "y"))
                 like = [alignment_similarity(np.frombuffer(p, "<u4"), np.frombuffer(q, "<u4"), threshold) >= threshold for p, q in zip(x, y, strict=True)]
-                yield pa.RecordBatch.from_arrays([some.column("a"), some.column("b"), pa.array(like, pa.bool_())], names=["a", "b", "linked"])
+                yield pa.RecordBatch.from_arrays([*(some.column(c) for c in ("node", "leader", "company")), pa.array(like, pa.bool_())], names=["node", "leader", "company", "linked"])
 
-    left = kmers.select(F.col("node").alias("a"), F.col("kmers").alias("x"))
-    right = kmers.select(F.col("node").alias("b"), F.col("kmers").alias("y"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary, linked boolean")
+    left = kmers.select("node", F.col("kmers").alias("x"))
+    right = kmers.select(F.col("node").alias("leader"), F.col("kmers").alias("y"))
+    return pairs.join(right, "leader").join(left, "node").select("node", "leader", "company", "x", "y").mapInArrow(run, "node binary, leader binary, company long, linked boolean")
 
 
 def _several(members: DataFrame) -> DataFrame:
@@ -324,16 +324,20 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     nodes = scratch.written(sized.groupBy("node").agg(F.collect_set("key").alias("keys"), F.sum("n").alias("company")), "nodes")  # at most `entries` keys
     kmers = scratch.written(kmer_table(docs, nodes, text_col, k), "kmers")
     ranked = sized.join(nodes.select("node", "company"), "node")
-    leaders = ranked.groupBy("key").agg(F.max_by("node", F.struct("company", F.xxhash64("node"))).alias("leader"))
+    leaders = ranked.groupBy("key").agg(F.max(F.struct("company", F.xxhash64("node").alias("h"), "node")).alias("l")).select("key", F.col("l.company").alias("company"), F.col("l.node").alias("leader"))
     met = sized.join(leaders, "key").filter(F.col("node") != F.col("leader"))
-    pairs = met.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
-    led = scratch.written(aligned(pairs, kmers, threshold), "led").filter("linked").select("a", "b")
-    labels = components(led)
+    pairs = met.groupBy("node", "leader").agg(F.first("company").alias("company"))
+    led = scratch.written(aligned(pairs, kmers, threshold), "led").filter("linked")
+    # a text goes by the most central leader that it is linked to, or that it is; equal labels are of one class, though a class may still have several
+    by_leader = led.select("node", "leader", "company").union(led.select(F.col("leader").alias("node"), "leader", "company"))
+    labels = by_leader.groupBy("node").agg(F.max_by("leader", F.struct("company", "leader")).alias("label"))
+    labels = scratch.written(labels, "labels")
     # both members of a bucket of two have met
     members = sized.filter(F.col("n") > 2).join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     open_ = scratch.written(_several(members), "open")
     more = scratch.written(straggler_links(open_, kmers, threshold, block), "links")
-    labels = components(led.union(more))
+    links = led.select(F.col("node").alias("a"), F.col("leader").alias("b")).union(more)
+    labels = components(links)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_node(text_col).alias("node"))
     own = rows.groupBy("node").agg(F.min("doc_id").alias("least")).join(labels, "node", "left").select("node", "least", F.coalesce("label", "node").alias("label"))
     own = scratch.written(own, "own")
