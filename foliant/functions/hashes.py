@@ -20,8 +20,8 @@ def fnv_step(h: Column, x: Column) -> Column:
 
 
 def fnv1a(word: Column) -> Column:
-    """FNV-1a, 32 bits, over a word's UTF-16 units (a code point each below U+10000)."""
-    units = F.transform(F.filter(F.split(word, ""), lambda c: c != ""), lambda c: F.conv(F.hex(F.encode(c, "UTF-16BE")), 16, 10).cast("long"))
+    """FNV-1a, 32 bits, over a word's UTF-16 units; a code point above U+FFFF is two."""
+    units = F.transform(F.regexp_extract_all(F.hex(F.encode(word, "UTF-16BE")), F.lit("(.{4})"), 1), lambda x: F.conv(x, 16, 10).cast("long"))
     return F.aggregate(units, F.lit(0x811C9DC5).cast("long"), fnv_step)
 
 

@@ -5,7 +5,47 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import fold_for_search, tag_key
+from ..functions.text import fold_for_search, let, tag_key
+from .order import with_places
+
+# What follows a family name, and the small words that belong to one.
+SUFFIX = r"(?i)^(?:jr|sr|ii|iii|iv|phd|md)\.?$"
+PARTICLES = "de da di du del della des la le van von der den ter ten af bin ibn al el st st. dos das do".split()
+
+
+def family_and_given(name: Column) -> Column:
+    """struct<family, given> of a name as people write it: "Family, Given", or given names and a family name with its particles; suffixes are dropped."""
+
+    def of(t: Column) -> Column:
+        at = F.instr(t, ",")
+        after = F.trim(F.substring(t, at + 1, F.length(t)))
+        comma, suffixed = at > 1, after.rlike(SUFFIX)
+        plain = F.when(comma & suffixed, F.trim(F.substring(t, 1, at - 1))).otherwise(t)
+        written = F.struct(F.trim(F.substring(t, 1, at - 1)).alias("family"), after.alias("given"))
+        return F.when(comma & ~suffixed, written).otherwise(let(F.split(plain, r"\s+"), without_suffixes))
+
+    def without_suffixes(words: Column) -> Column:
+        n = F.greatest(F.array_max(F.transform(words, lambda w, i: F.when(~w.rlike(SUFFIX), i + 1).otherwise(0))), F.lit(1))
+        return let(F.slice(words, 1, n), parted)
+
+    def parted(kept: Column) -> Column:
+        # the family name begins after the last word that is no particle, or is the last word if all before it are
+        last = F.transform(kept, lambda w, i: F.when((i + 1 < F.size(kept)) & ~F.lower(w).isin(PARTICLES), i + 1).otherwise(0))
+        start = F.array_max(last)
+        return let(F.when(start == 0, F.size(kept) - 1).otherwise(start), lambda k: F.struct(F.array_join(F.slice(kept, k + 1, F.size(kept)), " ").alias("family"), F.array_join(F.slice(kept, 1, k), " ").alias("given")))
+
+    return let(F.trim(name), of)
+
+
+def author_key(authors: Column) -> Column:
+    """What authors are sorted by: the first one's family name, then given names; empty for none."""
+    named = F.filter(authors, lambda a: F.trim(a) != "")
+    first = let(family_and_given(F.get(named, F.lit(0))), lambda n: fold_for_search(F.concat(n["family"], F.lit("\0"), n["given"])))
+    return F.coalesce(F.when(F.size(named) > 0, first), F.lit(""))
+
+
+def family_names(authors: Column) -> Column:
+    return F.array_distinct(F.transform(F.filter(authors, lambda a: F.trim(a) != ""), lambda a: fold_for_search(family_and_given(a)["family"])))
 
 
 def read_state(progress: Column) -> Column:
@@ -28,10 +68,24 @@ def values_here(books: DataFrame, column: str, chosen: DataFrame) -> DataFrame:
     return chosen.select(F.col(column)).intersect(books.select(column))
 
 
-def ranked_shelf(books: DataFrame, first: list[Column], series: str, index: str, title: str, id_: str) -> DataFrame:
-    """books with place: the given order, then series and place in it (none last), title, id."""
-    order = [*first, F.coalesce(fold_for_search(F.col(series)), F.lit("")), F.col(index).asc_nulls_last(), fold_for_search(F.col(title)), F.col(id_)]
-    return books.withColumn("place", F.row_number().over(Window.orderBy(*order)))
+def shelf_orders(mode: str, added: str = "added", title: str = "title", authors: str = "authors", series: str = "series", index: str = "index", progress: str = "progress", id_: str = "id", recent: str = "ordinal") -> list[Column]:
+    """The order of a shelf: recent (as the books came), added, title, author, series, progress. Ties go by series and place in it (none last), title, id."""
+    key, name = F.coalesce(fold_for_search(F.col(series)), F.lit("")), fold_for_search(F.col(title))
+    then = [key, F.col(index).asc_nulls_last(), name, F.col(id_)]
+    writer = author_key(F.col(authors)) if mode == "author" else None
+    return {
+        "recent": lambda: [F.col(recent), F.col(id_)],
+        "added": lambda: [F.desc(added), *then],
+        "title": lambda: [name, *then],
+        "author": lambda: [F.when(writer != "", writer).asc_nulls_last(), *then],
+        "series": lambda: [F.col(series).isNull(), *then],
+        "progress": lambda: [F.desc(progress), *then],
+    }[mode]()
+
+
+def ranked_shelf(books: DataFrame, order: list[Column]) -> DataFrame:
+    """books with place, by an order of shelf_orders or any other with a unique end."""
+    return with_places(books, order)
 
 
 def tag_facet(tags: DataFrame, tag: str = "tag") -> DataFrame:

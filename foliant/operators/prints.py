@@ -1,27 +1,91 @@
-"""Prints of texts (bottom-k sketches of word runs), and duplicates by them."""
+"""Prints of texts (bottom-k sketches of word runs), and duplicates by them.
+
+A print is the smallest hashes of a text's runs of words: FNV-1a of each word's UTF-16 units, folded again
+over the run, and mixed. Texts come in Arrow batches; each different word of a batch is hashed once, and
+the runs of all its texts together, in arrays.
+"""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashes import fnv1a, fnv_step, murmur_final
-from ..functions.text import plain_words
 from .links import components, written
 
 RUN, SIZE, LEAST_WORDS = 5, 16, 200
 SAME_TEXT, OTHER_TEXT = 0.375, 0.12
 #: A hash that more texts share is a common phrase, not a sign of a copy.
 MOST_IN_BLOCK = 40
+#: Bytes of text in arrays at a time.
+STRETCH = 4 << 20
+
+_START, _PRIME, _LOW = np.uint64(0x811C9DC5), np.uint64(0x01000193), np.uint64(0xFFFFFFFF)
+
+
+def word_hashes(words: list[str]) -> np.ndarray:
+    """FNV-1a of each word, a step for the n-th unit of all words at once."""
+    units = [np.frombuffer(w.encode("utf-16-le", "surrogatepass"), np.uint16) for w in words]
+    sizes = np.fromiter(map(len, units), np.int64, len(units))
+    flat = np.concatenate(units) if units else np.zeros(0, np.uint16)
+    first = np.cumsum(sizes) - sizes
+    h = np.full(len(words), _START)
+    on = np.arange(len(words))
+    for n in range(int(sizes.max(initial=0))):
+        on = on[sizes[on] > n]
+        h[on] = ((h[on] ^ flat[first[on] + n]) * _PRIME) & _LOW
+    return h
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = ((h ^ (h >> np.uint64(16))) * np.uint64(0x85EBCA6B)) & _LOW
+    h = ((h ^ (h >> np.uint64(13))) * np.uint64(0xC2B2AE35)) & _LOW
+    return h ^ (h >> np.uint64(16))
+
+
+def prints_of(texts: pa.Array, run: int, size: int, least_words: int) -> list[np.ndarray | None]:
+    lists = pc.split_pattern_regex(pc.utf8_lower(pc.fill_null(texts, "")), r"[^\p{L}\p{N}]+")
+    coded = pc.dictionary_encode(pc.list_flatten(lists))
+    words, code = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+    text = pc.list_parent_indices(lists).to_numpy()
+    real = np.array([w != "" for w in words], bool)[code] if len(code) else np.zeros(0, bool)
+    text, h = text[real], word_hashes(words)[code[real]] if len(code) else np.zeros(0, np.uint64)
+    bounds = np.searchsorted(text, np.arange(len(texts) + 1))
+    n = max(0, len(h) - run + 1)
+    folded = np.full(n, _START)
+    for i in range(run):
+        folded = ((folded ^ h[i : i + n]) * _PRIME) & _LOW
+    folded = mixed(folded)
+    out: list[np.ndarray | None] = []
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        own = folded[a : max(a, b - run + 1)]
+        if b - a < max(least_words, run):
+            out.append(None)
+            continue
+        few = np.unique(np.partition(own, 4 * size)[: 4 * size]) if len(own) > 4 * size else np.unique(own)
+        # repeats may leave too few different ones among the smallest
+        out.append((few if len(few) >= size or len(own) <= 4 * size else np.unique(own))[:size])
+    return out
 
 
 def text_prints(docs: DataFrame, id_col: str, text_col: str, run: int = RUN, size: int = SIZE, least_words: int = LEAST_WORDS) -> DataFrame:
     """id, print array<long>: the smallest hashes of a text's runs of words, in order; no row for a short text."""
-    words = docs.select(F.col(id_col), plain_words(F.coalesce(F.col(text_col), F.lit(""))).alias("w")).filter(F.size("w") >= least_words)
-    hashed = words.select(id_col, F.transform("w", fnv1a).alias("h"))
-    start = F.lit(0x811C9DC5).cast("long")
-    runs = F.transform(F.sequence(F.lit(1), F.size("h") - (run - 1)), lambda i: murmur_final(F.aggregate(F.slice("h", i, run), start, fnv_step)))
-    return hashed.select(id_col, F.slice(F.array_sort(F.array_distinct(runs)), 1, size).alias("print"))
+
+    def make(batches):
+        for batch in batches:
+            ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
+            at = 0
+            while at < batch.num_rows:
+                end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + STRETCH)))
+                some = batch.slice(at, end - at)
+                at = end
+                found = prints_of(some.column(1), run, size, least_words)
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([x if x is None else x.astype(np.int64) for x in found], pa.list_(pa.int64()))], names=[id_col, "print"])
+
+    rows = docs.select(F.col(id_col), F.col(text_col).cast("string"))
+    return rows.mapInArrow(make, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, print array<long>").filter(F.col("print").isNotNull())
 
 
 def likeness(a: Column, b: Column, size: int = SIZE) -> Column:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import folds, graph, reading, streams, text
+from . import finding, folds, graph, memory, reading, streams, text, wording
 
-MODULES = (reading, graph, text, streams, folds)
+MODULES = (reading, graph, text, streams, folds, memory, wording, finding)
 
 
 def queries() -> dict:

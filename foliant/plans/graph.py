@@ -37,15 +37,15 @@ def j11_orphans(spark, d):
 
 
 def j12_counts(spark, d):
-    table(spark, d, "customer").createOrReplaceTempView("foliant_customer")
-    table(spark, d, "orders").createOrReplaceTempView("foliant_orders")
-    return spark.sql("""SELECT c_custkey, (SELECT count(*) FROM foliant_orders WHERE o_custkey = c_custkey) AS n,
-        (SELECT max(o_totalprice) FROM foliant_orders WHERE o_custkey = c_custkey) AS most FROM foliant_customer""")
+    return spark.sql(
+        "SELECT c_custkey, (SELECT count(*) FROM {orders} o WHERE o.o_custkey = c_custkey) AS n, (SELECT max(o_totalprice) FROM {orders} o WHERE o.o_custkey = c_custkey) AS most FROM {customer}",
+        customer=table(spark, d, "customer"), orders=table(spark, d, "orders"),
+    )
 
 
 def j14_full_outer(spark, d):
     a = table(spark, d, "labels").groupBy("doc_id").agg(F.count("*").alias("marks"))
-    b = table(spark, d, "documents").filter("doc_id % 3 = 0").groupBy("doc_id").agg(F.count("*").alias("pages"))
+    b = table(spark, d, "documents").withColumn("doc_id", F.col("doc_id") + 100).groupBy("doc_id").agg(F.count("*").alias("pages"))
     return a.join(b, "doc_id", "full_outer").select("doc_id", F.coalesce("marks", F.lit(0)).alias("marks"), F.coalesce("pages", F.lit(0)).alias("pages"))
 
 
@@ -123,7 +123,7 @@ ORACLE_SQL = {
     "j11_orphans": "SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)",
     "j12_counts": "SELECT c_custkey, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS n, (SELECT max(o_totalprice) FROM orders WHERE o_custkey = c_custkey) AS most FROM customer",
     "j14_full_outer": """SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(marks, 0) AS marks, coalesce(pages, 0) AS pages FROM (SELECT doc_id, count(*) AS marks FROM labels GROUP BY 1) a
-        FULL OUTER JOIN (SELECT doc_id, count(*) AS pages FROM documents WHERE doc_id % 3 = 0 GROUP BY 1) b ON a.doc_id = b.doc_id""",
+        FULL OUTER JOIN (SELECT doc_id + 100 AS doc_id, count(*) AS pages FROM documents GROUP BY 1) b ON a.doc_id = b.doc_id""",
     "a5_conditional_sums": "SELECT l_suppkey, count(*) FILTER (l_quantity <= 10) AS few, max(CASE WHEN l_returnflag = 'R' THEN l_extendedprice END) AS returned, count(*) AS n FROM lineitem GROUP BY 1",
     "a8_recount": "SELECT l_partkey, count(DISTINCT l_orderkey) AS mentions, min(l_orderkey) AS first, max(l_orderkey) AS last FROM lineitem GROUP BY 1",
     "a16_roll_up": "SELECT CAST(o_orderkey // 25 AS BIGINT) AS arc, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1 HAVING count(*) = 25",

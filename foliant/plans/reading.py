@@ -6,13 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.days import day_key
-from ..functions.text import MARKED, PLAIN
 from ..operators import library, merge, stats, temporal
 from ..sources.tables import table
 
 TODAY = "2024-01-30"
 LINE = "1998-01-01"
-_FOLD = f"translate(lower({{}}), '{MARKED}', '{PLAIN}')"
 
 
 def _days(spark: SparkSession, d: str) -> DataFrame:
@@ -76,7 +74,8 @@ def p5_values_here(spark, d):
 
 
 def o1_shelf_order(spark, d):
-    return library.ranked_shelf(table(spark, d, "part"), [F.desc("p_size")], "p_brand", "p_retailprice", "p_name", "p_partkey").select("p_partkey", "place")
+    order = [F.desc("p_size"), F.lower("p_brand"), F.col("p_retailprice"), F.lower("p_name"), F.col("p_partkey")]
+    return library.ranked_shelf(table(spark, d, "part"), order).select("p_partkey", "place")
 
 
 def a9_tag_facet(spark, d):

@@ -10,8 +10,8 @@ from ..functions.hashes import fnv1a, murmur_final
 from ..functions.vectors import packed
 from ..operators import language, prints, search, units
 from ..sources.tables import table
+from .folding import folded
 
-_FOLD = f"translate(lower({{}}), '{fn.MARKED}', '{fn.PLAIN}')"
 STOP_WORDS = sorted({w for words in language.STOP_WORDS.values() for w in words})
 QUESTION = "Where is the letter that the onwhed ingthe wrote, and the thering of it?"
 _WORDS = r"list_filter(regexp_split_to_array({}, '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')"
@@ -22,16 +22,14 @@ def f1_collapsed(spark, d):
 
 
 def f4_word_counts(spark, d):
-    return table(spark, d, "documents").select("doc_id", fn.count_words(F.col("text")).alias("words"))
+    """Documents with letters of scripts without spaces behind them, by doc_id."""
+    wide, thai = F.repeat(F.lit("水"), (F.col("doc_id") % 7).cast("int")), F.repeat(F.lit("ก"), (F.col("doc_id") % 4).cast("int"))
+    return table(spark, d, "documents").select("doc_id", fn.count_words(F.concat("text", F.lit(" "), wide, F.lit("。 "), thai)).alias("words"))
 
 
 def f5_folded(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.md5(fn.fold_for_search(F.col("text"))).alias("print"))
-
-
-def f6_norm_names(spark, d):
-    names = F.concat(F.lit("The "), F.col("p_name"), F.lit(" of Élan-"), F.col("p_brand"))
-    return table(spark, d, "part").select("p_partkey", fn.norm_name(names).alias("norm"))
+    text = F.concat(F.lit("ŁÓDŹ Øre, Ħal’s “ıŋŧ” ŉ ŀ Đ ș "), "text")
+    return table(spark, d, "documents").select("doc_id", F.md5(fn.fold_for_search(text)).alias("print"))
 
 
 def f9_title_keys(spark, d):
@@ -39,10 +37,6 @@ def f9_title_keys(spark, d):
     return table(spark, d, "pages").select("page_id", fn.title_key(title).alias("key"))
 
 
-def f12_chapter_numbers(spark, d):
-    return table(spark, d, "pages").select("page_id", fn.chapter_number(F.col("url")).alias("chapter"))
-
-
 def z5_hosts(spark, d):
     return table(spark, d, "pages").groupBy(F.parse_url("url", F.lit("HOST")).alias("host")).agg(F.count("*").alias("n"))
 
@@ -86,7 +80,7 @@ def t1_hits(spark, d):
 
 
 def t2_ranked(spark, d):
-    return search.ranked(table(spark, d, "documents"), "doc_id", "text", ["anth", "ingth"], 10, up_to=F.col("doc_id") <= 900)
+    return search.ranked(table(spark, d, "documents"), "doc_id", "text", ["anth", "ingth"], 10)
 
 
 def t2_ranked_any(spark, d):
@@ -94,9 +88,8 @@ def t2_ranked_any(spark, d):
 
 
 def t3_hits_by_source(spark, d):
-    p = search.postings(table(spark, d, "documents"), "doc_id", "text").filter("token LIKE 'anth%'")
-    sources = table(spark, d, "documents").select("doc_id", "source")
-    return p.join(sources, "doc_id").groupBy("source").agg(F.countDistinct("doc_id").alias("docs"), F.sum("tf").alias("hits"))
+    found = search.matching(table(spark, d, "documents"), "text", "anth")
+    return found.groupBy("source").agg(F.countDistinct("doc_id").alias("docs"), F.sum("h0").alias("hits"))
 
 
 def t5_nearest(spark, d):
@@ -128,9 +121,9 @@ def n1_next_turn_likeness(spark, d):
 
 
 def k3_talk_export(spark, d):
-    """A talk as Markdown, in its own order; a talk has few turns."""
+    """A talk as Markdown, in its own order."""
     said = F.concat(F.lit("**"), F.col("role"), F.lit(":** "), F.col("text"))
-    turns = F.array_sort(F.collect_list(F.struct("turn", said.alias("said"))))
+    turns = F.array_sort(F.collect_list(F.struct("turn", said.alias("said"))))  # a talk is one document in the end, so its turns meet
     body = F.array_join(F.transform(turns, lambda t: t["said"]), "\n\n")
     return table(spark, d, "conversations").groupBy("conv_id").agg(F.md5(body).alias("print"))
 
@@ -148,7 +141,7 @@ def w4_words_before(spark, d):
     return units.words_before(u, "words").select("id", "blk", "sen", "words", "before")
 
 
-QUERIES = {f.__name__: f for f in (f1_collapsed, f4_word_counts, f5_folded, f6_norm_names, f9_title_keys, f12_chapter_numbers, z5_hosts, f24_link_kinds, h1_word_hashes, h3_ids, t10_text_prints, t11_print_pairs, t13_duplicate_groups, a13_marked_majority, t9_language, t1_hits, t2_ranked, t2_ranked_any, t3_hits_by_source, t5_nearest, v2_packed, j15_named, f23_relevance, n1_next_turn_likeness, k3_talk_export, p2_units, w9_chunks, w4_words_before)}
+QUERIES = {f.__name__: f for f in (f1_collapsed, f4_word_counts, f5_folded, f9_title_keys, z5_hosts, f24_link_kinds, h1_word_hashes, h3_ids, t10_text_prints, t11_print_pairs, t13_duplicate_groups, a13_marked_majority, t9_language, t1_hits, t2_ranked, t2_ranked_any, t3_hits_by_source, t5_nearest, v2_packed, j15_named, f23_relevance, n1_next_turn_likeness, k3_talk_export, p2_units, w9_chunks, w4_words_before)}
 
 _BM25 = """WITH t AS (SELECT doc_id, {words} AS w FROM documents {where}), c AS (SELECT doc_id, len(w) AS size, {counts} FROM t),
     s AS (SELECT count(*) AS docs, avg(size) AS mean, count(*) FILTER (n0 > 0) AS d0, count(*) FILTER (n1 > 0) AS d1 FROM c)
@@ -158,7 +151,7 @@ _BM25 = """WITH t AS (SELECT doc_id, {words} AS w FROM documents {where}), c AS
 
 def _bm25(prefixes, where, op):
     counts = ", ".join(f"len(list_filter(w, lambda x: starts_with(x, '{p}'))) AS n{i}" for i, p in enumerate(prefixes))
-    return _BM25.format(words=_WORDS.format(_FOLD.format("text")).replace("{{", "{").replace("}}", "}"), where=where, counts=counts, op=op)
+    return _BM25.format(words=_WORDS.format(folded("text")).replace("{{", "{").replace("}}", "}"), where=where, counts=counts, op=op)
 
 
 _FNV = "list_reduce(list_prepend(2166136261::UBIGINT, [unicode(c)::UBIGINT FOR c IN string_split({}, '')]), lambda h, c: (xor(h, c) * 16777619) % 4294967296)"
@@ -173,17 +166,19 @@ _PRINTS = f"""SELECT doc_id, list_sort(list_distinct(list(m)))[1:16] AS print FR
 _HASHES = f"hashes AS (SELECT word, {_FNV.format('word')} AS f FROM (SELECT DISTINCT unnest({_DOC_WORDS}) AS word FROM documents))"
 _LEXICON = " UNION ALL ".join(f"SELECT '{w}' AS word, '{lang}' AS lang" for lang, words in language.STOP_WORDS.items() for w in words)
 _SEARCHED = [w for w in QUESTION.lower().replace(",", " ").replace("?", " ").split() if len(w) > 2 and w not in STOP_WORDS][:8]
-_KIND = "CASE " + " ".join(f"WHEN regexp_matches(lower(text), '{'|'.join(parts)}') THEN '{kind}'" for kind, parts in fn.LINK_KINDS.items()) + " ELSE 'other' END"
+# The parts of names by kind of link, as SQL reads them.
+_KIND = """CASE WHEN regexp_matches(lower(text), 'enem|rival|betray|hunt|oppos|against|distrust|hate|kill|fight|feud|war') THEN 'conflict'
+    WHEN regexp_matches(lower(text), 'parent|child|sibling|brother|sister|father|mother|son|daughter|family|married|spouse|wife|husband|cousin|uncle|aunt|grand') THEN 'family'
+    WHEN regexp_matches(lower(text), 'member|leader|serv|owns|owner|bound|belong|part of|rules|works for|keeper|commands|head of|citizen|resident') THEN 'belongs'
+    WHEN regexp_matches(lower(text), 'ally|allie|friend|love|trust|mentor|companion|protect|partner|lover|admire|loyal|help|saved') THEN 'bond' ELSE 'other' END"""
 
 ORACLE_SQL = {
     "f1_collapsed": "SELECT doc_id, md5(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS print FROM documents",
-    "f4_word_counts": "SELECT doc_id, CAST(len(regexp_extract_all(text, '\\S+')) AS INTEGER) AS words FROM documents",
-    "f5_folded": f"SELECT doc_id, md5({_FOLD.format('text')}) AS print FROM documents",
-    "f6_norm_names": "SELECT p_partkey, lower(p_name) || ' of elan ' || replace(lower(p_brand), '#', ' ') AS norm FROM part",
+    "f4_word_counts": "SELECT doc_id, CAST(len(regexp_extract_all(text, '\\S+')) + (doc_id % 7 * 5 + 4) // 9 + (doc_id % 4 + 2) // 5 AS INTEGER) AS words FROM documents",
+    "f5_folded": "SELECT doc_id, md5('lodz ore, hal' || chr(39) || 's ' || chr(34) || 'iŋt' || chr(34) || ' n l d s ' || " + folded("text") + ") AS print FROM documents",
     "f9_title_keys": f"""WITH t AS (SELECT page_id, regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '[(\\[][^()\\[\\]]*[)\\]]', ' ', 'g') AS t FROM pages),
         m AS (SELECT page_id, CASE WHEN regexp_matches(t, '^[\\s\\S]{{4,}}?(:| - | – | — )') THEN regexp_extract(t, '^([\\s\\S]{{4,}}?)(:| - | – | — )', 1) ELSE t END AS t FROM t)
-        SELECT page_id, regexp_replace(trim(regexp_replace(replace({_FOLD.format('t')}, '&', ' and '), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), '^(the|a|an) ', '') AS key FROM m""",
-    "f12_chapter_numbers": "SELECT page_id, CAST(nullif(regexp_extract(url, '(\\d{1,9})', 1), '') AS INTEGER) AS chapter FROM pages",
+        SELECT page_id, regexp_replace(trim(regexp_replace(replace({folded('t')}, '&', ' and '), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), '^(the|a|an) ', '') AS key FROM m""",
     "z5_hosts": "SELECT regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1) AS host, count(*) AS n FROM pages GROUP BY 1",
     "f24_link_kinds": f"SELECT {_KIND} AS kind, count(*) AS n FROM documents GROUP BY 1",
     "h1_word_hashes": f"""WITH w AS (SELECT DISTINCT unnest({_DOC_WORDS}) AS word FROM benchmark), f AS (SELECT word, {_FNV.format('word')} AS f FROM w),
@@ -201,16 +196,16 @@ ORACLE_SQL = {
         r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY w DESC, lang) AS r FROM w),
         t AS (SELECT doc_id, max(CASE WHEN r = 1 THEN lang END) AS lang, max(CASE WHEN r = 1 THEN w END) AS w1, coalesce(max(CASE WHEN r = 2 THEN w END), 0) AS w2 FROM r GROUP BY 1)
         SELECT d.doc_id, CASE WHEN w1 >= 4 AND w1 >= w2 * 1.5 THEN t.lang END AS lang_found FROM documents d LEFT JOIN t ON t.doc_id = d.doc_id""",
-    "t1_hits": f"SELECT doc_id, CAST((length(t) - length(replace(t, 'the', ''))) // 3 AS INTEGER) AS hits FROM (SELECT doc_id, {_FOLD.format('text')} AS t FROM documents) WHERE contains(t, 'the')",
-    "t2_ranked": _bm25(["anth", "ingth"], "WHERE doc_id <= 900", "AND"),
+    "t1_hits": f"SELECT doc_id, CAST((length(t) - length(replace(t, 'the', ''))) // 3 AS INTEGER) AS hits FROM (SELECT doc_id, {folded('text')} AS t FROM documents) WHERE contains(t, 'the')",
+    "t2_ranked": _bm25(["anth", "ingth"], "", "AND"),
     "t2_ranked_any": _bm25(["réeux", "keit"], "", "OR"),
-    "t3_hits_by_source": f"SELECT source, count(DISTINCT doc_id) AS docs, count(*) AS hits FROM (SELECT doc_id, source, unnest({_WORDS.format(_FOLD.format('text'))}) AS t FROM documents) WHERE starts_with(t, 'anth') GROUP BY 1",
+    "t3_hits_by_source": f"SELECT source, count(DISTINCT doc_id) AS docs, count(*) AS hits FROM (SELECT doc_id, source, unnest({_WORDS.format(folded('text'))}) AS t FROM documents) WHERE starts_with(t, 'anth') GROUP BY 1",
     "t5_nearest": "SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)), 6) AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT 6",
     "v2_packed": "SELECT vec_id, round(s, 9) AS scale, CAST(list_sum([abs(round(x::DOUBLE / s)) FOR x IN embedding]) AS INTEGER) AS size FROM (SELECT vec_id, embedding, list_max([abs(x::DOUBLE) FOR x IN embedding]) / 127.0::DOUBLE AS s FROM embeddings)",
-    "j15_named": f"""WITH n AS (SELECT array_to_string(({_WORDS.format(_FOLD.format('text'))})[1:3], ' ') AS name, item_id AS entity FROM benchmark), t AS (SELECT doc_id, ' ' || array_to_string({_WORDS.format(_FOLD.format('text'))}, ' ') || ' ' AS t FROM documents)
+    "j15_named": f"""WITH n AS (SELECT array_to_string(({_WORDS.format(folded('text'))})[1:3], ' ') AS name, item_id AS entity FROM benchmark), t AS (SELECT doc_id, ' ' || array_to_string({_WORDS.format(folded('text'))}, ' ') || ' ' AS t FROM documents)
         SELECT doc_id, entity FROM t JOIN n ON contains(t, ' ' || name || ' ')""",
     "f23_relevance": f"""SELECT conv_id, turn, score FROM (SELECT conv_id, turn, round(({' + '.join(f"CAST(contains(t, '{w}') AS INTEGER)" for w in _SEARCHED)}) / {len(_SEARCHED)}.0::DOUBLE, 6) AS score
-        FROM (SELECT conv_id, turn, trim(regexp_replace({_FOLD.format('text')}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS t FROM conversations)) WHERE score > 0""",
+        FROM (SELECT conv_id, turn, trim(regexp_replace({folded('text')}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS t FROM conversations)) WHERE score > 0""",
     "n1_next_turn_likeness": f"""WITH w AS (SELECT conv_id, turn, list_distinct({_DOC_WORDS}) AS w FROM conversations), n AS (SELECT conv_id, turn, w, lead(w) OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM w)
         SELECT conv_id, turn, round(len(list_intersect(w, n)) / len(list_distinct(list_concat(w, n))), 6) AS likeness FROM n WHERE len(w) > 0 AND len(n) > 0""",
     "k3_talk_export": "SELECT conv_id, md5(string_agg('**' || role || ':** ' || text, chr(10) || chr(10) ORDER BY turn)) AS print FROM conversations GROUP BY 1",
