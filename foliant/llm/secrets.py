@@ -1,14 +1,17 @@
 """Secret scans: patterns find candidates, a random forest removes the false positives.
 
 Candidates are strings of known formats, values assigned to names of credentials, and long runs
-of letters and digits. Their features are length, entropy, how likely their character
-transitions are in plain words, how much of them a dictionary covers, words in the path, and the
-words next to them. The forest is trained from labelled findings.
+of letters and digits; each to its real end. Their features are length, entropy, how likely their
+character transitions are in plain words, how much of them a dictionary covers, and what the words
+in the path, beside and inside them speak for. That evidence is learned, not listed: for each word
+the log odds of standing by a secret, from the labelled findings, out of fold for the forest's own
+training. So the forest is trained from labelled findings alone.
 
 Offsets are code points of the whole text. Defined results: a null text counts as empty and has
 no candidates; a null path counts as empty; equal rows have equal findings; candidates that overlap are one, the
-most specific pattern's, then the longest; `redact` carries further columns along; an empty table
-gives no rows. A fit without findings of both kinds raises an error.
+most specific pattern's, then the longest, then the first; a very long text is read whole, and a
+value of any length is taken whole; `redact` carries further columns along, whatever their names;
+an empty table gives no rows. A fit without findings of both kinds raises an error.
 """
 
 from __future__ import annotations
@@ -18,7 +21,8 @@ import math
 import random
 import re
 import string
-from collections import Counter
+from collections import Counter, defaultdict
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -33,7 +37,7 @@ from .common import by_size, whole_text, written
 
 # Published formats of credentials, most specific first.
 FORMATS = {
-    "private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]*(?:-----END [A-Z ]*PRIVATE KEY-----)?",
+    "private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:\s+[A-Za-z0-9+/]{40,}+={0,2})*+(?:(?:\s+[A-Za-z0-9+/]++={0,2})?\s*-----END [A-Z ]*PRIVATE KEY-----)?",
     "aws_access_key": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
     "github_token": r"(?<![A-Za-z0-9])gh[pousr]_[A-Za-z0-9]{36,}",
     "slack_token": r"(?<![A-Za-z0-9])xox[abprs]-[A-Za-z0-9-]{10,}",
@@ -41,22 +45,18 @@ FORMATS = {
     "google_key": r"(?<![A-Za-z0-9])AIza[A-Za-z0-9_-]{35}",
     "jwt": r"(?<![A-Za-z0-9])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
 }
-# Names of credentials; names of what only looks like one; marks of stand-ins; words of paths without real ones.
-CREDENTIAL = "password passwd pwd passphrase secret token apikey api_key api-key auth credential credentials private_key access_key bearer login".split()
-LOOKALIKE = "sha sha1 sha256 md5 hash checksum digest commit revision rev uuid guid id version build etag isbn phone card number invoice order sku serial".split()
-STAND_IN = "example changeme placeholder your dummy sample xxxx redacted todo none null insert foobar test".split()
-TEST_PATH = "test tests spec example examples mock fixture fixtures sample docs lock".split()
-
 _ASSIGNED = re.compile(r"(?i)(?:password|passwd|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|auth)\w{0,20}[\"']?\s{0,3}(?::=|=>|[:=])\s{0,3}(?:[\"'](?P<q>[^\"'\n]{6,}+)[\"']|(?P<v>[^\s\"'<>,;]{6,}+))")
 _RUN = re.compile(r"(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{16,}={0,2}")
 _FORMAT = re.compile("|".join(f"(?P<{k}>{v})" for k, v in FORMATS.items()))
 _FORMAT_START = re.compile(r"-----BEGIN|AKIA|ASIA|gh[pousr]_|xox[abprs]-|[sr]k_(?:live|test)_|AIza|eyJ")
-_WORD = re.compile(r"[\w-]+")
+_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
-FEATURES = [
-    "length", "entropy", "digits", "upper", "lower", "marks", "transitions", "class_changes", "coverage", "distinct", "longest_repeat",
-    "hex_only", "hash_size", "digits_only", "format", "assigned", "quoted", "credential_before", "credential_near", "lookalike_before", "lookalike_near", "credential_after", "stand_in", "test_path", "path_depth",
-]
+NUMBERS = ["length", "entropy", "digits", "upper", "lower", "marks", "transitions", "class_changes", "coverage", "distinct", "longest_repeat", "hex_only", "digits_only", "format", "assigned", "quoted", "path_depth"]
+#: Where words speak for or against a secret: the one before it, the six before, two after, in the path, and inside the value.
+PLACES = ["last", "near", "after", "path", "inside"]
+FEATURES = [*NUMBERS, *(f"{p}_words" for p in PLACES)]
+#: Labelled findings that a word needs before it counts, and folds for evidence in training.
+LEAST_SEEN, FOLDS = 2, 5
 
 
 class Language:
@@ -139,24 +139,18 @@ def _insert(taken: list[tuple[int, int, str]], span: tuple[int, int, str]) -> No
     bisect.insort(taken, span)
 
 
-def features(text: str, start: int, end: int, rule: str, path: str, lang: Language) -> list[float]:
-    """Numbers in the order of FEATURES."""
+def numbers(text: str, start: int, end: int, rule: str, path: str, lang: Language) -> list[float]:
+    """What the value itself and its marks say, in the order of NUMBERS."""
     value = text[start:end]
     n = len(value)
     counts = Counter(value)
-    before, after = text[max(0, start - 80) : start], text[end : end + 40]
-    words = [w.lower() for w in _WORD.findall(before)][-6:]
-    following = [w.lower() for w in _WORD.findall(after)][:2]
+    before, after = text[max(0, start - 8) : start], text[end : end + 1]
     kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "m" for c in value]
     of_kind = Counter(kinds)
     repeat = longest = 1
     for a, b in zip(value[:-1], value[1:], strict=True):
         repeat = repeat + 1 if a == b else 1
         longest = max(longest, repeat)
-    is_name = lambda w, names: any(x in names for x in re.split(r"[_\-\d]+", w)) or w in names
-    hexed = all(c in string.hexdigits for c in value)
-    low, path_words = value.lower(), re.split(r"\W+|_", path.lower())
-    last = words[-1] if words else ""
     return [
         float(n),
         -sum(k / n * math.log2(k / n) for k in counts.values()),
@@ -169,23 +163,51 @@ def features(text: str, start: int, end: int, rule: str, path: str, lang: Langua
         lang.coverage(value),
         len(counts) / n,
         float(longest),
-        float(hexed),
-        float(hexed and n in (32, 40, 56, 64, 96, 128)),
+        float(all(c in string.hexdigits for c in value)),
         float(of_kind["d"] == n),
         float(rule in FORMATS),
         float(bool(re.search(r"(?::=|=>|[:=])\s*[\"']?$", before))),
-        float(before.endswith(('"', "'")) and after.startswith(('"', "'"))),
-        float(is_name(last, CREDENTIAL)),
-        float(any(is_name(w, CREDENTIAL) for w in words)),
-        float(is_name(last, LOOKALIKE)),
-        float(any(is_name(w, LOOKALIKE) for w in words[-3:])),
-        float(any(is_name(w, CREDENTIAL) for w in following)),
-        float(any(w in low for w in STAND_IN)),
-        float(any(w in TEST_PATH for w in path_words)),
+        float(before.endswith(('"', "'")) and after in ('"', "'") and after != ""),
         float(path.count("/")),
     ]
 
 
+def words_by(text: str, start: int, end: int, path: str) -> dict[str, list[str]]:
+    """The words of each of PLACES, parts of joined names each by itself, in small letters."""
+    cut = lambda s: [w.lower() for w in _PARTS.findall(s)]
+    before = cut(text[max(0, start - 80) : start])[-6:]
+    return {"last": before[-1:], "near": before, "after": cut(text[end : end + 40])[:2], "path": cut(path), "inside": [w for w in cut(text[start : min(end, start + 4096)]) if len(w) > 2]}
+
+
+class Evidence:
+    """Log odds of each word, by place, of standing by a secret; words seen less than LEAST_SEEN times say nothing."""
+
+    def __init__(self, rows: list[tuple[dict[str, list[str]], float]]):
+        yes, no = defaultdict(Counter), defaultdict(Counter)
+        for words, label in rows:
+            for place, ws in words.items():
+                (yes if label else no)[place].update(set(ws))
+        n_yes, n_no = sum(label > 0 for _, label in rows), sum(label <= 0 for _, label in rows)
+        self.odds = {
+            place: {w: math.log((yes[place][w] + 0.5) / (n_yes + 1)) - math.log((no[place][w] + 0.5) / (n_no + 1)) for w in {*yes[place], *no[place]} if yes[place][w] + no[place][w] >= LEAST_SEEN}
+            for place in PLACES
+        }
+
+    def of(self, words: dict[str, list[str]]) -> list[float]:
+        """A place's strongest word for a secret and strongest against it, together."""
+        out = []
+        for place in PLACES:
+            said = [self.odds[place].get(w, 0.0) for w in words[place]]
+            out.append(max([0.0, *said]) + min([0.0, *said]))
+        return out
+
+
+@dataclass
+class Model:
+    forest: RandomForestClassificationModel
+    evidence: Evidence
+
+
 def labelled_findings(n: int = 4000, seed: int = 7) -> list[tuple[str, int, int, str, str, int]]:
     """(text, start, end, rule, path, label) made from rules: secrets of known formats and assigned ones, and what only looks like them."""
     r = random.Random(seed)
@@ -193,7 +215,13 @@ def labelled_findings(n: int = 4000, seed: int = 7) -> list[tuple[str, int, int,
     alnum, b64, hexes = string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", "0123456789abcdef"
     plain = "the of and river stone letter morning table quiet garden write number open value house under water follow config line server user".split()
     words = lambda k: " ".join(r.choices(plain, k=k))
-    name = lambda: r.choice(CREDENTIAL) if r.random() < 0.7 else f"{r.choice(['db', 'app', 'my', 'prod', 'client'])}_{r.choice(['password', 'secret', 'token', 'api_key'])}"
+    # How people name what is secret, what only looks so, and what stands in for a value.
+    held = "password passwd pwd passphrase secret token apikey api_key api-key authToken credential credentials private_key access_key accessKey clientSecret".split()
+    alike = "sha1 sha256 md5 hash checksum digest commit revision rev uuid guid etag version build id".split()
+    counted = "phone card order invoice ticket serial isbn sku".split()
+    stand_ins = "your_api_key_here1 changeme123456 xxxxxxxxxxxxxxxx0 example-token-12345 placeholder_value_1 test1234567890test dummyPassword1 insertTokenHere99 sampleSecret2024 todo_replace_this1".split()
+    calls = "get_token_from_env os.environ.get request.headers settings.SECRET self.password required_field the_following config.lookup(key) ${API_TOKEN} process.env.SECRET".split()
+    name = lambda: r.choice(held) if r.random() < 0.7 else f"{r.choice(['db', 'app', 'my', 'prod', 'client'])}_{r.choice(['password', 'secret', 'token', 'api_key'])}"
 
     def secret() -> tuple[str, str, str, str]:
         kind = r.randrange(9)
@@ -216,13 +244,13 @@ def labelled_findings(n: int = 4000, seed: int = 7) -> list[tuple[str, int, int,
     def other() -> tuple[str, str, str, str]:
         kind = r.randrange(11)
         if kind == 0:
-            return f"{r.choice(LOOKALIKE[:10])}{r.choice([' ', ': ', '='])}", pick(hexes, r.choice([32, 40, 64])), "", "run"
+            return f"{r.choice(alike)}{r.choice([' ', ': ', '='])}", pick(hexes, r.choice([32, 40, 64])), "", "run"
         if kind == 1:
             return "", pick("456", 1) + pick(string.digits, 15), "", "run"
         if kind == 2:
             return r.choice(["", "uuid ", "id="]), "-".join(pick(hexes, k) for k in (8, 4, 4, 4, 12)), "", "run"
         if kind == 3:
-            return f"{name()}{r.choice([' = ', '=', ': '])}", r.choice(["your_api_key_here1", "changeme123456", "xxxxxxxxxxxxxxxx0", "example-token-12345", "placeholder_value_1", "test1234567890test"]), "", "assigned"
+            return f"{name()}{r.choice([' = ', '=', ': '])}", r.choice(stand_ins), "", "assigned"
         if kind == 4:
             return "", "/".join(r.choices(plain, k=4)) + "/" + pick(string.digits, 4), "", "run"
         if kind == 5:
@@ -230,9 +258,9 @@ def labelled_findings(n: int = 4000, seed: int = 7) -> list[tuple[str, int, int,
         if kind == 6:
             return r.choice(["", "version ", "build "]), f"{r.randint(2000, 2030)}-{r.randint(10, 12)}-{r.randint(10, 28)}-{pick(string.digits, 6)}", "", "run"
         if kind == 7:
-            return f"{name()}{r.choice([' = ', ': '])}", r.choice(["get_token_from_env", "os.environ.get", "request.headers", "settings.SECRET", "self.password", "required_field", "the_following"]), "", "assigned"
+            return f"{name()}{r.choice([' = ', ': '])}", r.choice(calls), "", "assigned"
         if kind == 8:
-            return r.choice(["phone ", "order ", "invoice ", ""]), pick(string.digits, r.randint(16, 20)), "", "run"
+            return r.choice([f"{x} " for x in counted] + ["", ""]), pick(string.digits, r.randint(16, 20)), "", "run"
         if kind == 9:
             return "", "_".join(r.choices(plain, k=4)) + "_" + pick(string.digits, 2), "", "run"
         return r.choice(["", "commit ", "rev "]), pick(hexes, r.choice([32, 40])), "", "run"
@@ -249,19 +277,39 @@ def labelled_findings(n: int = 4000, seed: int = 7) -> list[tuple[str, int, int,
     return out
 
 
-def fit(spark: SparkSession, findings: list[tuple[str, int, int, str, str, int]], vocab_path: str, trees: int = 40, depth: int = 8, seed: int = 11) -> RandomForestClassificationModel:
-    """A forest from labelled findings (text, start, end, rule, path, label); they are as many as people can label."""
+def training_rows(findings: list[tuple[str, int, int, str, str, int]], vocab_path: str) -> tuple[list[list[float]], list[tuple[dict[str, list[str]], float]]]:
+    lang = language(vocab_path)
+    return [numbers(t, a, b, rule, path, lang) for t, a, b, rule, path, _ in findings], [(words_by(t, a, b, path), float(label)) for t, a, b, _, path, label in findings]
+
+
+def fit(spark: SparkSession, findings: list[tuple[str, int, int, str, str, int]], vocab_path: str, trees: int = 40, depth: int = 8, seed: int = 11) -> Model:
+    """A forest and its evidence from labelled findings (text, start, end, rule, path, label); they are as many as people can label."""
     if len({f[5] for f in findings}) < 2:
         raise ValueError("findings of both kinds are needed")
-    lang = language(vocab_path)
-    rows = [(features(t, a, b, rule, path, lang), float(label)) for t, a, b, rule, path, label in findings]
+    own, words = training_rows(findings, vocab_path)
+    rows = []
+    for fold in range(FOLDS):  # evidence for a finding is learned from others
+        rest = Evidence([w for i, w in enumerate(words) if i % FOLDS != fold])
+        rows += [(own[i] + rest.of(words[i][0]), words[i][1]) for i in range(fold, len(words), FOLDS)]
     data = spark.createDataFrame(rows, "features array<double>, label double").select(array_to_vector("features").alias("features"), "label")
-    return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed).fit(data.coalesce(1))
+    return Model(RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed).fit(data.coalesce(1)), Evidence(words))
 
 
-def scan(docs: DataFrame, model: RandomForestClassificationModel, vocab_path: str, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None, threshold: float = 0.5) -> DataFrame:
+def judged(spark: SparkSession, model: Model, findings: list[tuple[str, int, int, str, str, int]], vocab_path: str, threshold: float = 0.5) -> dict[str, float]:
+    """precision and recall on labelled findings that the model hasn't seen."""
+    own, words = training_rows(findings, vocab_path)
+    rows = [(x + model.evidence.of(w), label) for x, (w, label) in zip(own, words, strict=True)]
+    data = spark.createDataFrame(rows, "features array<double>, label double").select(array_to_vector("features").alias("features"), "label")
+    said = model.forest.transform(data).select((vector_to_array("probability")[1] >= threshold).alias("said"), (F.col("label") > 0).alias("is"))
+    hit, said_n, is_n = said.agg(F.count_if(F.col("said") & F.col("is")), F.count_if("said"), F.count_if("is")).first()
+    return {"precision": hit / max(1, said_n), "recall": hit / max(1, is_n)}
+
+
+def scan(docs: DataFrame, model: Model, vocab_path: str, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None, threshold: float = 0.5) -> DataFrame:
     """A row a candidate: doc_id, print (the text's hash), start, end, rule, value_sha256, score, is_secret."""
 
+    evidence = model.evidence
+
     def run(batches):
         lang = language(vocab_path)
         for batch in batches:
@@ -269,7 +317,7 @@ def scan(docs: DataFrame, model: RandomForestClassificationModel, vocab_path: st
                 out = []
                 for doc, print_, text, path in zip(*(some.column(c).to_pylist() for c in ("doc_id", "print", "text", "path")), strict=True):
                     for a, b, rule in candidates(text):
-                        out.append((doc, print_, a, b, rule, hashlib.sha256(text[a:b].encode("utf-8", "surrogatepass")).hexdigest(), features(text, a, b, rule, path, lang)))
+                        out.append((doc, print_, a, b, rule, hashlib.sha256(text[a:b].encode("utf-8", "surrogatepass")).hexdigest(), numbers(text, a, b, rule, path, lang) + evidence.of(words_by(text, a, b, path))))
                 cols = list(zip(*out, strict=True)) if out else [[]] * 7
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.float64()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "print", "start", "end", "rule", "value_sha256", "numbers"])
@@ -278,9 +326,9 @@ def scan(docs: DataFrame, model: RandomForestClassificationModel, vocab_path: st
     text = whole_text(text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("print"), text.alias("text"), path.alias("path"))
     found = rows.mapInArrow(run, "doc_id long, print long, start long, end long, rule string, value_sha256 string, numbers array<double>")
-    judged = model.transform(found.withColumn("features", array_to_vector("numbers")))
+    scored = model.forest.transform(found.withColumn("features", array_to_vector("numbers")))
     score = vector_to_array("probability")[1]
-    return judged.select("doc_id", "print", "start", "end", "rule", "value_sha256", score.alias("score"), (score >= threshold).alias("is_secret"))
+    return scored.select("doc_id", "print", "start", "end", "rule", "value_sha256", score.alias("score"), (score >= threshold).alias("is_secret"))
 
 
 def redact(docs: DataFrame, findings: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "<SECRET>") -> DataFrame:
