@@ -57,21 +57,24 @@ def op2_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-#: Words whose presence in a document labelled toxic marks the two finer categories, which the labels lack.
-INSULTS = "idiot moron loser clown scum fool imbecile trash".split()
-DEMEANING = "stupid pathetic worthless disgusting useless dumb ugly".split()
-CATEGORIES = ["insult", "demeaning", "toxic"]
+#: Of the labels: toxic, and toxic in a document of low quality; severity is learned.
+CATEGORIES = ["toxic", "unusable"]
+
+
+def toxicity_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, toxic, unusable: a row a labelled document."""
+    labels = table(spark, sf_dir, "labels").filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
+    by_doc = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min(F.coalesce("quality", F.lit(1))).alias("quality"))
+    return by_doc.select("doc_id", "toxic", (F.col("toxic") * (F.col("quality") == 0).cast("int")).alias("unusable"))
 
 
 def op3_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    labels = table(spark, sf_dir, "labels").filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
     # the fit reads no more labels than this, so they can be sent to every task
-    some = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(toxicity.FIT_DOCS)
-    has = lambda words: F.lower("text").rlike(r"\b(" + "|".join(words) + r")\b").cast("int")
-    labelled = docs.join(F.broadcast(some), "doc_id").withColumns({"insult": F.col("toxic") * has(INSULTS), "demeaning": F.col("toxic") * has(DEMEANING)})
-    chain = toxicity.fit(labelled, CATEGORIES)
-    return toxicity.predict(docs, chain, keep_text=False).select("doc_id", *(f"p_{c}" for c in CATEGORIES), *(f"is_{c}" for c in CATEGORIES))
+    some = toxicity_labels(spark, sf_dir).orderBy(F.xxhash64("doc_id"), "doc_id").limit(toxicity.FIT_DOCS)
+    chain = toxicity.fit(docs.join(F.broadcast(some), "doc_id"), CATEGORIES, severity_of="toxic")
+    said = toxicity.predict(docs, chain, keep_text=False)
+    return said.select("doc_id", *(f"p_{c}" for c in chain.categories), *(f"is_{c}" for c in chain.categories))
 
 
 def op7_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,11 +7,16 @@ a later model learns from what an earlier one says of texts that it hasn't seen.
 
 Words are what white space separates, lower-cased, without marks at their ends; a word's value
 is log(1 + times). The fit reads at most `fit_docs` labelled documents, chosen by a hash of their
-ids; prediction reads every whole text. Defined results: a null text counts as empty and, like a
-text without known words, gets the probabilities of having none; repeated rows are judged each on their
-own; further columns are carried along unless they have the name of an output column; an empty
-table gives an empty table; with no labelled document, or a category with labels of one kind, its
-probability is that kind's share (0 without labels).
+ids; prediction reads every whole text. Besides the labelled categories a chain may end with
+`severe`: documents of one category that hold more of the words that tell of it than half of them
+do. It is a weak label, learned from the labels, with no list of words behind it.
+
+Defined results: a null text counts as empty and, like a text without known words, gets the
+probabilities of having none; a very long text is read whole; words that tell as much are taken in
+their order; repeated rows are judged each on their own, alike; further columns are carried along
+unless they have the name of an output column; an empty table gives an empty table; with no
+labelled document, or a category with labels of one kind, its probability is that kind's share (0
+without labels).
 """
 
 from __future__ import annotations
@@ -28,7 +33,9 @@ from pyspark.sql import types as T
 from .common import by_size, whole_text, written
 
 FIT_DOCS = 10_000
-WORDS = 128
+WORDS = 256
+#: Name of the category by learned severity.
+SEVERE = "severe"
 FOLDS = 5
 LEAST_DOCS = 5
 RIDGE = 0.1
@@ -138,8 +145,26 @@ def telling_words(sample: DataFrame, categories: list[str], words: int = WORDS,
     return [r["word"] for r in best.orderBy(F.desc("told"), "word").limit(words).collect()]
 
 
-def fit(labelled: DataFrame, categories: list[str], id_col: str = "doc_id", text_col: str = "text", fit_docs: int = FIT_DOCS, words: int = WORDS, folds: int = FOLDS) -> Chain:
-    """A chain from documents with a 0/1 column for each category, in the order given. Equal texts are read once."""
+def severe_labels(counts: np.ndarray, base: np.ndarray) -> np.ndarray:
+    """1 for documents of the base category with more different telling words than its median document; a word tells if a larger share of its documents has it than of others."""
+    has = counts > 0
+    if not base.any() or base.all():
+        return np.zeros(len(base), int)
+    tells = has[base > 0].mean(axis=0) > has[base == 0].mean(axis=0)
+    n = has[:, tells].sum(axis=1)
+    return ((base > 0) & (n > np.median(n[base > 0]))).astype(int)
+
+
+def judged(labelled: DataFrame, chain: Chain, category: str, text_col: str = "text", threshold: float = THRESHOLD) -> dict[str, float]:
+    """precision and recall of a category on labelled documents, which the chain should not have seen."""
+    said = predict(labelled.select(text_col, F.col(category).alias("label")), chain, text_col, threshold, keep_text=False)
+    yes, is_ = F.col(f"is_{category}"), F.col("label") == 1
+    hit, n, m = said.agg(F.count_if(yes & is_), F.count_if(yes), F.count_if(is_)).first()
+    return {"precision": hit / max(1, n), "recall": hit / max(1, m)}
+
+
+def fit(labelled: DataFrame, categories: list[str], id_col: str = "doc_id", text_col: str = "text", fit_docs: int = FIT_DOCS, words: int = WORDS, folds: int = FOLDS, severity_of: str | None = None) -> Chain:
+    """A chain from documents with a 0/1 column for each category, in the order given, and severity of one of them last. Equal texts are read once."""
 
     def bag(batches):
         for batch in batches:
@@ -160,11 +185,15 @@ def fit(labelled: DataFrame, categories: list[str], id_col: str = "doc_id", text
                 yield pa.RecordBatch.from_arrays([*(some.column(c) for c in ("fold", *categories)), pa.array([x.tobytes() for x in got.astype("<u4")], pa.binary())], names=["fold", *categories, "counts"])
 
     got = sample.select("fold", "text", *categories).mapInArrow(counted, ", ".join(["fold int", *(f"{c} int" for c in categories), "counts binary"])).collect()  # at most fit_docs rows of `words` numbers
+    every = categories + [SEVERE] * bool(severity_of)
     if not got:
-        return Chain(categories, [], [np.array([-30.0] + [0.0] * 0) if i == 0 else np.concatenate([np.zeros(i), [-30.0]]) for i in range(len(categories))])
+        return Chain(every, [], [np.array([-30.0] + [0.0] * 0) if i == 0 else np.concatenate([np.zeros(i), [-30.0]]) for i in range(len(every))])
     order = sorted(range(len(got)), key=lambda i: (got[i]["fold"], bytes(got[i]["counts"])))
     counts = np.array([np.frombuffer(bytes(got[i]["counts"]), "<u4") for i in order], np.float64).reshape(len(got), len(chosen))
-    return fit_chain(counts, np.array([[got[i][c] or 0 for c in categories] for i in order]), np.array([got[i]["fold"] for i in order]), categories, chosen)
+    labels = np.array([[got[i][c] or 0 for c in categories] for i in order])
+    if severity_of:
+        labels = np.hstack([labels, severe_labels(counts, labels[:, categories.index(severity_of)])[:, None]])
+    return fit_chain(counts, labels, np.array([got[i]["fold"] for i in order]), every, chosen)
 
 
 def predict(docs: DataFrame, chain: Chain, text_col: str = "text", threshold: float = THRESHOLD, keep_text: bool = True) -> DataFrame:
