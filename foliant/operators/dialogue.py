@@ -9,6 +9,21 @@ from pyspark.sql import DataFrame
 
 # Opening marks and what closes them.
 PAIRS = {"“": "”", "«": "»", "„": "“", "「": "」", "『": "』", '"': '"'}
+CLOSE_ONLY = "”»」』"
+
+
+def begins_inside(text: str) -> bool:
+    """Whether a paragraph closes a quotation that it never opened."""
+    closes = min((i for c in CLOSE_ONLY if (i := text.find(c)) >= 0), default=-1)
+    opens = min((i for c in PAIRS if (i := text.find(c)) >= 0), default=-1)
+    return closes >= 0 and (opens < 0 or closes < opens)
+
+
+def quotations(text: str) -> list[tuple[int, int, bool]]:
+    """(start, end, closed) of a paragraph's quotations, marks included; one left open runs to the end, if it says anything."""
+    found, waits = split_dialogue(text)
+    out = [(a, b, not (waits and b == len(text))) for a, b, spoken in found if spoken]
+    return [q for q in out if q[2] or len(text[q[0] : q[1]].strip()) > 1]
 
 
 def split_dialogue(text: str, inside: str = "") -> tuple[list[tuple[int, int, bool]], str]:
@@ -18,6 +33,8 @@ def split_dialogue(text: str, inside: str = "") -> tuple[list[tuple[int, int, bo
     """
     out: list[tuple[int, int, bool]] = []
     start, waits = 0, inside
+    if not waits and begins_inside(text):
+        waits = next(c for c in text if c in CLOSE_ONLY)
     for i, c in enumerate(text):
         if waits:
             if c == waits:
@@ -47,3 +64,15 @@ def dialogue(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             yield pd.DataFrame(rows, columns=["id", "paragraph", "start", "end", "spoken"]).astype({"paragraph": "int32", "start": "int32", "end": "int32"})
 
     return docs.select(id_col, text_col).mapInPandas(run, f"id {kind}, paragraph int, start int, end int, spoken boolean")
+
+
+def quotation_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, paragraph, start, end, closed: the quotations of each paragraph, by itself."""
+    kind = dict(docs.dtypes)[id_col]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(doc, n, a, b, c) for doc, text in batch.itertuples(index=False) for n, p in enumerate((text or "").split("\n")) for a, b, c in quotations(p)]
+            yield pd.DataFrame(rows, columns=["id", "paragraph", "start", "end", "closed"]).astype({"paragraph": "int32", "start": "int32", "end": "int32"})
+
+    return docs.select(id_col, text_col).mapInPandas(run, f"id {kind}, paragraph int, start int, end int, closed boolean")

@@ -2,21 +2,35 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_OWN_DIR: str | None = None
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. Only a local master, whose executor is the driver, may leave it unset; a temporary one takes its place there."""
+    global _OWN_DIR
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    master = spark.conf.get("spark.master", "local")
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if _OWN_DIR is None:
+        _OWN_DIR = "file://" + tempfile.mkdtemp(prefix="spark-")
+    return _OWN_DIR
+
+
 def written(df: DataFrame) -> DataFrame:
-    """df as a table in the folder that spark.checkpoint.dir names, read again; df itself where none is named."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        return df.persist()
-    path = f"{folder.rstrip('/')}/foliant-{uuid.uuid4().hex}"
+    """df as a table in the shared folder, read again: lineage ends here."""
+    path = f"{shared_dir(df.sparkSession)}/foliant-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def co_participants(roles: DataFrame, event: str, entity: str, least: int = 2) -> DataFrame:

@@ -1,19 +1,20 @@
-"""Reading units: sentences of texts as rows, and chunks of them for an index.
+"""Reading units: sentences of texts as rows, sections, and chunks of them for an index.
 
 Sentences end at stops; what follows an abbreviation, an initial or a decimal point doesn't
-begin one. Chunks are a fold over a text's sentences, so both run text by text in Python, in
-batches; all else is DataFrame work.
+begin one. Finding the bounds is a fold over a text, so it runs in Python, on the text column alone;
+all else (rows, texts, sizes, chunks' bodies) is made from the bounds by column functions.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import collapse_space
+
 HARD = "।॥。！？؟۔"
 SOFT = ".!?…"
 CLOSERS = "\"')]}»”’"
@@ -78,45 +79,95 @@ def sentence_bounds(text: str, longest: int = LONGEST) -> list[tuple[int, int]]:
     return out
 
 
-def chunk_bounds(sizes: list[int], most_chars: int = CHUNK_CHARS, most_units: int = CHUNK_UNITS) -> list[int]:
-    """The chunk of each unit: a chunk ends before a unit once it has most_chars characters or most_units units."""
+# Words for a chapter, and numbers that may follow or precede them.
+_CHAPTER = "chapter|kapitel|chapitre|cap[ií]tulo|capitolo|hoofdstuk|rozdzia[łl]|глава|part|teil|partie|parte|book|buch|livre|libro|volume|band|tome|episode|act|akt"
+_COUNT = r"\d+|[ivxlcdm]+|one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|eins|zwei|drei|vier|un|deux|trois|uno|dos|tres"
+CHAPTER_LINE = rf"(?i)^(?:(?:{_CHAPTER})\s+(?:{_COUNT})(?![\p{{L}}\p{{N}}])|(?:prologue|epilogue|prolog|epilog|interlude|afterword|foreword|vorwort|nachwort)(?![\p{{L}}\p{{N}}])|第\s*[\d零一二三四五六七八九十百千]+\s*[章回节話话])"
+_PYTHON_LINE = re.compile(CHAPTER_LINE.replace(r"[\p{L}\p{N}]", r"[^\W_]"))
+_PROSE = r"[.!?]\s*\S+\s+\S+\s+\S+"
+LONGEST_LINE, SHORT_LINE = 90, 40
+
+
+def looks_like_chapter_line(c: Column) -> Column:
+    """A short line that names a chapter and doesn't go on as prose."""
+    t = F.trim(c)
+    return (F.length(t) <= LONGEST_LINE) & t.rlike(CHAPTER_LINE) & (~t.rlike(_PROSE) | (F.length(t) < SHORT_LINE))
+
+
+def chapter_line(line: str) -> bool:
+    t = line.strip()
+    return len(t) <= LONGEST_LINE and bool(_PYTHON_LINE.search(t)) and (len(t) < SHORT_LINE or not re.search(_PROSE, t))
+
+
+def chunk_bounds(sizes: list[int], most_chars: int = CHUNK_CHARS, most_units: int = CHUNK_UNITS, sections: list[int] | None = None) -> list[int]:
+    """The chunk of each unit: one ends before a unit of another section, or once it has most_chars characters or most_units units."""
     out, chunk, chars, units = [], 0, 0, 0
-    for n in sizes:
-        if units and (chars >= most_chars or units >= most_units):
+    for i, n in enumerate(sizes):
+        turned = bool(sections) and i > 0 and sections[i] != sections[i - 1]
+        if units and (turned or chars >= most_chars or units >= most_units):
             chunk, chars, units = chunk + 1, 0, 0
         out.append(chunk)
-        chars, units = chars + n, units + 1
+        chars, units = chars + n + bool(units), units + 1  # joined by a space
     return out
 
 
-def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, blk, sen, start, end, text, chunk: a row a sentence; blocks are lines; chunks run through the text."""
+def _layout(text: str) -> list[tuple[int, int, int, int, int, int]]:
+    """(start, end, section, block, sentence, chunk) of a text's sentences; blocks are lines, and a line that names a chapter begins a section."""
+    bounds = sentence_bounds(text)
+    places, sec, blk, sen, begin = [], 0, 0, 0, 0
+    for a, b in bounds:
+        if "\n" in text[begin:a]:
+            blk, sen = blk + 1, 0
+        if not sen and chapter_line(text[a:b]):
+            sec += 1
+        places.append((sec, blk, sen))
+        sen, begin = sen + 1, b
+    chunks = chunk_bounds([b - a for a, b in bounds], sections=[p[0] for p in places])
+    return [(a, b, *p, c) for (a, b), p, c in zip(bounds, places, chunks, strict=True)]
+
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for at in range(0, len(batch), 200):
-                rows = []
-                for doc, text in batch.iloc[at : at + 200].itertuples(index=False):
-                    bounds, blk, sen, begin = sentence_bounds(text or ""), 0, 0, 0
-                    chunks = chunk_bounds([b - a for a, b in bounds])
-                    for (a, b), chunk in zip(bounds, chunks, strict=True):
-                        if "\n" in (text[begin:a]):
-                            blk, sen = blk + 1, 0
-                        rows.append((doc, blk, sen, a, b, text[a:b], chunk))
-                        sen, begin = sen + 1, b
-                yield pd.DataFrame(rows, columns=["id", "blk", "sen", "start", "end", "text", "chunk"]).astype({"blk": "int32", "sen": "int32", "start": "int32", "end": "int32", "chunk": "int32"})
+_BOUNDS = "array<struct<start:int,end:int,sec:int,blk:int,sen:int,chunk:int>>"
 
-    source = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return source.mapInPandas(run, "id long, blk int, sen int, start int, end int, text string, chunk int")
 
+def _bounds(text: Column) -> Column:
+    @F.pandas_udf(_BOUNDS)
+    def found(texts: pd.Series) -> pd.Series:
+        names = ("start", "end", "sec", "blk", "sen", "chunk")
+        return texts.map(lambda t: [dict(zip(names, x, strict=True)) for x in _layout(t or "")])
 
-def chunks(unit_rows: DataFrame) -> DataFrame:
-    """id, chunk, start, end, body of the units' chunks; a chunk has few units."""
-    parts = F.array_sort(F.collect_list(F.struct("blk", "sen", "text")))
-    return unit_rows.groupBy("id", "chunk").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.array_join(F.transform(parts, lambda p: p["text"]), " ").alias("body"))
+    return found(text)
+
+
+def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, sec, blk, sen, start, end, text, chunk: a row a sentence; chunks run through the text."""
+    found = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("_t"), _bounds(F.col(text_col)).alias("b"))
+    rows = found.select("id", "_t", F.explode("b").alias("b"))
+    return rows.select("id", "b.sec", "b.blk", "b.sen", "b.start", "b.end", F.substring("_t", F.col("b.start") + 1, F.col("b.end") - F.col("b.start")).alias("text"), "b.chunk")
+
+
+def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, chunk, sec, start, end, body: stretches of a text, cut out of it; no sentence is a row, nothing is put together again."""
+    found = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("_t"), _bounds(F.col(text_col)).alias("b"))
+    first = F.filter(F.transform("b", lambda u, i: F.when((i == 0) | (u["chunk"] != F.get(F.col("b"), i - 1)["chunk"]), i)), lambda i: i.isNotNull())
+    found = found.withColumn("f", first)
+    at = F.transform("f", lambda i, k: F.struct(F.get(F.col("b"), i).alias("a"), F.get(F.col("b"), F.coalesce(F.get(F.col("f"), k + 1), F.size("b")) - 1)["end"].alias("end")))
+    rows = found.select("id", "_t", F.explode(at).alias("c"))
+    body = collapse_space(F.substring("_t", F.col("c.a.start") + 1, F.col("c.end") - F.col("c.a.start")))
+    return rows.select("id", F.col("c.a.chunk").alias("chunk"), F.col("c.a.sec").alias("sec"), F.col("c.a.start").alias("start"), "c.end", body.alias("body"))
+
+
+def sections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, sec, title, start, words: a text's sections, each from a line that names a chapter (the first from the begin) to the next; without SQL windows over texts, as lines stay in their row."""
+    lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.posexplode(lines).alias("n", "line"))
+    by = Window.partitionBy("id").orderBy("n")
+    titled = looks_like_chapter_line(F.col("line"))
+    numbered = rows.withColumn("sec", F.count_if(titled).over(by)).withColumn("titled", titled)
+    grouped = numbered.groupBy("id", "sec").agg(F.min_by("line", "n").alias("head"), F.max(F.struct(-F.col("n"), F.col("titled"))).alias("first"), F.min("n").alias("start"), F.sum(F.size(F.filter(F.split(F.trim("line"), r"\s+"), lambda w: w != ""))).cast("long").alias("words"))
+    return grouped.select("id", F.col("sec").cast("int").alias("sec"), F.when(F.col("first.titled"), F.trim("head")).alias("title"), "start", "words")
 
 
 def words_before(unit_rows: DataFrame, words: str) -> DataFrame:
     """unit_rows with `before`: the words ahead of each unit in its text."""
-    order = Window.partitionBy("id").orderBy("blk", "sen").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("id").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     return unit_rows.withColumn("before", F.coalesce(F.sum(words).over(order), F.lit(0)))

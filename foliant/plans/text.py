@@ -133,7 +133,29 @@ def p2_units(spark, d):
 
 
 def w9_chunks(spark, d):
-    return units.chunks(units.units(table(spark, d, "documents")))
+    return units.chunks(table(spark, d, "documents"))
+
+
+def t25_sections(spark, d):
+    """Talks as books: a heading before every fifth turn."""
+    t = table(spark, d, "conversations").filter("text IS NOT NULL")
+    headed = F.when(F.col("turn") % 5 == 0, F.concat(F.lit("Chapter "), F.col("turn").cast("string"), F.lit("\n"))).otherwise("")
+    books = t.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.concat(headed, F.replace("text", F.lit("\n"), F.lit(" "))).alias("x")))), lambda v: v["x"]), "\n").alias("text"))
+    return units.sections(books, "conv_id", "text").select("id", "sec", "title", "words")
+
+
+def f13_chapter_lines(spark, d):
+    n = (F.col("p_partkey") % 40 + 1).cast("string")
+    forms = [F.concat(F.lit("Chapter "), n), F.concat(F.lit("KAPITEL "), n, F.lit(": "), F.col("p_name")), F.concat(F.lit("Chapter one was the best. It had "), F.col("p_name"), F.lit(" and more of it in the end")), F.lit("Prologue"), F.concat(F.lit("The chapter "), n), F.concat(F.lit("第"), n, F.lit("章")), F.concat(F.lit("Part IV of "), F.repeat(F.lit("very long "), 12)), F.concat(F.lit("Chapters "), n)]
+    line = F
+    for i, form in enumerate(forms):
+        line = line.when(F.col("p_partkey") % len(forms) == i, form)
+    return table(spark, d, "part").select("p_partkey", units.looks_like_chapter_line(line.otherwise(F.lit(""))).alias("named"))
+
+
+def a14_document_words(spark, d):
+    u = units.units(table(spark, d, "documents"))
+    return u.groupBy("id").agg(F.sum(fn.count_words(F.col("text"))).cast("long").alias("words"))
 
 
 def w4_words_before(spark, d):
@@ -141,7 +163,7 @@ def w4_words_before(spark, d):
     return units.words_before(u, "words").select("id", "blk", "sen", "words", "before")
 
 
-QUERIES = {f.__name__: f for f in (f1_collapsed, f4_word_counts, f5_folded, f9_title_keys, z5_hosts, f24_link_kinds, h1_word_hashes, h3_ids, t10_text_prints, t11_print_pairs, t13_duplicate_groups, a13_marked_majority, t9_language, t1_hits, t2_ranked, t2_ranked_any, t3_hits_by_source, t5_nearest, v2_packed, j15_named, f23_relevance, n1_next_turn_likeness, k3_talk_export, p2_units, w9_chunks, w4_words_before)}
+QUERIES = {f.__name__: f for f in (f1_collapsed, f4_word_counts, f5_folded, f9_title_keys, z5_hosts, f24_link_kinds, h1_word_hashes, h3_ids, t10_text_prints, t11_print_pairs, t13_duplicate_groups, a13_marked_majority, t9_language, t1_hits, t2_ranked, t2_ranked_any, t3_hits_by_source, t5_nearest, v2_packed, j15_named, f23_relevance, n1_next_turn_likeness, k3_talk_export, p2_units, w9_chunks, t25_sections, f13_chapter_lines, a14_document_words, w4_words_before)}
 
 _BM25 = """WITH t AS (SELECT doc_id, {words} AS w FROM documents {where}), c AS (SELECT doc_id, len(w) AS size, {counts} FROM t),
     s AS (SELECT count(*) AS docs, avg(size) AS mean, count(*) FILTER (n0 > 0) AS d0, count(*) FILTER (n1 > 0) AS d1 FROM c)
@@ -173,6 +195,10 @@ _KIND = """CASE WHEN regexp_matches(lower(text), 'enem|rival|betray|hunt|oppos|a
     WHEN regexp_matches(lower(text), 'ally|allie|friend|love|trust|mentor|companion|protect|partner|lover|admire|loyal|help|saved') THEN 'bond' ELSE 'other' END"""
 
 ORACLE_SQL = {
+    "a14_document_words": "SELECT doc_id AS id, CAST(len(regexp_extract_all(text, '\\S+')) AS BIGINT) AS words FROM documents WHERE len(regexp_extract_all(text, '\\S+')) > 0",
+    "f13_chapter_lines": "SELECT p_partkey, p_partkey % 8 IN (0, 1, 3, 5) AS named FROM part",
+    "t25_sections": """WITH s AS (SELECT conv_id AS id, turn, len(regexp_extract_all(text, '\\S+')) AS w, count(*) FILTER (turn % 5 = 0) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sec FROM conversations WHERE text IS NOT NULL)
+        SELECT id, CAST(sec AS INTEGER) AS sec, CASE WHEN min(turn) % 5 = 0 THEN 'Chapter ' || min(turn) END AS title, CAST(sum(w) + count(*) FILTER (turn % 5 = 0) * 2 AS BIGINT) AS words FROM s GROUP BY id, sec""",
     "f1_collapsed": "SELECT doc_id, md5(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS print FROM documents",
     "f4_word_counts": "SELECT doc_id, CAST(len(regexp_extract_all(text, '\\S+')) + (doc_id % 7 * 5 + 4) // 9 + (doc_id % 4 + 2) // 5 AS INTEGER) AS words FROM documents",
     "f5_folded": "SELECT doc_id, md5('lodz ore, hal' || chr(39) || 's ' || chr(34) || 'iŋt' || chr(34) || ' n l d s ' || " + folded("text") + ") AS print FROM documents",

@@ -49,6 +49,15 @@ def upserts(stream: DataFrame, keys: list[str], order: str, path: str, checkpoin
     stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def changes(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """A change log of an aggregate: each batch's changed rows, with the batch's number; `latest` reads it."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 def latest(spark: SparkSession, path: str, keys: list[str], order: str) -> DataFrame:
     """A row a key of an upsert log. Batches may be written again without harm."""
     log = spark.read.parquet(path)
