@@ -41,7 +41,7 @@ EM_ROUNDS = 3
 #: Words whose scores a Python worker keeps; over this it starts anew.
 KEPT_WORDS = 300_000
 #: Sums that are in arrays at once.
-SUMS = 1 << 20
+SUMS = 1 << 18
 
 
 def words_of(texts: pa.Array | list[str | None]) -> pa.ListArray:
