@@ -36,8 +36,13 @@ SEQUENCE = 1024
 WINDOW_SEQUENCES = 64
 #: Targets by default: a source's tokens to this power, so that small sources come more often than their size says.
 TEMPER = 0.7
-#: Stretches of text whose ids a Python worker keeps; over this it starts anew.
-KEPT_STRETCHES = 400_000
+#: Stretches of text whose ids a task keeps; over this it starts anew.
+KEPT_STRETCHES = 600_000
+#: Letters up to here are the same in every version of Unicode that a splitter may follow.
+SETTLED = "\u024f"
+MARKS = tuple(".,;:!?")
+#: Stands before stretches that begin a text, and so have no space before them.
+BEGINS = "\0begins "
 END_ID = 0
 #: Queue of rows without a source.
 NO_SOURCE = "\0none"
@@ -66,54 +71,45 @@ class StretchEncoder:
         self.tokenizer = tokenizer(path)
         self.model, self.split = self.tokenizer.model, self.tokenizer.pre_tokenizer.pre_tokenize_str
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.space = self.split(" ")[0][0]  # the letter that stands for a space
+        # how the splitter spells letters that are the same in every version of Unicode
+        self.letters = {i: self.split(c)[0][0] for i in range(ord(SETTLED) + 1) if (c := chr(i)).isalpha()}
+        self.space = self.split(" ")[0][0]
         self._forget()
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}  # stretches without the space before them; those that begin a text have a mark
         self.matches: dict[str, list[int]] = {}
-        self.odd = np.zeros(0, bool)
-        self.lens = self.starts = np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.uint32)
-
-    def _ids(self, stretch: str) -> list[int]:
-        word = stretch[1:] if stretch[:1] == " " else ""
-        if word.isalpha() and word.isascii():  # most are a space and a word, or these and a mark
-            matches = [self.space + word]
-        elif word[:-1].isalpha() and word.isascii() and word[-1] in ".,;:!?":
-            matches = [self.space + word[:-1], word[-1]]
-        else:
-            matches = [letters for letters, _ in self.split(stretch)]
-        out: list[int] = []
-        for match in matches:
-            ids = self.matches.get(match)
-            if ids is None:
-                ids = self.matches[match] = [t.id for t in self.model.tokenize(match)]
-            out += ids
-        return out
-
-    def _codes(self, words: list[str], begins: bool) -> np.ndarray:
-        known, mark = self.known, "\0begins " if begins else ""
-        keys = [mark + w for w in words] if begins else words
-        codes = [known.get(k, -1) for k in keys]
-        fresh: list[list[int]] = []
-        odd: list[bool] = []
-        for i, code in enumerate(codes):
-            if code < 0:
-                k, w = keys[i], words[i]
-                code = known.get(k, -1)
-                if code < 0:
-                    code = known[k] = len(known)
-                    odd.append(not w or w[-1].isspace())
-                    fresh.append(self._ids(w) if begins else self._ids(" " + w))
-                codes[i] = code
-        if fresh:
-            lens = np.fromiter(map(len, fresh), np.int64, len(fresh))
-            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lens) - lens])
-            self.lens = np.concatenate([self.lens, lens])
-            self.flat = np.concatenate([self.flat, np.fromiter(itertools.chain.from_iterable(fresh), np.uint32, int(lens.sum()))])
-            self.odd = np.concatenate([self.odd, odd])
-        return np.array(codes, np.int64)
+        self.odd = np.zeros(1, bool)
+        self.lens, self.starts = np.ones(1, np.int64), np.zeros(1, np.int64)
+        self.flat = np.full(1, END_ID, np.uint32)  # code 0 is the end of a text
+
+    def _of_match(self, match: str) -> list[int]:
+        ids = self.matches.get(match)
+        if ids is None:
+            ids = self.matches[match] = [t.id for t in self.model.tokenize(match)]
+        return ids
+
+    def _ids(self, word: str) -> list[int]:
+        """Ids of a space and the stretch behind it; most are a word, or a word and a mark."""
+        bare = word[:-1] if word[-1:] in MARKS else word
+        if bare.isalpha() and (bare.isascii() or max(bare) <= SETTLED):
+            ids = self._of_match(self.space + (bare if bare.isascii() else bare.translate(self.letters)))
+            return ids if bare is word else ids + self._of_match(word[-1])
+        return self._of_any(" " + word)
+
+    def _of_any(self, stretch: str) -> list[int]:
+        return list(itertools.chain.from_iterable(self._of_match(letters) for letters, _ in self.split(stretch)))
+
+    def _learn(self, keys: list[str], words: list[str], ids_of) -> None:
+        """Keeps the ids of different stretches, by their keys."""
+        fresh = list(map(ids_of, words))
+        at = len(self.lens)
+        self.known.update(zip(keys, range(at, at + len(keys)), strict=True))
+        lens = np.fromiter(map(len, fresh), np.int64, len(fresh))
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lens) - lens])
+        self.lens = np.concatenate([self.lens, lens])
+        self.flat = np.concatenate([self.flat, np.fromiter(itertools.chain.from_iterable(fresh), np.uint32, int(lens.sum()))])
+        self.odd = np.concatenate([self.odd, np.fromiter((not w or w[-1].isspace() for w in words), bool, len(words))])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """uint32 ids of each text, the end id last."""
@@ -121,38 +117,42 @@ class StretchEncoder:
             self._forget()
         if not texts:
             return []
+        known = self.known
         split = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
         offsets = split.offsets.to_numpy()
         rest = pc.dictionary_encode(split.values)
         words, code = rest.dictionary.to_pylist(), rest.indices.to_numpy()
-        codes = self._codes(words, False)[code]
-        codes[offsets[:-1]] = self._codes([words[c] for c in code[offsets[:-1]].tolist()], True)
+        fresh = [w for w in words if w not in known]
+        if fresh:
+            self._learn(fresh, fresh, self._ids)
+        codes = np.fromiter(map(known.__getitem__, words), np.int64, len(words))[code]
+        begins = [words[c] for c in code[offsets[:-1]].tolist()]
+        marked = [BEGINS + w for w in begins]
+        fresh = {k: w for k, w in zip(marked, begins, strict=True) if k not in known}
+        if fresh:
+            self._learn(list(fresh), list(fresh.values()), self._of_any)
+        codes[offsets[:-1]] = np.fromiter(map(known.__getitem__, marked), np.int64, len(marked))
         whole = np.add.reduceat(self.odd[codes].astype(np.int64), offsets[:-1]) > 0
         for name in self.added:
             whole |= pc.match_substring(pa.array(texts, pa.large_string()), name).to_numpy(zero_copy_only=False)
+        codes = np.insert(codes, offsets[1:], 0)
         lens = self.lens[codes]
         ends = np.cumsum(lens)
-        flat = self.flat[np.repeat(self.starts[codes] - (ends - lens), lens) + np.arange(ends[-1] if len(ends) else 0)]
-        bounds = np.concatenate([[0], ends])[offsets]
-        out = [np.append(flat[a:b], np.uint32(END_ID)) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        flat = self.flat[np.repeat(self.starts[codes] - (ends - lens), lens) + np.arange(ends[-1])]
+        bounds = np.concatenate([[0], ends])[offsets + np.arange(len(offsets))]
+        out = [flat[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
         for i in np.flatnonzero(whole).tolist():
             out[i] = np.append(np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, np.uint32), np.uint32(END_ID))
         return out
 
 
-@lru_cache(maxsize=1)
-def encoder(path: str) -> StretchEncoder:
-    """A worker's own, kept from task to task."""
-    return StretchEncoder(path)
-
-
 def tokenised(docs: DataFrame, path: str, text_col: str = "text", source_col: str = "source") -> DataFrame:
     """A written table: part, doc_id, queue, tokens, at (tokens of that queue before it in its part), ids (little-endian bytes)."""
     queue = F.coalesce(F.col(source_col).cast("string"), F.lit(NO_SOURCE))
     rows = docs.select(F.spark_partition_id().alias("part"), F.col("doc_id").cast("long").alias("doc_id"), queue.alias("queue"), whole_text(text_col).alias("text"))
 
     def run(batches):
-        mine, before = encoder(path), {}
+        mine, before = StretchEncoder(path), {}
         wide = "<u2" if mine.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         for batch in batches:
             for some in by_size(batch, "text"):
