@@ -270,10 +270,10 @@ def labelled_findings(n: int = 4000, seed: int = 7) -> list[tuple[str, int, int,
         label = i % 2
         lead, value, tail, rule = secret() if label else other()
         before = f"{words(r.randint(0, 6))} {lead}"
-        path = "/".join(r.choices(["src", "app", "lib", "config", "deploy", "tests", "docs", "examples"], k=r.randint(1, 3))) if r.random() < 0.5 else f"src{r.randrange(40)}"
+        path = "/".join(r.choices(["src", "app", "lib", "config", "deploy", "tests", "docs", "examples"], k=r.randint(1, 3))) if r.random() < 0.5 else r.choice([f"src{r.randrange(40)}", "", "x"])
         if label and r.random() < 0.8:
             path = re.sub("tests|docs|examples", "main", path)
-        out.append((before + value + tail + " " + words(4), len(before), len(before) + len(value), rule, path, label))
+        out.append((before + value + tail + (" " + words(r.randint(1, 4)) if r.random() < 0.8 else ""), len(before), len(before) + len(value), rule, path, label))
     return out
 
 
