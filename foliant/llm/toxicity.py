@@ -2,11 +2,11 @@
 
 Categories are predicted in a fixed order. Each has a logistic regression over words, chosen by
 how much more often they occur in labelled documents of a category, and over the probabilities
-of the categories before it. In training those probabilities are predicted out of fold, so that
+of the categories before it, and a few shares that tell how a text is written. In training those probabilities are predicted out of fold, so that
 a later model learns from what an earlier one says of texts that it hasn't seen.
 
 Words are what white space separates, lower-cased, without marks at their ends; a word's value
-is log(1 + times). The fit reads at most `fit_docs` labelled documents, chosen by a hash of their
+is log2(1 + times). The fit reads at most `fit_docs` labelled documents, chosen by a hash of their
 ids; prediction reads every whole text. Besides the labelled categories a chain may end with
 `severe`: documents of one category that hold more of the words that tell of it than half of them
 do. It is a weak label, learned from the labels, with no list of words behind it.
@@ -21,6 +21,7 @@ without labels).
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,11 +35,15 @@ from .common import by_size, whole_text, written
 
 FIT_DOCS = 10_000
 WORDS = 256
+#: How much more than chance over all words a word must tell: the log likelihood ratio less the log of their number.
+LEAST_TOLD = 3.0
+#: Shares of marks, capitals and digits among the characters, and of different words among the words.
+SHAPES = 4
 #: Name of the category by learned severity.
 SEVERE = "severe"
 FOLDS = 5
 LEAST_DOCS = 5
-RIDGE = 0.1
+RIDGE = 0.02
 THRESHOLD = 0.5
 
 
@@ -66,6 +71,24 @@ def word_counts(texts: list[str], words: dict[str, int]) -> np.ndarray:
     return out
 
 
+def shapes(texts: list[str]) -> np.ndarray:
+    """(texts, SHAPES): shares from 0 to 1."""
+    t = pa.array(texts, pa.large_string())
+    n = np.maximum(pc.utf8_length(t).to_numpy().astype(float), 1)
+    found = [pc.count_substring_regex(t, p).to_numpy() / n for p in (r"[^\p{L}\p{N}\s]", r"\p{Lu}", r"\p{N}")]
+    split = pc.utf8_split_whitespace(t)
+    code = pc.dictionary_encode(split.values).indices.to_numpy().astype(np.int64)
+    sizes = np.diff(split.offsets.to_numpy())
+    pairs = np.unique(np.repeat(np.arange(len(texts)), sizes) * (int(code.max(initial=0)) + 1) + code)
+    different = np.bincount(pairs // (int(code.max(initial=0)) + 1), minlength=len(texts))
+    return np.stack([*found, different / np.maximum(sizes, 1)], axis=1)
+
+
+def features(texts: list[str], words: dict[str, int]) -> np.ndarray:
+    """(texts, words and SHAPES): log2(1 + times) of each word, and the shares, which weigh like a few words."""
+    return np.hstack([np.log2(1 + word_counts(texts, words)), 4 * shapes(texts)])
+
+
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, rounds: int = 25) -> np.ndarray:
     """Weights, the constant last, by Newton's method with a quadratic penalty."""
     x = np.hstack([x, np.ones((len(x), 1))])
@@ -105,16 +128,17 @@ class Chain:
     words: list[str]
     weights: list[np.ndarray]  # of category i: the words, the i categories before it, a constant
 
-    def predict(self, counts: np.ndarray) -> np.ndarray:
-        x = np.log1p(counts)
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        """(texts, categories): probabilities, from `features`."""
+        first = x.shape[1]
         for w in self.weights:
             x = np.hstack([x, probability(x, w)[:, None]])
-        return x[:, len(self.words) :]
+        return x[:, first:]
 
 
-def fit_chain(counts: np.ndarray, labels: np.ndarray, folds: np.ndarray, categories: list[str], words: list[str]) -> Chain:
+def fit_chain(x: np.ndarray, labels: np.ndarray, folds: np.ndarray, categories: list[str], words: list[str]) -> Chain:
     """labels: (texts, categories) of 0 and 1; folds: a number for each text."""
-    x, weights = np.log1p(counts), []
+    weights = []
     for i in range(len(categories)):
         y = labels[:, i].astype(float)
         unseen = np.zeros(len(y))
@@ -141,7 +165,7 @@ def telling_words(sample: DataFrame, categories: list[str], words: int = WORDS,
             terms = terms + F.when((seen > 0) & (expected > 0), seen * F.log(seen / expected)).otherwise(F.lit(0.0))
         return F.when(a * F.lit(all_) > n * F.lit(yes), terms).otherwise(F.lit(0.0))
 
-    best = by_word.select("word", F.greatest(*map(ratio, categories), F.lit(0.0)).alias("told")).filter(F.col("told") > 5.0)
+    best = by_word.select("word", F.greatest(*map(ratio, categories), F.lit(0.0)).alias("told")).filter(F.col("told") > LEAST_TOLD + math.log(max(1, by_word.count())))
     return [r["word"] for r in best.orderBy(F.desc("told"), "word").limit(words).collect()]
 
 
@@ -181,19 +205,19 @@ def fit(labelled: DataFrame, categories: list[str], id_col: str = "doc_id", text
     def counted(batches):
         for batch in batches:
             for some in by_size(batch, "text"):
-                got = word_counts(some.column("text").to_pylist(), number)
-                yield pa.RecordBatch.from_arrays([*(some.column(c) for c in ("fold", *categories)), pa.array([x.tobytes() for x in got.astype("<u4")], pa.binary())], names=["fold", *categories, "counts"])
+                got = features(some.column("text").to_pylist(), number)
+                yield pa.RecordBatch.from_arrays([*(some.column(c) for c in ("fold", *categories)), pa.array([x.tobytes() for x in got.astype("<f8")], pa.binary())], names=["fold", *categories, "x"])
 
-    got = sample.select("fold", "text", *categories).mapInArrow(counted, ", ".join(["fold int", *(f"{c} int" for c in categories), "counts binary"])).collect()  # at most fit_docs rows of `words` numbers
+    got = sample.select("fold", "text", *categories).mapInArrow(counted, ", ".join(["fold int", *(f"{c} int" for c in categories), "x binary"])).collect()  # at most fit_docs rows of `words` numbers
     every = categories + [SEVERE] * bool(severity_of)
     if not got:
-        return Chain(every, [], [np.array([-30.0] + [0.0] * 0) if i == 0 else np.concatenate([np.zeros(i), [-30.0]]) for i in range(len(every))])
-    order = sorted(range(len(got)), key=lambda i: (got[i]["fold"], bytes(got[i]["counts"])))
-    counts = np.array([np.frombuffer(bytes(got[i]["counts"]), "<u4") for i in order], np.float64).reshape(len(got), len(chosen))
+        return Chain(every, [], [np.concatenate([np.zeros(SHAPES + i), [-30.0]]) for i in range(len(every))])
+    order = sorted(range(len(got)), key=lambda i: (got[i]["fold"], bytes(got[i]["x"])))
+    x = np.array([np.frombuffer(bytes(got[i]["x"]), "<f8") for i in order])
     labels = np.array([[got[i][c] or 0 for c in categories] for i in order])
     if severity_of:
-        labels = np.hstack([labels, severe_labels(counts, labels[:, categories.index(severity_of)])[:, None]])
-    return fit_chain(counts, labels, np.array([got[i]["fold"] for i in order]), every, chosen)
+        labels = np.hstack([labels, severe_labels(x[:, : len(chosen)], labels[:, categories.index(severity_of)])[:, None]])
+    return fit_chain(x, labels, np.array([got[i]["fold"] for i in order]), every, chosen)
 
 
 def predict(docs: DataFrame, chain: Chain, text_col: str = "text", threshold: float = THRESHOLD, keep_text: bool = True) -> DataFrame:
@@ -209,7 +233,7 @@ def predict(docs: DataFrame, chain: Chain, text_col: str = "text", threshold: fl
             filled = batch.set_column(batch.schema.get_field_index(text_col), text_col, pc.fill_null(batch.column(text_col), ""))
             at = 0
             for some in by_size(filled, text_col):
-                p = chain.predict(word_counts(some.column(text_col).to_pylist(), number))
+                p = chain.predict(features(some.column(text_col).to_pylist(), number))
                 own = batch.slice(at, some.num_rows)
                 at += some.num_rows
                 yield pa.RecordBatch.from_arrays([*(own.column(c) for c in kept), *(pa.array(p[:, i]) for i in range(p.shape[1])), *(pa.array(p[:, i] >= threshold) for i in range(p.shape[1]))], names=[*kept, *added])

@@ -255,7 +255,7 @@ def test_toxicity_chain(spark):
         made.append((i, text, int(bad), int(rude)))
     data = spark.createDataFrame(made, "doc_id long, text string, toxic int, rude int")
     chain = toxicity.fit(data, ["rude", "toxic"])
-    assert len(chain.weights[1]) == len(chain.words) + 2  # the words, the category before, a constant
+    assert len(chain.weights[1]) == len(chain.words) + toxicity.SHAPES + 2  # the words, the shares, the category before, a constant
     more = spark.createDataFrame([(1, "quiet idiot garden", "x"), (2, prose(r, 3000), "x"), (3, None, None), (4, "", "x"), (5, "WORTHLESS, idiot.", "x")], "doc_id long, text string, p_toxic string")
     got = {x["doc_id"]: (x["is_toxic"], x["is_rude"]) for x in toxicity.predict(more, chain).collect()}
     assert got == {1: (True, False), 2: (False, False), 3: (False, False), 4: (False, False), 5: (True, True)}
