@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import files, finding, folds, graph, memory, reading, streams, text, wording
+from . import files, finding, folds, graph, memory, more, reading, streams, text, wording
 
-MODULES = (reading, graph, text, streams, folds, memory, wording, finding, files)
+MODULES = (reading, graph, text, streams, folds, memory, wording, finding, files, more)
 
 
 def queries() -> dict:

@@ -305,3 +305,37 @@ def imported(books_: DataFrame, chapters: DataFrame, bodies: DataFrame) -> DataF
     titled = books_.select(F.col("url").alias("book_url"), F.col("title").alias("book"))
     rows = chapters.join(titled, "book_url").join(bodies.select("url", "body"), "url", "left")
     return rows.select("book", F.col("position").alias("place"), "title", F.col("body").alias("text"))
+
+
+def feed_rows(feeds: DataFrame, id_col: str, feed_col: str) -> DataFrame:
+    """id, n, title, author, link, type: the entries of catalogues; none for what can't be read."""
+
+    @F.pandas_udf("array<struct<title:string,author:string,link:string,type:string>>")
+    def read(texts: pd.Series) -> pd.Series:
+        def of(t):
+            try:
+                return [dict(zip(("title", "author", "link", "type"), e, strict=True)) for e in feed_entries(t or "")]
+            except (Unreadable, ValueError, AttributeError):
+                return []
+
+        return texts.map(of)
+
+    rows = feeds.select(id_col, F.posexplode(read(F.col(feed_col))).alias("n", "e"))
+    return rows.select(id_col, "n", "e.*")
+
+
+def clip_rows(overlays: DataFrame, id_col: str, smil_col: str) -> DataFrame:
+    """id, n, place, begin, end: the clips of narration overlays, clock values as written."""
+
+    @F.pandas_udf("array<struct<place:string,begin:string,end:string>>")
+    def read(texts: pd.Series) -> pd.Series:
+        def of(t):
+            try:
+                return [dict(zip(("place", "begin", "end"), c, strict=True)) for c in clips(t or "")]
+            except Unreadable:
+                return []
+
+        return texts.map(of)
+
+    rows = overlays.select(id_col, F.posexplode(read(F.col(smil_col))).alias("n", "c"))
+    return rows.select(id_col, "n", "c.*")
