@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import collapse_space, merged_intervals
-from ..operators import dialogue, scripts, speech
+from ..operators import audio, dialogue, scripts, speech
 from ..sources import books, detect, web
 from ..sources.tables import table
 
@@ -166,14 +166,24 @@ def t24_relocated(spark, d):
     return old.join(best, ["conv_id", "turn"], "left").select("conv_id", "turn", F.coalesce("b.rank", F.lit(3)).alias("rank"), F.coalesce("b.at", F.col("turn")).alias("at"))
 
 
+def q2_measured(spark, d):
+    """Clips of 8-bit sound, a tenth of a second of one level and one of silence, by order."""
+    head = bytes.fromhex("52494646") + (36 + 1600).to_bytes(4, "little") + b"WAVEfmt " + bytes.fromhex("10000000" "01000100" "401F0000" "401F0000" "01000800") + b"data" + (1600).to_bytes(4, "little")
+    level = F.lpad(F.hex((F.lit(130) + F.col("o_orderkey") % 100).cast("int")), 2, "0")
+    content = F.unhex(F.concat(F.lit(head.hex()), F.repeat(level, 800), F.repeat(F.lit("80"), 800)))
+    m = audio.measured(table(spark, d, "orders").select("o_orderkey", content.alias("content")), "o_orderkey", "content")
+    return m.select("o_orderkey", "rate", F.round("seconds", 6).alias("seconds"), F.round("peak", 6).alias("peak"), F.round("rms", 6).alias("rms"), F.round("largest_step", 6).alias("step"), F.round(F.col("silences")[0]["start"], 6).alias("quiet_from"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (s5_decoded, s3_formats, s10_fb2, s12_rtf, s13_html_blocks, s14_markdown, t20_articles, s19_web_chapters, s22_imported, t7_scripts, t9_resolved, f3_word_spans, f15_speech_hints, f16_respelled, f17_spoken, f18_quiet_lines, f20_quotations, a12_running_heads, x1_objects, t24_relocated)
+    for f in (q2_measured, s5_decoded, s3_formats, s10_fb2, s12_rtf, s13_html_blocks, s14_markdown, t20_articles, s19_web_chapters, s22_imported, t7_scripts, t9_resolved, f3_word_spans, f15_speech_hints, f16_respelled, f17_spoken, f18_quiet_lines, f20_quotations, a12_running_heads, x1_objects, t24_relocated)
 }
 
 _WORDS = r"list_filter(regexp_split_to_array({}, '\s+'), lambda w: w <> '')"
 
 ORACLE_SQL = {
+    "q2_measured": "SELECT o_orderkey, 8000 AS rate, 0.2::DOUBLE AS seconds, round(x, 6) AS peak, round(x / sqrt(2), 6) AS rms, round(x, 6) AS step, CASE WHEN 20 * log10(x) >= -45 THEN 0.1 ELSE 0.0 END::DOUBLE AS quiet_from FROM (SELECT o_orderkey, (2 + o_orderkey % 100) / 128.0::DOUBLE AS x FROM orders)",
     "s5_decoded": "SELECT doc_id, md5(coalesce(text, '')) AS print FROM documents",
     "s3_formats": """SELECT p_partkey, CASE p_partkey % 9 WHEN 3 THEN 'picture' WHEN 4 THEN 'audio' END AS media, CASE p_partkey % 9 WHEN 0 THEN 'pdf' WHEN 1 THEN 'rtf' WHEN 2 THEN 'djvu' WHEN 3 THEN 'unknown' WHEN 4 THEN 'unknown' WHEN 5 THEN 'html' WHEN 6 THEN 'markdown' ELSE 'text' END AS format,
         p_partkey % 9 IN (2, 4, 8) AS is_binary FROM part""",
