@@ -40,7 +40,7 @@ def _tidy(name: str) -> str:
 def roman(word: str) -> int | None:
     """A numeral's value, if it is one as people write them."""
     units = [ROMAN.get(c, 0) for c in word]
-    total = sum(-a if a < b else a for a, b in zip(units, [*units[1:], 0], strict=True))
+    total = sum(-a if a < b else a for a, b in zip(units, [*units[1:], 0], strict=False))
     if not 0 < total <= MOST_ROMAN:
         return None
     tens = "".join(("", "x", "xx", "xxx", "xl", "l", "lx", "lxx", "lxxx", "xc")[total // 10 % 10])
