@@ -1,7 +1,9 @@
 """A corpus pipeline: language identification, near-duplicates, repeated passages, secrets, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor has kept; all but the
-last return the columns of documents. A stage's result is written as Parquet and read again.
+last return the columns of documents, in order, and carry further ones along whatever their names.
+Very long texts are read whole; an empty table stays one. A stage's result is written as Parquet
+and read again.
 """
 
 from __future__ import annotations
@@ -24,7 +26,8 @@ def _pieces() -> str:
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known with a posterior of LEAST_SCORE; a null lang becomes the one found.
 
-    Rejected are texts that are null or have no letter, and those torn between languages.
+    Rejected are texts that are null, empty or without a letter, and those torn between languages; with no lang to
+    learn from all are. Repeated rows are judged alike; ties go to the language first in the alphabet.
     """
     model = langid.fit(docs, _pieces())
     found = langid.predict(_bundled(docs), model)
@@ -48,20 +51,23 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the bytes of strings of 100 bytes that are also earlier; every document stays."""
+    """Texts without the bytes of strings of 100 bytes that are also earlier; every document stays.
+
+    A null text becomes empty; a null id is later than all others; of equal strings in one document the first stays.
+    """
     cut = repeats.remove(_bundled(docs), keep="text")
     return _counted(_unbundled(cut, docs, {"text": F.col("kept")}))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with secrets replaced by a mark; every document stays."""
+    """Texts with secrets replaced by a mark; every document stays, null and empty texts as they are."""
     model = secrets.fit(spark, secrets.labelled_findings(), _pieces())
     findings = secrets.scan(docs, model, _pieces(), path_col="source")
     return _counted(secrets.redact(docs, findings)).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of 1024 tokens."""
+    """The pieces of all documents in sequences of 1024 tokens; a null or empty text is the end id alone, a null source a queue of its own."""
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
