@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from foliant.functions import text as fn
@@ -123,4 +124,27 @@ def test_chunks_end_before_a_unit():
 def test_units_cover_the_text(spark):
     rows = [(1, "One. Two three.\nFour!"), (2, None), (3, ""), (None, "x")]
     got = units.units(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert [(r["id"], r["blk"], r["sen"], r["text"]) for r in got] == [(1, 0, 0, "One."), (1, 0, 1, "Two three."), (1, 1, 0, "Four!")]
+    assert sorted(((r["id"] or 0), r["blk"], r["sen"], r["text"]) for r in got) == [(0, 0, 0, "x"), (1, 0, 0, "One."), (1, 0, 1, "Two three."), (1, 1, 0, "Four!")]
+
+
+def test_chunks_end_with_their_section(spark):
+    assert units.chunk_bounds([5, 5, 5], sections=[0, 0, 1]) == [0, 0, 1]
+    text = "Some words here. And more.\nChapter 2\nOther  words follow. The end."
+    got = units.chunks(spark.createDataFrame([(1, text)], "doc_id long, text string")).orderBy("chunk").collect()
+    assert [(r["sec"], r["body"]) for r in got] == [(0, "Some words here. And more."), (1, "Chapter 2 Other words follow. The end.")]
+    assert [text[r["start"] : r["end"]] for r in got] == ["Some words here. And more.", "Chapter 2\nOther  words follow. The end."]
+
+
+@pytest.mark.parametrize(
+    "name, number",
+    [("Vol. 2 Chapter 4", 4.0), ("The 100 Doors", None), ("Ch. 12.5: Dusk", 12.5), ("12 - Dawn", 12.0), ("第12章", 12.0), ("Episode 3", 3.0), ("c12", 12.0), ("Prologue", None), ("Chapter 1,234: end", 1234.0), ("12th day", None)],
+)
+def test_chapter_numbers(spark, name, number):
+    assert one(spark, fn.chapter_number(F.lit(name))) == number
+
+
+def test_accents_fold(spark):
+    assert one(spark, fn.fold_for_search(F.lit("Łódź “Øre”"))) == 'lodz "ore"'
+    assert one(spark, fn.tidy_name(F.lit("LordOfTheDead"))) == "Lord of the Dead"
+    assert one(spark, fn.tidy_name(F.lit("Mountain_King"))) == "Mountain King"
+    assert one(spark, fn.tidy_name(F.lit("McDonald"))) == "McDonald" and one(spark, fn.tidy_name(F.lit("DeShawn"))) == "DeShawn"
