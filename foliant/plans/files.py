@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import collapse_space, merged_intervals
+from ..functions.text import merged_intervals
 from ..operators import audio, dialogue, scripts, speech
 from ..sources import books, detect, web
 from ..sources.tables import table
@@ -208,5 +208,9 @@ ORACLE_SQL = {
         SELECT id, len(q) AS n, CAST(list_sum(q) AS BIGINT) AS chars, len(q) AS closed FROM q WHERE len(q) > 0""",
     "a12_running_heads": """WITH p AS (SELECT conv_id, count(DISTINCT turn) AS p FROM conversations GROUP BY 1), h AS (SELECT conv_id, turn, unnest(['talk #', 'part #', role]) AS head FROM conversations)
         SELECT conv_id, head, count(DISTINCT turn) AS n FROM h JOIN p USING (conv_id) GROUP BY conv_id, head, p HAVING count(DISTINCT turn) >= greatest(3, ceil(p * 0.3))""",
+    "t24_relocated": """WITH o AS (SELECT conv_id, turn, text FROM conversations WHERE text IS NOT NULL), n AS (SELECT conv_id, turn + 1 AS place, CASE turn % 4 WHEN 0 THEN text WHEN 1 THEN 'Well, ' || text WHEN 2 THEN array_to_string(string_split(text, ' ')[1:4], ' ') || ' and then all else' ELSE 'another thing' END AS now FROM o),
+        m AS (SELECT o.conv_id, o.turn, place, abs(place - turn) AS far, CASE WHEN text = now THEN 0 WHEN contains(now, text) THEN 1 WHEN array_to_string(string_split(text, ' ')[1:4], ' ') = array_to_string(string_split(now, ' ')[1:4], ' ') THEN 2 END AS rank FROM o JOIN n ON n.conv_id = o.conv_id AND abs(place - turn) <= 8),
+        b AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY rank, far, place) AS r FROM m WHERE rank IS NOT NULL)
+        SELECT o.conv_id, o.turn, CAST(coalesce(rank, 3) AS INTEGER) AS rank, coalesce(place, o.turn) AS "at" FROM o LEFT JOIN b ON b.conv_id = o.conv_id AND b.turn = o.turn AND r = 1""",
     "x1_objects": "SELECT p_partkey, p_name AS summary, CASE WHEN p_partkey % 5 <> 0 THEN p_size END AS size FROM part WHERE p_partkey % 4 < 3",
 }
