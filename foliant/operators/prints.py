@@ -106,6 +106,16 @@ def print_pairs(prints: DataFrame, id_col: str, most_in_block: int = MOST_IN_BLO
     return pairs.join(x, "a").join(y, "b").select("a", "b", likeness(F.col("pa"), F.col("pb")).alias("likeness"))
 
 
+def candidate_pairs(prints: DataFrame, titles: DataFrame, id_col: str, key_col: str, most_in_block: int = MOST_IN_BLOCK) -> DataFrame:
+    """a, b (a < b) of texts that may be the same book: they share a title's key or a hash of their prints, in a block of 2 to most_in_block; the cap is part of the operator."""
+    by_hash = prints.select(id_col, F.explode("print").alias("h")).select(id_col, F.concat(F.lit("h"), F.col("h").cast("string")).alias("k"))
+    by_title = titles.filter(F.col(key_col) != "").select(id_col, F.concat(F.lit("t"), F.col(key_col)).alias("k"))
+    blocks = written(by_hash.union(by_title))
+    usual = blocks.groupBy("k").agg(F.count("*").alias("n")).filter(F.col("n").between(2, most_in_block)).select("k")
+    kept = blocks.join(usual, "k")
+    return kept.select("k", F.col(id_col).alias("a")).join(kept.select("k", F.col(id_col).alias("b")), "k").filter("a < b").select("a", "b").distinct()
+
+
 def why_same(likeness_: Column, same_title: Column, same_author: Column) -> Column:
     """Null where two books are not the same; likeness may be null."""
     return F.when(likeness_ >= SAME_TEXT, "text").when(likeness_ < OTHER_TEXT, F.lit(None).cast("string")).when(same_title & same_author, "title")

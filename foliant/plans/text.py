@@ -63,6 +63,12 @@ def t11_print_pairs(spark, d):
     return prints.print_pairs(p, "doc_id").select("a", "b", F.round("likeness", 6).alias("likeness"))
 
 
+def j9_candidate_pairs(spark, d):
+    docs = table(spark, d, "documents")
+    titles = docs.select("doc_id", F.lower(F.substring_index("text", " ", 2)).alias("key"))
+    return prints.candidate_pairs(prints.text_prints(docs, "doc_id", "text"), titles, "doc_id", "key")
+
+
 def t13_duplicate_groups(spark, d):
     return prints.duplicate_groups(prints.text_prints(table(spark, d, "documents"), "doc_id", "text"), "doc_id")
 
@@ -163,7 +169,7 @@ def w4_words_before(spark, d):
     return units.words_before(u, "words").select("id", "blk", "sen", "words", "before")
 
 
-QUERIES = {f.__name__: f for f in (f1_collapsed, f4_word_counts, f5_folded, f9_title_keys, z5_hosts, f24_link_kinds, h1_word_hashes, h3_ids, t10_text_prints, t11_print_pairs, t13_duplicate_groups, a13_marked_majority, t9_language, t1_hits, t2_ranked, t2_ranked_any, t3_hits_by_source, t5_nearest, v2_packed, j15_named, f23_relevance, n1_next_turn_likeness, k3_talk_export, p2_units, w9_chunks, t25_sections, f13_chapter_lines, a14_document_words, w4_words_before)}
+QUERIES = {f.__name__: f for f in (f1_collapsed, f4_word_counts, f5_folded, f9_title_keys, z5_hosts, f24_link_kinds, h1_word_hashes, h3_ids, t10_text_prints, t11_print_pairs, j9_candidate_pairs, t13_duplicate_groups, a13_marked_majority, t9_language, t1_hits, t2_ranked, t2_ranked_any, t3_hits_by_source, t5_nearest, v2_packed, j15_named, f23_relevance, n1_next_turn_likeness, k3_talk_export, p2_units, w9_chunks, t25_sections, f13_chapter_lines, a14_document_words, w4_words_before)}
 
 _BM25 = """WITH t AS (SELECT doc_id, {words} AS w FROM documents {where}), c AS (SELECT doc_id, len(w) AS size, {counts} FROM t),
     s AS (SELECT count(*) AS docs, avg(size) AS mean, count(*) FILTER (n0 > 0) AS d0, count(*) FILTER (n1 > 0) AS d1 FROM c)
@@ -216,6 +222,8 @@ ORACLE_SQL = {
         k AS (SELECT doc_id, h FROM b WHERE h IN (SELECT h FROM u)), pairs AS (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM k x JOIN k y ON x.h = y.h AND x.doc_id < y.doc_id),
         l AS (SELECT a, b, list_sort(list_distinct(list_concat(x.print, y.print)))[1:16] AS s, x.print AS px, y.print AS py FROM pairs JOIN p x ON a = x.doc_id JOIN p y ON b = y.doc_id)
         SELECT a, b, round(len(list_intersect(list_intersect(s, px), py)) / len(s), 6) AS likeness FROM l""",
+    "j9_candidate_pairs": f"""WITH {_HASHES}, p AS ({_PRINTS}), b AS (SELECT doc_id, 'h' || unnest(print) AS k FROM p UNION ALL SELECT doc_id, 't' || t FROM (SELECT doc_id, lower(array_to_string(string_split(text, ' ')[1:2], ' ')) AS t FROM documents) WHERE t <> ''),
+        u AS (SELECT k FROM b GROUP BY k HAVING count(*) BETWEEN 2 AND 40), x AS (SELECT * FROM b WHERE k IN (SELECT k FROM u)) SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM x JOIN x y ON x.k = y.k AND x.doc_id < y.doc_id""",
     "a13_marked_majority": "SELECT source, lang, n FROM (SELECT source, lang, CAST(sum(n_chars) AS BIGINT) AS n, row_number() OVER (PARTITION BY source ORDER BY sum(n_chars) DESC, lang) AS r FROM documents GROUP BY 1, 2) WHERE r = 1",
     "t9_language": f"""WITH x AS ({_LEXICON}), l AS (SELECT word, lang, 1.0::DOUBLE / count(*) OVER (PARTITION BY word) AS weight FROM x),
         w AS (SELECT doc_id, lang, round(sum(weight), 6) AS w FROM (SELECT doc_id, unnest({_DOC_WORDS}) AS word FROM documents) JOIN l USING (word) GROUP BY 1, 2),
