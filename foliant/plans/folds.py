@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import communities, dialogue, links, sequences
+from ..operators import communities, dialogue, links, sequences, speakers
 from ..sources.tables import table
 
 
@@ -30,6 +30,14 @@ def m10_communities(spark, d):
     return communities.communities(edges, "nation")
 
 
-QUERIES = {f.__name__: f for f in (a15_batches, t22_list_alignment, f19_dialogue, m10_communities)}
+def t16_speakers(spark, d):
+    """Talks as stories: two speakers with tags, and a third turn of theirs without one."""
+    line = F.when(F.col("turn") % 3 == 0, "“Go on,” said Anna.").when(F.col("turn") % 3 == 1, "“No, and why should I?” Tom answered.").otherwise("“Well.”")
+    return speakers.speakers(table(spark, d, "conversations").select("conv_id", "turn", line.alias("line")), "conv_id", "turn", "line").select("conv_id", "turn", "who")
 
-ORACLE_SQL: dict[str, str] = {}
+
+QUERIES = {f.__name__: f for f in (t16_speakers, a15_batches, t22_list_alignment, f19_dialogue, m10_communities)}
+
+ORACLE_SQL: dict[str, str] = {
+    "t16_speakers": """SELECT conv_id, turn, CASE WHEN turn % 3 = 1 THEN 'Tom' WHEN turn % 3 = 0 OR n >= 2 THEN 'Anna' END AS who FROM (SELECT *, count(*) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING) AS n FROM conversations)""",
+}
