@@ -18,12 +18,17 @@ DIVISIONS = frozenset("html body div section article main header footer nav asid
 ENDS = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 
 
+#: Elements within each other; what is deeper belongs to the one at this depth.
+MOST_DEPTH = 200
+
+
 @dataclass
 class Node:
     name: str
     parent: Node | None = None
     names: str = ""  # class and id
     parts: list = field(default_factory=list)  # nodes and texts
+    depth: int = 0
 
     def raw(self) -> str:
         return "".join(p if isinstance(p, str) else f" {p.raw()} " if p.name in BLOCKS or p.name in DIVISIONS or p.name == "br" else p.raw() for p in self.parts if isinstance(p, str) or p.name not in SILENT)
@@ -63,9 +68,9 @@ class _Reader(HTMLParser):
         if tag in ENDS:
             self._close(*ENDS[tag])
         given = dict(attrs)
-        node = Node(tag, self.at, f"{given.get('class') or ''} {given.get('id') or ''}".strip().lower())
+        node = Node(tag, self.at, f"{given.get('class') or ''} {given.get('id') or ''}".strip().lower(), depth=self.at.depth + 1)
         self.at.parts.append(node)
-        if tag not in VOID:
+        if tag not in VOID and node.depth < MOST_DEPTH:
             self.at = node
 
     def handle_endtag(self, tag):

@@ -100,6 +100,11 @@ def test_the_article_of_a_page():
     assert web.blocks_of(web.article_node(web.tree("<p>x"))) == [("paragraph", 0, "x")] and web.blocks_of(web.tree(None)) == []
 
 
+def test_a_tree_of_any_depth():
+    assert web.blocks_of(web.tree("<div>" * 5000 + "<p>deep" + "<b>x" * 5000)) != []
+    assert len(web.blocks_of(web.tree("<p><b>one<br>" * 3000))) == 3000
+
+
 def test_speech():
     made = [("Kael Ardent", "K A"), ("Kael", "kay")]
     import re
