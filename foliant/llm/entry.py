@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, html_main, langid, media, order_minhash, packing, repeats, secrets, toxicity
+from . import ann, bpe, html_main, langid, media, merge_queue, order_minhash, packing, repeats, secrets, toxicity
 from .common import table, written
 
 
@@ -86,6 +86,10 @@ def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op13_merge_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge_queue.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_mixture_packing": op2_mixture_packing,
@@ -97,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_order_minhash": op8_order_minhash,
     "op9_bpe_codec": op9_bpe_codec,
     "op10_nearest_vectors": op10_nearest_vectors,
+    "op13_merge_queue": op13_merge_queue,
 }
 
 ORACLE_SQL: dict[str, str] = {
