@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, html_main, langid, media, merge_queue, order_minhash, packing, repeats, secrets, toxicity
+from . import ann, bpe, html_main, langid, media, merge_queue, order_minhash, packing, repeats, secrets, threshold, toxicity
 from .common import table, written
 
 
@@ -86,6 +86,10 @@ def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_threshold_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return threshold.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
 def op13_merge_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge_queue.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -101,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_order_minhash": op8_order_minhash,
     "op9_bpe_codec": op9_bpe_codec,
     "op10_nearest_vectors": op10_nearest_vectors,
+    "op11_threshold_search": op11_threshold_search,
     "op13_merge_queue": op13_merge_queue,
 }
 
@@ -119,4 +124,21 @@ ORACLE_SQL: dict[str, str] = {
             SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS "rank", vec_id, score FROM pairs
         )
         SELECT query_id, "rank", vec_id, score FROM ranked WHERE "rank" <= 5""",
+    "op11_threshold_search": r"""
+        WITH words AS (
+            SELECT row_number() OVER () AS r, doc_id,
+                   regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t
+            FROM documents WHERE text IS NOT NULL
+        ), asked AS (
+            SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+            FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL
+        ), totals AS (SELECT count(*) AS n_docs, CAST(sum(len(t)) AS BIGINT) AS n_terms FROM words WHERE len(t) > 0),
+        tf AS (SELECT r, doc_id, len(t) AS n, unnest(t) AS term FROM words),
+        counts AS (SELECT r, doc_id, n, term, count(*) AS tf FROM tf WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+        df AS (SELECT term, count(*) AS df FROM counts GROUP BY term),
+        weights AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS w FROM df, totals),
+        parts AS (SELECT r, doc_id, term, (1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms)) AS part FROM counts, totals),
+        scores AS (SELECT item_id, r, doc_id, CAST(sum(w * part) AS BIGINT) AS score FROM asked JOIN weights USING (term) JOIN parts USING (term) GROUP BY ALL)
+        SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS "rank", doc_id, score
+        FROM scores WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 50""",
 }
