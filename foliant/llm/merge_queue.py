@@ -18,10 +18,10 @@ table gives an empty table.
 
 from __future__ import annotations
 
-import heapq
 import json
 import re
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +33,13 @@ from .bpe import id_lists
 from .common import slices, whole_text
 from .packing import StretchEncoder
 
-#: A text that StretchEncoder can't take apart at its spaces: one follows white space, or ends the text.
-_UNEVEN = re.compile(r"(?:^|\s)(?: |$)")
-#: Bits of an id and of a symbol's place, where two numbers share one.
-_ID_BITS, _PLACE_BITS = 20, 40
+#: A space after white space.
+_SECOND_SPACE = re.compile(r" (?<=\s )")
+#: Bits of a symbol's place, which shares a number with a rank.
+_PLACE_BITS = 40
 _PLACE = (1 << _PLACE_BITS) - 1
+#: A symbol that has been merged into the one before it.
+GONE = -1
 
 
 class MergeTable:
@@ -51,10 +53,12 @@ class MergeTable:
             raise ValueError("not the file of a byte-level BPE tokenizer")
         self.vocab: dict[str, int] = model["vocab"]
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-        #: By rank: the two ids that become one, and that one.
-        self.merged = [(self.vocab[a], self.vocab[b], self.vocab[a + b]) for a, b in pairs]
-        #: A pair of ids in one number -> rank.
-        self.ranks = {left << _ID_BITS | right: rank for rank, (left, right, _) in enumerate(self.merged)}
+        #: By rank: the left and the right id, and that of both together.
+        self.left, self.right, self.both = [self.vocab[a] for a, _ in pairs], [self.vocab[b] for _, b in pairs], [self.vocab[a + b] for a, b in pairs]
+        #: By left id: the entry, without its place, of each right id that it merges with.
+        self.entries: list[dict[int, int]] = [{} for _ in range(max(self.vocab.values()) + 1)]
+        for rank, (left, right) in enumerate(zip(self.left, self.right, strict=True)):
+            self.entries[left][right] = rank << _PLACE_BITS
         self.added = {t["content"]: t["id"] for t in said["added_tokens"]}
         letters = _bytes_of_letters()
         spelled = {i: bytes(map(letters.__getitem__, s)) for s, i in self.vocab.items()} | {i: s.encode() for s, i in self.added.items()}
@@ -67,33 +71,33 @@ class MergeTable:
     def ids(self, match: str) -> list[int]:
         """Ids of one match, spelled in the vocabulary's letters."""
         symbols = list(map(self.vocab.__getitem__, match))
-        n, ranks, merged = len(symbols), self.ranks, self.merged
+        n, entries, lefts, rights = len(symbols), self.entries, self.left, self.right
         # an entry is a rank and a place in one number, so that the least rank comes first, and of equal ranks the first place
-        queue = [rank << _PLACE_BITS | i for i in range(n - 1) if (rank := ranks.get(symbols[i] << _ID_BITS | symbols[i + 1])) is not None]
+        queue = [entry + i for i in range(n - 1) if (entry := entries[symbols[i]].get(symbols[i + 1])) is not None]
         if not queue:
             return symbols
-        heapq.heapify(queue)
-        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
+        heapify(queue)
+        symbols.append(GONE)  # after the last
+        before, after = list(range(-1, n)), list(range(1, n + 2))
         while queue:
-            entry = heapq.heappop(queue)
-            i = entry & _PLACE
+            entry = heappop(queue)
+            i, rank = entry & _PLACE, entry >> _PLACE_BITS
             j = after[i]
-            left, right, both = merged[entry >> _PLACE_BITS]
-            if symbols[i] != left or j < 0 or symbols[j] != right:
+            if symbols[i] != lefts[rank] or symbols[j] != rights[rank]:
                 continue  # stale: one of the two has been merged away since
-            symbols[i], symbols[j] = both, -1
-            k = after[i] = after[j]
-            if k >= 0:
-                before[k] = i
-                rank = ranks.get(both << _ID_BITS | symbols[k])
-                if rank is not None:
-                    heapq.heappush(queue, rank << _PLACE_BITS | i)
+            symbols[i] = both = self.both[rank]
+            symbols[j] = GONE
+            after[i] = k = after[j]
+            before[k] = i
+            entry = entries[both].get(symbols[k])
+            if entry is not None:
+                heappush(queue, entry + i)
             h = before[i]
             if h >= 0:
-                rank = ranks.get(symbols[h] << _ID_BITS | both)
-                if rank is not None:
-                    heapq.heappush(queue, rank << _PLACE_BITS | h)
-        return [s for s in symbols if s >= 0]
+                entry = entries[symbols[h]].get(both)
+                if entry is not None:
+                    heappush(queue, entry + h)
+        return [s for s in symbols if s != GONE]
 
     def raw(self, ids: np.ndarray) -> bytes:
         """The bytes that the ids' strings spell, one after the other."""
@@ -110,6 +114,11 @@ def _bytes_of_letters() -> dict[str, int]:
     return {chr(b): b for b in visible} | {chr(0x100 + i): b for i, b in enumerate(rest)}
 
 
+def uneven(text: str) -> bool:
+    """Whether a text can't be taken apart at its spaces: it is empty, begins with one, ends in white space, or has one after white space."""
+    return not text or text[0] == " " or text[-1].isspace() or _SECOND_SPACE.search(text) is not None
+
+
 @lru_cache(maxsize=2)
 def merge_table(path: str) -> MergeTable:
     """Once for each Python worker."""
@@ -144,7 +153,7 @@ class QueueEncoder(StretchEncoder):
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """uint32 ids of each text."""
-        even = [not _UNEVEN.search(t) and not (self.names and self.names.search(t)) for t in texts]
+        even = [not uneven(t) and not any(name in t for name in self.table.added) for t in texts]
         known = iter(super().encode([t for t, e in zip(texts, even, strict=True) if e]))
         return [next(known)[:-1] if e else self._whole(t) for t, e in zip(texts, even, strict=True)]
 
