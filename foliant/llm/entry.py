@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, html_main, langid, media, merge_queue, order_minhash, packing, repeats, secrets, threshold, toxicity
+from . import alignment, ann, bpe, html_main, langid, media, merge_queue, order_minhash, packing, repeats, secrets, threshold, toxicity
 from .common import table, written
 
 
@@ -90,6 +90,10 @@ def op11_threshold_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return threshold.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
 
 
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op13_merge_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge_queue.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -106,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bpe_codec": op9_bpe_codec,
     "op10_nearest_vectors": op10_nearest_vectors,
     "op11_threshold_search": op11_threshold_search,
+    "op12_tokenizer_alignment": op12_tokenizer_alignment,
     "op13_merge_queue": op13_merge_queue,
 }
 
