@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import fold_for_search, let, plain_words
 from ..functions.vectors import cosine
+from .links import written
 
 K1, B = 1.2, 0.75
 
@@ -27,21 +28,22 @@ def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return words.select(id_col, F.size("w").alias("size"), F.explode("w").alias("token")).groupBy("token", id_col, "size").agg(F.count("*").alias("tf"))
 
 
+def _begins(prefix: str):
+    return lambda w: w.startswith(prefix)
+
+
 def ranked(docs: DataFrame, id_col: str, text_col: str, prefixes: list[str], k: int, every: bool = True, up_to: Column | None = None) -> DataFrame:
     """id, score: BM25 of the k best documents that hold a word with each prefix (or any, unless every).
 
-    An index isn't needed to answer one question: a scan keeps the words that begin with a prefix, and
-    sums go over those alone. up_to is a guard on rows. Ties go to the smaller id.
+    Without an index (for one, see kept_index) a question is a scan, which folds and splits each text once: what is
+    left of a text, its size and the number of its words with each prefix, is written, and all sums are of these. up_to is a guard on
+    rows. Ties go to the smaller id.
     """
     rows = docs.filter(up_to) if up_to is not None else docs
-    folded = plain_words(fold_for_search(F.coalesce(F.col(text_col), F.lit(""))))
-    words = rows.select(id_col, folded.alias("w")).withColumn("size", F.size("w"))
-    def with_prefix(p: str) -> Column:
-        return F.size(F.filter("w", lambda x: x.startswith(p)))
-
-    counts = [with_prefix(p).alias(f"n{i}") for i, p in enumerate(prefixes)]
-    tf = words.select(id_col, "size", *counts)
-    total = tf.agg(F.count("*").alias("docs"), F.avg("size").alias("mean"), *(F.count_if(F.col(f"n{i}") > 0).alias(f"d{i}") for i in range(len(prefixes))))
+    n = range(len(prefixes))
+    words = rows.select(id_col, indexed_words(F.col(text_col)).alias("w"))
+    tf = written(words.select(id_col, F.size("w").alias("size"), *(F.size(F.filter("w", _begins(p))).alias(f"n{i}") for i, p in enumerate(prefixes))))
+    total = tf.agg(F.count("*").alias("docs"), F.avg("size").alias("mean"), *(F.count_if(F.col(f"n{i}") > 0).alias(f"d{i}") for i in n))
     x = tf.crossJoin(F.broadcast(total))  # one row
     score = F.lit(0.0)
     for i in range(len(prefixes)):
