@@ -4,7 +4,7 @@ A text with a space before it is encoded by a byte-level tokenizer (A) and a sen
 adds that space itself. Where tokens of both end at one byte, the text is cut into groups, and the two tokens
 are linked. In a slice of a partition the tokens become two interval tables on one line of bytes: an ASOF join
 takes each A token to the last B token that ends no later, equal ends are links, window functions over the
-links make groups, and range joins put the tokens of both sides into the groups that hold them.
+links make groups, and tokens come into the groups that hold them, A tokens by a range join, B tokens by another ASOF join.
 
 Neither tokenizer has a token across a space that follows a non-space, so a text is the sum of its stretches
 between such spaces, and stretches that come again in a slice are aligned once. Texts with other white space
@@ -22,6 +22,8 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import os
+import tempfile
 from functools import lru_cache
 
 import numpy as np
@@ -33,17 +35,22 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, by_size, whole_text
 from .merge_queue import merge_table, uneven
+from .packing import StretchEncoder
 
 #: Bytes of text that are aligned together.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 5 << 19
+#: Stretches that a tokenizer gets in one call.
+WORDS_AT_ONCE = 8192
+#: Matches of the byte-level splitter whose ids a worker keeps; over this it starts anew.
+KEPT_MATCHES = 150_000
 _ROWS = "slice long, doc_id long, n_a long, n_b long, n_groups long, groups_sha256 string, groups string, links binary, pairs array<long>, counts array<long>"
 _LINKS = "SELECT a.upto, a.id AS a, b.id AS b FROM a ASOF JOIN b ON a.upto >= b.upto WHERE a.upto = b.upto"
 _GROUPS = "SELECT upto, coalesce(lag(upto) OVER (ORDER BY upto), 0) AS since, sum(1) OVER (ORDER BY upto) AS g FROM links"
-_TOKENS = """
-    SELECT g, 0 AS side, a.upto, id FROM a JOIN groups ON a.since >= groups.since AND a.upto <= groups.upto
-    UNION ALL
-    SELECT g, 1 AS side, b.upto, id FROM b JOIN groups ON b.since >= groups.since AND b.upto <= groups.upto
-    ORDER BY g, side, upto"""
+#: Each token's group, in the tokens' order; every token lies in one. A tokens by the range that holds theirs, B tokens by the first end that isn't before theirs.
+_OF_A = "SELECT CAST(g AS INTEGER) AS g FROM a JOIN groups ON a.since >= groups.since AND a.upto <= groups.upto ORDER BY a.upto"
+_OF_B = "SELECT CAST(g AS INTEGER) AS g FROM b ASOF JOIN groups ON b.upto <= groups.upto ORDER BY b.upto"
+#: What DuckDB may hold in a Python worker; beyond, it uses the worker's own temporary folder and clears it itself.
+DUCK_MEMORY = "256MB"
 
 
 class Coder:
@@ -56,10 +63,14 @@ class Coder:
         self.flat = np.frombuffer(b"".join(each), np.uint8)
 
     def tokens(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, the word of each)."""
-        ids = self.encode(words)
-        n = np.fromiter(map(len, ids), np.int64, len(ids))
-        return np.fromiter(itertools.chain.from_iterable(ids), np.int64, int(n.sum())), np.repeat(np.arange(len(words)), n)
+        """(ids, the word of each). The library's own objects are large, so some words go at a time."""
+        ids, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for at in range(0, len(words), WORDS_AT_ONCE):
+            some = self.encode(words[at : at + WORDS_AT_ONCE])
+            n = np.fromiter(map(len, some), np.int64, len(some))
+            ids.append(np.fromiter(itertools.chain.from_iterable(some), np.int64, int(n.sum())))
+            sizes.append(n)
+        return np.concatenate(ids), np.repeat(np.arange(len(words)), np.concatenate(sizes))
 
     def exact(self, ids: np.ndarray, word: np.ndarray, raw: np.ndarray, lens: np.ndarray) -> np.ndarray:
         """Whether each word's tokens spell the word's bytes."""
@@ -73,35 +84,37 @@ class Coder:
         return ok
 
 
+class Spaced(StretchEncoder):
+    """Ids of stretches with a space before them; names of special tokens are plain text. Matches that come again keep their ids."""
+
+    def ids(self, words: list[str]) -> list[list[int]]:
+        if len(self.matches) > KEPT_MATCHES:
+            self.matches.clear()
+        return [self._ids(w) for w in words]
+
+
 @lru_cache(maxsize=2)
 def coders(a_path: str, b_path: str) -> tuple[Coder, Coder]:
     """Both tokenizers, once for each Python worker."""
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     import sentencepiece
-    from tokenizers import Tokenizer
-
-    a = Tokenizer.from_file(a_path)
-    a.encode_special_tokens = True
-    a.no_truncation()
-    a.no_padding()
     table = merge_table(a_path)
     of_a = [table.flat[s : s + n].tobytes() for s, n in zip(table.starts.tolist(), table.lens.tolist(), strict=True)]
     b = sentencepiece.SentencePieceProcessor(model_file=b_path)
     of_b = [bytes([int(p[3:5], 16)]) if b.is_byte(i) else p.replace("▁", " ").encode() for i in range(b.get_piece_size()) for p in (b.id_to_piece(i),)]
     return (
-        Coder(of_a, lambda words: [x.ids for x in a.encode_batch_fast([" " + w for w in words], add_special_tokens=False)]),
+        Coder(of_a, Spaced(a_path).ids),
         Coder(of_b, lambda words: b.encode(words, num_threads=1)),
     )
 
 
-@lru_cache(maxsize=1)
 def _duck():
+    """A database of one slice; closing it gives its memory back."""
     import duckdb
 
     con = duckdb.connect()
     con.execute("SET threads = 1")
+    con.execute(f"SET memory_limit = '{DUCK_MEMORY}'")
+    con.execute(f"SET temp_directory = '{tempfile.gettempdir()}/duck-{os.getpid()}'")
     return con
 
 
@@ -139,18 +152,20 @@ def align(texts: list[str], a: Coder, b: Coder) -> dict:
     for name, coder, ids in (("a", a, ids_a), ("b", b, ids_b)):
         upto = np.cumsum(coder.lens[ids])
         con.register(name, pa.table({"since": upto - coder.lens[ids], "upto": upto, "id": ids.astype(np.int32)}))
-    con.execute(f"CREATE OR REPLACE TEMP TABLE links AS {_LINKS}")
-    con.execute(f"CREATE OR REPLACE TEMP TABLE groups AS {_GROUPS}")
+    con.execute(f"CREATE TEMP TABLE links AS {_LINKS}")
+    con.execute(f"CREATE TEMP TABLE groups AS {_GROUPS}")
     links = con.execute("SELECT upto, a, b FROM links ORDER BY upto").fetchnumpy()
-    tokens = con.sql(_TOKENS).to_arrow_table()
-    for name in ("a", "b"):
-        con.unregister(name)
-
-    # every token with what comes after it, end to end; a word's groups are a stretch of this
-    g, side = tokens.column("g").to_numpy(), tokens.column("side").to_numpy()
+    of_a, of_b = (con.execute(sql).fetchnumpy()["g"] for sql in (_OF_A, _OF_B))
+    con.close()
+
+    # every group's A tokens, then its B tokens, each with what comes after it, end to end; a word's groups are a stretch of this
+    g, side, ids = (np.empty(len(of_a) + len(of_b), t) for t in (np.int32, bool, np.int32))
+    for here, there, which, own, before in ((of_a, of_b, False, ids_a, "left"), (of_b, of_a, True, ids_b, "right")):
+        at_ = np.arange(len(here)) + np.searchsorted(there, here, before)
+        g[at_], side[at_], ids[at_] = here, which, own
     same = np.append(g[1:] == g[:-1], False) if len(g) else np.zeros(0, bool)
-    mark = np.where(same, np.where(np.append(side[1:], 0) == side, 0, 1), 2)
-    spelled = pc.binary_join_element_wise(tokens.column("id").cast(pa.large_string()), pa.array([",", "|", ";"], pa.large_string()).take(pa.array(mark)), pa.scalar("", pa.large_string()))
+    mark = np.where(same, np.where(np.append(side[1:], False) == side, 0, 1), 2).astype(np.int8)
+    spelled = pc.binary_join_element_wise(pa.chunked_array([pa.array(ids)]).cast(pa.large_string()), pa.array([",", "|", ";"], pa.large_string()).take(pa.array(mark)), pa.scalar("", pa.large_string()))
     spelled = pa.concat_arrays(spelled.chunks) if spelled.num_chunks else pa.array([], pa.large_string())
     text, text_at = spelled.buffers()[2], spelled_at(spelled)
     link_word = np.searchsorted(ends, links["upto"])
