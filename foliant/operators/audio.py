@@ -61,13 +61,24 @@ def decibels(level: np.ndarray | float) -> np.ndarray:
     return 20 * np.log10(np.maximum(level, 1e-10))
 
 
-def silences(x: np.ndarray, rate: int, floor_db: float = -45.0, least_s: float = 0.06) -> list[tuple[float, float]]:
-    """(begin, end) in seconds of runs of blocks under the floor, of least_s or longer."""
-    size = max(1, round(rate * 0.01))
-    quiet = decibels(block_levels(x, size)) < floor_db
+# How far under a clip's peak silence is, how long a run of it, and the blocks it is looked for in.
+QUIET_DB, LEAST_QUIET_S, QUIET_BLOCK_S = -50.0, 0.02, 0.005
+
+
+def silences(x: np.ndarray, rate: int, under_peak_db: float = QUIET_DB, least_s: float = LEAST_QUIET_S, inside: bool = False) -> list[tuple[float, float]]:
+    """(begin, end) in seconds of runs of blocks that lie so far under the clip's own peak, of least_s or longer.
+
+    Voices differ in level, so nothing fixed tells silence; a clip without any sound is one run. inside leaves
+    out the runs at the clip's begin and end.
+    """
+    peak = float(np.abs(x).max(initial=0.0))
+    if not len(x):
+        return []
+    size, least = max(1, round(rate * QUIET_BLOCK_S)), round(rate * least_s)
+    quiet = block_levels(x, size) < peak * 10 ** (under_peak_db / 20) if peak > 0 else np.ones(-(-len(x) // size), bool)
     edges = np.flatnonzero(np.diff(np.concatenate([[0], quiet.astype(np.int8), [0]])))
-    spans = [(a * size / rate, min(b * size, len(x)) / rate) for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True)]
-    return [(a, b) for a, b in spans if b - a >= least_s - 1e-9]
+    spans = [(a * size, min(b * size, len(x))) for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True)]
+    return [(a / rate, b / rate) for a, b in spans if b - a >= least and not (inside and (a == 0 or b == len(x)))]
 
 
 def speech_level(x: np.ndarray, rate: int) -> float:

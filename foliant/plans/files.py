@@ -167,12 +167,13 @@ def t24_relocated(spark, d):
 
 
 def q2_measured(spark, d):
-    """Clips of 8-bit sound, a tenth of a second of one level and one of silence, by order."""
-    head = bytes.fromhex("52494646") + (36 + 1600).to_bytes(4, "little") + b"WAVEfmt " + bytes.fromhex("10000000" "01000100" "401F0000" "401F0000" "01000800") + b"data" + (1600).to_bytes(4, "little")
-    level = F.lpad(F.hex((F.lit(130) + F.col("o_orderkey") % 100).cast("int")), 2, "0")
-    content = F.unhex(F.concat(F.lit(head.hex()), F.repeat(level, 800), F.repeat(F.lit("80"), 800)))
+    """Clips of 16-bit sound, a tenth of a second of one level and one of a hum of 10 steps, by order: the hum is silence only beside a loud voice."""
+    head = bytes.fromhex("52494646") + (36 + 3200).to_bytes(4, "little") + b"WAVEfmt " + bytes.fromhex("10000000" "01000100" "401F0000" "803E0000" "02001000") + b"data" + (3200).to_bytes(4, "little")
+    level = F.lpad(F.hex(((F.col("o_orderkey") % 30 + 1) * 400).cast("int")), 4, "0")
+    sample = F.concat(F.substring(level, 3, 2), F.substring(level, 1, 2))
+    content = F.unhex(F.concat(F.lit(head.hex()), F.repeat(sample, 800), F.repeat(F.lit("0a00"), 800)))
     m = audio.measured(table(spark, d, "orders").select("o_orderkey", content.alias("content")), "o_orderkey", "content")
-    return m.select("o_orderkey", "rate", F.round("seconds", 6).alias("seconds"), F.round("peak", 6).alias("peak"), F.round("rms", 6).alias("rms"), F.round("largest_step", 6).alias("step"), F.round(F.col("silences")[0]["start"], 6).alias("quiet_from"))
+    return m.select("o_orderkey", "rate", F.round("seconds", 6).alias("seconds"), F.round("peak", 6).alias("peak"), F.round("rms", 6).alias("rms"), F.round("largest_step", 6).alias("step"), F.round(F.get("silences", F.lit(0))["start"], 6).alias("quiet_from"))
 
 
 QUERIES = {
@@ -183,7 +184,8 @@ QUERIES = {
 _WORDS = r"list_filter(regexp_split_to_array({}, '\s+'), lambda w: w <> '')"
 
 ORACLE_SQL = {
-    "q2_measured": "SELECT o_orderkey, 8000 AS rate, 0.2::DOUBLE AS seconds, round(x, 6) AS peak, round(x / sqrt(2), 6) AS rms, round(x, 6) AS step, CASE WHEN 20 * log10(x) >= -45 THEN 0.1 ELSE 0.0 END::DOUBLE AS quiet_from FROM (SELECT o_orderkey, (2 + o_orderkey % 100) / 128.0::DOUBLE AS x FROM orders)",
+    "q2_measured": """SELECT o_orderkey, 8000 AS rate, 0.2::DOUBLE AS seconds, round(x / 32768, 6) AS peak, round(sqrt((x * x + 100) / 2) / 32768, 6) AS rms, round((x - 10) / 32768, 6) AS step, CASE WHEN 20 * log10(10 / x) < -50 THEN 0.1::DOUBLE END AS quiet_from
+        FROM (SELECT o_orderkey, ((o_orderkey % 30 + 1) * 400)::DOUBLE AS x FROM orders)""",
     "s5_decoded": "SELECT doc_id, md5(coalesce(text, '')) AS print FROM documents",
     "s3_formats": """SELECT p_partkey, CASE p_partkey % 9 WHEN 3 THEN 'picture' WHEN 4 THEN 'audio' END AS media, CASE p_partkey % 9 WHEN 0 THEN 'pdf' WHEN 1 THEN 'rtf' WHEN 2 THEN 'djvu' WHEN 3 THEN 'unknown' WHEN 4 THEN 'unknown' WHEN 5 THEN 'html' WHEN 6 THEN 'markdown' ELSE 'text' END AS format,
         p_partkey % 9 IN (2, 4, 8) AS is_binary FROM part""",

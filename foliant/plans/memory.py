@@ -261,7 +261,6 @@ _LIVE = f"(SELECT * FROM {_ENT} WHERE merged_into IS NULL AND coalesce(first_ch,
 _SEEN = f"(SELECT entity, count(*) AS seen, max(ch) AS last_seen FROM {_APP} WHERE ch <= {LINE} GROUP BY 1)"
 _STATUS = f"""(SELECT o_custkey AS entity, o_orderstatus AS value, ch AS since, lead(ch) OVER (PARTITION BY o_custkey ORDER BY ch, o_orderkey) AS until FROM
     (SELECT *, lag(o_orderstatus) OVER (PARTITION BY o_custkey ORDER BY ch, o_orderkey) AS b FROM (SELECT *, {_C} AS ch FROM orders)) WHERE b IS NULL OR b <> o_orderstatus)"""
-_TOLD = f"(SELECT o_custkey, arg_max(o_orderpriority, {_C} || ' ' || o_orderpriority) AS p FROM (SELECT * FROM orders WHERE o_orderkey % 5 = 0) WHERE {_C} <= {LINE} GROUP BY 1)"
 _TOLD = f"(SELECT o_custkey, 'Asks for ' || o_orderpriority AS p FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY {_C} DESC, o_orderpriority DESC) AS r FROM orders WHERE o_orderkey % 5 = 0 AND {_C} <= {LINE}) WHERE r = 1)"
 _LEDGER = f"(SELECT e.id, kind, name, coalesce(p, about) AS about, first_ch, coalesce(seen, 0) AS seen, last_seen FROM {_LIVE} e LEFT JOIN {_SEEN} s ON s.entity = e.id LEFT JOIN {_TOLD} t ON t.o_custkey = e.id)"
 _NOTE = "(SELECT conv_id, turn AS ch, length(text) AS size, CASE WHEN turn % 3 = 0 THEN 'failed' END AS error FROM conversations WHERE turn % 2 = 1)"

@@ -75,7 +75,7 @@ def d3_clocks(spark, d):
 
 def p12_junk_lines(spark, d):
     name = F.col("p_name")
-    forms = [F.lit("* * *"), F.concat(F.lit("Translator: "), name), F.lit("Previous Chapter | Next"), F.concat(F.lit("The chapter about "), name), F.lit("Read the rest at some-site.com now"), F.lit("═════"), F.concat(F.lit("TOC of "), name), F.lit("If you find any errors, tell us.")]
+    forms = [F.lit("* * *"), F.concat(F.lit("Translator: "), name), F.lit("Previous Chapter | Next"), F.concat(F.lit("The chapter about "), name), F.lit("Read the rest at some-site.com now"), F.lit("═════"), F.concat(F.lit("TOC of "), name), F.lit("If you find any errors, tell us."), F.lit("..."), F.lit("?!"), F.lit(".."), F.concat(F.lit("Please read the original of "), name, F.lit(". "), F.repeat(name, 90)), F.concat(F.lit("Faster updates of "), name, F.lit(" on our page")), F.lit("from novelfull.com")]
     return table(spark, d, "part").select("p_partkey", fn.is_junk_line(_spelled("p_partkey", forms)).alias("junk"))
 
 
@@ -111,8 +111,8 @@ ORACLE_SQL = {
     "z4_versions": """SELECT p_partkey, (p_size % 4) * 10000 + (p_partkey % 12) * 100 + CASE p_partkey % 3 WHEN 1 THEN p_partkey % 11 ELSE 0 END > 10903 AS newer FROM part""",
     "d3_clocks": """SELECT o_orderkey, round(CASE o_orderkey % 8 WHEN 0 THEN 3600 + n * 60 + 5.5 WHEN 1 THEN 120 + n WHEN 2 THEN n * 60 WHEN 3 THEN n / 1000.0 WHEN 4 THEN n * 3600 WHEN 5 THEN n WHEN 6 THEN n + 0.25 END::DOUBLE, 6) AS seconds
         FROM (SELECT o_orderkey, (o_orderkey % 50)::DOUBLE AS n FROM orders)""",
-    "p12_junk_lines": "SELECT p_partkey, p_partkey % 8 IN (0, 1, 2, 4, 5, 7) AS junk FROM part",
-    "w10_merged_intervals": """WITH s AS (SELECT l_orderkey, l_linenumber * 10 AS a, l_linenumber * 10 + CAST(l_quantity AS INTEGER) % 17 AS b FROM lineitem), g AS (SELECT * FROM s WHERE b > a),
+    "p12_junk_lines": "SELECT p_partkey, p_partkey % 14 IN (0, 1, 2, 4, 5, 7, 8, 12, 13) AS junk FROM part",
+    "w10_merged_intervals": """WITH s AS (SELECT DISTINCT l_orderkey, l_linenumber * 10 AS a, l_linenumber * 10 + CAST(l_quantity AS INTEGER) % 17 AS b FROM lineitem), g AS (SELECT * FROM s WHERE b > a),
         m AS (SELECT *, max(b) OVER (PARTITION BY l_orderkey ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS e FROM g),
         i AS (SELECT *, count(*) FILTER (e IS NULL OR a > e) OVER (PARTITION BY l_orderkey ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM m)
         SELECT l_orderkey, CAST(min(a) AS INTEGER) AS start, CAST(max(b) AS INTEGER) AS "end" FROM i GROUP BY l_orderkey, island""",
