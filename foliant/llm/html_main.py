@@ -7,7 +7,7 @@ up to the article or main element around it, or else to the ancestor that gather
 all of its blocks are kept, and those of its siblings that look like text. What never belongs to an
 article (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments) is
 left out, by element name, role, and names in class and id: of paragraphs and the like only by a
-whole name, of containers also by a part of one. Lists of related pages go if they are links.
+whole name, of containers also by a part of one, within an article only if the rest of the name says no more than a place. Lists of related pages go if they are links.
 
 Defined results: null or empty html, and a page without text, give the empty text and 0
 characters; a page of which nothing else is left falls back to its whole body; equal pages give
@@ -33,7 +33,8 @@ _MARKUP = re.compile(
     r"""<(?:!--(?:-?>|.*?(?:--!?>|\Z))|[!?][^>]*+(?:>|\Z)|(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|/?[a-zA-Z][^>]*+(?:>|\Z))""",
     re.S,
 )
-_ATTR = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: One attribute with its value, whose quotes are consumed, so that nothing inside a value is taken for a name.
+_ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -58,6 +59,8 @@ AD = frozenset("ad ads".split())
 #: What else is in the name of a place for adverts.
 AD_PLACE = frozenset("slot unit box container wrapper block top bottom left right side inline google text label banner zone space area".split())
 SHARING = frozenset("share sharing social".split())
+#: What else is in the name of a part of a page that isn't text, as against "form-of-government".
+PLACES = AD_PLACE | frozenset("list item items buttons button bar links link icons icon section area panel wrap inner outer row col column post article entry page site main content tools group form footer header title heading count thread field input email tweet facebook action actions".split())
 ANYWHERE = MENUS | SIDEBARS | NOTICES | ADVERTS | FORMS | COMMENTS | SHARING
 LINKS = frozenset("related recommended tags".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar form".split())
@@ -71,15 +74,15 @@ LEAST_PARAGRAPH = 25
 LEVELS = (1.0, 0.5, 0.25, 0.125)
 
 
-def _named_noise(token: str, textual: bool) -> bool:
-    """Whether a name in a class or id says that the element doesn't belong to an article."""
+def _named_noise(token: str, textual: bool, in_article: bool) -> bool:
+    """Whether a name in a class or id says that the element doesn't belong to an article; within one a part of a name does only if all else in it are places."""
     low = token.lower()
     if low in ANYWHERE or low in AD or low in HEADS_AND_FEET:
         return True
     if textual:
         return False
     parts = [x.lower() for x in _PARTS.findall(token)]
-    if not ANYWHERE.isdisjoint(parts):
+    if not ANYWHERE.isdisjoint(parts) and (not in_article or all(x in ANYWHERE or x in AD or x in PLACES or x in LINKS or x in HEADS_AND_FEET or x.isdigit() for x in parts)):
         return True
     if not AD.isdisjoint(parts) and all(x in AD or x in AD_PLACE or x.isdigit() for x in parts):
         return True
@@ -89,7 +92,7 @@ def _named_noise(token: str, textual: bool) -> bool:
 PLAIN, NOISY, LINKED, HOLDS = range(4)
 
 
-def _kind(name: str, attrs: str) -> int:
+def _kind(name: str, attrs: str, in_article: bool = False) -> int:
     """What the element is by its name and attributes: plain, noise, a list of links if it is mostly links, or a holder of the article."""
     if name in LEFT_OUT:
         return NOISY
@@ -100,7 +103,7 @@ def _kind(name: str, attrs: str) -> int:
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key in ("class", "id"):
             tokens = value.split()
-            if any(_named_noise(t, name in TEXTUAL or name in KEPT_WHOLE) for t in tokens):
+            if any(_named_noise(t, name in TEXTUAL or name in KEPT_WHOLE, in_article) for t in tokens):
                 # an article element is noise only as a comment
                 if name not in KEPT_WHOLE or any(not COMMENTS.isdisjoint(x.lower() for x in _PARTS.findall(t)) for t in tokens):
                     return NOISY
@@ -126,6 +129,7 @@ class Page:
         self.kinds = [PLAIN]
         self.blocks: list[tuple[int, str, int]] = []  # owner, text, characters inside links
         self.stack = [0]
+        self._held = 0  # open article and main elements
         self._parts: list[str] = []
         self._link_parts: list[str] = []
         self._links = 0
@@ -168,12 +172,14 @@ class Page:
         self.ends.append(0)
         self.stack.append(len(self.names) - 1)
         self._links += name == "a"
+        self._held += kind == HOLDS
 
     def _close(self) -> None:
         name = self.names[self.stack[-1]]
         if name not in INLINE and not self.noise[self.stack[-1]]:
             self._flush()
         self._links -= name == "a"
+        self._held -= self.kinds[self.stack[-1]] == HOLDS
         self.ends[self.stack.pop()] = len(self.names)
 
     def _pop_to(self, node: int) -> None:
@@ -217,7 +223,7 @@ class Page:
             elif name in VOID:
                 self._parts.append(" ") if name in ("br", "img") else None if name == "wbr" else self._flush()
             else:
-                kind = _kind(name, m["attrs"])
+                kind = _kind(name, m["attrs"], self._held > 0)
                 kind = PLAIN if kind == NOISY and not drop_noise else kind
                 if not m["attrs"].endswith("/"):
                     self._open(name, kind)
@@ -289,10 +295,11 @@ class Page:
             return []
         least = max(10.0, 0.2 * final[best])
         held = self.kinds[best] == HOLDS
+        of_page = self.names[self.parents[best]] in ("#root", "html", "body")  # whose short divisions may be anything
         kept = []
         for i in range(1, len(self.names)):
             if self.parents[i] == self.parents[best] and i != best and chars[i]:
-                plain = density[i] < 0.25 and (self.names[i] in TEXTUAL or self.names[i] in ("ul", "ol", "dl", "table", "hgroup") or chars[i] > 80)
+                plain = density[i] < 0.25 and (self.names[i] in TEXTUAL or self.names[i] in ("ul", "ol", "dl", "table", "hgroup") or chars[i] > 80 or not of_page)
                 if final[i] >= least or plain and not held:
                     kept.append(i)
         return kept

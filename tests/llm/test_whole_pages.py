@@ -80,3 +80,27 @@ def test_generated_pages_against_their_parts():
         holder = r.choice(["article", "main", 'div role="main"', 'div class="post-body"', "article"])
         page = f"<html><head><title>{sentence()}</title></head><body>{r.choice(noise)()}<{holder}>{inner}</{holder.split()[0]}>{r.choice(noise)()}{r.choice(noise)()}</body></html>"
         assert main_text(page) == "\n".join(blocks), page
+
+
+LONG = "A long paragraph with commas, words, and enough text to be taken for the article. " * 3
+
+
+def test_words_inside_attributes_values_are_no_names():
+    for value in ("hidden", "role=form", "class=comment", "id=nav", "style=display:none", "aria-hidden=true", "hidden gems of the town"):
+        for attr in ("title", "href", "data-x", "onclick", "alt"):
+            for quote in ('"', "'"):
+                page = f"<body><nav>menu</nav><article {attr}={quote}{value}{quote}><p>{LONG}</p><p {attr}={quote}{value}{quote}>The second, which stays.</p></article></body>"
+                assert main_text(page) == f"{LONG.strip()}\nThe second, which stays.", (attr, value)
+    assert main_text(f'<article><p>{LONG}see <a href="/go?role=form">linked phrase</a>.</p></article>').endswith("see linked phrase.")
+    assert main_text(f"<article><p>{LONG}</p><p onclick=\"x=style='display:none'\">Stays.</p><p hidden>Goes.</p><p class=ad>Goes.</p></article>") == f"{LONG.strip()}\nStays."
+
+
+def test_parts_of_names_within_an_article():
+    kept = "".join(f'<div class="{c}">Of {c}, text that stays.</div>' for c in ("form-of-government", "market-share-report", "comment-on-the-text", "menu-of-the-day"))
+    gone = "".join(f'<div class="{c}">Words of {c}</div>' for c in ("share-buttons", "comment-list", "newsletter-signup", "ad-slot", "sidebar-left", "cookie-banner", "post-comments", "reply-form"))
+    text = main_text(f"<body><article><p>{LONG}</p>{kept}{gone}</article></body>")
+    assert text.count("text that stays") == 4 and "Words of" not in text
+
+
+def test_a_short_division_beside_a_long_one_stays():
+    assert main_text(f"<body><div class=content><div>{LONG}</div><div>Short second, one.</div></div></body>") == f"{LONG.strip()}\nShort second, one."
