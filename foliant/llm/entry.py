@@ -18,7 +18,7 @@ def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ann.usable(table(spark, sf_dir, "embeddings"))
-    return ann.nearest(rows.filter(F.col("vec_id") % 50 == 0), rows, k=5)
+    return ann.nearest(rows.filter(F.col("vec_id") % 50 == 0), rows, k=5).drop("query_row")
 
 
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,16 +117,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op10_nearest_vectors": """
         WITH v AS (
-            SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+            SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
             WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
               AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
               AND len([x FOR x IN embedding IF x <> 0]) > 0
-        ), n AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS length FROM v),
+        ), n AS (SELECT r, vec_id, e, sqrt(list_dot_product(e, e)) AS length FROM v),
         pairs AS (
-            SELECT q.vec_id AS query_id, r.vec_id AS vec_id, list_dot_product(q.e, r.e) / (q.length * r.length) AS score
-            FROM n q JOIN n r ON q.vec_id <> r.vec_id AND len(q.e) = len(r.e) WHERE q.vec_id % 50 = 0
+            SELECT q.r AS query_row, q.vec_id AS query_id, r.vec_id AS vec_id, list_dot_product(q.e, r.e) / (q.length * r.length) AS score
+            FROM n q JOIN n r ON q.r <> r.r AND len(q.e) = len(r.e) WHERE q.vec_id % 50 = 0
         ), ranked AS (
-            SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS "rank", vec_id, score FROM pairs
+            SELECT query_id, CAST(row_number() OVER (PARTITION BY query_row ORDER BY score DESC, vec_id) AS INTEGER) AS "rank", vec_id, score FROM pairs
         )
         SELECT query_id, "rank", vec_id, score FROM ranked WHERE "rank" <= 5""",
     "op11_threshold_search": r"""

@@ -83,7 +83,11 @@ def test_vectors_of_nothing_repeated_ids_and_clashing_columns(spark):
     kind = "vec_id long, embedding array<float>, rank int, score string"
     rows = ann.usable(spark.createDataFrame([(0, [1.0, 0.0], 1, "x"), (1, [1.0, 0.1], 1, "x"), (1, [1.0, 0.1], 1, "x"), (50, [0.0, 1.0], 1, "x")], kind))
     got = sorted((r["query_id"], r["rank"], r["vec_id"]) for r in ann.nearest(rows.filter("vec_id % 50 = 0"), rows, 5).collect())
-    assert got == [(0, 1, 1), (0, 2, 50), (50, 1, 1), (50, 2, 0)]
+    assert got == [(0, 1, 1), (0, 2, 1), (0, 3, 50), (50, 1, 1), (50, 2, 1), (50, 3, 0)]
+    # one id with two vectors: two questions, and each finds the other
+    twice = ann.usable(spark.createDataFrame([(50, [1.0, 0.0], 1, "x"), (50, [1.0, 0.2], 1, "x"), (7, [0.0, 1.0], 1, "x")], kind))
+    got = sorted((r["rank"], r["vec_id"], round(r["score"], 4)) for r in ann.nearest(twice.filter("vec_id % 50 = 0"), twice, 5).collect())
+    assert got == [(1, 50, 0.9806), (1, 50, 0.9806), (2, 7, 0.0), (2, 7, 0.1961)]
     none = ann.usable(spark.createDataFrame([], kind))
     assert ann.nearest(none, none, 5).count() == 0
 

@@ -129,7 +129,12 @@ def test_query_equals_its_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{FOLDER}/embeddings.parquet'")
-    got = sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in entry.QUERIES[name](spark, FOLDER).collect())
-    want = sorted((q, k, v, round(s, 9)) for q, k, v, s in con.execute(entry.ORACLE_SQL[name]).fetchall())
+    for t in ("embeddings", "documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{FOLDER}/{t}.parquet'")
+    told = con.execute(entry.ORACLE_SQL[name])
+    names = [c[0] for c in told.description]
+    plain = lambda row: tuple(round(x, 9) if isinstance(x, float) else x for x in row)
+    df = entry.QUERIES[name](spark, FOLDER)
+    assert sorted(df.columns) == sorted(names)
+    got, want = sorted(plain(r) for r in df.select(*names).collect()), sorted(plain(r) for r in told.fetchall())
     assert got == want
