@@ -8,8 +8,9 @@ the log odds of standing by a secret, from the labelled findings, out of fold fo
 training. So the forest is trained from labelled findings alone.
 
 Offsets are code points of the whole text. Defined results: a null text counts as empty and has
-no candidates; a null path counts as empty; equal rows have equal findings; candidates that overlap are one, the
-most specific pattern's, then the longest, then the first; a very long text is read whole, and a
+no candidates; a null path counts as empty; equal rows have equal findings; formats and assigned
+values that overlap are one candidate over both, named by the more specific, and runs that overlap another are none; an assigned value of under six
+characters is a candidate if it mixes letters with digits or marks; a very long text is read whole, and a
 value of any length is taken whole; `redact` carries further columns along, whatever their names;
 an empty table gives no rows. A fit without findings of both kinds raises an error.
 """
@@ -36,7 +37,7 @@ from .common import by_size, whole_text, written
 
 # Published formats of credentials, most specific first.
 FORMATS = {
-    "private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:\s+[A-Za-z0-9+/]{40,}+={0,2})*+(?:(?:\s+[A-Za-z0-9+/]++={0,2})?\s*-----END [A-Z ]*PRIVATE KEY-----)?",
+    "private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:\s+(?:Proc-Type|DEK-Info|Comment|Version):[^\n]*+)*+(?:\s+[A-Za-z0-9+/]{40,}+={0,2})*+(?:(?:\s+[A-Za-z0-9+/]++={0,2})?\s*-----END [A-Z ]*PRIVATE KEY-----)?",
     "aws_access_key": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
     "github_token": r"(?<![A-Za-z0-9])gh[pousr]_[A-Za-z0-9]{36,}",
     "slack_token": r"(?<![A-Za-z0-9])xox[abprs]-[A-Za-z0-9-]{10,}",
@@ -44,7 +45,12 @@ FORMATS = {
     "google_key": r"(?<![A-Za-z0-9])AIza[A-Za-z0-9_-]{35}",
     "jwt": r"(?<![A-Za-z0-9])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
 }
-_ASSIGNED = re.compile(r"(?i)(?:password|passwd|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|auth)\w{0,20}[\"']?\s{0,3}(?::=|=>|[:=])\s{0,3}(?:[\"'](?P<q>[^\"'\n]{6,}+)[\"']|(?P<v>[^\s\"'<>,;]{6,}+))")
+_HELD = r"(?:password|passwd|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|auth)"
+#: A value in quotes ends at the quote that no letter or digit follows; another at white space, a quote, or a comma that ends it or begins the next name.
+_ASSIGNED = re.compile(
+    rf"""(?i){_HELD}(?:(?!{_HELD})\w)*+["']?\s*+(?::=|=>|[:=])\s*+"""
+    r"""(?:(?P<mark>["'])(?P<q>(?:(?!(?P=mark))[^\n]|(?P=mark)(?=\w))++)(?P=mark)|(?P<v>(?:[^\s"'<>,;]|[,;](?!\s|\Z|["']?[\w-]++["']?\s*[:=]))++))"""
+)
 _RUN = re.compile(r"(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{16,}={0,2}")
 _FORMAT = re.compile("|".join(f"(?P<{k}>{v})" for k, v in FORMATS.items()))
 _FORMAT_START = re.compile(r"-----BEGIN|AKIA|ASIA|gh[pousr]_|xox[abprs]-|[sr]k_(?:live|test)_|AIza|eyJ")
@@ -56,6 +62,8 @@ PLACES = ["last", "near", "after", "path", "inside"]
 FEATURES = [*NUMBERS, *(f"{p}_words" for p in PLACES)]
 #: Labelled findings that a word needs before it counts, and folds for evidence in training.
 LEAST_SEEN, FOLDS = 2, 5
+#: Assigned values of fewer characters are candidates only if they mix letters with digits or marks; a short word is what prose says.
+PLAIN_FROM = 6
 
 
 class Language:
@@ -108,7 +116,9 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
         found += [(m.start(), m.end(), m.lastgroup, 0) for m in _FORMAT.finditer(text)]
     for m in _ASSIGNED.finditer(text):
         g = "q" if m["q"] is not None else "v"
-        found.append((m.start(g), m.end(g), "assigned", 1))
+        if len(m[g]) >= PLAIN_FROM or re.search(r"[^\W\d_]", m[g]) and re.search(r"[\W\d_]", m[g]):
+            found.append((m.start(g), m.end(g), "assigned", 1))
+    found = _united(found)
     for m in _RUN.finditer(text):
         value = m[0]
         if any(c in "0123456789" for c in value) and len(set(value)) > 3:
@@ -123,6 +133,18 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
     return sorted(out)
 
 
+def _united(found: list[tuple[int, int, str, int]]) -> list[tuple[int, int, str, int]]:
+    """Formats and assigned values that overlap as one span, by the name of the most specific."""
+    out: list[tuple[int, int, str, int]] = []
+    for a, b, rule, k in sorted(found):
+        if out and a < out[-1][1]:
+            c, d, first, j = out[-1]
+            out[-1] = (c, max(b, d), *min((j, first), (k, rule))[::-1])
+        else:
+            out.append((a, b, rule, k))
+    return out
+
+
 def _near(taken: list[tuple[int, int, str]], a: int, b: int) -> list[tuple[int, int, str]]:
     """Of spans in order that don't overlap, those that may overlap [a, b)."""
     import bisect
@@ -175,7 +197,7 @@ def words_by(text: str, start: int, end: int, path: str) -> dict[str, list[str]]
     """The words of each of PLACES, parts of joined names each by itself, in small letters."""
     cut = lambda s: [w.lower() for w in _PARTS.findall(s)]
     before = cut(text[max(0, start - 80) : start])[-6:]
-    return {"last": before[-1:], "near": before, "after": cut(text[end : end + 40])[:2], "path": cut(path), "inside": [w for w in cut(text[start : min(end, start + 4096)]) if len(w) > 2]}
+    return {"last": before[-1:], "near": before, "after": cut(text[end : end + 40])[:2], "path": cut(path), "inside": [w for w in cut(text[start:end]) if len(w) > 2]}
 
 
 class Evidence:

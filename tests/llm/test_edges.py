@@ -95,3 +95,11 @@ def test_vectors_of_nothing_repeated_ids_and_clashing_columns(spark):
 def test_documents_without_an_id_are_not_held_out(spark):
     docs = spark.createDataFrame([(None,), (1,)], "doc_id long")
     assert docs.filter(entry.held_out().isNull()).count() == 0
+
+
+def test_of_rows_of_one_id_and_text_a_definite_one_stays(spark):
+    text = prose(random.Random(3), 50)
+    for rows in ([(1, text, "en", "b", 1), (1, text, "en", "a", 1), (1, text, None, "c", 1)], [(1, text, None, "c", 1), (1, text, "en", "a", 1), (1, text, "en", "b", 1)]):
+        docs = written(spark.createDataFrame(rows, KIND).repartition(3), "definite")
+        kept = corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()
+        assert [(r["lang"], r["source"]) for r in kept] == [("en", "a")]

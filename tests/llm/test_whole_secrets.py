@@ -82,3 +82,43 @@ def test_repeated_rows_long_texts_ties_and_clashing_columns(spark, model):
     clean = secrets.redact(docs, found).orderBy("doc_id").collect()
     assert clean[0]["text"] == "<SECRET> <SECRET>" and len(clean[1]["text"]) == len(long) - 22 + 8
     assert clean[2]["text"] == clean[3]["text"] == "a <SECRET> b" and clean[1]["start"] == "k"
+
+
+TOKEN = "ghp_16C7e42F292c6912E7710c838347Ae178B4a"
+
+
+@pytest.mark.parametrize(
+    ("text", "value", "rule"),
+    [
+        ("password_for_the_production_database_server = Zk3p9QmX7vB2", "Zk3p9QmX7vB2", "assigned"),
+        ("password    =    Zk3p9QmX7vB2", "Zk3p9QmX7vB2", "assigned"),
+        ("pwd = Zk3p9", "Zk3p9", "assigned"),
+        ("password=abc,def;ghijklmn", "abc,def;ghijklmn", "assigned"),
+        ("password=abcdef1, user=me", "abcdef1", "assigned"),
+        ("password=abcdef1,user=me", "abcdef1", "assigned"),
+        ('password = "abc"def,ghijkl"', 'abc"def,ghijkl', "assigned"),
+        ('{"password":"abcdef1","user":"x"}', "abcdef1", "assigned"),
+        ("secret = 'it isn\\'t here'", "it isn\\'t here", "assigned"),
+        (f'secret = "abc+def {TOKEN} tail-part"', f"abc+def {TOKEN} tail-part", "github_token"),
+        (f"token={TOKEN}", TOKEN, "github_token"),
+    ],
+)
+def test_names_spaces_and_values_without_caps(text, value, rule):
+    assert [(text[a:b], k) for a, b, k in secrets.candidates(text)] == [(value, rule)]
+
+
+def test_short_plain_words_are_no_values():
+    for text in ("secret: no", "the password: yes", "token = a", "auth = 1"):
+        assert secrets.candidates(text) == []
+
+
+def test_a_private_key_with_headers_goes_whole():
+    key = "\n".join(["-----BEGIN RSA PRIVATE KEY-----", "Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,01AB", "", "Ab1+" * 16, "Zz9/" * 16, "abc=", "-----END RSA PRIVATE KEY-----"])
+    text = f"here:\n{key}\nand on"
+    assert [(text[a:b], k) for a, b, k in secrets.candidates(text)] == [(key, "private_key")]
+
+
+def test_many_names_in_one_long_word():
+    text = "secrettoken" * 60_000
+    assert secrets.candidates(text) == []
+    assert [text_[a:b] for text_ in (text + "=Zk3p9QmX7vB2",) for a, b, _ in secrets.candidates(text_)] == ["Zk3p9QmX7vB2"]
