@@ -38,7 +38,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near copies one row, with the smallest id; all rows without an id stay.
 
-    Of rows of a class that have the same smallest id one stays; rows that share an id but are of
+    Of rows of a class that have the same smallest id one stays, of equal texts the first by its other columns; rows that share an id but are of
     different classes stay each for its own class. A null text is an empty one, and near to no other.
     """
     classes = order_minhash.classes(docs)
@@ -46,8 +46,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     ids = docs.filter(F.col("doc_id").isNotNull()).select(*(c.alias(n) for n, c in key.items()))
     first = ids.join(classes.withColumnRenamed("node", "__node"), "__node").filter(F.col("__id") == F.col("class_id")).groupBy("label").agg(F.min("__node").alias("__node"), F.min("__id").alias("__id"))
     rows = docs.filter(F.col("doc_id").isNotNull()).select(F.struct(*docs.columns).alias("__row"), *(c.alias(n) for n, c in key.items()))
-    kept = rows.join(first.select("__id", "__node"), ["__id", "__node"], "left_semi").dropDuplicates(["__id", "__node"])
-    return kept.select("__row.*").unionByName(docs.filter(F.col("doc_id").isNull()))
+    kept = rows.join(first.select("__id", "__node"), ["__id", "__node"], "left_semi")
+    # rows of one id and text may differ in other columns; the one that is first as JSON stays, wherever it lies
+    one = kept.groupBy("__id", "__node").agg(F.min_by("__row", F.to_json("__row")).alias("__row"))
+    return one.select("__row.*").unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
