@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import files, finding, folds, graph, kept, memory, more, noting, paged, queued, reading, sounds, streams, text, wording
+from . import files, finding, folds, graph, kept, memory, merging, more, noting, paged, queued, reading, sounds, streams, text, wording
 
-MODULES = (reading, graph, text, streams, folds, memory, wording, finding, files, more, kept, noting, paged, queued, sounds)
+MODULES = (reading, graph, text, streams, folds, memory, wording, finding, files, more, kept, noting, paged, queued, sounds, merging)
 
 
 def queries() -> dict:
