@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fold_for_search, let, tag_key
+from .links import written
 from .order import with_places
 
 # What follows a family name, and the small words that belong to one.
@@ -88,6 +89,19 @@ def ranked_shelf(books: DataFrame, order: list[Column]) -> DataFrame:
     return with_places(books, order)
 
 
+def shelf_in_order(books: DataFrame, mode: str, title: str = "title", authors: str = "authors", series: str = "series", index: str = "index", **columns: str) -> DataFrame:
+    """books with place in the order of a mode; the keys that it goes by are made once for each book and written, as the
+    ranges, the shuffle and the sort would each make them again."""
+    plain = {"_name": fold_for_search(F.col(title)), "_series": F.coalesce(fold_for_search(F.col(series)), F.lit(""))}
+    if mode == "author":
+        plain["_writer"] = author_key(F.col(authors))
+    keyed = written(books.withColumns(plain))
+    then = [F.col("_series"), F.col(index).asc_nulls_last(), F.col("_name"), F.col(columns.get("id_", "id"))]
+    own = {"title": [F.col("_name"), *then], "author": [F.when(F.col("_writer") != "", F.col("_writer")).asc_nulls_last(), *then] if mode == "author" else []}
+    order = own.get(mode) or [*shelf_orders(mode, title=title, authors=authors, series=series, index=index, **columns)[:1], *(then if mode != "recent" else then[-1:])]
+    return with_places(keyed, order).drop(*plain)
+
+
 def tag_facet(tags: DataFrame, tag: str = "tag") -> DataFrame:
     """key, name, count: tags that differ only in case, accents and space are one; named as most spell it, ties in order."""
     spelled = tags.groupBy(tag_key(F.col(tag)).alias("key"), F.col(tag).alias("name")).agg(F.count("*").alias("n"))

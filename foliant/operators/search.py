@@ -148,7 +148,10 @@ def matching(chunks: DataFrame, text_col: str, question: str, every: bool = True
     rows = chunks.filter(guard) if guard is not None else chunks
     if not parts:
         return rows.limit(0).withColumn("w", F.lit(None).cast("array<string>"))
-    rows = rows.withColumn("w", indexed_words(F.col(text_col)))
+    # a text that lacks a part's letters lacks the part: that is seen before any text is split into words
+    folded = fold_for_search(F.coalesce(F.col(text_col), F.lit("")))
+    there = [functools.reduce(lambda a, b: a & b, (F.contains(F.lower(folded), _folded(w)) for w in p[1:] if w.isalnum()), F.lit(True)) for p in parts]
+    rows = rows.filter(functools.reduce(lambda a, b: a & b if every else a | b, there)).withColumn("w", indexed_words(F.col(text_col)))
     rows = rows.withColumns({f"h{i}": part_hits(F.col("w"), p) for i, p in enumerate(parts)})
     test = [F.col(f"h{i}") > 0 for i in range(len(parts))]
     return rows.filter(functools.reduce(lambda a, b: a & b if every else a | b, test))

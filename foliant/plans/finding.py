@@ -22,7 +22,7 @@ def _shelf(spark, d) -> DataFrame:
 
 def _order(mode):
     def query(spark, d):
-        return library.ranked_shelf(_shelf(spark, d), library.shelf_orders(mode)).select("id", "place")
+        return library.shelf_in_order(_shelf(spark, d), mode).select("id", "place")
 
     query.__name__ = f"o1_by_{mode}"
     return query
