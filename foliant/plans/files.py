@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import merged_intervals
-from ..operators import audio, dialogue, scripts, speech
+from ..operators import audio, dialogue, notes, scripts, speech
 from ..sources import books, detect, web
 from ..sources.tables import table
 
@@ -146,11 +146,11 @@ def a12_running_heads(spark, d):
 
 
 def x1_objects(spark, d):
-    """The object of a reply, with or without fences and words around it; parts of the wrong kind are null."""
+    """The first object of a reply, with or without fences, words, loose braces and other objects around it; parts of the wrong kind are null."""
     body = F.concat(F.lit('{"summary": "'), F.col("p_name"), F.lit('", "size": '), F.when(F.col("p_partkey") % 5 == 0, '"big"').otherwise(F.col("p_size").cast("string")), F.lit("}"))
-    reply = _pick("p_partkey", [body, F.concat(F.lit("Here it is:\n```json\n"), body, F.lit("\n```\nDone.")), F.concat(F.lit("```\n"), body, F.lit("```")), F.lit("I can't say.")])
-    found = F.from_json(F.regexp_extract(reply, r"(?s)(\{.*\})", 1), "summary string, size int")
-    rows = table(spark, d, "part").select("p_partkey", found.alias("o"))
+    reply = _pick("p_partkey", [body, F.concat(F.lit("Here it is:\n```json\n"), body, F.lit("\n```\nDone.")), F.concat(F.lit("```\n"), body, F.lit("```")), F.lit("I can't say."), F.concat(F.lit("As {asked}: "), body, F.lit(' and {more}, as {"summary": "other"}')), F.lit("{no} {object}")])
+    said = notes.first_objects(table(spark, d, "part").select("p_partkey", reply.alias("reply")), "reply", "json")
+    rows = said.select("p_partkey", F.from_json("json", "summary string, size int").alias("o"))
     return rows.filter("o.summary IS NOT NULL").select("p_partkey", "o.summary", "o.size")
 
 
@@ -214,5 +214,5 @@ ORACLE_SQL = {
         m AS (SELECT o.conv_id, o.turn, place, abs(place - turn) AS far, CASE WHEN text = now THEN 0 WHEN contains(now, text) THEN 1 WHEN array_to_string(string_split(text, ' ')[1:4], ' ') = array_to_string(string_split(now, ' ')[1:4], ' ') THEN 2 END AS rank FROM o JOIN n ON n.conv_id = o.conv_id AND abs(place - turn) <= 8),
         b AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY rank, far, place) AS r FROM m WHERE rank IS NOT NULL)
         SELECT o.conv_id, o.turn, CAST(coalesce(rank, 3) AS INTEGER) AS rank, coalesce(place, o.turn) AS "at" FROM o LEFT JOIN b ON b.conv_id = o.conv_id AND b.turn = o.turn AND r = 1""",
-    "x1_objects": "SELECT p_partkey, p_name AS summary, CASE WHEN p_partkey % 5 <> 0 THEN p_size END AS size FROM part WHERE p_partkey % 4 < 3",
+    "x1_objects": "SELECT p_partkey, p_name AS summary, CASE WHEN p_partkey % 5 <> 0 THEN p_size END AS size FROM part WHERE p_partkey % 6 IN (0, 1, 2, 4)",
 }
