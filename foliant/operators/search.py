@@ -87,10 +87,10 @@ def named_in(docs: DataFrame, id_col: str, text_col: str, names: DataFrame, name
 
 
 def name_cards(mentions: DataFrame, word: str, names: DataFrame, name: str, entity: str) -> DataFrame:
-    """word, entity: of the names that hold a word (a whole one), the longest's entity; ties to the name first in order."""
+    """word, entity: of the names that hold a word (a whole one), the longest's entity; ties to the name first in order, then to the smaller entity."""
     parts = names.select(F.col(name).alias("_name"), F.col(entity).alias("_entity"), F.explode(F.array_distinct(F.split(name, " "))).alias(word))
     hits = mentions.select(word).distinct().join(parts, word)
-    return hits.groupBy(word).agg(F.max_by("_entity", F.struct(F.length("_name").alias("n"), F.col("_name"))).alias(entity))
+    return hits.groupBy(word).agg(F.min_by("_entity", F.struct((-F.length("_name")).alias("n"), F.col("_name"), F.col("_entity"))).alias(entity))
 
 
 def latest_by_score(rows: DataFrame, keys: list[str], score: str, id_col: str, k: int) -> DataFrame:

@@ -114,6 +114,12 @@ def j15_named(spark, d):
     return search.named_in(table(spark, d, "documents"), "doc_id", "text", names, "name", "entity", 3)
 
 
+def t17_name_cards(spark, d):
+    """For each word of a part's name: the part with the longest name that has it."""
+    words = table(spark, d, "part").select(F.explode(F.split("p_name", " ")).alias("word"))
+    return search.name_cards(words, "word", table(spark, d, "part"), "p_name", "p_partkey")
+
+
 def f23_relevance(spark, d):
     words = fn.search_words(F.lit(QUESTION), STOP_WORDS)
     talk = table(spark, d, "conversations").select("conv_id", "turn", fn.match_score(words, fn.norm_name(F.col("text"))).alias("s"))
@@ -169,7 +175,7 @@ def w4_words_before(spark, d):
     return units.words_before(u, "words").select("id", "blk", "sen", "words", "before")
 
 
-QUERIES = {f.__name__: f for f in (f1_collapsed, f4_word_counts, f5_folded, f9_title_keys, z5_hosts, f24_link_kinds, h1_word_hashes, h3_ids, t10_text_prints, t11_print_pairs, j9_candidate_pairs, t13_duplicate_groups, a13_marked_majority, t9_language, t1_hits, t2_ranked, t2_ranked_any, t3_hits_by_source, t5_nearest, v2_packed, j15_named, f23_relevance, n1_next_turn_likeness, k3_talk_export, p2_units, w9_chunks, t25_sections, f13_chapter_lines, a14_document_words, w4_words_before)}
+QUERIES = {f.__name__: f for f in (f1_collapsed, f4_word_counts, f5_folded, f9_title_keys, z5_hosts, f24_link_kinds, h1_word_hashes, h3_ids, t10_text_prints, t11_print_pairs, j9_candidate_pairs, t13_duplicate_groups, a13_marked_majority, t9_language, t1_hits, t2_ranked, t2_ranked_any, t3_hits_by_source, t5_nearest, v2_packed, j15_named, t17_name_cards, f23_relevance, n1_next_turn_likeness, k3_talk_export, p2_units, w9_chunks, t25_sections, f13_chapter_lines, a14_document_words, w4_words_before)}
 
 _BM25 = """WITH t AS (SELECT doc_id, {words} AS w FROM documents {where}), c AS (SELECT doc_id, len(w) AS size, {counts} FROM t),
     s AS (SELECT count(*) AS docs, avg(size) AS mean, count(*) FILTER (n0 > 0) AS d0, count(*) FILTER (n1 > 0) AS d1 FROM c)
@@ -238,6 +244,7 @@ ORACLE_SQL = {
     "v2_packed": "SELECT vec_id, round(s, 9) AS scale, CAST(list_sum([abs(round(x::DOUBLE / s)) FOR x IN embedding]) AS INTEGER) AS size FROM (SELECT vec_id, embedding, list_max([abs(x::DOUBLE) FOR x IN embedding]) / 127.0::DOUBLE AS s FROM embeddings)",
     "j15_named": f"""WITH n AS (SELECT array_to_string(({_WORDS.format(folded('text'))})[1:3], ' ') AS name, item_id AS entity FROM benchmark), t AS (SELECT doc_id, ' ' || array_to_string({_WORDS.format(folded('text'))}, ' ') || ' ' AS t FROM documents)
         SELECT doc_id, entity FROM t JOIN n ON contains(t, ' ' || name || ' ')""",
+    "t17_name_cards": "SELECT word, p_partkey FROM (SELECT word, p_partkey, row_number() OVER (PARTITION BY word ORDER BY length(p_name) DESC, p_name, p_partkey) AS r FROM (SELECT unnest(string_split(p_name, ' ')) AS word, p_name, p_partkey FROM part)) WHERE r = 1",
     "f23_relevance": f"""SELECT conv_id, turn, score FROM (SELECT conv_id, turn, round(({' + '.join(f"CAST(contains(t, '{w}') AS INTEGER)" for w in _SEARCHED)}) / {len(_SEARCHED)}.0::DOUBLE, 6) AS score
         FROM (SELECT conv_id, turn, trim(regexp_replace({folded('text')}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS t FROM conversations)) WHERE score > 0""",
     "n1_next_turn_likeness": f"""WITH w AS (SELECT conv_id, turn, list_distinct({_DOC_WORDS}) AS w FROM conversations), n AS (SELECT conv_id, turn, w, lead(w) OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM w)
