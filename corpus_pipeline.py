@@ -47,8 +47,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     first = ids.join(classes.withColumnRenamed("node", "__node"), "__node").filter(F.col("__id") == F.col("class_id")).groupBy("label").agg(F.min("__node").alias("__node"), F.min("__id").alias("__id"))
     rows = docs.filter(F.col("doc_id").isNotNull()).select(F.struct(*docs.columns).alias("__row"), *(c.alias(n) for n, c in key.items()))
     kept = rows.join(first.select("__id", "__node"), ["__id", "__node"], "left_semi")
-    # rows of one id and text may differ in other columns; the one that is first as JSON stays, wherever it lies
-    one = kept.groupBy("__id", "__node").agg(F.min_by("__row", F.to_json("__row")).alias("__row"))
+    # rows of one id and text may differ in other columns; the one whose others are first as JSON stays, wherever it lies
+    others = F.to_json(F.struct(*(F.col("__row")[c].alias(c) for c in docs.columns if c != "text")))
+    one = kept.groupBy("__id", "__node").agg(F.min_by("__row", others).alias("__row"))
     return one.select("__row.*").unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
