@@ -67,7 +67,8 @@ class StretchEncoder:
     an end of line, or that hold the name of an added token, are encoded whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int = KEPT_STRETCHES):
+        self.kept = kept
         self.tokenizer = tokenizer(path)
         self.model, self.split = self.tokenizer.model, self.tokenizer.pre_tokenizer.pre_tokenize_str
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
@@ -113,7 +114,7 @@ class StretchEncoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """uint32 ids of each text, the end id last."""
-        if len(self.known) > KEPT_STRETCHES:
+        if len(self.known) > self.kept:
             self._forget()
         if not texts:
             return []
@@ -146,13 +147,13 @@ class StretchEncoder:
         return out
 
 
-def tokenised(docs: DataFrame, path: str, text_col: str = "text", source_col: str = "source") -> DataFrame:
+def tokenised(docs: DataFrame, path: str, text_col: str = "text", source_col: str = "source", kept: int = KEPT_STRETCHES) -> DataFrame:
     """A written table: part, doc_id, queue, tokens, at (tokens of that queue before it in its part), ids (little-endian bytes)."""
     queue = F.coalesce(F.col(source_col).cast("string"), F.lit(NO_SOURCE))
     rows = docs.select(F.spark_partition_id().alias("part"), F.col("doc_id").cast("long").alias("doc_id"), queue.alias("queue"), whole_text(text_col).alias("text"))
 
     def run(batches):
-        mine, before = StretchEncoder(path), {}
+        mine, before = StretchEncoder(path, kept), {}
         wide = "<u2" if mine.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         for batch in batches:
             for some in by_size(batch, "text"):
@@ -269,12 +270,12 @@ class Schedule:
             yield first, size, at + place, windows + w
 
 
-def pack(docs: DataFrame, path: str, length: int = SEQUENCE, window_sequences: int = WINDOW_SEQUENCES, targets: dict[str, float] | None = None, temper: float = TEMPER, text_col: str = "text", source_col: str = "source") -> DataFrame:
+def pack(docs: DataFrame, path: str, length: int = SEQUENCE, window_sequences: int = WINDOW_SEQUENCES, targets: dict[str, float] | None = None, temper: float = TEMPER, text_col: str = "text", source_col: str = "source", kept: int = KEPT_STRETCHES) -> DataFrame:
     """A row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, queue, window_id.
 
-    targets: token share of each source; None takes the sources' sizes in tokens to the power `temper`.
+    kept: stretches whose ids a task keeps; fewer take less memory and more time. targets: token share of each source; None takes the sources' sizes in tokens to the power `temper`.
     """
-    ids = tokenised(docs, path, text_col, source_col)
+    ids = tokenised(docs, path, text_col, source_col, kept)
     # a row a part and queue; the running sum goes over these alone, not over documents
     by_part = ids.groupBy("part", "queue").agg(F.sum("tokens").alias("sum"))
     before = by_part.withColumn("base", F.sum("sum").over(Window.partitionBy("queue").orderBy("part")) - F.col("sum"))
