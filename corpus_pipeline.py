@@ -17,6 +17,8 @@ from foliant.llm.common import table, written
 
 #: Posterior of the best language under which a document is rejected.
 LEAST_SCORE = 0.5
+#: Stretches whose ids a packing task keeps; its workers still hold what the stages before left in them.
+KEPT_STRETCHES = 200_000
 
 
 def _pieces() -> str:
@@ -71,7 +73,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of 1024 tokens; a null or empty text is the end id alone, a null source a queue of its own."""
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), kept=KEPT_STRETCHES)
 
 
 def _bundled(docs: DataFrame) -> DataFrame:
