@@ -20,7 +20,9 @@ def _clips(spark, d):
     little = lambda n: F.concat(*(F.lpad(F.hex(F.shiftright(n, 8 * k).bitwiseAND(F.lit(255))), 2, "0") for k in range(4)))
     head = F.concat(F.lit("52494646"), little(size + 36), F.lit("57415645666d7420" "10000000" "01000100" "E8030000" "D0070000" "02001000" "64617461"), little(size))
     text = F.array_join(F.transform(w, lambda x, i: F.concat(x, F.when(((i == 0) | (i == 2)) & (i < F.size(w) - 1), ",").otherwise(""))), " ")
-    return table(spark, d, "part").select("p_partkey", text.alias("text"), F.unhex(F.concat(head, data)).alias("content"))
+    # a row is small and its clip and the work on it are not: rows are dealt before, so that one file of them is more than one task
+    parts = table(spark, d, "part").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")
+    return parts.select("p_partkey", text.alias("text"), F.unhex(F.concat(head, data)).alias("content"))
 
 
 def q6_word_bounds(spark, d):

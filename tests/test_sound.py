@@ -119,3 +119,10 @@ def test_edges_of_clips(spark):
     rate, y = read_wav(bytes(made[1]["content"]))
     assert rate == RATE and len(y) / rate == made[1]["seconds"] and len(made[1]["words"]) == 6 and made[2]["error"] and made[4]["words"] == []
     assert sound.timed_words(clips.limit(0), "id", "c", "t").count() == 0
+
+
+def test_clips_of_one_file_are_more_than_one_task(spark):
+    from foliant.plans import sounds
+
+    for query in (sounds.q1_ready_clips, sounds.q6_word_bounds):
+        assert query(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() > 1
