@@ -25,6 +25,8 @@ from .links import written
 # How small a note is and how large a heading, to the body's size; how many pages a running head is on, how near others are.
 NOTE_SIZE, HEADING_SIZE, OTHER_SIZE = 0.92, 1.2, 1.1
 HEAD_SHARE, HEAD_LEAST, NEAR_PAGES, NEAR_LEAST, LONGEST_HEAD = 0.3, 3, 4, 2, 60
+# Fixed value: a column this many times as wide as its letters' size is no list of numbers or marks.
+NARROW_EMS = 8.0
 # What begins a note, and what a page's number looks like.
 NOTE_MARK = r"^(?:\d{1,3}|\(\d{1,3}\)|\[\d{1,3}\]|[*†‡§¶]{1,3})(?:[\s.)\]]|\p{L})"
 PAGE_NUMBER = r"(?i)^[-–—(\[]?\s*(?:page\s+)?(\d{1,4}|[ivxlcdm]{1,6})(?:\s*(?:of|/)\s*\d{1,4})?\s*[-–—)\]]?$"
@@ -106,7 +108,9 @@ def gutter(x0: np.ndarray, x1: np.ndarray, y: np.ndarray, em: float) -> float |
         least = 1 if n_l + n_r >= max(6, 8 * crossing) else 2
         if min(n_l, n_r) < least or crossing > 0.5 * (n_l + n_r):
             continue
-        if x1[over_l].max() - x0[over_l].min() < 0.15 * (right - left) or (n_r > 2 and x1[over_r].max() - x0[over_r].min() < 0.15 * (right - left)):
+        # numbers and marks beside lines are no column; words in short lines are one, however wide the page
+        least_width = min(0.15 * (right - left), NARROW_EMS * em)
+        if x1[over_l].max() - x0[over_l].min() < least_width or (n_r > 2 and x1[over_r].max() - x0[over_r].min() < least_width):
             continue
         top, bottom = max(y[over_l].min(), y[over_r].min()), min(y[over_l].max(), y[over_r].max())
         shorter = min(np.ptp(y[over_l]), np.ptp(y[over_r]))
