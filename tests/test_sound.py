@@ -126,3 +126,10 @@ def test_clips_of_one_file_are_more_than_one_task(spark):
 
     for query in (sounds.q1_ready_clips, sounds.q6_word_bounds):
         assert query(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() > 1
+
+
+def test_words_of_a_clip_are_found_once(spark):
+    from foliant.plans import sounds
+
+    plan = sounds.q6_word_bounds(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
