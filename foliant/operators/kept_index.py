@@ -1,9 +1,9 @@
 """An inverted index that is kept: chapters whose text changed are indexed anew, questions read only what they ask for.
 
 On disk it is two logs by batch. `chapters` has a row for each (book, ch) that a batch changed: its text's
-SHA-1, its size in words, its version; a removed chapter has no digest. `postings` has a row for each word of
-such a chapter, with its places, in folders by the word's first two letters, so that the begin of a word names
-the folders that can hold it. The newest batch of a chapter is the one that counts: older postings of it are
+SHA-1, its size in words, its version; a removed chapter has no digest. `postings` has rows of a word and many
+such chapters, with its places in each, in folders by the word's first two letters, so that the begin of a word names
+the folders that can hold it. Rows of one chapter each would weigh several times as much where they are sorted. The newest batch of a chapter is the one that counts: older postings of it are
 dead, and go when the index is compacted. A batch writes its postings first and its chapters last; what has no
 chapters yet doesn't count, and a batch that is run again after a failure takes the place of what it had left.
 
@@ -24,13 +24,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import fold_for_search, plain_words
+from ..session import small_batches
 from .links import written
 from .search import B, K1, indexed_words, parsed
 
 #: Folders by a word's first and second letter.
 FIRST, SECOND = 16, 8
 _CHAPTERS = "book string, ch long, version long, digest string, size int, batch long"
-_POSTINGS = "book string, ch long, token string, tf int, places array<int>, batch long, first int, second int"
+#: A word's chapters, its hits in each, where these begin in its places, and its places from 1, chapter by chapter.
+_BLOCK = "token string, books array<string>, chs array<long>, tfs array<int>, begins array<int>, places array<int>"
+_POSTINGS = f"{_BLOCK}, batch long, first int, second int"
+#: Words of the chapters that a worker takes at once, and words that a task sorts, about.
+AT_ONCE, SORTED = 1_000_000, 500_000
 
 
 def _folder_of(letter: Column, folders: int) -> Column:
@@ -45,33 +50,57 @@ def _shifted(places: str, by: int) -> Column:
     return F.transform(places, lambda p: p - by)
 
 
+def _block_rows(book: pa.Array, ch: pa.Array, words: pa.Array) -> pa.RecordBatch:
+    """_BLOCK of some chapters, a row a word."""
+    coded = pc.dictionary_encode(words.flatten())
+    codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    sizes = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+    key = codes * len(words) + np.repeat(np.arange(len(words)), sizes)
+    place = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + 1
+    order = np.argsort(key, kind="stable")  # a word's places stay in order
+    key = key[order]
+    begins = np.flatnonzero(np.diff(key, prepend=-1))
+    token, row = np.divmod(key[begins], len(words))
+    tops = np.flatnonzero(np.diff(token, prepend=-1))  # where a word's chapters begin
+    per_word = np.append(tops, len(begins)).astype(np.int32)
+    in_block = begins - np.repeat(begins[tops], np.diff(per_word))
+    lists = [book.take(pa.array(row)), ch.take(pa.array(row)), pa.array(np.diff(np.append(begins, len(key))).astype(np.int32)), pa.array(in_block.astype(np.int32))]
+    per_place = np.append(begins[tops], len(key)).astype(np.int32)
+    cols = [coded.dictionary.take(pa.array(token[tops])), *(pa.ListArray.from_arrays(pa.array(per_word), x) for x in lists), pa.ListArray.from_arrays(pa.array(per_place), pa.array(place[order].astype(np.int32)))]
+    return pa.RecordBatch.from_arrays(cols, names=["token", "books", "chs", "tfs", "begins", "places"])
+
+
+def blocks(batches):
+    """_BLOCK of Arrow batches of book, ch, words; a block is of AT_ONCE words or the chapter that fills it."""
+    held, words = [], 0
+    for batch in batches:
+        size = pc.list_value_length(batch.column("words")).to_numpy(zero_copy_only=False).astype(np.int64)
+        cuts = np.flatnonzero(np.diff((words + np.cumsum(size)) // AT_ONCE, prepend=0))  # a piece ends with the chapter that fills it
+        for a, b in zip(np.append(0, cuts + 1), np.append(cuts + 1, len(size)), strict=True):
+            held.append(batch.slice(a, b - a))
+            words += int(size[a:b].sum())
+            if words >= AT_ONCE:
+                yield _block_rows(*(pa.concat_arrays([x.column(c) for x in held]) for c in ("book", "ch", "words")))
+                held, words = [], 0
+    if held:
+        yield _block_rows(*(pa.concat_arrays([x.column(c) for x in held]) for c in ("book", "ch", "words")))
+
+
 def inverted(rows: DataFrame) -> DataFrame:
-    """book, ch, token, tf, places (from 1) of rows of book, ch, words array<string>; no shuffle, as a chapter is one row."""
-
-    def run(batches):
-        for batch in batches:
-            words = batch.column("words")
-            coded = pc.dictionary_encode(words.flatten())
-            codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-            sizes = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
-            row = np.repeat(np.arange(len(words)), sizes)
-            place = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + 1
-            key = row * max(1, len(coded.dictionary)) + codes
-            order = np.argsort(key, kind="stable")  # a word's places stay in order
-            key = key[order]
-            begins = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
-            ends = np.append(begins, len(key)).astype(np.int32)
-            at = pa.array(row[order][begins])
-            places = pa.ListArray.from_arrays(pa.array(ends), pa.array(place[order].astype(np.int32)))
-            cols = [batch.column("book").take(at), batch.column("ch").take(at), coded.dictionary.take(pa.array(codes[order][begins])), pa.array(np.diff(ends).astype(np.int32)), places]
-            yield pa.RecordBatch.from_arrays(cols, names=["book", "ch", "token", "tf", "places"])
-
-    return rows.select("book", "ch", "words").mapInArrow(run, "book string, ch long, token string, tf int, places array<int>")
+    """_BLOCK of rows of book, ch, words array<string>; no shuffle. A word comes again for every AT_ONCE words of its chapters."""
+    small_batches(rows.sparkSession)
+    return rows.select("book", "ch", "words").mapInArrow(blocks, _BLOCK)
+
+
+def _chapter_rows(blocks: DataFrame, places: bool) -> DataFrame:
+    """token, book, ch, tf, perhaps places, and the folders and batch, of rows of _BLOCK."""
+    each = F.transform(F.arrays_zip("books", "chs", "tfs", "begins"), lambda x: F.struct(x["books"].alias("book"), x["chs"].alias("ch"), x["tfs"].alias("tf"), *([F.slice("places", x["begins"] + 1, x["tfs"]).alias("places")] if places else [])))
+    return blocks.select("token", "batch", "first", "second", F.explode(each).alias("r")).select("token", "batch", "first", "second", "r.*")
 
 
 def to_feed(chapters: DataFrame, folder: str, per_file: int = 100) -> None:
-    """Appends chapters (book, ch, version, text) to a folder that a stream reads, at most per_file of a book in a file."""
-    chapters.repartition("book").sortWithinPartitions("book", "ch").write.mode("append").option("maxRecordsPerFile", per_file).parquet(folder)
+    """Appends chapters (book, ch, version, text) to a folder that a stream reads, at most per_file of a book in a file; a long book is dealt over tasks, and no text is sorted."""
+    chapters.repartition("book", F.floor(F.col("ch") / per_file)).write.mode("append").option("maxRecordsPerFile", per_file).parquet(folder)
 
 
 class KeptIndex:
@@ -92,12 +121,10 @@ class KeptIndex:
         met = newest.withColumn("digest", F.sha1(F.col("text").cast("binary"))).join(have, ["book", "ch"], "left")
         fresh = met.filter(~F.col("digest").eqNullSafe(F.col("kept")) & F.coalesce(F.col("version") >= F.col("had"), F.lit(True)))
         changed = written(fresh.select("book", "ch", "version", "digest", F.when(F.col("text").isNotNull(), indexed_words(F.col("text"))).alias("words")))
-        n = changed.count()
+        n, words = changed.agg(F.count("*"), F.coalesce(F.sum(F.greatest(F.size("words"), F.lit(0)).cast("long")), F.lit(0))).first()
         if n:
             first, second = _letters(F.col("token"))
-            posted = inverted(changed.filter("words IS NOT NULL")).withColumns({"first": first, "second": second, "salt": F.pmod(F.xxhash64("book", "ch"), F.lit(self.salts))})
-            # very common letters are dealt over several files by chapter
-            posted.repartition("first", "second", "salt").drop("salt").sortWithinPartitions("first", "second", "token").write.partitionBy("first", "second").mode("overwrite").parquet(f"{self.path}/postings/batch={number}")
+            self._post(inverted(changed.filter("words IS NOT NULL")).withColumns({"first": first, "second": second}), words, number)
             changed.select("book", "ch", "version", "digest", F.size("words").alias("size")).write.mode("overwrite").parquet(f"{self.path}/chapters/batch={number}")
         return n
 
@@ -113,9 +140,9 @@ class KeptIndex:
         last = log.agg(F.max("batch")).first()[0]
         if last is None:
             return
-        kept = self._postings().join(live.select("book", "ch", "batch"), ["book", "ch", "batch"], "left_semi").drop("batch")
-        salted = kept.withColumn("salt", F.pmod(F.xxhash64("book", "ch"), F.lit(self.salts))).repartition("first", "second", "salt").drop("salt")
-        salted.sortWithinPartitions("first", "second", "token").write.partitionBy("first", "second").mode("overwrite").parquet(f"{self.path}/postings/batch={last + 1}")
+        kept = _chapter_rows(self._postings(), True).join(live.select("book", "ch", "batch"), ["book", "ch", "batch"], "left_semi").drop("batch")
+        one = {**{name: F.array(of) for name, of in (("books", "book"), ("chs", "ch"), ("tfs", "tf"))}, "begins": F.array(F.lit(0))}
+        self._post(kept.withColumns(one).drop("book", "ch", "tf"), live.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0], last + 1)
         live.drop("batch").write.mode("overwrite").parquet(f"{self.path}/chapters/batch={last + 1}")
         for r in log.select("batch").distinct().collect():  # a number a batch
             for kind in ("postings", "chapters"):
@@ -153,6 +180,13 @@ class KeptIndex:
 
     # ---- inside
 
+    def _post(self, blocks: DataFrame, words: int, number: int) -> None:
+        """Writes the postings of a batch. What a task sorts doesn't grow with the batch: more words are more tasks, and a number of them that is given isn't made smaller."""
+        tasks = max(self.spark.sparkContext.defaultParallelism, -(-words // SORTED))
+        # very common letters are dealt over several files by chapter
+        dealt = blocks.withColumn("salt", F.pmod(F.xxhash64("chs"), F.lit(self.salts))).repartition(tasks, "first", "second", "salt").drop("salt")
+        dealt.sortWithinPartitions("first", "second", "token").write.partitionBy("first", "second").mode("overwrite").parquet(f"{self.path}/postings/batch={number}")
+
     def _log(self) -> DataFrame:
         return self._read("chapters", _CHAPTERS)
 
@@ -180,11 +214,11 @@ class KeptIndex:
         said = " ".join(part[1:])
         return [part[0], *self.spark.range(1).select(plain_words(fold_for_search(F.lit(said)))).first()[0]]
 
-    def _with_word(self, test: Column, word: str) -> DataFrame:
-        """Live postings whose word passes a test; it begins with word, so only word's folders are read."""
+    def _with_word(self, test: Column, word: str, places: bool = False) -> DataFrame:
+        """Postings, a row a word of a chapter, whose word passes a test; it begins with word, so only word's folders are read."""
         first, second = self.spark.range(1).select(*_letters(F.lit(word))).first()
         rows = self._postings().filter(F.col("first") == first)
-        return (rows.filter(F.col("second") == second) if len(word) > 1 else rows).filter(test)
+        return _chapter_rows((rows.filter(F.col("second") == second) if len(word) > 1 else rows).filter(test), places)
 
     def _part(self, part: list[str]) -> DataFrame | None:
         """book, ch, batch, n: hits of one part."""
@@ -197,7 +231,7 @@ class KeptIndex:
             return self._with_word(F.col("token").startswith(" ".join(words)), words[0]).groupBy(*keys).agg(F.sum("tf").cast("int").alias("n"))
         begun = None
         for i, w in enumerate(words):
-            starts = self._with_word(F.col("token") == w, w).select(*keys, _shifted("places", i).alias(f"s{i}"))
+            starts = self._with_word(F.col("token") == w, w, True).select(*keys, _shifted("places", i).alias(f"s{i}"))
             begun = starts if begun is None else begun.join(starts, keys)
         both = functools.reduce(F.array_intersect, (F.col(f"s{i}") for i in range(len(words))))
         return begun.select(*keys, F.size(both).alias("n")).filter("n > 0")

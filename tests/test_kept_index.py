@@ -3,10 +3,11 @@
 import glob
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from foliant.operators import search
+from foliant.operators import kept_index, search
 from foliant.operators.kept_index import KeptIndex, to_feed
 
 KIND = "book string, ch long, version long, text string"
@@ -122,3 +123,31 @@ def test_hits_by_book(spark, tmp_path, question):
     index = KeptIndex(spark, f"{tmp_path}/index")
     index.put(spark.createDataFrame([("a", 1, 1, "anthem anther"), ("a", 2, 1, "antler"), ("b", 1, 1, "anthem")], KIND))
     assert sorted(tuple(r) for r in index.hits_by_book(question).collect()) == [("a", 1, 2), ("b", 1, 1)]
+
+
+def test_tasks_that_sort_postings_grow_with_the_words(spark, tmp_path, monkeypatch):
+    """More words are more tasks, in which no more is sorted; before, small shuffles were put together and a posting was a row."""
+    monkeypatch.setattr(kept_index, "SORTED", 100)
+    index = KeptIndex(spark, f"{tmp_path}/index")
+    r = random.Random(3)
+    state = {("a", c): prose(r, 60) for c in range(60)}
+    index.put(spark.createDataFrame([(b, c, 1, t) for (b, c), t in state.items()], KIND).coalesce(1))
+    written_by = {f.rsplit("/part-", 1)[1].split("-")[0] for f in glob.glob(f"{tmp_path}/index/postings/batch=*/*/*/*.parquet")}
+    assert len(written_by) > 4
+    assert index._postings().count() < 60  # a row a word, not one a word of a chapter
+    compare(spark, index, state)
+
+
+@pytest.mark.parametrize("at_once", [1, 7, 50, 10_000])
+def test_blocks_of_any_size(at_once, monkeypatch):
+    """What a worker takes at once changes the rows, not the postings."""
+    r = random.Random(at_once)
+    chapters = [(r.choice("ab"), c, r.choices(WORDS, k=r.choice([0, 1, 5, 20]))) for c in range(40)]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(("book", "ch", "words"), x, strict=True)) for x in chapters[i : i + 9]], pa.schema({"book": pa.string(), "ch": pa.int64(), "words": pa.list_(pa.string())})) for i in range(0, 40, 9)]
+    monkeypatch.setattr(kept_index, "AT_ONCE", at_once)
+    got = []
+    for block in kept_index.blocks(batches):
+        for x in block.to_pylist():
+            assert len(x["books"]) == len(x["chs"]) == len(x["tfs"]) == len(x["begins"])
+            got += [(b, c, x["token"], x["places"][at : at + n]) for b, c, n, at in zip(x["books"], x["chs"], x["tfs"], x["begins"], strict=True)]
+    assert sorted(got) == sorted((b, c, w, [i + 1 for i, v in enumerate(ws) if v == w]) for b, c, ws in chapters for w in set(ws))
