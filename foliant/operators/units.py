@@ -1,19 +1,20 @@
 """Reading units: sentences of texts as rows, sections, and chunks of them for an index.
 
 Sentences end at stops; what follows an abbreviation, an initial or a decimal point doesn't
-begin one. Finding the bounds is a fold over a text, so it runs in Python, on the text column alone;
-all else (rows, texts, sizes, chunks' bodies) is made from the bounds by column functions.
+begin one. Finding the bounds is a fold over a text, so it runs in Python, a text at a time; sentences
+and chunks are cut out where the bounds are found, as rows of a bounded number of characters at once.
 """
 
 from __future__ import annotations
 
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import collapse_space
+from ..session import small_batches
 
 HARD = "।॥。！？؟۔"
 SOFT = ".!?…"
@@ -126,34 +127,71 @@ def _layout(text: str) -> list[tuple[int, int, int, int, int, int]]:
     return [(a, b, *p, c) for (a, b), p, c in zip(bounds, places, chunks, strict=True)]
 
 
-_BOUNDS = "array<struct<start:int,end:int,sec:int,blk:int,sen:int,chunk:int>>"
+#: Characters of the rows that a worker hands on at once, about; a text's rows aren't parted.
+HANDED = 1_000_000
 
 
-def _bounds(text: Column) -> Column:
-    @F.pandas_udf(_BOUNDS)
-    def found(texts: pd.Series) -> pd.Series:
-        names = ("start", "end", "sec", "blk", "sen", "chunk")
-        return texts.map(lambda t: [dict(zip(names, x, strict=True)) for x in _layout(t or "")])
+def _cut(batches, rows_of, schema: pa.Schema):
+    """Arrow batches of the rows that each (id, text) has, of HANDED characters of texts."""
+    rows, chars = [], 0
+    for batch in batches:
+        for key, text in zip(batch.column("id"), batch.column("text"), strict=True):
+            text = text.as_py() or ""
+            rows += ((key.as_py(), *r) for r in rows_of(text))
+            chars += len(text)
+            if chars >= HANDED:
+                yield _as_batch(rows, schema)
+                rows, chars = [], 0
+    if rows:
+        yield _as_batch(rows, schema)
 
-    return found(text)
+
+def _as_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else ([] for _ in schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def _unit_rows(text: str):
+    return ((sec, blk, sen, a, b, text[a:b], chunk) for a, b, sec, blk, sen, chunk in _layout(text))
+
+
+def _chunk_rows(text: str):
+    last = None
+    for a, b, sec, _, _, chunk in _layout(text):
+        if last and last[0] == chunk:
+            last = (*last[:3], b)
+        else:
+            if last:
+                yield (*last, text[last[2] : last[3]])
+            last = (chunk, sec, a, b)
+    if last:
+        yield (*last, text[last[2] : last[3]])
+
+
+def _ints(*names: str) -> list[pa.Field]:
+    return [pa.field(n, pa.int32()) for n in names]
+
+
+_UNIT = pa.schema([pa.field("id", pa.int64()), *_ints("sec", "blk", "sen", "start", "end"), pa.field("text", pa.string()), *_ints("chunk")])
+_CHUNK = pa.schema([pa.field("id", pa.int64()), *_ints("chunk", "sec", "start", "end"), pa.field("body", pa.string())])
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    small_batches(docs.sparkSession)
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
 
 def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, sec, blk, sen, start, end, text, chunk: a row a sentence; chunks run through the text."""
-    found = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("_t"), _bounds(F.col(text_col)).alias("b"))
-    rows = found.select("id", "_t", F.explode("b").alias("b"))
-    return rows.select("id", "b.sec", "b.blk", "b.sen", "b.start", "b.end", F.substring("_t", F.col("b.start") + 1, F.col("b.end") - F.col("b.start")).alias("text"), "b.chunk")
+    cut = lambda batches: _cut(batches, _unit_rows, _UNIT)
+    return _rows(docs, id_col, text_col).mapInArrow(cut, "id long, sec int, blk int, sen int, start int, end int, text string, chunk int")
 
 
 def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, chunk, sec, start, end, body: stretches of a text, cut out of it; no sentence is a row, nothing is put together again."""
-    found = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("_t"), _bounds(F.col(text_col)).alias("b"))
-    first = F.filter(F.transform("b", lambda u, i: F.when((i == 0) | (u["chunk"] != F.get(F.col("b"), i - 1)["chunk"]), i)), lambda i: i.isNotNull())
-    found = found.withColumn("f", first)
-    at = F.transform("f", lambda i, k: F.struct(F.get(F.col("b"), i).alias("a"), F.get(F.col("b"), F.coalesce(F.get(F.col("f"), k + 1), F.size("b")) - 1)["end"].alias("end")))
-    rows = found.select("id", "_t", F.explode(at).alias("c"))
-    body = collapse_space(F.substring("_t", F.col("c.a.start") + 1, F.col("c.end") - F.col("c.a.start")))
-    return rows.select("id", F.col("c.a.chunk").alias("chunk"), F.col("c.a.sec").alias("sec"), F.col("c.a.start").alias("start"), "c.end", body.alias("body"))
+    cut = lambda batches: _cut(batches, _chunk_rows, _CHUNK)
+    rows = _rows(docs, id_col, text_col).mapInArrow(cut, "id long, chunk int, sec int, start int, end int, body string")
+    return rows.withColumn("body", collapse_space(F.col("body")))
 
 
 def sections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

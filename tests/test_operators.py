@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -148,3 +149,14 @@ def test_accents_fold(spark):
     assert one(spark, fn.tidy_name(F.lit("LordOfTheDead"))) == "Lord of the Dead"
     assert one(spark, fn.tidy_name(F.lit("Mountain_King"))) == "Mountain King"
     assert one(spark, fn.tidy_name(F.lit("McDonald"))) == "McDonald" and one(spark, fn.tidy_name(F.lit("DeShawn"))) == "DeShawn"
+
+
+def test_sentences_are_handed_on_in_bounded_batches(monkeypatch):
+    """A worker holds the rows of some characters, not of all texts that Spark sends at once."""
+    monkeypatch.setattr(units, "HANDED", 100)
+    texts = ["One two. Three four. Five six. Seven eight."] * 50 + [None, ""]
+    batch = pa.RecordBatch.from_pydict({"id": pa.array(range(52), pa.int64()), "text": pa.array(texts)})
+    for of, schema, each in ((units._unit_rows, units._UNIT, 4), (units._chunk_rows, units._CHUNK, 1)):
+        got = list(units._cut([batch, batch], of, schema))
+        assert max(len(b) for b in got) == 3 * each and sum(len(b) for b in got) == 100 * each
+        assert all(b.schema == schema for b in got)
