@@ -33,11 +33,20 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Roles whose pairs a task makes and counts, about.
+ROLES_A_TASK = 500_000
+
+
 def co_participants(roles: DataFrame, event: str, entity: str, least: int = 2) -> DataFrame:
-    """a, b, events: pairs of entities, a < b, in at least `least` events together. An event has few roles."""
-    once = roles.select(F.col(event).alias("event"), F.col(entity).alias("a")).distinct()
-    pairs = once.join(once.withColumnRenamed("a", "b"), "event").filter("a < b")
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("events")).filter(F.col("events") >= least)
+    """a, b, events: pairs of entities, a < b, in at least `least` events together. An event has few roles.
+
+    Roles are small and pairs are many, so tasks go by the number of roles: shuffles that Spark puts together by their
+    bytes would give a task more pairs than it can hold.
+    """
+    tasks = max(roles.sparkSession.sparkContext.defaultParallelism, -(-roles.count() // ROLES_A_TASK))
+    once = roles.select(F.col(event).alias("event"), F.col(entity).alias("a")).repartition(tasks, "event").distinct()
+    pairs = once.join(once.withColumnRenamed("a", "b"), "event").filter("a < b").select("a", "b")
+    return pairs.repartition(tasks, "a", "b").groupBy("a", "b").agg(F.count("*").alias("events")).filter(F.col("events") >= least)
 
 
 def events_of_both(roles: DataFrame, event: str, entity: str, a, b) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+from collections import Counter
 
 import pyarrow as pa
 import pytest
@@ -160,3 +161,13 @@ def test_sentences_are_handed_on_in_bounded_batches(monkeypatch):
         got = list(units._cut([batch, batch], of, schema))
         assert max(len(b) for b in got) == 3 * each and sum(len(b) for b in got) == 100 * each
         assert all(b.schema == schema for b in got)
+
+
+def test_tasks_of_pairs_grow_with_the_roles(spark, monkeypatch):
+    """The number of tasks is given, so that Spark doesn't put small shuffles of many pairs together."""
+    monkeypatch.setattr(links, "ROLES_A_TASK", 10)
+    rows = [(e, x) for e in range(60) for x in {e % 5, (e * 7 + 1) % 5, e % 3 + 5}] * 2
+    shared = links.co_participants(spark.createDataFrame(rows, "event long, who long"), "event", "who", 1)
+    assert shared.rdd.getNumPartitions() >= len(rows) // 10
+    want = Counter((a, b) for e in range(60) for a in {x for f, x in rows if f == e} for b in {x for f, x in rows if f == e} if a < b)
+    assert {(r["a"], r["b"]): r["events"] for r in shared.collect()} == want
