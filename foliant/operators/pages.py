@@ -236,13 +236,27 @@ def footnotes(rows: DataFrame) -> DataFrame:
     return foot.withColumns({"note": F.sum(marked.cast("int")).over(down), "first": F.first(marked).over(down)}).filter("first").select("book", "page", "line", F.col("note").cast("int").alias("note"), "y", "x", "text")
 
 
-def paragraphs(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(book, page, par, text, size of paragraphs, by the page that they begin on; book, page, note, text of notes; book, page, line, text of what was left out)."""
+def _parted(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The lines that count, the furniture, the rest with its body's size, and the lines of notes."""
     rows = written(placed_lines(lines))
     bodies = body_sizes(rows)
     gone = written(furniture(rows, bodies))
     rest = written(rows.join(gone, ["book", "page", "line"], "left_anti").join(bodies, "book", "left"))
-    notes = written(footnotes(rest))
+    return rows, gone, rest, written(footnotes(rest))
+
+
+def _noted(notes: DataFrame) -> DataFrame:
+    return notes.groupBy("book", "page", "note").agg(F.array_sort(F.collect_list(F.struct("y", "x", "line", "text"))).alias("l")).select("book", "page", "note", joined(F.col("l.text")).alias("text"))
+
+
+def page_notes(lines: DataFrame) -> DataFrame:
+    """book, page, note, text: the notes alone; pages aren't read."""
+    return _noted(_parted(lines)[3])
+
+
+def paragraphs(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(book, page, par, text, size of paragraphs, by the page that they begin on; book, page, note, text of notes; book, page, line, text of what was left out)."""
+    rows, gone, rest, notes = _parted(lines)
     text = written(_pages(rest.join(notes.select("book", "page", "line"), ["book", "page", "line"], "left_anti").drop("body")))
 
     # a row a page: whether its first line goes on with what the page before left open
@@ -260,5 +274,4 @@ def paragraphs(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     placed = text.join(first, ["book", "page"]).withColumn("to", F.when((F.col("par") == 0) & F.col("origin").isNotNull(), F.col("origin")).otherwise(F.struct("page", "par")))
     whole = placed.groupBy("book", F.col("to.page").alias("at_page"), F.col("to.par").alias("par")).agg(F.array_sort(F.collect_list(F.struct("page", "seq", "text"))).alias("l"), F.max("size").alias("size"))
     made = whole.select("book", F.col("at_page").alias("page"), "par", joined(F.col("l.text")).alias("text"), "size")
-    noted = notes.groupBy("book", "page", "note").agg(F.array_sort(F.collect_list(F.struct("y", "x", "line", "text"))).alias("l")).select("book", "page", "note", joined(F.col("l.text")).alias("text"))
-    return made, noted, rows.join(gone, ["book", "page", "line"], "left_semi").select("book", "page", "line", "text")
+    return made, _noted(notes), rows.join(gone, ["book", "page", "line"], "left_semi").select("book", "page", "line", "text")

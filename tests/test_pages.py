@@ -153,3 +153,14 @@ def test_lines_that_come_again_and_narrow_columns_equal_the_sql(spark, tmp_path,
     cur = con.execute(paged.ORACLE_SQL[query])
     names = [c[0] for c in cur.description]
     assert sorted(tuple(r[c] for c in names) for r in paged.QUERIES[query](spark, str(tmp_path)).collect()) == sorted(cur.fetchall())
+
+
+def test_notes_alone_read_no_pages(spark, monkeypatch):
+    """Notes are the same without the paragraphs, and no page is put in reading order for them."""
+    rows = [("a", p, n, 50.0, 100.0 + 12 * n, 300.0, 10.0, f"line {n} of a page with some words") for p in range(1, 5) for n in range(12)]
+    rows += [("a", p, 20, 50.0, 700.0, 200.0, 8.0, f"* a note of page {p}") for p in (1, 3)]
+    lines = spark.createDataFrame(rows, "book string, page int, line int, x double, y double, width double, size double, text string")
+    want = sorted(tuple(r) for r in pages.paragraphs(lines)[1].collect())
+    assert len(want) == 2
+    monkeypatch.setattr(pages, "_pages", None)
+    assert sorted(tuple(r) for r in pages.page_notes(lines).collect()) == want
