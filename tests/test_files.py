@@ -143,3 +143,13 @@ def test_sounds(spark):
         assert np.abs(audio.read_wav(raw)[1] - y.reshape(-1, 2).mean(axis=1)).max() < 0.02
     got = audio.measured(spark.createDataFrame([(1, bytearray(audio.write_wav(rate, x))), (2, bytearray(b"no")), (3, None)], "id int, c binary"), "id", "c").orderBy("id").collect()
     assert got[0]["rate"] == rate and len(got[0]["silences"]) == 3 and got[1]["error"] and got[2]["error"]
+
+
+def test_web_chapters_are_dealt_over_tasks(spark):
+    """Small pages of one file are the work of several tasks, and titles come with their pages, not by a join."""
+    rows = [(i, f"<h1>Chapter {i}: Dusk</h1><p>Body {i} was here.</p>", f"Chapter {i} - Dusk") for i in range(40)] + [(None, "<p>no</p>", "x")]
+    pages = spark.createDataFrame(rows, "id long, html string, title string").coalesce(1)
+    got = web.web_chapters(pages, "id", "html", "title")
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert got.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert {r["id"]: r["text"] for r in got.collect() if r["text"].startswith("Body")} == {i: f"Body {i} was here." for i in range(40)}
