@@ -21,6 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import dealt, small_batches
 from .dialogue import quotations
 
 #: Paragraphs of a stretch, and those before a paragraph whose people are at hand.
@@ -261,14 +262,19 @@ def book_cast(paragraphs: DataFrame, book: str, text: str, least: int = 1) -> Da
             found = [(b, n, s) for b, t in zip(x[book], x["_t"], strict=True) for n, s in tagged_names(t)]
             yield pd.DataFrame(found, columns=[book, "name", "sex"])
 
-    named = paragraphs.select(book, F.coalesce(F.col(text), F.lit("")).alias("_t")).filter(F.col(book).isNotNull()).mapInPandas(tags, f"{book} {kind}, name string, sex string")
+    named = dealt(paragraphs.select(book, F.coalesce(F.col(text), F.lit("")).alias("_t")).filter(F.col(book).isNotNull())).mapInPandas(tags, f"{book} {kind}, name string, sex string")
     counts = named.groupBy(book, "name").agg(F.count("*").alias("n"), F.count_if(F.col("sex") == "m").alias("m"), F.count_if(F.col("sex") == "f").alias("f"))
+    names = counts.groupBy(book).agg(F.array_sort(F.collect_list(F.struct("name", "n", "m", "f"))).alias("_names"))
 
-    def people(x: pd.DataFrame) -> pd.DataFrame:
-        who = merged_names({r.name: (r.n, r.m, r.f) for r in x.sort_values("name").itertuples(index=False)})
-        return pd.DataFrame([(x[book].iloc[0], n, w, s, t) for n, (w, t, s) in who.items() if t >= least], columns=[book, "name", "who", "sex", "speeches"])
+    def people(batches):
+        for x in batches:
+            found = []
+            for b, named_as in zip(x[book], x["_names"], strict=True):
+                who = merged_names({r["name"]: (r["n"], r["m"], r["f"]) for r in named_as})
+                found += ((b, n, w, s, t) for n, (w, t, s) in who.items() if t >= least)
+            yield pd.DataFrame(found, columns=[book, "name", "who", "sex", "speeches"])
 
-    return counts.groupBy(book).applyInPandas(people, f"{book} {kind}, name string, who string, sex string, speeches long")
+    return names.mapInPandas(people, f"{book} {kind}, name string, who string, sex string, speeches long")
 
 
 def speakers(paragraphs: DataFrame, book: str, place: str, text: str, cast: DataFrame | None = None, stretch: int = STRETCH) -> DataFrame:
@@ -277,14 +283,16 @@ def speakers(paragraphs: DataFrame, book: str, place: str, text: str, cast: Data
     rows = paragraphs.select(book, place, F.coalesce(F.col(text), F.lit("")).alias("_t"), F.floor(F.col(place) / stretch).cast("long").alias("_s"))
     people = cast if cast is not None else book_cast(paragraphs, book, text)
     known = people.groupBy(book).agg(F.collect_set(F.struct("name", "who", "sex")).alias("_cast"))  # a book's cast
-    rows = rows.join(known, book, "left")
-
-    def run(x: pd.DataFrame) -> pd.DataFrame:
-        x = x.sort_values([place, "_t"])
-        given = x["_cast"].iloc[0]
-        people = {c["name"]: (c["who"], 0, c["sex"]) for c in given} if given is not None else {}
-        places = x[place].tolist()
-        found = [(x[book].iloc[0], places[n], a, b, who) for n, a, b, who in attributed(x["_t"].tolist(), people)]
-        return pd.DataFrame(found, columns=[book, place, "start", "end", "who"])
+    # a stretch is a row; many short ones are one call of Python
+    stretches = dealt(rows, book, "_s").groupBy(book, "_s").agg(F.array_sort(F.collect_list(F.struct(F.col(place).alias("at"), "_t"))).alias("_l")).join(known, book, "left")
 
-    return rows.groupBy(book, "_s").applyInPandas(run, f"{book} {kind}, {place} {at}, start int, end int, who string")
+    def run(batches):
+        for x in batches:
+            found = []
+            for b, said, given in zip(x[book], x["_l"], x["_cast"], strict=True):
+                people = {c["name"]: (c["who"], 0, c["sex"]) for c in given} if given is not None else {}
+                found += ((b, said[n]["at"], a, z, who) for n, a, z, who in attributed([r["_t"] for r in said], people))
+            yield pd.DataFrame(found, columns=[book, place, "start", "end", "who"])
+
+    small_batches(paragraphs.sparkSession)
+    return stretches.select(book, "_l", "_cast").mapInPandas(run, f"{book} {kind}, {place} {at}, start int, end int, who string")

@@ -147,3 +147,11 @@ def test_the_cast_is_the_whole_book_s(spark):
     late = speakers(spark.createDataFrame([("b", 0, "“Hm,” said Sam."), ("b", 900, "“Well.” Sam shut the door.")], "book string, n int, text string"), "book", "n", "text").collect()
     assert {r["who"] for r in late} == {"Sam"}
     assert speakers(df.limit(0), "book", "n", "text").count() == 0
+
+
+def test_many_short_books_are_few_calls(spark):
+    """No group of its own for each stretch or book: one call of Python takes many."""
+    rows = [(i, n, t) for i in range(30) for n, t in enumerate(["“Go on,” said Anna.", "“No, and why should I?” Tom answered.", "“Well.”"])]
+    got = speakers(spark.createDataFrame(rows, "book long, place int, t string"), "book", "place", "t")
+    assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["book"] for r in got.filter("who = 'Anna' AND place = 0").collect()} == set(range(30))
