@@ -7,7 +7,7 @@ is stale and skipped, so a match of n symbols takes O(n log n) steps however lon
 concatenates the vocabulary's strings and reads the bytes that they spell.
 
 The vocabulary file is that of a byte-level tokenizer: its splitter and its letters for bytes are
-used, its own merging is not. Matches that come again in a task keep their ids.
+used, its own merging is not. Matches that come again in a Python worker keep their ids.
 
 Defined results: a null text counts as empty (no ids, empty text); names of added tokens inside a
 text are those tokens; ids outside the vocabulary decode to nothing, null ids to the empty text;
@@ -134,11 +134,8 @@ class QueueEncoder(StretchEncoder):
         names = sorted(self.table.added, key=len, reverse=True)
         self.names = re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
 
-    def _of_match(self, match: str) -> list[int]:
-        ids = self.matches.get(match)
-        if ids is None:
-            ids = self.matches[match] = self.table.ids(match)
-        return ids
+    def _model_ids(self, match: str) -> list[int]:
+        return self.table.ids(match)
 
     def _whole(self, text: str) -> np.ndarray:
         """A text with added tokens, or with white space that stretches can't be cut at."""
@@ -153,9 +150,13 @@ class QueueEncoder(StretchEncoder):
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """uint32 ids of each text."""
-        even = [not uneven(t) and not any(name in t for name in self.table.added) for t in texts]
-        known = iter(super().encode([t for t, e in zip(texts, even, strict=True) if e]))
-        return [next(known)[:-1] if e else self._whole(t) for t, e in zip(texts, even, strict=True)]
+        return [x[:-1] for x in super().encode(texts)]
+
+
+@lru_cache(maxsize=1)
+def queue_encoder(path: str) -> QueueEncoder:
+    """Once for each Python worker, so that tasks find what earlier ones have learned."""
+    return QueueEncoder(path)
 
 
 def encode(docs: DataFrame, path: str, text_col: str = "text", keep_text: bool = False) -> DataFrame:
@@ -166,7 +167,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", keep_text: bool =
     schema = T.StructType([f for f in source.select(*carried).schema] + [T.StructField("ids", T.ArrayType(T.IntegerType(), True)), T.StructField("n_tokens", T.LongType())])
 
     def run(batches):
-        mine = QueueEncoder(path)
+        mine = queue_encoder(path)
         for batch in slices(batches, text_col):
             ids = mine.encode(batch.column(text_col).to_pylist())
             cols = [batch.column(c) for c in carried] + [id_lists(ids), pa.array([len(x) for x in ids], pa.int64())]

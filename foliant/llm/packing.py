@@ -19,6 +19,7 @@ empty table gives no pieces. A document lies in its queue at its place in the ta
 from __future__ import annotations
 
 import itertools
+import string
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -36,14 +37,19 @@ SEQUENCE = 1024
 WINDOW_SEQUENCES = 64
 #: Targets by default: a source's tokens to this power, so that small sources come more often than their size says.
 TEMPER = 0.7
-#: Stretches of text whose ids a task keeps; over this it starts anew.
-KEPT_STRETCHES = 300_000
+#: Stretches of text whose ids a Python worker keeps, about 90 MB; over this it starts anew.
+KEPT_STRETCHES = 500_000
 #: Letters up to here are the same in every version of Unicode that a splitter may follow.
 SETTLED = "\u024f"
-MARKS = tuple(".,;:!?")
-#: Stands before stretches that begin a text, and so have no space before them.
-BEGINS = "\0begins "
+#: A run of these behind a letter or digit is a match of every byte-level splitter.
+MARKS = string.punctuation
+#: Stands before stretches that begin a text, and so have no space before them; and before runs of marks at the end of one. No stretch holds a space.
+BEGINS, ENDS = "\0begins ", "\0ends "
 END_ID = 0
+#: Codes of the end of a text and of nothing.
+END, NOTHING = 0, 1
+#: What a stretch says of its text: it can't be taken apart; the stretch is an end of line alone; it can't come after one.
+ODD, BLANK, DULL = 1, 2, 4
 #: Queue of rows without a source.
 NO_SOURCE = "\0none"
 
@@ -61,10 +67,11 @@ def tokenizer(path: str):
 class StretchEncoder:
     """Ids of whole texts by a byte-level tokenizer, with the ids of stretches that come again kept.
 
-    A byte-level splitter never has a match across a space that follows a non-space, so a text is the
-    sum of its stretches from one such space to the next, and a stretch of the splitter's matches,
-    each of which goes to the tokenizer's model by itself. Texts in which a space follows a space or
-    an end of line, or that hold the name of an added token, are encoded whole.
+    A byte-level splitter never has a match across a space that follows a non-space, nor across an end of
+    line that does, so a text is the sum of its stretches from one such place to the next, and a stretch of
+    the splitter's matches, each of which goes to the tokenizer's model by itself. Marks at the end of a
+    stretch are kept apart from it, so a word is learned once, whatever follows it. Texts with other runs of
+    white space, or that hold the name of an added token, are encoded whole.
     """
 
     def __init__(self, path: str, kept: int = KEPT_STRETCHES):
@@ -74,43 +81,91 @@ class StretchEncoder:
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         # how the splitter spells letters that are the same in every version of Unicode
         self.letters = {i: self.split(c)[0][0] for i in range(ord(SETTLED) + 1) if (c := chr(i)).isalpha()}
-        self.space = self.split(" ")[0][0]
+        self.space, self.line = self.split(" ")[0][0], self.split("\n")[0][0]
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}  # stretches without the space before them; those that begin a text have a mark
+        self.known: dict[str, int] = {}  # stretches without the space before them and the marks behind; others have a sign before them
         self.matches: dict[str, list[int]] = {}
-        self.odd = np.zeros(1, bool)
-        self.lens, self.starts = np.ones(1, np.int64), np.zeros(1, np.int64)
-        self.flat = np.full(1, END_ID, np.uint32)  # code 0 is the end of a text
+        self.says = np.zeros(2, np.uint8)
+        self.lens, self.starts = np.array([1, 0], np.int64), np.zeros(2, np.int64)
+        self.flat = np.full(1, END_ID, np.uint32)
+
+    def _model_ids(self, match: str) -> list[int]:
+        return [t.id for t in self.model.tokenize(match)]
 
     def _of_match(self, match: str) -> list[int]:
         ids = self.matches.get(match)
         if ids is None:
-            ids = self.matches[match] = [t.id for t in self.model.tokenize(match)]
+            ids = self.matches[match] = self._model_ids(match)
         return ids
 
+    def _spelled(self, word: str) -> str | None:
+        """The letters for a word's bytes, if it is of settled letters alone."""
+        if not word.isalpha():
+            return None
+        if word.isascii():
+            return word
+        return word.translate(self.letters) if max(word) <= SETTLED else None
+
     def _ids(self, word: str) -> list[int]:
-        """Ids of a space and the stretch behind it; most are a word, or a word and a mark."""
-        bare = word[:-1] if word[-1:] in MARKS else word
-        if bare.isalpha() and (bare.isascii() or max(bare) <= SETTLED):
-            ids = self._of_match(self.space + (bare if bare.isascii() else bare.translate(self.letters)))
-            return ids if bare is word else ids + self._of_match(word[-1])
-        return self._of_any(" " + word)
+        """Ids of a space and the stretch behind it; most are a word, or a word and marks."""
+        bare = word.rstrip(MARKS)
+        spelled = self._spelled(bare)
+        if spelled is None:
+            return self._of_any(" " + word)
+        ids = self._of_match(self.space + spelled)
+        return ids if len(bare) == len(word) else ids + self._of_match(word[len(bare) :])
+
+    def _of_head(self, head: str) -> list[int]:
+        """Ids of a stretch with what comes before it: an end of line, which it then begins with, or a space."""
+        line = head.startswith("\n")
+        spelled = self._spelled(head[1:] if line else head)
+        if spelled is None:
+            return self._of_any(head if line or head.startswith("\r\n") else " " + head)
+        return self._of_match(self.line) + self._model_ids(spelled) if line else self._model_ids(self.space + spelled)
 
     def _of_any(self, stretch: str) -> list[int]:
         return list(itertools.chain.from_iterable(self._of_match(letters) for letters, _ in self.split(stretch)))
 
-    def _learn(self, keys: list[str], words: list[str], ids_of) -> None:
-        """Keeps the ids of different stretches, by their keys."""
-        fresh = list(map(ids_of, words))
-        at = len(self.lens)
-        self.known.update(zip(keys, range(at, at + len(keys)), strict=True))
-        lens = np.fromiter(map(len, fresh), np.int64, len(fresh))
+    def _codes(self, keys: list[str], words: list[str], ids_of, says=None) -> np.ndarray:
+        """Each key's code; the ids of words that are new are kept."""
+        codes = np.fromiter(map(self.known.get, keys, itertools.repeat(-1)), np.int64, len(keys))
+        new = np.flatnonzero(codes < 0)
+        if not len(new):
+            return codes
+        places, at = {}, len(self.lens)
+        for i in new.tolist():
+            places.setdefault(keys[i], i)
+        fresh = [words[i] for i in places.values()]
+        self.known.update(zip(places, range(at, at + len(places)), strict=True))
+        codes[new] = [self.known[keys[i]] for i in new.tolist()]
+        ids = list(map(ids_of, fresh))
+        lens = np.fromiter(map(len, ids), np.int64, len(ids))
         self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lens) - lens])
         self.lens = np.concatenate([self.lens, lens])
-        self.flat = np.concatenate([self.flat, np.fromiter(itertools.chain.from_iterable(fresh), np.uint32, int(lens.sum()))])
-        self.odd = np.concatenate([self.odd, np.fromiter((not w or w[-1].isspace() for w in words), bool, len(words))])
+        self.flat = np.concatenate([self.flat, np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(lens.sum()))])
+        self.says = np.concatenate([self.says, np.fromiter(map(says, fresh), np.uint8, len(fresh)) if says else np.zeros(len(fresh), np.uint8)])
+        return codes
+
+    def _parts(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of each stretch without the marks at its end, and of these."""
+        bare = pc.utf8_rtrim(words, MARKS)
+        last = pc.dictionary_encode(pc.utf8_slice_codeunits(bare, -1, None))
+        plain = np.array([c.isalpha() and c <= SETTLED or c.isdigit() and c.isascii() for c in last.dictionary.to_pylist()], bool)
+        at = np.concatenate([[0], np.cumsum(pc.binary_length(words).to_numpy())])
+        cut = np.where(plain[last.indices.to_numpy()], at[:-1] + pc.binary_length(bare).to_numpy(), at[1:])
+        both = np.append(np.column_stack([at[:-1], cut]).ravel(), at[-1])
+        parts = pa.LargeStringArray.from_buffers(2 * len(words), pa.py_buffer(both.astype(np.int64)), pa.concat_arrays([words]).buffers()[2] or pa.py_buffer(b""))
+        heads, marks = (pc.dictionary_encode(parts.take(pa.array(np.arange(side, 2 * len(words), 2)))) for side in (0, 1))
+        strings = heads.dictionary.to_numpy(zero_copy_only=False).tolist()
+        of_heads = self._codes(strings, strings, self._of_head, said_of)
+        strings = marks.dictionary.to_pylist()
+        of_marks = self._codes([ENDS + m for m in strings], strings, lambda m: self._of_match(m) if m else [])
+        return of_heads[heads.indices.to_numpy()], of_marks[marks.indices.to_numpy()]
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """uint32 ids of each text, the end id last."""
@@ -118,42 +173,56 @@ class StretchEncoder:
             self._forget()
         if not texts:
             return []
-        known = self.known
-        split = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        strings = pa.array(texts, pa.large_string())
+        # a space before every end of line, so that it begins a stretch
+        split = pc.split_pattern(pc.replace_substring(pc.replace_substring(strings, "\n", " \n"), "\r \n", " \r\n"), " ")
         offsets = split.offsets.to_numpy()
         rest = pc.dictionary_encode(split.values)
-        words, code = rest.dictionary.to_pylist(), rest.indices.to_numpy()
-        fresh = [w for w in words if w not in known]
-        if fresh:
-            self._learn(fresh, fresh, self._ids)
-        codes = np.fromiter(map(known.__getitem__, words), np.int64, len(words))[code]
-        begins = [words[c] for c in code[offsets[:-1]].tolist()]
-        marked = [BEGINS + w for w in begins]
-        fresh = {k: w for k, w in zip(marked, begins, strict=True) if k not in known}
-        if fresh:
-            self._learn(list(fresh), list(fresh.values()), self._of_any)
-        codes[offsets[:-1]] = np.fromiter(map(known.__getitem__, marked), np.int64, len(marked))
-        whole = np.add.reduceat(self.odd[codes].astype(np.int64), offsets[:-1]) > 0
+        words, code, first = rest.dictionary, rest.indices.to_numpy(), offsets[:-1]
+        heads, marks = self._parts(words)
+        codes = np.column_stack([heads[code], marks[code]])
+        begins = words.take(pa.array(code[first])).to_pylist()
+        codes[first, 0] = self._codes([BEGINS + w for w in begins], begins, self._of_any, lambda w: said_of(w) & ODD)
+        codes[first, 1] = NOTHING
+        says = self.says[codes[:, 0]]
+        odd = says & ODD
+        follows = np.append(says[1:], 0)
+        follows[offsets[1:-1] - 1] = 0  # the next text's
+        odd |= (says & BLANK > 0) & (follows & (BLANK | DULL) > 0)
+        whole = np.add.reduceat(odd.astype(np.int64), first) > 0
         for name in self.added:
-            whole |= pc.match_substring(pa.array(texts, pa.large_string()), name).to_numpy(zero_copy_only=False)
-        codes = np.insert(codes, offsets[1:], 0)
+            whole |= pc.match_substring(strings, name).to_numpy(zero_copy_only=False)
+        codes = np.insert(codes.ravel(), 2 * offsets[1:], END)
         lens = self.lens[codes]
         ends = np.cumsum(lens)
         flat = self.flat[np.repeat(self.starts[codes] - (ends - lens), lens) + np.arange(ends[-1])]
-        bounds = np.concatenate([[0], ends])[offsets + np.arange(len(offsets))]
+        bounds = np.concatenate([[0], ends])[2 * offsets + np.arange(len(offsets))]
         out = [flat[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
         for i in np.flatnonzero(whole).tolist():
-            out[i] = np.append(np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, np.uint32), np.uint32(END_ID))
+            out[i] = np.append(self._whole(texts[i]), np.uint32(END_ID))
         return out
 
 
+def said_of(stretch: str) -> int:
+    if stretch == "\n":
+        return BLANK
+    odd = ODD if not stretch or stretch[-1].isspace() else 0
+    return odd | (DULL if stretch[:1].isspace() and (stretch[0] != "\n" or stretch[1].isspace()) else 0)
+
+
+@lru_cache(maxsize=1)
+def stretch_encoder(path: str, kept: int) -> StretchEncoder:
+    """Once for each Python worker, so that tasks find what earlier ones have learned."""
+    return StretchEncoder(path, kept)
+
+
 def tokenised(docs: DataFrame, path: str, text_col: str = "text", source_col: str = "source", kept: int = KEPT_STRETCHES) -> DataFrame:
     """A written table: part, doc_id, queue, tokens, at (tokens of that queue before it in its part), ids (little-endian bytes)."""
     queue = F.coalesce(F.col(source_col).cast("string"), F.lit(NO_SOURCE))
     rows = docs.select(F.spark_partition_id().alias("part"), F.col("doc_id").cast("long").alias("doc_id"), queue.alias("queue"), whole_text(text_col).alias("text"))
 
     def run(batches):
-        mine, before = StretchEncoder(path, kept), {}
+        mine, before = stretch_encoder(path, kept), {}
         wide = "<u2" if mine.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         for batch in batches:
             for some in by_size(batch, "text"):
@@ -273,7 +342,7 @@ class Schedule:
 def pack(docs: DataFrame, path: str, length: int = SEQUENCE, window_sequences: int = WINDOW_SEQUENCES, targets: dict[str, float] | None = None, temper: float = TEMPER, text_col: str = "text", source_col: str = "source", kept: int = KEPT_STRETCHES) -> DataFrame:
     """A row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, queue, window_id.
 
-    kept: stretches whose ids a task keeps; fewer take less memory and more time. targets: token share of each source; None takes the sources' sizes in tokens to the power `temper`.
+    kept: stretches whose ids a worker keeps; fewer take less memory and more time. targets: token share of each source; None takes the sources' sizes in tokens to the power `temper`.
     """
     ids = tokenised(docs, path, text_col, source_col, kept)
     # a row a part and queue; the running sum goes over these alone, not over documents
