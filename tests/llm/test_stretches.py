@@ -44,3 +44,10 @@ def test_what_is_kept_is_bounded():
         text = " ".join("".join(r.choices("abc.", k=5)) for _ in range(30))
         assert mine.encode([text])[0].tolist() == [*library.encode(text, add_special_tokens=False).ids, packing.END_ID]
         assert len(mine.known) <= 50 + 2 * 30
+
+
+def test_the_queue_merges_a_word_once_whatever_follows_it():
+    r, mine = random.Random(8), merge_queue.QueueEncoder(PATH)
+    words = ["".join(r.choices("abcdefgh", k=7)) for _ in range(100)]
+    mine.encode(["a " + " ".join(w + m for w in words) + "." for m in ("", "\nNext", "\n(next)", "***", "!?")])
+    assert len(mine.known) < 200  # 501 when every stretch was kept with its marks
