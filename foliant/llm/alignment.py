@@ -35,14 +35,16 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, by_size, whole_text
 from .merge_queue import merge_table, uneven
-from .packing import StretchEncoder
+from .packing import NOTHING, StretchEncoder
 
 #: Bytes of text that are aligned together.
 SLICE_BYTES = 5 << 19
 #: Stretches that a tokenizer gets in one call.
 WORDS_AT_ONCE = 8192
-#: Matches of the byte-level splitter whose ids a worker keeps; over this it starts anew.
-KEPT_MATCHES = 150_000
+#: Stretches without their last marks, and their ids by the byte-level tokenizer, that a worker keeps; over this it starts anew.
+KEPT = 250_000
+#: Stretches of more characters are not kept, nor whole texts.
+LONG = 64
 _ROWS = "slice long, doc_id long, n_a long, n_b long, n_groups long, groups_sha256 string, groups string, links binary, pairs array<long>, counts array<long>"
 _LINKS = "SELECT a.upto, a.id AS a, b.id AS b FROM a ASOF JOIN b ON a.upto >= b.upto WHERE a.upto = b.upto"
 _GROUPS = "SELECT upto, coalesce(lag(upto) OVER (ORDER BY upto), 0) AS since, sum(1) OVER (ORDER BY upto) AS g FROM links"
@@ -85,12 +87,42 @@ class Coder:
 
 
 class Spaced(StretchEncoder):
-    """Ids of stretches with a space before them; names of special tokens are plain text. Matches that come again keep their ids."""
+    """Ids of stretches with a space before them; names of special tokens are plain text. Stretches that come again keep their ids."""
 
-    def ids(self, words: list[str]) -> list[list[int]]:
-        if len(self.matches) > KEPT_MATCHES:
-            self.matches.clear()
-        return [self._ids(w) for w in words]
+    def _of_head(self, head: str) -> list[int]:
+        spelled = self._spelled(head)
+        return self._of_any(" " + head) if spelled is None else self._model_ids(self.space + spelled)
+
+    def tokens(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, the word of each)."""
+        if len(self.known) + len(self.matches) > self.kept:
+            self._forget()
+        if not words:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        long = [i for i, w in enumerate(words) if len(w) > LONG or " " in w]  # of those kept, none holds a space
+        short = words.copy()
+        for i in long:
+            short[i] = ""
+        codes = np.column_stack(self._parts(pa.array(short, pa.large_string())))
+        codes[long] = NOTHING
+        lens = self.lens[codes].ravel()
+        ends = np.cumsum(lens)
+        ids = self.flat[np.repeat(self.starts[codes].ravel() - (ends - lens), lens) + np.arange(ends[-1])].astype(np.int64)
+        word = np.repeat(np.repeat(np.arange(len(words)), 2), lens)
+        if long:
+            each = [self._ids(words[i]) for i in long]
+            n = list(map(len, each))
+            at = np.repeat(ends[1::2][long], n)
+            ids, word = np.insert(ids, at, list(itertools.chain.from_iterable(each))), np.insert(word, at, np.repeat(long, n))
+        return ids, word
+
+
+class SpacedCoder(Coder):
+    """A byte-level tokenizer's."""
+
+    def __init__(self, each: list[bytes], path: str):
+        super().__init__(each, None)
+        self.tokens = Spaced(path, KEPT).tokens
 
 
 @lru_cache(maxsize=2)
@@ -102,7 +134,7 @@ def coders(a_path: str, b_path: str) -> tuple[Coder, Coder]:
     b = sentencepiece.SentencePieceProcessor(model_file=b_path)
     of_b = [bytes([int(p[3:5], 16)]) if b.is_byte(i) else p.replace("▁", " ").encode() for i in range(b.get_piece_size()) for p in (b.id_to_piece(i),)]
     return (
-        Coder(of_a, Spaced(a_path).ids),
+        SpacedCoder(of_a, a_path),
         Coder(of_b, lambda words: b.encode(words, num_threads=1)),
     )
 
@@ -123,7 +155,7 @@ def stretches(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
     odd = {i: t for i, t in enumerate(texts) if uneven(t)}  # the empty text is one, too
     split = pc.split_pattern(pa.array(["" if i in odd else t for i, t in enumerate(texts)], pa.large_string()), " ")
     coded = pc.dictionary_encode(split.values)
-    words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    words, codes = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     at = split.offsets.to_numpy().astype(np.int64)
     for i, t in odd.items():  # in place of the one empty stretch
         codes[at[i]] = len(words)

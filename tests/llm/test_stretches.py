@@ -6,7 +6,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from foliant.llm import merge_queue, packing
+from foliant.llm import alignment, merge_queue, packing
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 #: Ends of line, marks and letters in all orders: what decides whether a text can be taken apart.
@@ -51,3 +51,23 @@ def test_the_queue_merges_a_word_once_whatever_follows_it():
     words = ["".join(r.choices("abcdefgh", k=7)) for _ in range(100)]
     mine.encode(["a " + " ".join(w + m for w in words) + "." for m in ("", "\nNext", "\n(next)", "***", "!?")])
     assert len(mine.known) < 200  # 501 when every stretch was kept with its marks
+
+
+def test_stretches_behind_a_space_have_the_library_s_ids():
+    library, r, mine = Tokenizer.from_file(PATH), random.Random(9), alignment.Spaced(PATH, 500)
+    library.encode_special_tokens = True
+    for size in (2, 5, 40):  # the last are long
+        for _ in range(40):
+            words = list(dict.fromkeys("".join(r.choices(PARTS, k=r.randint(0, size))).lstrip(" ") for _ in range(50)))
+            ids, word = mine.tokens(words)
+            for i, w in enumerate(words):
+                assert ids[word == i].tolist() == library.encode(" " + w, add_special_tokens=False).ids
+            assert (word[1:] >= word[:-1]).all() and len(mine.known) <= 500 + 2 * 51
+    assert not any(len(w) > alignment.LONG + len(packing.ENDS) for w in mine.known)
+
+
+def test_the_alignment_learns_a_word_once_whatever_follows_it():
+    r, (a, _) = random.Random(10), alignment.coders(PATH, public_tokenizers.path("piece_bpe_32k.model"))
+    words, known = ["".join(r.choices("abcdefgh", k=7)) for _ in range(100)], a.tokens.__self__.known
+    a.tokens([w + m for w in words for m in ("", ".", "?!", "***", ",", "$$$")])
+    assert 100 <= len(known) < 120
