@@ -27,6 +27,8 @@ NOTE_SIZE, HEADING_SIZE, OTHER_SIZE = 0.92, 1.2, 1.1
 HEAD_SHARE, HEAD_LEAST, NEAR_PAGES, NEAR_LEAST, LONGEST_HEAD = 0.3, 3, 4, 2, 60
 # Fixed value: a column this many times as wide as its letters' size is no list of numbers or marks.
 NARROW_EMS = 8.0
+# Fixed value: a line taken away at most this far above or below a column stood in it.
+LEAD_EMS = 2.0
 # What begins a note, and what a page's number looks like.
 NOTE_MARK = r"^(?:\d{1,3}|\(\d{1,3}\)|\[\d{1,3}\]|[*†‡§¶]{1,3})(?:[\s.)\]]|\p{L})"
 PAGE_NUMBER = r"(?i)^[-–—(\[]?\s*(?:page\s+)?(\d{1,4}|[ivxlcdm]{1,6})(?:\s*(?:of|/)\s*\d{1,4})?\s*[-–—)\]]?$"
@@ -94,8 +96,31 @@ def furniture(rows: DataFrame, bodies: DataFrame) -> DataFrame:
 # ---- one page
 
 
-def gutter(x0: np.ndarray, x1: np.ndarray, y: np.ndarray, em: float) -> float | None:
-    """Where two columns part: a place that most lines keep clear of, with lines side by side on both sides. None for one column."""
+def reach(y: np.ndarray, taken: np.ndarray, em: float) -> tuple[float, float]:
+    """Where a column begins and ends, with the lines taken away that stood right above or below."""
+    top, bottom = float(y.min()), float(y.max())
+    for at in sorted(taken.tolist(), reverse=True):
+        top = at if 0 < top - at <= LEAD_EMS * em else top
+    for at in sorted(taken.tolist()):
+        bottom = at if 0 < at - bottom <= LEAD_EMS * em else bottom
+    return top, bottom
+
+
+def beside(left: tuple[float, float], right: tuple[float, float], several: bool) -> bool:
+    """Whether two columns, from where they begin to where they end, are side by side; several: both have more than one line."""
+    top, bottom = max(left[0], right[0]), min(left[1], right[1])
+    shorter = min(left[1] - left[0], right[1] - right[0])
+    return bottom - top >= 0.5 * shorter and bottom >= top and not (several and bottom == top)
+
+
+NONE_TAKEN = (np.zeros(0), np.zeros(0), np.zeros(0))
+
+
+def gutter(x0: np.ndarray, x1: np.ndarray, y: np.ndarray, em: float, taken: tuple[np.ndarray, np.ndarray, np.ndarray] = NONE_TAKEN) -> float | None:
+    """Where two columns part: a place that most lines keep clear of, with lines side by side on both sides. None for one column.
+
+    taken: x0, x1, y of lines that were taken away as furniture; a column that lost its first line to it still began there.
+    """
     if len(x0) < 4:
         return None
     left, right = x0.min(), x1.max()
@@ -112,9 +137,9 @@ def gutter(x0: np.ndarray, x1: np.ndarray, y: np.ndarray, em: float) -> float |
         least_width = min(0.15 * (right - left), NARROW_EMS * em)
         if x1[over_l].max() - x0[over_l].min() < least_width or (n_r > 2 and x1[over_r].max() - x0[over_r].min() < least_width):
             continue
-        top, bottom = max(y[over_l].min(), y[over_r].min()), min(y[over_l].max(), y[over_r].max())
-        shorter = min(np.ptp(y[over_l]), np.ptp(y[over_r]))
-        if bottom - top < 0.5 * shorter or bottom < top or (min(n_l, n_r) > 1 and bottom == top):
+        of_l, of_r = taken[2][taken[1] <= x0[over_r].min()], taken[2][taken[0] >= x1[over_l].max()]
+        several = min(n_l, n_r) > 1
+        if not any(beside(reach(y[over_l], l, em), reach(y[over_r], r, em), several) for l, r in ((of_l[:0], of_r[:0]), (of_l, of_r))):
             continue
         score = (n_l + n_r - 2 * crossing, x0[over_r].min() - x1[over_l].max())
         if best is None or score > best[0]:
@@ -122,8 +147,8 @@ def gutter(x0: np.ndarray, x1: np.ndarray, y: np.ndarray, em: float) -> float |
     return None if best is None else float(best[1])
 
 
-def read_order(x0: np.ndarray, x1: np.ndarray, y: np.ndarray, size: np.ndarray) -> list[list[int]]:
-    """The lines of each column, one column after the other, in the order in which they are read."""
+def read_order(x0: np.ndarray, x1: np.ndarray, y: np.ndarray, size: np.ndarray, taken: tuple[np.ndarray, np.ndarray, np.ndarray] = NONE_TAKEN) -> list[list[int]]:
+    """The lines of each column, one column after the other, in the order in which they are read; taken as of `gutter`."""
     em = float(np.median(size)) if len(size) and np.median(size) > 0 else 10.0
     out: list[list[int]] = []
 
@@ -138,7 +163,7 @@ def read_order(x0: np.ndarray, x1: np.ndarray, y: np.ndarray, size: np.ndarray)
         return [i for r in rows for i in sorted(r, key=lambda i: (x0[i], i))]
 
     def read(of: np.ndarray) -> None:
-        at = gutter(x0[of], x1[of], y[of], em)
+        at = gutter(x0[of], x1[of], y[of], em, taken)
         if at is None:
             if len(of):
                 out.append(by_row(of))
@@ -203,19 +228,21 @@ def joined(lines: Column) -> Column:
 
 
 def _pages(rows: DataFrame) -> DataFrame:
-    """book, page, and arrays: line, par (a paragraph's number in the page), starts, seq, text; the page's text in reading order."""
-    line = F.struct("line", "x", "y", "width", "size", "text")
+    """book, page, line, seq, par (a paragraph's number in the page), starts, text, size: the page's text in reading order. rows say which lines are taken."""
+    line = F.struct("line", "x", "y", "width", "size", "text", "taken")
     held = rows.groupBy("book", "page").agg(F.array_sort(F.collect_list(line)).alias("lines"))  # a page's lines, which are few
 
     def run(batches):
         for batch in batches:
             out = []
-            for book, page, lines in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for book, page, placed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                lines, away = [r for r in placed if not r["taken"]], [r for r in placed if r["taken"]]
+                taken = (np.array([r["x"] for r in away]), np.array([r["x"] + r["width"] for r in away]), np.array([r["y"] for r in away])) if away else NONE_TAKEN
                 x0 = np.array([r["x"] for r in lines])
                 x1 = x0 + np.array([r["width"] for r in lines])
                 y, size, texts = np.array([r["y"] for r in lines]), np.array([r["size"] or 0.0 for r in lines]), [r["text"] for r in lines]
                 par = 0
-                for seq, (i, starts) in enumerate(paragraph_starts(read_order(x0, x1, y, size), x0, x1, y, size, texts)):
+                for seq, (i, starts) in enumerate(paragraph_starts(read_order(x0, x1, y, size, taken), x0, x1, y, size, texts)):
                     par += starts and seq > 0
                     out.append((book, page, lines[i]["line"], seq, par, starts, texts[i], size[i]))
             kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.string(), pa.float64()]
@@ -257,7 +284,9 @@ def page_notes(lines: DataFrame) -> DataFrame:
 def paragraphs(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(book, page, par, text, size of paragraphs, by the page that they begin on; book, page, note, text of notes; book, page, line, text of what was left out)."""
     rows, gone, rest, notes = _parted(lines)
-    text = written(_pages(rest.join(notes.select("book", "page", "line"), ["book", "page", "line"], "left_anti").drop("body")))
+    read = rest.join(notes.select("book", "page", "line"), ["book", "page", "line"], "left_anti").drop("body").withColumn("taken", F.lit(False))
+    taken = rows.join(gone, ["book", "page", "line"], "left_semi")
+    text = written(_pages(read.unionByName(taken.withColumn("taken", F.lit(True)))))
 
     # a row a page: whether its first line goes on with what the page before left open
     ends = text.groupBy("book", "page").agg(F.max_by("text", "seq").alias("last"), F.min_by("starts", "seq").alias("starts"), F.min_by("size", "seq").alias("first_size"), F.max_by("size", "seq").alias("last_size"), F.max("par").alias("pars"))
@@ -274,4 +303,4 @@ def paragraphs(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     placed = text.join(first, ["book", "page"]).withColumn("to", F.when((F.col("par") == 0) & F.col("origin").isNotNull(), F.col("origin")).otherwise(F.struct("page", "par")))
     whole = placed.groupBy("book", F.col("to.page").alias("at_page"), F.col("to.par").alias("par")).agg(F.array_sort(F.collect_list(F.struct("page", "seq", "text"))).alias("l"), F.max("size").alias("size"))
     made = whole.select("book", F.col("at_page").alias("page"), "par", joined(F.col("l.text")).alias("text"), "size")
-    return made, _noted(notes), rows.join(gone, ["book", "page", "line"], "left_semi").select("book", "page", "line", "text")
+    return made, _noted(notes), taken.select("book", "page", "line", "text")

@@ -164,3 +164,20 @@ def test_notes_alone_read_no_pages(spark, monkeypatch):
     assert len(want) == 2
     monkeypatch.setattr(pages, "_pages", None)
     assert sorted(tuple(r) for r in pages.page_notes(lines).collect()) == want
+
+
+@pytest.mark.parametrize("columns", [2, 3])
+def test_a_column_whose_first_line_is_a_running_head_is_still_read_first(spark, columns):
+    """The last page has one line in its second column, and its first column's first line is on every page."""
+    texts = lambda page, k: f"words of line number {chr(97 + page)}{chr(97 + k // 20)}{chr(97 + k % 20)} and others" if k else "we say the same once more and again"
+    rows = [("b", p, k, 60.0 + 420 * (k // 20), 80.0 + 12 * (k % 20), 200.0, 10.0, texts(p, k)) for p in range(1, 6) for k in range(21 if p == 5 else 20 * columns)]
+    made, _, gone = pages.paragraphs(spark.createDataFrame(rows, KIND))
+    assert {(r["page"], r["line"]) for r in gone.collect()} >= {(p, 0) for p in range(1, 6)}
+    got = " ".join(r["text"] for r in made.orderBy("page", "par").collect())
+    assert got.endswith(" ".join(texts(5, k) for k in range(1, 21)))
+
+
+def test_lines_taken_away_far_from_a_column_do_not_lengthen_it():
+    y, taken = np.array([100.0, 112.0, 124.0]), np.array([40.0, 88.0, 76.0, 300.0])
+    assert pages.reach(y, taken, 10.0) == (76.0, 124.0)
+    assert pages.reach(y, taken[:0], 10.0) == (100.0, 124.0)
