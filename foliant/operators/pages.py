@@ -14,6 +14,7 @@ one page has no furniture that others could show; further columns don't matter;
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,10 +44,38 @@ def placed_lines(lines: DataFrame) -> DataFrame:
     return rows.withColumns({"line": F.coalesce("line", F.lit(0)), "width": F.coalesce("width", F.lit(0.0)), "size": F.when(~F.isnan("size") & (F.col("size") > 0), F.col("size"))})
 
 
-def body_sizes(rows: DataFrame) -> DataFrame:
-    """book, body: the size of most letters, to a tenth; the smaller of equal ones."""
-    votes = rows.filter("size IS NOT NULL").groupBy("book", F.round("size", 1).alias("s")).agg(F.sum(F.length("text")).alias("n"))
-    return votes.groupBy("book").agg(F.max_by("s", F.struct("n", -F.col("s"))).alias("body"))
+_EDGES = "book string, page int, line int, x double, y double, size double, text string, rounded double, letters long"
+
+
+def _at_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a batch the two highest and lowest lines of each page, and without a page the letters of each book's sizes."""
+    for batch in batches:
+        book, page, line, x, y = (batch.column(c) for c in ("book", "page", "line", "x", "y"))
+        book = book.dictionary_encode().indices
+        order = np.lexsort([c.to_numpy(zero_copy_only=False) for c in (line, x, y, page, book)])
+        place = np.stack([book.to_numpy(zero_copy_only=False)[order], page.to_numpy(zero_copy_only=False)[order]])
+        first = np.ones(len(order), dtype=bool)
+        first[1:] = (place[:, 1:] != place[:, :-1]).any(axis=0)
+        starts = np.flatnonzero(first)
+        sizes = np.diff(np.append(starts, len(order)))
+        down = np.arange(len(order)) - np.repeat(starts, sizes)
+        edges = batch.take(pa.array(order[(down < 2) | (down >= np.repeat(sizes, sizes) - 2)]))
+        yield edges.set_column(edges.schema.names.index("letters"), "letters", pa.nulls(edges.num_rows, pa.int64()))
+        votes = pa.table({c: batch.column(c) for c in ("book", "rounded", "letters")}).filter(batch.column("rounded").is_valid()).group_by(["book", "rounded"]).aggregate([("letters", "sum")]).combine_chunks()
+        if votes.num_rows:
+            given = {"book": votes["book"], "rounded": votes["rounded"], "letters": votes["letters_sum"]}
+            yield pa.table([given[f.name].cast(f.type) if f.name in given else pa.nulls(votes.num_rows, f.type) for f in batch.schema], schema=batch.schema).to_batches()[0]
+
+
+def edges_and_sizes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(lines, among them each page's two highest and lowest; book, body: the size of most letters, to a tenth; the smaller of equal ones).
+
+    rows are read once; what other lines there are stays in its task, so little of a book is written and dealt.
+    """
+    asked = rows.select("book", "page", "line", "x", "y", "size", "text", F.round("size", 1).alias("rounded"), F.length("text").cast("long").alias("letters"))
+    kept = written(asked.mapInArrow(_at_edges, _EDGES))
+    votes = kept.filter("page IS NULL").groupBy("book", F.col("rounded").alias("s")).agg(F.sum("letters").alias("n"))
+    return kept.filter("page IS NOT NULL").drop("rounded", "letters"), votes.groupBy("book").agg(F.max_by("s", F.struct("n", -F.col("s"))).alias("body"))
 
 
 def edge_key(text: Column) -> Column:
@@ -63,7 +92,7 @@ def roman_value(text: Column) -> Column:
 
 
 def furniture(rows: DataFrame, bodies: DataFrame) -> DataFrame:
-    """book, page, line of running heads, running feet and page numbers.
+    """book, page, line of running heads, running feet and page numbers; of the lines at the edges of pages, others don't matter.
 
     At a page's edges (its two highest and lowest lines) a number that counts with the pages near it, and words that the
     edges of many pages or of several near ones share: not long, not set large, and not the one
@@ -263,13 +292,17 @@ def footnotes(rows: DataFrame) -> DataFrame:
     return foot.withColumns({"note": F.sum(marked.cast("int")).over(down), "first": F.first(marked).over(down)}).filter("first").select("book", "page", "line", F.col("note").cast("int").alias("note"), "y", "x", "text")
 
 
-def _parted(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """The lines that count, the furniture, the rest with its body's size, and the lines of notes."""
-    rows = written(placed_lines(lines))
-    bodies = body_sizes(rows)
-    gone = written(furniture(rows, bodies))
-    rest = written(rows.join(gone, ["book", "page", "line"], "left_anti").join(bodies, "book", "left"))
-    return rows, gone, rest, written(footnotes(rest))
+def _found(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(the furniture; book, page, body, gone: a row a page, with its body's size and the lines that are furniture)."""
+    edges, bodies = edges_and_sizes(rows)
+    gone = written(furniture(edges, bodies))
+    by_page = gone.groupBy("book", "page").agg(F.collect_set("line").alias("gone"))
+    return gone, edges.select("book", "page").distinct().join(bodies, "book", "left").join(by_page, ["book", "page"], "left")
+
+
+def _rest(rows: DataFrame, by_page: DataFrame) -> DataFrame:
+    """The lines that are no furniture, with their body's size; dealt by page once, which notes and reading go on with."""
+    return rows.join(written(by_page), ["book", "page"]).filter("gone IS NULL OR NOT array_contains(gone, line)").drop("gone")
 
 
 def _noted(notes: DataFrame) -> DataFrame:
@@ -277,13 +310,22 @@ def _noted(notes: DataFrame) -> DataFrame:
 
 
 def page_notes(lines: DataFrame) -> DataFrame:
-    """book, page, note, text: the notes alone; pages aren't read."""
-    return _noted(_parted(lines)[3])
+    """book, page, note, text: the notes alone; pages aren't read, and lines are read twice rather than written."""
+    rows = placed_lines(lines)
+    return _noted(written(footnotes(_rest(rows, _found(rows)[1]))))
+
+
+def page_furniture(lines: DataFrame) -> DataFrame:
+    """book, page, line of the furniture alone; pages aren't read."""
+    return _found(placed_lines(lines))[0]
 
 
 def paragraphs(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(book, page, par, text, size of paragraphs, by the page that they begin on; book, page, note, text of notes; book, page, line, text of what was left out)."""
-    rows, gone, rest, notes = _parted(lines)
+    rows = written(placed_lines(lines))
+    gone, by_page = _found(rows)
+    rest = written(_rest(rows, by_page))
+    notes = written(footnotes(rest))
     read = rest.join(notes.select("book", "page", "line"), ["book", "page", "line"], "left_anti").drop("body").withColumn("taken", F.lit(False))
     taken = rows.join(gone, ["book", "page", "line"], "left_semi")
     text = written(_pages(read.unionByName(taken.withColumn("taken", F.lit(True)))))

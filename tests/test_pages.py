@@ -5,6 +5,9 @@ import random
 import numpy as np
 import pytest
 
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
 from foliant.operators import pages
 
 KIND = "book string, page int, line int, x double, y double, width double, size double, text string"
@@ -181,3 +184,44 @@ def test_lines_taken_away_far_from_a_column_do_not_lengthen_it():
     y, taken = np.array([100.0, 112.0, 124.0]), np.array([40.0, 88.0, 76.0, 300.0])
     assert pages.reach(y, taken, 10.0) == (76.0, 124.0)
     assert pages.reach(y, taken[:0], 10.0) == (100.0, 124.0)
+
+
+def test_furniture_and_notes_alone_are_those_of_pages_that_are_read(spark):
+    """Whatever the batches of lines; sizes and numbers are missing from some."""
+    r = random.Random(5)
+    rows = []
+    for b in ("one", "two", "three"):
+        for p in range(1, 30):
+            rows.append((b, p, 0, 60.0, 40.0, 300.0, r.choice([9.0, None]), "The Long Road" if r.random() < 0.7 else "Another Head Of It"))
+            rows += [(b, p, k, 60.0, 70.0 + 12 * k, 400.0, r.choice([10.0, 10.04]), sentence(r)) for k in range(1, r.randint(3, 40))]
+            if r.random() < 0.5:
+                rows += [(b, p, 100 + k, 60.0, 600.0 + 10 * k, 400.0, 8.0, ("* " if not k else "") + "a note of " + sentence(r)) for k in range(r.randint(1, 3))]
+            rows.append((b, p, 200, 200.0, 720.0, 20.0, 8.0, str(p + 3) if r.random() < 0.9 else "x"))
+    r.shuffle(rows)
+    lines = spark.createDataFrame(rows, KIND)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        _, notes, gone = pages.paragraphs(lines)
+        assert sorted(map(tuple, pages.page_notes(lines).collect())) == sorted(map(tuple, notes.collect())) != []
+        alone = pages.page_furniture(lines)
+        assert sorted(map(tuple, alone.collect())) == sorted(map(tuple, gone.drop("text").collect())) != []
+        asked = pages.placed_lines(lines)
+        edges, bodies = pages.edges_and_sizes(asked)
+        assert edges.count() <= asked.count() and {x["body"] for x in bodies.collect()} == {10.0}
+        down, up = [Window.partitionBy("book", "page").orderBy(*by) for by in (("y", "x", "line"), (F.desc("y"), F.desc("x"), F.desc("line")))]
+        two = lambda of: {(x["book"], x["page"], x["line"]) for x in of.withColumns({"d": F.row_number().over(down), "u": F.row_number().over(up)}).filter("d <= 2 OR u <= 2").collect()}
+        assert two(edges) == two(asked)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+@pytest.mark.parametrize("alone, most", [(lambda lines: pages.page_furniture(lines), 0.1), (lambda lines: pages.page_notes(lines), 0.1)])
+def test_furniture_and_notes_alone_write_little(spark, tmp_path, monkeypatch, alone, most):
+    rows = [("b", p, k, 60.0, 80.0 + 12 * k, 400.0, 10.0, f"{k} {p} " + "words of many letters " * 5) for p in range(1, 40) for k in range(60)]
+    wrote = []
+    kept = pages.written
+    monkeypatch.setattr(pages, "written", lambda df: wrote.append(kept(df)) or wrote[-1])
+    alone(spark.createDataFrame(rows, KIND)).collect()
+    letters = sum(t.select(F.sum(F.length("text"))).first()[0] or 0 for t in wrote if "text" in t.columns)
+    assert letters < most * sum(len(x[-1]) for x in rows)
